@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, simhash
+from . import line_rules, sharding, simhash, substring_index, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,15 +15,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.clean(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_index.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_simhash_near_dedup, op8_sharding)}
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_line_rules, op6_simhash_near_dedup, op7_substring_index, op8_sharding, op10_suffix_array)}
 
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
 ORACLES: dict[str, str] = {}
