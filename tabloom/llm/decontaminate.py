@@ -44,7 +44,8 @@ def _windows(rows: DataFrame, keys: list[str], masks: tuple[str, ...]) -> DataFr
     """``keys``, window start ``at`` and ``seed`` of every masked window; rows have ``toks``."""
     hashed = rows.select(*keys, F.transform("toks", lambda w: F.xxhash64(w)).alias("hs"))
     seeds = hashed.select(*keys, F.size("hs").alias("n"), F.concat(*[_seed_hashes(F.col("hs"), m, i) for i, m in enumerate(masks)]).alias("seeds"))
-    each = seeds.select(*keys, "n", F.posexplode("seeds").alias("at", "seed"))
+    # the outer form: for the inner one the optimizer would filter on the array's size and compute all of it twice
+    each = seeds.select(*keys, "n", F.posexplode_outer("seeds").alias("at", "seed")).where("seed IS NOT NULL")
     at, before = F.col("at"), F.lit(0)
     start = at
     for mask in masks[:-1]:  # the masks' hashes stand one after the other

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, sharding, simhash, substring_index, suffix_dedup
+from . import cotraining, decontaminate, license_scan, line_rules, mixing, sharding, simhash, substring_index, suffix_dedup, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(_table(spark, sf_dir, "pages"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean(_table(spark, sf_dir, "documents"))
 
@@ -31,11 +47,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_line_rules, op6_simhash_near_dedup, op7_substring_index, op8_sharding, op10_suffix_array)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_cotraining, op3_templates, op4_mixing, op5_line_rules, op6_simhash_near_dedup, op7_substring_index, op8_sharding, op9_license_scan, op10_suffix_array,
+    )
+}
 
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
 ORACLES: dict[str, str] = {}
