@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import values as V
+from .operators import association as A
+from .operators import evaluation as E
+from .operators import profile as P
+from .operators import ranking as R
+from .operators import splits
+from .plans import ask, board, etl
+from .plans.etl import Step
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with its DuckDB equivalent if SQL can express it."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return register
@@ -29,11 +39,551 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(
-    """SELECT date_trunc('month', l_shipdate) AS period, sum(l_extendedprice) AS value FROM lineitem
-    WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1"""
-)
-def series_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shipped = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz '1997-01-01' AND l_shipdate < timestamp_ntz '1998-01-01'")
-    period = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("period")
-    return shipped.groupBy(period).agg(F.sum("l_extendedprice").alias("value"))
+def rounded(df: DataFrame, places: int = 6, *columns: str) -> DataFrame:
+    """Doubles rounded: the last digits of sums depend on the order of addition."""
+    chosen = columns or tuple(c for c, t in df.dtypes if t == "double")
+    return df.withColumns({c: F.round(c, places) for c in chosen})
+
+
+# --- dashboards: series, bars, KPIs, comparisons
+
+for _grain in ("month", "week", "quarter", "year", "day"):
+
+    @query(
+        f"""SELECT date_trunc('{_grain}', l_shipdate)::TIMESTAMP AS period, round(sum(l_extendedprice), 2) AS value FROM lineitem
+        WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1""",
+        f"series_{_grain}",
+    )
+    def _series(spark: SparkSession, sf_dir: str, grain: str = _grain) -> DataFrame:
+        year = board.apply_filters(table(spark, sf_dir, "lineitem"), {"l_shipdate": {"from": "1997-01-01", "to": "1997-12-31"}})
+        return rounded(board.series(year, "l_shipdate", "l_extendedprice", grain=grain), 2)
+
+
+@query("SELECT l_returnflag AS level, round(sum(l_quantity), 2) AS value FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY value DESC, level LIMIT 14")
+def bars_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(board.bars(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity"), 2)
+
+
+@query("SELECT o_orderpriority AS level, count(*) AS value FROM orders GROUP BY 1 ORDER BY value DESC, level LIMIT 14")
+def bars_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.bars(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("SELECT count(*) AS rows, round(sum(o_totalprice), 2) AS sum_o_totalprice FROM orders")
+def kpi_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(board.kpis(table(spark, sf_dir, "orders"), {"o_totalprice": "sum"}), 2)
+
+
+@query("""SELECT count(*) AS rows, round(avg(o_totalprice), 4) AS avg_o_totalprice FROM orders
+    WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-06-30' + INTERVAL 1 DAY""")
+def kpi_filtered_daterange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = board.apply_filters(table(spark, sf_dir, "orders"), {"o_orderdate": {"from": "1995-03-01", "to": "1995-06-30"}, "no_such": ["x"]})
+    return rounded(board.kpis(rows, {"o_totalprice": "avg"}), 4)
+
+
+@query("SELECT count(*) AS rows, min(o_totalprice) AS min_o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def kpi_filtered_multiselect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.kpis(board.apply_filters(table(spark, sf_dir, "orders"), {"o_orderstatus": ["F", "O"]}), {"o_totalprice": "min"})
+
+
+_HISTOGRAM = """WITH q AS (SELECT quantile_cont({c}, 0.01) AS lo, quantile_cont({c}, 0.99) AS hi FROM {t}), w AS (SELECT lo, hi, (hi - lo) / 20 AS w FROM q),
+    n AS (SELECT least(floor(({c} - lo) / w)::BIGINT, 19) AS bin, count(*) AS n FROM {t}, w WHERE {c} BETWEEN lo AND hi GROUP BY 1)
+    SELECT b.range AS bin, round(lo + b.range * w, 4) AS low, round(lo + (b.range + 1) * w, 4) AS high, coalesce(n, 0)::BIGINT AS n
+    FROM range(20) b CROSS JOIN w LEFT JOIN n ON n.bin = b.range"""
+
+
+@query(_HISTOGRAM.format(c="o_totalprice", t="orders"))
+def board_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.histogram(table(spark, sf_dir, "orders"), "o_totalprice"), 4)
+
+
+@query(_HISTOGRAM.format(c="l_extendedprice", t="lineitem"))
+def histogram_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice"), 4)
+
+
+_MONTHS = "WITH m AS (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS period, sum(o_totalprice) AS value FROM orders GROUP BY 1)"
+
+
+@query(f"{_MONTHS} SELECT a.period, round(a.value, 2) AS value, round(100 * (a.value - b.value) / abs(b.value), 4) AS mom FROM m a LEFT JOIN m b ON b.period = (a.period - INTERVAL 1 MONTH)")
+def compare_mom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = board.compare(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice").select("period", "value", "mom")
+    return rounded(rounded(out, 2, "value"), 4, "mom")
+
+
+@query(f"{_MONTHS} SELECT a.period, round(100 * (a.value - b.value) / abs(b.value), 4) AS yoy FROM m a LEFT JOIN m b ON b.period = (a.period - INTERVAL 1 YEAR)")
+def compare_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(board.compare(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice").select("period", "yoy"), 4)
+
+
+@query(f"{_MONTHS} SELECT period, round(sum(value) OVER (PARTITION BY year(period) ORDER BY period), 2) AS ytd FROM m")
+def compare_ytd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(board.compare(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice").select("period", "ytd"), 2)
+
+
+@query("""SELECT * FROM (SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2
+    UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2)""")
+def facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.facets(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS period, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1")
+def period_text_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "orders").withColumn("periodo", F.date_format("o_orderdate", "yyyy-MM"))
+    return rounded(board.series(texts, V.period_month(F.col("periodo")), "o_totalprice"), 2)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 50")
+def head_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.read import page
+
+    return page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 100, 50)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def top_n_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_n(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 25, ["o_orderkey"])
+
+
+# --- profile
+
+_LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _each(columns: tuple[str, ...], body: str, source: str) -> str:
+    return " UNION ALL ".join(f"""SELECT '{c}' AS "column", {body.format(c=c)} FROM {source}""" for c in columns)
+
+
+@query(_each(_LINE, "count(*) AS rows, count(*) - count({c}) AS nulls, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, max({c}) AS max, count(*) FILTER ({c} = 0) AS zeros, count(*) FILTER ({c} < 0) AS negatives, round(abs(stddev_samp({c}) / avg({c})), 6) AS cv", "lineitem"))
+def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = P.numeric_profile(table(spark, sf_dir, "lineitem"), list(_LINE)).select("column", "rows", "nulls", "mean", "std", "min", "max", "zeros", "negatives", "cv")
+    return rounded(out, 6, "mean", "std", "cv")
+
+
+@query(_each(_LINE, "round(quantile_cont({c}, 0.01), 6) AS p01, round(quantile_cont({c}, 0.25), 6) AS p25, round(median({c}), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS p75, round(quantile_cont({c}, 0.99), 6) AS p99", "lineitem"))
+def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.numeric_profile(table(spark, sf_dir, "lineitem"), list(_LINE)).select("column", "p01", "p25", "median", "p75", "p99"), 6)
+
+
+@query(_each(_LINE, "round(skewness({c}), 6) AS skew, round(kurtosis({c}), 6) AS kurt", "lineitem"))
+def moments_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.numeric_profile(table(spark, sf_dir, "lineitem"), list(_LINE)).select("column", "skew", "kurt"), 6)
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", round(max(lo), 6) AS low, round(max(hi), 6) AS high, count(*) FILTER ({c} < lo OR {c} > hi) AS outliers, round(100.0 * count(*) FILTER ({c} < lo OR {c} > hi) / count({c}), 3)::DOUBLE AS outlier_pct
+    FROM lineitem, (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo, quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi FROM lineitem) b""" for c in _LINE))
+def outliers_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.outliers(table(spark, sf_dir, "lineitem"), list(_LINE)), 6, "low", "high")
+
+
+_CATEGORICAL = ("o_orderstatus", "o_orderpriority")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS n FROM orders GROUP BY 2""" for c in _CATEGORICAL))
+def profile_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.value_counts(table(spark, sf_dir, "orders"), list(_CATEGORICAL))
+
+
+@query("""SELECT 'o_orderdate' AS "column", min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders""")
+def profile_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.datetime_ranges(table(spark, sf_dir, "orders"), ["o_orderdate"])
+
+
+@query(_each(("doc_id", "text", "lang", "source"), "count(*) AS rows, count(*) - count({c}) AS nulls", "documents"))
+def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.null_counts(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang", "source"])
+
+
+@query(_each(("l_partkey", "l_suppkey", "l_returnflag"), "count(DISTINCT {c}) AS n_distinct", "lineitem"))
+def distinct_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.distinct_counts(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey", "l_returnflag"])
+
+
+@query()
+def distinct_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.distinct_counts(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey", "l_returnflag"], approximate=True)
+
+
+@query("SELECT p_type AS value, count(*) AS n, round(100.0 * count(*) / (SELECT count(p_type) FROM part), 3)::DOUBLE AS pct FROM part WHERE p_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.top_values(table(spark, sf_dir, "part"), "p_type")
+
+
+@query("WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_quantity HAVING count(*) > 1) SELECT count(*) AS groups, coalesce(sum(n - 1), 0)::BIGINT AS extra_rows FROM g")
+def dup_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.duplicate_groups(table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity"))
+
+
+@query(_each(("text", "lang"), "round(avg(length({c})), 6) AS avg_length, max(length({c})) AS max_length", "documents"))
+def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.text_lengths(table(spark, sf_dir, "documents"), ["text", "lang"]), 6)
+
+
+@query()
+def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, score, level = P.quality_issues(table(spark, sf_dir, "orders"))
+    return spark.createDataFrame([(i["column"], i["code"], i["severity"], score, level) for i in found], "column string, code string, severity string, score int, level string")
+
+
+# --- cleaning plans
+
+
+def _plan(spark: SparkSession, sf_dir: str, source: DataFrame | str, *steps: Step) -> DataFrame:
+    return etl.compile_plan(table(spark, sf_dir, source) if isinstance(source, str) else source, list(steps))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders")
+def etl_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir, "orders", Step("drop_column", "o_orderstatus"), Step("drop_column", "o_orderpriority"), Step("drop_column", "no_such"))
+
+
+def _money(spark: SparkSession, sf_dir: str, comma: bool) -> DataFrame:
+    text = F.concat(F.lit("$ "), F.format_number("o_totalprice", 2))
+    text = F.translate(text, ",.", ".,") if comma else text
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, text).otherwise("s/d").alias("monto"))
+
+
+_MONEY = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice, 2) END AS monto FROM orders"
+
+
+@query(_MONEY)
+def etl_cast_numeric_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_plan(spark, sf_dir, _money(spark, sf_dir, False), Step("cast_numeric", "monto", {"decimal": "."})), 2)
+
+
+@query(_MONEY)
+def etl_cast_numeric_comma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_plan(spark, sf_dir, _money(spark, sf_dir, True), Step("cast_numeric", "monto", {"decimal": ","})), 2)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN date_trunc('day', o_orderdate)::TIMESTAMP END AS fecha FROM orders")
+def etl_parse_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("o_orderkey") % 3
+    text = F.when(kind == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(kind == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise("sin fecha")
+    return _plan(spark, sf_dir, table(spark, sf_dir, "orders").select("o_orderkey", text.alias("fecha")), Step("parse_datetime", "fecha"))
+
+
+@query("SELECT c_custkey, nullif(lower(trim('  ' || c_mktsegment || ' ')), '') AS seg FROM customer")
+def etl_trim_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    padded = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")).alias("seg"))
+    return _plan(spark, sf_dir, padded, Step("trim_text", "seg", {"lower": True}))
+
+
+@query("""SELECT o_orderkey, year(o_orderdate)::BIGINT AS o_orderdate__year, month(o_orderdate)::BIGINT AS o_orderdate__month, day(o_orderdate)::BIGINT AS o_orderdate__day,
+    dayofweek(o_orderdate)::BIGINT AS o_orderdate__dow, week(o_orderdate)::BIGINT AS o_orderdate__week, quarter(o_orderdate)::BIGINT AS o_orderdate__quarter FROM orders""")
+def etl_expand_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir, table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), Step("expand_datetime", "o_orderdate", {"quarter": True}))
+
+
+def _holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hole = F.col("o_orderkey") % 20 == 0
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(~hole, F.col("o_totalprice")).alias("precio"), F.when(~hole, F.col("o_orderpriority")).alias("prioridad"))
+
+
+_HOLES = "WITH h AS (SELECT o_orderkey, CASE WHEN o_orderkey % 20 <> 0 THEN o_totalprice END AS precio, CASE WHEN o_orderkey % 20 <> 0 THEN o_orderpriority END AS prioridad FROM orders)"
+
+
+@query(f"{_HOLES} SELECT o_orderkey, precio, (precio IS NULL)::INTEGER AS precio__faltante FROM h")
+def etl_missing_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir, _holes(spark, sf_dir).drop("prioridad"), Step("missing_indicator", "precio"))
+
+
+@query(f"{_HOLES} SELECT o_orderkey, coalesce(precio, (SELECT median(precio) FROM h)) AS precio FROM h")
+def etl_impute_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _holes(spark, sf_dir).drop("prioridad")
+    return _plan(spark, sf_dir, rows, Step("impute_numeric", "precio", {"value": rows.agg(F.median("precio")).first()[0]}))
+
+
+@query(f"{_HOLES} SELECT o_orderkey, coalesce(prioridad, '(sin dato)') AS prioridad FROM h")
+def etl_impute_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir, _holes(spark, sf_dir).drop("precio"), Step("impute_categorical", "prioridad"))
+
+
+@query(f"{_HOLES} SELECT o_orderkey, least(greatest(precio, 20000.0), 200000.0) AS precio FROM h")
+def etl_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir, _holes(spark, sf_dir).drop("prioridad"), Step("clip_outliers", "precio", {"low": 20000.0, "high": 200000.0}))
+
+
+@query("SELECT c_custkey, round(ln(greatest(c_acctbal, 0) + 1), 8) AS c_acctbal FROM customer")
+def etl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_plan(spark, sf_dir, table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), Step("log_transform", "c_acctbal")), 8)
+
+
+@query(f"{_HOLES} SELECT o_orderkey, CASE WHEN prioridad IN ('1-URGENT', '2-HIGH') THEN prioridad ELSE '(otros)' END AS prioridad FROM h")
+def etl_group_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir, _holes(spark, sf_dir).drop("precio"), Step("group_rare", "prioridad", {"keep": ["1-URGENT", "2-HIGH"]}))
+
+
+@query(f"{_HOLES} SELECT o_orderkey, precio FROM h WHERE precio IS NOT NULL")
+def etl_filter_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir, _holes(spark, sf_dir).drop("prioridad"), Step("filter_null_target", "precio"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'")
+def etl_filter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir, "orders", Step("filter_rows", None, {"condition": "o_totalprice > 100000 AND o_orderstatus = 'F'"})).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def etl_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir, table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority"), Step("drop_duplicates"))
+
+
+@query(f"""{_HOLES} SELECT DISTINCT o_orderkey, least(coalesce(precio, 0.0), 150000.0) AS precio, CASE WHEN coalesce(prioridad, '(sin dato)') IN ('1-URGENT', '(sin dato)') THEN coalesce(prioridad, '(sin dato)') ELSE '(otros)' END AS prioridad,
+    (precio IS NULL)::INTEGER AS precio__faltante FROM h WHERE o_orderkey % 2 = 0""")
+def etl_full_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = [
+        Step("filter_rows", None, {"condition": "o_orderkey % 2 = 0"}), Step("missing_indicator", "precio"), Step("impute_numeric", "precio", {"value": 0.0}), Step("impute_categorical", "prioridad"),
+        Step("group_rare", "prioridad", {"keep": ["1-URGENT", "(sin dato)"]}), Step("clip_outliers", "precio", {"low": 0.0, "high": 150000.0}), Step("drop_column", "precio", enabled=False), Step("drop_duplicates"),
+    ]
+    return _plan(spark, sf_dir, _holes(spark, sf_dir), *steps)
+
+
+@query()
+def etl_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messy = _money(spark, sf_dir, True).join(_holes(spark, sf_dir), "o_orderkey").withColumn("constante", F.lit("X"))
+    steps = etl.propose(messy)
+    return spark.createDataFrame([(i, s.op, s.column, str(s.params), s.reason, s.enabled) for i, s in enumerate(steps)], "position int, op string, column string, params string, reason string, enabled boolean")
+
+
+# --- association and audit
+
+_PAIRS = [(a, b) for i, a in enumerate(_LINE) for b in _LINE[i + 1 :]]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 8) AS corr FROM lineitem" for a, b in _PAIRS))
+def pearson_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.pearson(table(spark, sf_dir, "lineitem"), list(_LINE)), 8)
+
+
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS q, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS p FROM lineitem)
+    SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(q::DOUBLE, p::DOUBLE), 8) AS corr FROM r""")
+def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.spearman(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"]), 8)
+
+
+@query("""WITH r AS (SELECT l_returnflag = 'R' AS y, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS k FROM lineitem),
+    s AS (SELECT sum(k) FILTER (y)::DOUBLE AS r, count(*) FILTER (y)::DOUBLE AS p, count(*) FILTER (NOT y)::DOUBLE AS q FROM r)
+    SELECT round(greatest((r - p * (p + 1) / 2) / (p * q), 1 - (r - p * (p + 1) / 2) / (p * q)), 8) AS auc FROM s""")
+def univariate_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.univariate_auc(table(spark, sf_dir, "lineitem"), "l_quantity", F.col("l_returnflag") == "R"), 8)
+
+
+@query("""WITH g AS (SELECT l_returnflag AS c, count(*)::DOUBLE AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY 1), a AS (SELECT avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v, count(*) AS n FROM lineitem)
+    SELECT round((SELECT sum(g.n * (g.m - a.m) * (g.m - a.m)) FROM g, a) / (SELECT n * v FROM a), 8) AS eta2""")
+def eta_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.eta_squared(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice"), 8)
+
+
+@query("""WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS o FROM lineitem GROUP BY 1, 2), r AS (SELECT a, sum(o) AS ra FROM c GROUP BY 1), k AS (SELECT b, sum(o) AS cb FROM c GROUP BY 1), t AS (SELECT sum(o) AS n FROM c),
+    x AS (SELECT sum((coalesce(o, 0) - ra * cb / n) * (coalesce(o, 0) - ra * cb / n) / (ra * cb / n)) / max(n) AS phi2, max(n) AS n, count(DISTINCT r.a)::DOUBLE AS nr, count(DISTINCT k.b)::DOUBLE AS nk FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c ON c.a = r.a AND c.b = k.b)
+    SELECT round(sqrt(greatest(0.0, phi2 - (nk - 1) * (nr - 1) / (n - 1)) / least(nk - (nk - 1) * (nk - 1) / (n - 1) - 1, nr - (nr - 1) * (nr - 1) / (n - 1) - 1)), 8) AS v FROM x""")
+def cramers_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.cramers_v(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus"), 8)
+
+
+@query("SELECT o_orderstatus AS value, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM orders), 3)::DOUBLE AS pct FROM orders GROUP BY 1")
+def target_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.target_distribution(table(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+@query("SELECT 'p_size' AS a, 'copia' AS b")
+def duplicate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.duplicate_columns(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", F.col("p_size").alias("copia")))
+
+
+@query("""WITH c AS (SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 30) SELECT value, n FROM c WHERE 100.0 * n / (SELECT count(p_brand) FROM part) >= 4 OR n = (SELECT max(n) FROM c) AND value = (SELECT value FROM c ORDER BY n DESC, value LIMIT 1)""")
+def frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.frequent_levels(table(spark, sf_dir, "part"), "p_brand", 4.0)
+
+
+@query()
+def leakage_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("objetivo"), (F.col("l_returnflag") == "R").cast("int").alias("copia_del_objetivo"))
+    return spark.createDataFrame([(f["column"], f["measure"], f["strength"], f["level"]) for f in etl.audit_leakage(rows, "objetivo")], "column string, measure string, strength double, level string")
+
+
+@query()
+def decimal_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.decimal_votes(_money(spark, sf_dir, True), "monto")
+
+
+# --- questions and guarded SQL
+
+
+def _asked(sql: str, name: str, question: str, source: str, places: int = 2) -> None:
+    @query(sql, name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(ask.answer(table(spark, sf_dir, source), question), places)
+
+
+_asked("SELECT o_orderpriority, round(sum(o_totalprice), 2) AS valor FROM orders GROUP BY 1", "ask_sum_by_dim", "total de o_totalprice por o_orderpriority", "orders")
+_asked("SELECT count(*) AS valor FROM orders WHERE year(o_orderdate) = 1996", "ask_count_year", "cuántos hubo en 1996", "orders")
+_asked("SELECT round(avg(o_totalprice), 2) AS valor FROM orders", "ask_avg", "promedio de o_totalprice", "orders")
+_asked("SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5", "ask_top_n", "top 5 por o_totalprice", "orders")
+
+
+def _passthrough(name: str, sql: str, *tables: str, duck: str | None = None, places: int = 4) -> None:
+    @query(duck or sql.replace("{", "").replace("}", ""), name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(ask.run_sql(spark, sql, limit=None, **{t: table(spark, sf_dir, t) for t in tables}), places)
+
+
+_passthrough("join_inner", "SELECT n_name, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey", "nation", "region")
+_passthrough("join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey", "customer", "orders")
+_passthrough("join_right", "SELECT o_orderkey, c_name FROM {customer} RIGHT JOIN {orders} ON c_custkey = o_custkey AND c_acctbal > 0", "customer", "orders")
+_passthrough("join_full", "SELECT n_nationkey, s_suppkey FROM {nation} FULL JOIN {supplier} ON n_nationkey = s_nationkey AND s_acctbal > 5000", "nation", "supplier")
+_passthrough("join_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 150000)", "customer", "orders")
+_passthrough("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)", "customer", "orders")
+_passthrough("join_range", "SELECT r_regionkey, count(*) AS n FROM {region} JOIN {supplier} ON s_acctbal BETWEEN r_regionkey * 1000 AND r_regionkey * 1000 + 1500 GROUP BY r_regionkey", "region", "supplier")
+_passthrough("join_cross_small", "SELECT a.r_name AS a, b.r_name AS b FROM {region} a CROSS JOIN {region} b", "region")
+_passthrough("win_rank", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS d FROM {part}", "part", duck="SELECT p_partkey, (rank() OVER (PARTITION BY p_brand ORDER BY p_size))::INTEGER AS r, (dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size))::INTEGER AS d FROM part")
+_passthrough("win_lag", "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prior, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS following FROM {orders}", "orders")
+_passthrough("win_running", "SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS upto FROM {orders}", "orders", duck="SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS upto FROM orders", places=2)
+_passthrough("win_moving", "SELECT o_orderkey, avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM {orders}", "orders", duck="SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS m FROM orders", places=2)
+_passthrough("win_first_per_group", "SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}) WHERE rn = 1", "orders", duck="SELECT o_custkey, o_orderkey, 1::INTEGER AS rn FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+_passthrough("union_all", "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}", "customer", "supplier")
+_passthrough("union_distinct", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}", "customer", "supplier")
+_passthrough("set_intersect", "SELECT o_custkey AS k FROM {orders} WHERE o_totalprice > 100000 INTERSECT SELECT o_custkey FROM {orders} WHERE o_totalprice < 50000", "orders")
+_passthrough("set_except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}", "customer", "orders")
+_passthrough("agg_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem")
+_passthrough("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)", "lineitem")
+_passthrough("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, max(l_quantity) AS q FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", "lineitem")
+_passthrough("sql_cte_having", "WITH s AS (SELECT o_custkey, sum(o_totalprice) AS spent FROM {orders} GROUP BY o_custkey HAVING count(*) > 3) SELECT count(*) AS n, round(max(spent), 2) AS most FROM s", "orders")
+_passthrough("sql_correlated", "SELECT p_partkey FROM {part} p WHERE p_retailprice > (SELECT avg(p_retailprice) FROM {part} q WHERE q.p_brand = p.p_brand)", "part")
+
+
+@query("SELECT user_id, event_id, (SELECT value FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND (p.ts < e.ts OR p.ts = e.ts AND p.event_id <= e.event_id) ORDER BY p.ts DESC, p.event_id DESC LIMIT 1) AS last_value FROM events e WHERE event_type = 'click'")
+def asof_last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    bought = events.where("event_type = 'purchase'").select("user_id", "at", F.col("value").alias("last_value"))
+    clicks = events.where("event_type = 'click'").select("user_id", "event_id", "at")
+    return R.asof_join(clicks, bought, "user_id", "at", "last_value").select("user_id", "event_id", "last_value")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT props) AS kinds FROM events WHERE props LIKE '{%' GROUP BY 1")
+def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where(F.get_json_object("props", "$").isNotNull())
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("props").alias("kinds"))
+
+
+@query("""SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS period, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS approved, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS gross, count(DISTINCT o_custkey) AS payers FROM orders GROUP BY 1""")
+def payments_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = F.col("o_orderstatus") == "F"
+    out = table(spark, sf_dir, "orders").groupBy(V.truncated("month", F.col("o_orderdate")).alias("period")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(done).alias("approved"), F.sum(F.when(done, F.col("o_totalprice")).otherwise(0)).alias("gross"), F.count_distinct("o_custkey").alias("payers")
+    )
+    return rounded(out, 2)
+
+
+# --- evaluation: scores are fixed expressions of existing columns
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")
+    return line.select(key, ((F.col("l_quantity") * 7 + F.col("l_linenumber")) % 100 / 100).alias("p"), (F.col("l_returnflag") == "R").alias("y"))
+
+
+_PRED = "WITH s AS (SELECT (l_orderkey * 10 + l_linenumber)::BIGINT AS k, ((l_quantity * 7 + l_linenumber) % 100) / 100 AS p, l_returnflag = 'R' AS y FROM lineitem)"
+
+
+@query(f"""{_PRED}, d AS (SELECT *, ntile(10) OVER (ORDER BY p DESC, k) AS decil FROM s), g AS (SELECT decil, count(*) AS n, count(*) FILTER (y) AS pos, avg(p) AS mean_score FROM d GROUP BY 1)
+    SELECT decil, n, pos, round(mean_score, 8) AS mean_score, round(pos / n, 8) AS rate, round((pos / n) / (sum(pos) OVER () / sum(n) OVER ()), 8) AS lift, round(sum(pos) OVER (ORDER BY decil) / sum(pos) OVER (), 8) AS capture FROM g""")
+def deciles_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.deciles(_predictions(spark, sf_dir), "p", F.col("y"), "k"), 8)
+
+
+@query(f"""{_PRED}, g AS (SELECT p, count(*) FILTER (y) AS a, count(*) FILTER (NOT y) AS b FROM s GROUP BY 1), c AS (SELECT sum(a) OVER (ORDER BY p DESC) / sum(a) OVER () AS x, sum(b) OVER (ORDER BY p DESC) / sum(b) OVER () AS z FROM g)
+    SELECT round(max(abs(x - z)), 8) AS ks FROM c""")
+def ks_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.ks_statistic(_predictions(spark, sf_dir), "p", F.col("y")), 8)
+
+
+@query(f"""{_PRED}, e AS (SELECT DISTINCT quantile_cont(p, q.range / 10.0) AS e FROM s, range(11) q GROUP BY q.range), i AS (SELECT e FROM e WHERE e > (SELECT min(e) FROM e) AND e < (SELECT max(e) FROM e))
+    SELECT b AS bin, count(*) AS n, round(avg(p), 8) AS mean_score, round(avg(y::INTEGER), 8) AS rate FROM (SELECT s.*, (SELECT count(*) FROM i WHERE s.p > i.e) AS b FROM s) GROUP BY 1""")
+def ece_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.calibration_bins(_predictions(spark, sf_dir), "p", F.col("y")), 8)
+
+
+@query(f"{_PRED} SELECT y AS truth, p >= 0.5 AS guess, count(*) AS n FROM s GROUP BY 1, 2")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.confusion(_predictions(spark, sf_dir).withColumn("g", F.col("p") >= 0.5), "y", "g")
+
+
+@query(f"""{_PRED}, n AS (SELECT greatest(1, floor(count(*) * 0.1)) AS n FROM s), r AS (SELECT y, row_number() OVER (ORDER BY p DESC, k) AS rn FROM s)
+    SELECT round(avg(y::INTEGER) FILTER (rn <= n.n) / avg(y::INTEGER), 8) AS lift FROM r, n""")
+def lift_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.lift_at(_predictions(spark, sf_dir), "p", F.col("y"), "k"), 8)
+
+
+@query(f"""{_PRED} SELECT round(avg((p - y::INTEGER) * (p - y::INTEGER)), 8) AS brier, round(avg(((p >= 0.5) = y)::INTEGER), 8) AS accuracy, round((count(*) FILTER (p >= 0.5 AND y))::DOUBLE / count(*) FILTER (p >= 0.5), 8) AS precision, round((count(*) FILTER (p >= 0.5 AND y))::DOUBLE / count(*) FILTER (y), 8) AS recall FROM s""")
+def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.binary_metrics(_predictions(spark, sf_dir), "p", F.col("y"), 0.5).select("brier", "accuracy", "precision", "recall"), 8)
+
+
+@query("""WITH s AS (SELECT l_extendedprice AS y, l_quantity * 1500.0 AS p FROM lineitem) SELECT round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(avg(abs(p - y)), 4) AS mae,
+    round(avg(abs(p - y) / abs(y)) FILTER (abs(y) > 1e-9), 6) AS mape, round(sum(abs(p - y)) / sum(abs(y)), 6) AS wmape, round(avg(2 * abs(p - y) / (abs(y) + abs(p))), 6) AS smape, round(sum(p - y) / sum(abs(y)), 6) AS bias FROM s""")
+def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guessed = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500.0).alias("p"))
+    return rounded(rounded(E.regression_metrics(guessed, "y", "p"), 4, "rmse", "mae"), 6, "r2", "mape", "wmape", "smape", "bias")
+
+
+@query("""WITH s AS (SELECT o_orderstatus AS t, CASE WHEN o_totalprice > 100000 THEN 'O' ELSE 'F' END AS g FROM orders), l AS (SELECT DISTINCT t AS c FROM s),
+    p AS (SELECT c, count(*) FILTER (t = c AND g = c)::DOUBLE AS h, count(*) FILTER (t = c)::DOUBLE AS t, count(*) FILTER (g = c)::DOUBLE AS g FROM s, l GROUP BY c)
+    SELECT round(sum(h) / sum(t), 8) AS accuracy, round(avg(h / t), 8) AS balanced_accuracy, round(avg(2 * h / (t + g)), 8) AS f1_macro, round(avg(CASE WHEN g > 0 THEN h / g ELSE 0 END), 8) AS precision_macro, round(avg(h / t), 8) AS recall_macro FROM p""")
+def multiclass_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guessed = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("t"), F.when(F.col("o_totalprice") > 100000, "O").otherwise("F").alias("g"))
+    return rounded(E.multiclass_metrics(guessed, "t", "g"), 8)
+
+
+def _split_sql(place: str, total: str) -> str:
+    return f"CASE WHEN {place} <= floor({total} * 0.6) THEN 'train' WHEN {place} <= floor({total} * 0.8) THEN 'selection' ELSE 'holdout' END"
+
+
+@query(f"WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate NULLS FIRST, o_orderkey) AS rn, count(*) OVER () AS n FROM orders) SELECT o_orderkey, {_split_sql('rn', 'n')} AS split FROM r")
+def split_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.temporal(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey", "split")
+
+
+@query(f"WITH c AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderstatus, 'train' AS split, floor(n * 0.6)::BIGINT AS n FROM c UNION ALL SELECT o_orderstatus, 'selection', (floor(n * 0.8) - floor(n * 0.6))::BIGINT FROM c UNION ALL SELECT o_orderstatus, 'holdout', (n - floor(n * 0.8))::BIGINT FROM c")
+def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = splits.stratified(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey")
+    return parts.groupBy("o_orderstatus", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- models, sinks, streams
+
+
+@query()
+def train_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import learning
+
+    rows = splits.hashed(table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_quantity", "l_extendedprice", "l_discount", "l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("target")), "k").drop("k")
+    families = tuple(f for f in learning.FAMILIES if f.name in ("logistic", "decision_tree", "random_forest"))
+    model = learning.train_binary(rows, "target", families=families)
+    return spark.createDataFrame([(r["model"], float(r["auc"]), r["model"] == model.champion) for r in model.leaderboard], "model string, auc double, champion boolean")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, round(sum(o_totalprice), 2) AS total FROM orders")
+def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import read, write
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabloom-sink-")
+    folder = f"{root.rstrip('/')}/orders-{spark.sparkContext.applicationId}"
+    write.write_csv(table(spark, sf_dir, "orders"), folder, mode="overwrite")
+    back = read.read_delimited(spark, folder, read.Form("utf-8", ";", ","))
+    typed = etl.compile_plan(back, [Step("cast_numeric", "o_totalprice", {"decimal": ","}), Step("cast_numeric", "o_orderkey")])
+    return rounded(typed.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.sum("o_totalprice").alias("total")), 2)
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming import windows
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabloom-stream-")
+    name = f"stream_{abs(hash((sf_dir, id(spark), tempfile.mktemp()))):x}"
+    result = windows.tumbling(windows.event_stream(spark, sf_dir, "events.parquet"), "ts", "1 day", ["event_type"], "value")
+    out = windows.run_to_end(result, name, f"{root.rstrip('/')}/{name}")
+    return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
