@@ -9,7 +9,7 @@ Targets are shares by value for each dimension; without targets a dimension's ow
 tempered (share ** ``temper``), which lifts small sources and languages.
 
 All steps are aggregations and joins over the cell table, staged once a round; texts are only read for
-counting. The cells are broadcast to the documents only below ``broadcast_cells`` rows.
+counting, once unless the documents themselves are asked for. The cells are broadcast to the documents only below ``broadcast_cells`` rows.
 
 Defined cases: a null source, language or topic is a value of its own ('(none)'); null and empty texts
 have no tokens and go with the probability of their cell (zero when the cell has no tokens); repeated
@@ -110,18 +110,26 @@ def sample(
     """The sampled documents: id, source, lang, topic, n_tokens, probability, weight; or their own columns."""
     topic = F.col(topic_col) if topic_col else topic_of(text_col)
     cell = F.struct(*_cell_columns(source_col, lang_col, topic))
-    slim = docs.select(cell.alias("__cell"), token_count(text_col).alias("__tokens")).select("__cell.*", "__tokens")
-    cells = common.staged(slim.groupBy(*DIMENSIONS).agg(F.sum("__tokens").alias("tokens")), "cells")
+    slim = docs.select(F.col(id_col).alias("__id"), cell.alias("__cell"), token_count(text_col).alias("__tokens"))
+    if not keep_columns:
+        slim = common.staged(slim, "counted")  # the texts are read once
+    counted = slim.select("__cell.*", "__tokens").groupBy(*DIMENSIONS)
+    cells = common.staged(counted.agg(F.sum("__tokens").alias("tokens")), "cells")
     fitted = calibrated(cells, targets, temper, fraction, rounds, tolerance).select(
         F.struct(*DIMENSIONS).alias("__cell"), F.col("probability").alias("__p"), F.col("weight").alias("__w")
     )
     if fitted.count() <= broadcast_cells:
         fitted = F.broadcast(fitted)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    drawn = docs.withColumn("__cell", cell).join(fitted, "__cell").where(draw < F.col("__p"))
     if keep_columns:
+        drawn = docs.withColumn("__cell", cell).join(fitted, "__cell").where(_draw(id_col, seed) < F.col("__p"))
         return drawn.select(*[F.col(f"`{c}`") for c in docs.columns])
+    drawn = slim.join(fitted, "__cell").where(_draw("__id", seed) < F.col("__p"))
     return drawn.select(
-        F.col(id_col), F.col("__cell.source").alias("source"), F.col("__cell.lang").alias("lang"), F.col("__cell.topic").alias("topic"),
-        token_count(text_col).alias("n_tokens"), F.col("__p").alias("probability"), F.col("__w").alias("weight"),
+        F.col("__id").alias(id_col), F.col("__cell.source").alias("source"), F.col("__cell.lang").alias("lang"), F.col("__cell.topic").alias("topic"),
+        F.col("__tokens").alias("n_tokens"), F.col("__p").alias("probability"), F.col("__w").alias("weight"),
     )
+
+
+def _draw(id_col: str, seed: int) -> Column:
+    """A number in [0, 1) that depends on the id alone."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
