@@ -97,9 +97,10 @@ def calibrated(cells: DataFrame, targets: dict[str, dict[str, float]] | None, te
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     budget = F.lit(fraction * total)
     probability = F.least(F.lit(1.0), budget * F.col("share") / F.greatest(F.col("tokens"), F.lit(1)))
-    with_p = raked.select(*DIMENSIONS, "tokens", "share", probability.alias("probability"))
+    # rounded: the last digits depend on the order of addition, and the same rows must be drawn on every run
+    with_p = raked.select(*DIMENSIONS, "tokens", "share", F.round(probability, 12).alias("probability"))
     expected = F.col("probability") * F.col("tokens")
-    return common.staged(with_p.withColumn("weight", F.when(expected > 0, budget * F.col("share") / expected).otherwise(0.0)), "calibrated")
+    return common.staged(with_p.withColumn("weight", F.when(expected > 0, F.round(budget * F.col("share") / expected, 9)).otherwise(0.0)), "calibrated")
 
 
 def sample(
