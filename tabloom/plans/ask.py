@@ -89,7 +89,7 @@ def suggest_target(df: DataFrame, goal: str, null_pct: dict[str, float] | None =
         parts = re.findall(r"\w+", fold(board.label(name)))
         score = 0.0
         for w in words:
-            score += max((1.0 if p == w else 0.7 if p[:5] == w[:5] and min(len(p), len(w)) >= 4 else 0.4 if any({p} & g and {w} & g for g in groups) else 0.0 for p in parts), default=0.0)
+            score += max((1.0 if p == w else 0.7 if min(len(p), len(w)) >= 4 and p[: min(len(p), len(w), 5)] == w[: min(len(p), len(w), 5)] else 0.4 if any({p} & g and {w} & g for g in groups) else 0.0 for p in parts), default=0.0)
         score -= 1.0 if re.search(r"(^|_)id$|key$", name.lower()) else 0.0
         score -= 0.5 if (null_pct or {}).get(name, 0) > 60 else 0.0
         if score > 0.35 and (best is None or score > best[0]):

@@ -37,7 +37,8 @@ def sniff(head: bytes) -> Form:
     try:
         text = head.decode(encoding)
     except UnicodeDecodeError as e:
-        encoding = "utf-8" if e.start > len(head) - 4 else "latin-1"
+        cut = len(head) >= SAMPLE_BYTES and e.start > len(head) - 4  # the sample may end inside a character
+        encoding = "utf-8" if cut else "latin-1"
         text = head.decode(encoding, "ignore")
     separator = choose_separator(text)
     commas, dots = len(re.findall(r"\d,\d", text)), len(re.findall(r"\d\.\d", text))
