@@ -8,8 +8,8 @@ every run and executor; ``weight`` corrects cells whose probability is capped at
 Targets are shares by value for each dimension; without targets a dimension's own token shares are
 tempered (share ** ``temper``), which lifts small sources and languages.
 
-All steps are aggregations and joins over the cell table, staged once a round; texts are only read for
-counting, once unless the documents themselves are asked for. The cells are broadcast to the documents only below ``broadcast_cells`` rows.
+All steps are aggregations and joins over the cell table, staged once a round; texts are searched once,
+and the documents are staged with their cell when they themselves are asked for. The cells are broadcast to the documents only below ``broadcast_cells`` rows.
 
 Defined cases: a null source, language or topic is a value of its own ('(none)'); null and empty texts
 have no tokens and go with the probability of their cell (zero when the cell has no tokens); repeated
@@ -35,10 +35,12 @@ def token_count(text: str) -> Column:
 def topic_of(text: str) -> Column:
     """A coarse topic by markers in the text; pass ``topic_col`` where the table has a better one."""
     body = F.coalesce(F.col(text), F.lit(""))
-    separators = F.length(body) - F.length(F.translate(body, "|#$%&*", ""))
+    low = F.lower(body)
+    legal = low.contains("license") | low.contains("licence") | low.contains("copyright") | low.contains("all rights reserved")
+    separators = F.regexp_count(body, F.lit(r"[|#$%&*]"))
     return (
-        F.when(body.rlike(r"(?i)licen[sc]e|copyright|all rights reserved"), "legal")
-        .when(body.rlike(r"[\w.+-]+@[\w-]+\.\w|\(\d{3}\) \d{3}|\d{3}[-.]\d{3,4}"), "contact")
+        F.when(legal, "legal")
+        .when(body.rlike(r"[\w.+-]@[\w-]+\.\w|\(\d{3}\) \d{3}|\d{3}[-.]\d{3}"), "contact")
         .when(25 * separators > F.length(body), "listing")
         .when(F.length(body) < 600, "note")
         .otherwise("prose")
@@ -111,9 +113,8 @@ def sample(
     """The sampled documents: id, source, lang, topic, n_tokens, probability, weight; or their own columns."""
     topic = F.col(topic_col) if topic_col else topic_of(text_col)
     cell = F.struct(*_cell_columns(source_col, lang_col, topic))
-    slim = docs.select(F.col(id_col).alias("__id"), cell.alias("__cell"), token_count(text_col).alias("__tokens"))
-    if not keep_columns:
-        slim = common.staged(slim, "counted")  # the texts are read once
+    carried = [F.col(f"`{c}`") for c in docs.columns] if keep_columns else [F.col(id_col).alias("__id")]
+    slim = common.staged(docs.select(*carried, cell.alias("__cell"), token_count(text_col).alias("__tokens")), "counted")  # texts are searched once
     counted = slim.select("__cell.*", "__tokens").groupBy(*DIMENSIONS)
     cells = common.staged(counted.agg(F.sum("__tokens").alias("tokens")), "cells")
     fitted = calibrated(cells, targets, temper, fraction, rounds, tolerance).select(
@@ -122,7 +123,7 @@ def sample(
     if fitted.count() <= broadcast_cells:
         fitted = F.broadcast(fitted)
     if keep_columns:
-        drawn = docs.withColumn("__cell", cell).join(fitted, "__cell").where(_draw(id_col, seed) < F.col("__p"))
+        drawn = slim.join(fitted, "__cell").where(_draw(id_col, seed) < F.col("__p"))
         return drawn.select(*[F.col(f"`{c}`") for c in docs.columns])
     drawn = slim.join(fitted, "__cell").where(_draw("__id", seed) < F.col("__p"))
     return drawn.select(
