@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import common, cotraining, decontaminate, mixing, sharding, simhash
+from tabloom.llm import common, cotraining, decontaminate, mixing, near_copies, sharding, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_representatives(docs)
+    """One document of each group of near-duplicates: texts linked by a Jaccard similarity of 0.8 or more of their 5-word shingles."""
+    return simhash.representatives(docs, near_copies.near_copies(docs, words=5, least=0.8))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +37,13 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("benchmark decontamination", decontaminated),
     ("mixing to target weights", mixed),
     ("sharding", sharded),
 ]
 
-#: The classifier is trained and the fingerprints are linked transitively; SQL cannot express either.
+#: The classifier is trained and near copies are linked transitively; SQL cannot express either.
 ORACLE_SQL = None
 
 

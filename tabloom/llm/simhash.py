@@ -114,7 +114,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group; repeated rows of that id are kept once
     (the first by text), rows without an id are all kept."""
-    marked = near_duplicates(docs, id_col, text_col, **options)
+    return representatives(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+
+
+def representatives(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``keep_representatives`` for groups given as ``marked`` (id, ``component_id``)."""
     kept = marked.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
     chosen = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
     rest = [c for c in docs.columns if c != id_col]

@@ -8,7 +8,7 @@ import zlib
 import pytest
 import xxhash
 
-from tabloom.llm import cotraining, decontaminate, license_scan, line_rules, mixing, sharding, simhash, substring_index, suffix_dedup, templates
+from tabloom.llm import cotraining, decontaminate, license_scan, line_rules, mixing, near_copies, sharding, simhash, substring_index, suffix_dedup, templates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, score double"
 
@@ -90,6 +90,46 @@ def test_simhash_keeps_one_of_a_group(docs, rows):
     assert {r.doc_id for r in kept.collect()} == want | {None}
 
 
+def brute_jaccard_components(rows, least=0.8):
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, group = [shingles(r[1]) for r in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if (not a and not b) or a and b and len(a & b) >= least * len(a | b) - 1e-9:
+                group = [group[j] if g == group[i] else g for g in group]
+    ids = {}
+    for r, g in zip(rows, group, strict=True):
+        if r[0] is not None:
+            ids[g] = min(ids.get(g, r[0]), r[0])
+    return [(r[0], ids.get(g)) for r, g in zip(rows, group, strict=True)]
+
+
+def test_pipeline_removes_all_near_copies(spark, rows, empty):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randint(0, 5000)}" for _ in range(120)] for _ in range(5)]
+    changed = lambda w, n: [f"z{rng.randint(0, 10**6)}" if i % (len(w) // n) == 7 else x for i, x in enumerate(w)]
+    texts = [" ".join(changed(w, n)) for w in base for n in (1, 2, 2, 2, 3, 4, 6)] + [" ".join(w) for w in base]  # about 0.92 to 0.6 of the original
+    chain = base[0]
+    for _ in range(6):  # each a near copy of the one before only
+        chain = [*chain[8:], *(f"y{rng.randint(0, 10**6)}" for _ in range(8))]
+        texts.append(" ".join(chain))
+    data = [*rows, *((1000 + i, t, "en", "a", 1, 1, 0.0) for i, t in enumerate(texts))]
+    docs = spark.createDataFrame(data, SCHEMA).repartition(5)
+    want = brute_jaccard_components(data)
+    close = {c for i, c in want if i is not None and i >= 1000}
+    assert 5 <= len(close) < len(texts) / 2
+    assert sorted(map(tuple, near_copies.near_copies(docs).collect()), key=key) == sorted(want, key=key)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, c in want} | {None}
+    assert near_copies.near_copies(empty).count() == 0
+
+
 def brute_windows(rows, span):
     first = {}
     for r in rows:
