@@ -1,9 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are gathered by (source, language, topic). The cell weights are raked: scaled to the
-target of one marginal after the other until all hold within ``tolerance``. Each document is then kept
-with its cell's calibrated probability, decided by a hash of its id, so the choice is the same on
-every run and executor; ``weight`` corrects cells whose probability is capped at one.
+target of one marginal after the other until all hold within ``tolerance``. No cell can give more
+tokens than it has, so the raking itself holds a cell at probability one and raises the others instead.
+Each document is then kept with its cell's calibrated probability, decided by a hash of its id, so the
+choice is the same on every run and executor.
+
+A value whose tokens are fewer than its target asks for is taken whole and the rest of the target goes
+to the other values; that, and marginals that do not hold within ``tolerance`` after ``rounds``, are
+warned of, and only then ``weight`` differs from one: it carries the sample back to the targets.
 
 Targets are shares by value for each dimension; without targets a dimension's own token shares are
 tempered (share ** ``temper``), which lifts small sources and languages.
@@ -19,6 +24,9 @@ columns are ignored by ``sample``; an empty table gives no rows.
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,42 +75,88 @@ def _targets(cells: DataFrame, dimension: str, given: dict[str, float] | None, t
     return common.staged(raw.select(dimension, (F.col("s") / total).alias("share")), "targets")
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tolerance: float = 1e-4) -> tuple[DataFrame, int, float]:
-    """Cells with raked ``share`` (summing to one), the rounds taken and the largest marginal error left."""
+def reachable(cells: DataFrame, dimension: str, target: DataFrame, budget: float, rounds: int = 50) -> tuple[DataFrame, list[tuple[str, float, float]]]:
+    """``target`` with no value above what its tokens give of ``budget``, the excess shared out among the others
+    in proportion; and the values cut most (value, share asked for, share left), ten at most."""
+    own = cells.groupBy(dimension).agg((F.sum("tokens") / F.lit(float(budget))).alias("most"))
+    held = common.staged(target.join(own, dimension), "reach")
+    scale = 1.0
+    for _ in range(rounds):
+        full = F.col("share") * scale >= F.col("most")
+        sums = held.agg(F.sum(F.when(full, F.col("most"))).alias("full"), F.sum(F.when(~full, F.col("share"))).alias("free")).first()
+        wider = (1.0 - (sums["full"] or 0.0)) / sums["free"] if sums["free"] else scale
+        if wider <= scale * (1 + 1e-12):
+            break
+        scale = wider
+    cut = held.where(F.col("share") > F.col("most") * (1 + 1e-9)).orderBy((F.col("most") - F.col("share")), dimension).limit(10)
+    return held.select(dimension, F.least("most", F.col("share") * scale).alias("share")), [tuple(r) for r in cut.select(dimension, "share", "most").collect()]
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tolerance: float = 1e-4, budget: float | None = None) -> tuple[DataFrame, int, float]:
+    """Cells with raked ``share`` (summing to one), the rounds taken and the largest marginal error left.
+
+    With a ``budget`` of tokens no cell's share exceeds its tokens: for every value the factor is the one
+    that its cells below that bound need. The bound does not change ``__free``, the share before it, so a
+    cell can come down from its bound again."""
     total = cells.agg(F.sum("tokens")).first()[0]
     if not total:
         return cells.withColumn("share", F.lit(0.0)), 0, 0.0
-    raked, path = common.staged_at(cells.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total))), "cells")
+    most = F.lit(float("inf")) if budget is None else F.col("tokens") / F.lit(float(budget))
+    share, free, full = F.least("__free", most), F.col("__free") < most, F.col("__free") >= most
+    raked, path = common.staged_at(cells.where("tokens > 0").withColumn("__free", F.col("tokens") / F.lit(float(total))), "cells")
     error, done = 1.0, 0
     for done in range(1, rounds + 1):  # noqa: B007
         step = raked
         for dimension, target in targets.items():
-            have = step.groupBy(dimension).agg(F.sum("share").alias("have"))
-            factor = have.join(target.withColumnRenamed("share", "want"), dimension, "left").select(dimension, (F.coalesce("want", F.lit(0.0)) / F.greatest("have", F.lit(1e-300))).alias("factor"))
-            step = step.join(factor, dimension).withColumn("share", F.col("share") * F.col("factor")).drop("factor")
-        step, new_path = common.staged_at(step.select(*cells.columns, "share"), "cells")
+            have = step.groupBy(dimension).agg(
+                F.sum("__free").alias("have"), F.coalesce(F.sum(F.when(free, F.col("__free"))), F.lit(0.0)).alias("open"), F.coalesce(F.sum(F.when(full, most)), F.lit(0.0)).alias("held")
+            )
+            want, left = F.coalesce("want", F.lit(0.0)), F.coalesce("want", F.lit(0.0)) - F.col("held")
+            factor = (
+                F.when((left > 0) & (F.col("open") > 0), left / F.col("open"))
+                .when((left < -1e-12) | (F.col("open") > 0), want / F.greatest("have", F.lit(1e-300)))  # bounded cells alone exceed the target
+                .otherwise(1.0)  # every cell is taken whole
+            )
+            step = step.join(have.join(target.withColumnRenamed("share", "want"), dimension, "left").select(dimension, factor.alias("factor")), dimension)
+            step = step.withColumn("__free", F.col("__free") * F.col("factor")).drop("factor")
+        step, new_path = common.staged_at(step.select(*cells.columns, "__free"), "cells")
         common.remove(cells.sparkSession, path)
         raked, path = step, new_path
-        error = 0.0
+        offs = []
         for dimension, target in targets.items():
-            off = raked.groupBy(dimension).agg(F.sum("share").alias("have")).join(target, dimension, "left")
-            error = max(error, off.agg(F.max(F.abs(F.col("have") - F.coalesce("share", F.lit(0.0))))).first()[0] or 0.0)
+            off = raked.groupBy(dimension).agg(F.sum(share).alias("have")).join(target, dimension, "left")
+            offs.append(off.agg(F.max(F.abs(F.col("have") - F.coalesce("share", F.lit(0.0)))).alias("off")))
+        error = reduce(DataFrame.union, offs).agg(F.max("off")).first()[0] or 0.0
         if error <= tolerance:
             break
-    return raked, done, error
+    return raked.select(*cells.columns, share.alias("share")), done, error
 
 
 def calibrated(cells: DataFrame, targets: dict[str, dict[str, float]] | None, temper: float, fraction: float, rounds: int, tolerance: float) -> DataFrame:
-    """Cells with ``probability`` (so that a ``fraction`` of all tokens is expected, capped at one) and ``weight``."""
-    wanted = {d: _targets(cells, d, (targets or {}).get(d), temper) for d in DIMENSIONS}
-    raked, _, _ = rake(cells, wanted, rounds, tolerance)
+    """Cells with ``probability`` (so that a ``fraction`` of all tokens is expected) and ``weight``."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
+    asked = {d: _targets(cells, d, (targets or {}).get(d), temper) for d in DIMENSIONS}
+    if total and fraction > 0:
+        found = {d: reachable(cells, d, t, fraction * total) for d, t in asked.items()}
+    else:
+        found = {d: (t, []) for d, t in asked.items()}
+    raked, done, error = rake(cells, {d: t for d, (t, _) in found.items()}, rounds, tolerance, fraction * total or None)
+    short = [f"{d} {v!r}: {most:.4%} of {share:.4%}" for d, (_, cut) in found.items() for v, share, most in cut]
+    if short:
+        warnings.warn(f"mixing: too few tokens for the target; taken whole: {'; '.join(short)}", stacklevel=2)
+    if error > tolerance:
+        warnings.warn(f"mixing: marginals are off by up to {error:.2e} after {done} rounds (tolerance {tolerance:.0e})", stacklevel=2)
     budget = F.lit(fraction * total)
-    probability = F.least(F.lit(1.0), budget * F.col("share") / F.greatest(F.col("tokens"), F.lit(1)))
     # rounded: the last digits depend on the order of addition, and the same rows must be drawn on every run
-    with_p = raked.select(*DIMENSIONS, "tokens", "share", F.round(probability, 12).alias("probability"))
-    expected = F.col("probability") * F.col("tokens")
-    return common.staged(with_p.withColumn("weight", F.when(expected > 0, F.round(budget * F.col("share") / expected, 9)).otherwise(0.0)), "calibrated")
+    probability = F.round(F.least(F.lit(1.0), budget * F.col("share") / F.greatest(F.col("tokens"), F.lit(1))), 12)
+    with_p = common.staged(raked.select(*DIMENSIONS, "tokens", "share", probability.alias("probability")), "calibrated")
+    if not short and error <= tolerance:
+        return with_p.withColumn("weight", F.when(F.col("probability") > 0, 1.0).otherwise(0.0))
+    # what the sample lacks of the targets asked for, as weights
+    drawn = with_p.select(*DIMENSIONS, (F.col("probability") * F.col("tokens")).alias("tokens"))
+    back, _, _ = rake(drawn, asked, rounds, tolerance)
+    weights = back.select(*DIMENSIONS, F.round(budget * F.col("share") / F.col("tokens"), 9).alias("weight"))
+    return common.staged(with_p.join(weights, list(DIMENSIONS), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))), "calibrated")
 
 
 def sample(

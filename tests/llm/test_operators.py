@@ -257,6 +257,25 @@ def test_mixing(spark, docs, rows, empty):
     assert abs(by["a"] - 0.5) < 1e-3
 
 
+def test_mixing_holds_the_marginals_when_cells_are_taken_whole(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 600), ("a", "y", "p", 900), ("b", "x", "p", 300), ("b", "y", "p", 400)], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.6, "y": 0.4}}
+    got = mixing.calibrated(cells, targets, 0.7, 0.5, 30, 1e-4).collect()
+    assert any(r.probability == 1 for r in got) and all(0 <= r.probability <= 1 and r.weight == 1 for r in got)
+    for dimension, target in targets.items():
+        for value, share in target.items():
+            assert abs(sum(r.probability * r.tokens for r in got if r[dimension] == value) / 1100 - share) < 1e-3
+
+
+def test_mixing_reports_targets_out_of_reach(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 9000), ("b", "x", "p", 900), ("c", "x", "p", 100)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="source 'c': 2.0000% of 10.0000%"):
+        got = {r.source: r for r in mixing.calibrated(cells, {"source": {"a": 0.8, "b": 0.1, "c": 0.1}}, 0.7, 0.5, 30, 1e-4).collect()}
+    assert got["c"].probability == 1 and abs(sum(r.probability * r.tokens for r in got.values()) - 5000) < 1
+    assert abs(got["a"].probability * 9000 / (got["b"].probability * 900) - 8) < 1e-2  # the others keep their proportion
+    assert all(abs(got[s].probability * got[s].tokens * got[s].weight / 5000 - w) < 1e-3 for s, w in (("a", 0.8), ("b", 0.1), ("c", 0.1)))
+
+
 def test_templates(spark):
     def page(i, host="h.example.com", body=None):
         story = body or f"<p>Story {i} has &amp; keeps  its\nwords.<p>Second {i} part<br>goes on."
