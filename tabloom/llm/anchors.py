@@ -51,16 +51,36 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def hash_ladder(symbols: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """``gram_hashes`` for several lengths, which share the doublings."""
+    pieces, size = {1: symbols}, 1
+    while 2 * size <= min(max(lengths), len(symbols)):
+        pieces[2 * size] = _join(pieces[size][:-size], pieces[size][size:])
+        size *= 2
+    out = []
+    for length in lengths:
+        n, done, made = len(symbols) - length + 1, 0, None
+        for size in sorted(pieces) if n > 0 else ():
+            if length & size:
+                made = pieces[size][:n] if made is None else _join(made[:n], pieces[size][done : done + n])
+                done += size
+        out.append(np.zeros(0, np.uint64) if made is None else made)
+    return out
+
+
+def least_runs(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, end window and place of the least hash of every run of windows of ``width`` hashes that share it."""
+    packed = (hashes >> POSITION_BITS << POSITION_BITS) | np.arange(len(hashes), dtype=np.uint64)
+    least = sliding_min(packed, width)
+    begin = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    return begin, np.append(begin[1:], len(least)), (least[begin] & ((np.uint64(1) << POSITION_BITS) - np.uint64(1))).astype(np.int64)
+
+
 def anchor_runs(symbols: np.ndarray, span: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each chunk of windows: first window, end window, anchor position and anchor hash of every
     run of windows that share an anchor."""
     windows = len(symbols) - span + 1
     for start in range(0, max(0, windows), CHUNK):
-        stop = min(windows, start + CHUNK)
-        hashes = gram_hashes(symbols[start : stop + span - 1], gram)
-        packed = (hashes >> POSITION_BITS << POSITION_BITS) | np.arange(len(hashes), dtype=np.uint64)
-        least = sliding_min(packed, span - gram + 1)
-        begin = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        end = np.append(begin[1:], len(least))
-        at = (least[begin] & ((np.uint64(1) << POSITION_BITS) - np.uint64(1))).astype(np.int64)
+        hashes = gram_hashes(symbols[start : min(windows, start + CHUNK) + span - 1], gram)
+        begin, end, at = least_runs(hashes, span - gram + 1)
         yield begin + start, end + start, at + start, hashes[at]

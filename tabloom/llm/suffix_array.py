@@ -102,3 +102,150 @@ def repeated_starts(text: np.ndarray, length: int) -> np.ndarray:
     out = shared.copy()
     out[order[:-1]] |= shared[order[1:]]  # with the suffix after
     return out
+
+
+def _rows_ranked(rows: np.ndarray) -> np.ndarray:
+    """Symbols of each row replaced by their rank among the row's own symbols."""
+    order = np.argsort(rows, axis=1, kind="stable")
+    ordered = np.take_along_axis(rows, order, 1)
+    rank = np.zeros_like(order)
+    rank[:, 1:] = np.cumsum(ordered[:, 1:] != ordered[:, :-1], axis=1)
+    out = np.empty_like(order)
+    np.put_along_axis(out, order, rank, 1)
+    return out
+
+
+def _padded(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rows of unequal length closed by falling symbols that are smaller than all others; they sort first."""
+    width = rows.shape[1]
+    column = np.arange(width)
+    lift = (width - sizes)[:, None]
+    return np.where(column < sizes[:, None], rows + lift, width - 1 - column)
+
+
+def induced_rows(rows: np.ndarray) -> np.ndarray:
+    """Suffix arrays of many rows of one length, each closed by a symbol smaller than all its others.
+
+    The induced sorting of ``suffix_array`` in step for all rows: every scan position is one array operation
+    over the rows, the leftmost-smaller substrings of all rows are named and sorted recursively together."""
+    count, n = rows.shape
+    s = rows.ravel()
+    base = np.arange(count) * n
+    kinds = int(rows.max()) + 1
+    step = np.ones((count, n), np.int8)
+    step[:, :-1] = np.sign(rows[:, 1:] - rows[:, :-1])
+    decided = np.where(step != 0, np.arange(n), n - 1)
+    following = np.minimum.accumulate(decided[:, ::-1], axis=1)[:, ::-1]
+    small = np.take_along_axis(step, following, 1) > 0
+    is_lms = np.zeros((count, n), bool)
+    is_lms[:, 1:] = small[:, 1:] & ~small[:, :-1]
+    small, is_lms = small.ravel(), is_lms.ravel()
+    sizes = np.bincount(np.repeat(np.arange(count) * kinds, n) + s, minlength=count * kinds).reshape(count, kinds)
+    tails = np.cumsum(sizes, axis=1)
+    heads = (tails - sizes).ravel()
+    tails = tails.ravel()
+    bucket = np.arange(count) * kinds
+
+    def induce(seed_row: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """Seeds (row, position) come in their order within the row."""
+        order = np.full(count * n, -1)
+        key = bucket[seed_row] + s[base[seed_row] + seed]
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        ends = np.searchsorted(key, key, side="right")
+        order[base[seed_row[by]] + tails[key] - (ends - np.arange(len(key)))] = seed[by]
+        for larger in (True, False):  # larger-type suffixes left to right, then smaller-type ones right to left
+            free = heads.copy() if larger else tails.copy()
+            for at in range(n) if larger else range(n - 1, -1, -1):
+                here = order[base + at] - 1
+                row = np.flatnonzero(here >= 0)
+                where = base[row] + here[row]
+                pick = small[where] != larger
+                row, where = row[pick], where[pick]
+                key = bucket[row] + s[where]
+                if larger:
+                    order[base[row] + free[key]] = where - base[row]
+                    free[key] += 1
+                else:
+                    free[key] -= 1
+                    order[base[row] + free[key]] = where - base[row]
+        return order
+
+    flat = np.flatnonzero(is_lms)
+    lms_row, lms = flat // n, flat % n
+    many = np.bincount(lms_row, minlength=count)
+    rough = induce(lms_row, lms)
+    at = np.repeat(base, n) + rough
+    ranked = at[is_lms[at]]  # flat positions, row by row in rough order
+    end_of = np.full(count * n, -1)
+    last = np.append(lms_row[1:] != lms_row[:-1], True)
+    end_of[flat[~last]] = flat[1:][~last[:-1]]
+    first = np.append(True, ranked[1:] // n != ranked[:-1] // n)
+    here, before = ranked[1:], ranked[:-1]
+    long_here, long_before = end_of[here] - here, end_of[before] - before
+    open_ = np.flatnonzero(~first[1:] & (end_of[here] >= 0) & (end_of[before] >= 0) & (long_here == long_before))
+    same = np.zeros(len(here), bool)
+    along = 0
+    while len(open_):
+        open_ = open_[s[here[open_] + along] == s[before[open_] + along]]
+        done = long_here[open_] == along
+        same[open_[done]] = True
+        open_ = open_[~done]
+        along += 1
+    fresh = np.append(True, ~same)
+    number = np.cumsum(fresh)
+    starts = np.flatnonzero(first)
+    names = np.zeros(count * n, np.int64)
+    names[ranked] = number - np.repeat(number[starts], many)
+    if fresh.all():
+        sorted_flat = ranked
+    else:
+        width = int(many.max())
+        column = np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)
+        shorter = np.zeros((count, width), np.int64)
+        shorter[lms_row, column] = names[flat]
+        deeper = induced_rows(_padded(shorter, many))
+        kept = deeper < many[:, None]
+        table = np.zeros((count, width), np.int64)
+        table[lms_row, column] = flat
+        sorted_flat = np.take_along_axis(table, np.where(kept, deeper, 0), 1)[kept]
+    return induce(sorted_flat // n, sorted_flat % n).reshape(count, n)
+
+
+def permuted_lcp_rows(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """``permuted_lcp`` in step for many rows, each closed by a symbol of its own."""
+    count, n = rows.shape
+    s, base = rows.ravel(), np.arange(count) * n
+    before = np.full(count * n, -1)
+    before[(base[:, None] + order[:, 1:]).ravel()] = order[:, :-1].ravel()
+    out = np.zeros(count * n, np.int64)
+    row, at, length = np.arange(count), np.zeros(count, np.int64), np.zeros(count, np.int64)
+    while len(row):
+        here = base[row] + at
+        prev = before[here]
+        equal = prev >= 0
+        equal[equal] = s[here[equal] + length[equal]] == s[base[row[equal]] + prev[equal] + length[equal]]
+        out[here] = np.where(prev >= 0, length, 0)
+        length = np.where(equal, length + 1, np.maximum(np.where(prev >= 0, length, 0) - 1, 0))
+        at = at + ~equal
+        if (at == n).any():
+            live = at < n
+            row, at, length = row[live], at[live], length[live]
+    return out.reshape(count, n)
+
+
+def repeated_starts_rows(texts: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """``repeated_starts`` of many short texts, sorted together."""
+    sizes = np.array([len(t) + 1 for t in texts])
+    rows = np.zeros((len(texts), int(sizes.max())), np.int64)
+    for row, text in zip(rows, texts, strict=True):
+        row[: len(text)] = text + 1
+    rows = _rows_ranked(_padded(rows, sizes))
+    order = induced_rows(rows)
+    shared = permuted_lcp_rows(rows, order) >= length
+    out = shared.copy()
+    line = np.arange(len(texts))[:, None]
+    after = np.zeros_like(shared)
+    after[line, order[:, :-1]] = shared[line, order[:, 1:]]
+    out |= after
+    return [found[: len(text)] for found, text in zip(out, texts, strict=True)]
