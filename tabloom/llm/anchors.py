@@ -51,20 +51,29 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def hash_ladder(symbols: np.ndarray, *lengths: int) -> list[np.ndarray]:
-    """``gram_hashes`` for several lengths, which share the doublings."""
-    pieces, size = {1: symbols}, 1
-    while 2 * size <= min(max(lengths), len(symbols)):
-        pieces[2 * size] = _join(pieces[size][:-size], pieces[size][size:])
-        size *= 2
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+#: Symbols hashed at a time by ``rolling_hashes``, and its powers of an odd number and of that number's inverse.
+ROLL = 1 << 18
+_UP, _DOWN = _powers(int(_A), ROLL), _powers(pow(int(_A), -1, 1 << 64), ROLL)
+
+
+def rolling_hashes(symbols: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """Polynomial hashes of every run of each of ``lengths`` symbols; at most ``ROLL`` symbols. Cheaper than
+    ``gram_hashes``, and good for choosing and filtering only: some runs collide by their form."""
+    sums = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * _UP[: len(symbols)], out=sums[1:])
     out = []
     for length in lengths:
-        n, done, made = len(symbols) - length + 1, 0, None
-        for size in sorted(pieces) if n > 0 else ():
-            if length & size:
-                made = pieces[size][:n] if made is None else _join(made[:n], pieces[size][done : done + n])
-                done += size
-        out.append(np.zeros(0, np.uint64) if made is None else made)
+        hashes = sums[length:] - sums[: max(0, len(sums) - length)]
+        hashes *= _DOWN[: len(hashes)]
+        hashes ^= hashes >> np.uint64(32)
+        hashes *= _B
+        out.append(hashes)
     return out
 
 

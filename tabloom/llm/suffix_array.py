@@ -139,44 +139,48 @@ def induced_rows(rows: np.ndarray) -> np.ndarray:
     small = np.take_along_axis(step, following, 1) > 0
     is_lms = np.zeros((count, n), bool)
     is_lms[:, 1:] = small[:, 1:] & ~small[:, :-1]
-    small, is_lms = small.ravel(), is_lms.ravel()
-    sizes = np.bincount(np.repeat(np.arange(count) * kinds, n) + s, minlength=count * kinds).reshape(count, kinds)
-    tails = np.cumsum(sizes, axis=1)
+    # flat positions from here on; by suffix: is there one to the left, and of which type (the last entry: no suffix)
+    before_small, before_larger = (np.zeros(count * n + 1, bool) for _ in range(2))
+    before_small[:-1].reshape(count, n)[:, 1:] = small[:, :-1]
+    before_larger[:-1].reshape(count, n)[:, 1:] = ~small[:, :-1]
+    bucket = np.repeat(np.arange(count) * kinds, n) + s
+    sizes = np.bincount(bucket, minlength=count * kinds).reshape(count, kinds)
+    tails = np.cumsum(sizes, axis=1) + base[:, None]
     heads = (tails - sizes).ravel()
     tails = tails.ravel()
-    bucket = np.arange(count) * kinds
+    is_lms = is_lms.ravel()
 
-    def induce(seed_row: np.ndarray, seed: np.ndarray) -> np.ndarray:
-        """Seeds (row, position) come in their order within the row."""
-        order = np.full(count * n, -1)
-        key = bucket[seed_row] + s[base[seed_row] + seed]
+    def induce(seeds: np.ndarray) -> np.ndarray:
+        """Seeds come row by row, in their order within the row."""
+        order = np.full(count * n, count * n)
+        key = bucket[seeds]
         by = np.argsort(key, kind="stable")
         key = key[by]
-        ends = np.searchsorted(key, key, side="right")
-        order[base[seed_row[by]] + tails[key] - (ends - np.arange(len(key)))] = seed[by]
-        for larger in (True, False):  # larger-type suffixes left to right, then smaller-type ones right to left
-            free = heads.copy() if larger else tails.copy()
-            for at in range(n) if larger else range(n - 1, -1, -1):
-                here = order[base + at] - 1
-                row = np.flatnonzero(here >= 0)
-                where = base[row] + here[row]
-                pick = small[where] != larger
-                row, where = row[pick], where[pick]
-                key = bucket[row] + s[where]
-                if larger:
-                    order[base[row] + free[key]] = where - base[row]
-                    free[key] += 1
-                else:
-                    free[key] -= 1
-                    order[base[row] + free[key]] = where - base[row]
+        order[tails[key] - (np.searchsorted(key, key, side="right") - np.arange(len(key)))] = seeds[by]
+        columns = order.reshape(count, n).T
+        free = heads.copy()
+        for at in range(n):  # larger-type suffixes, left to right
+            here = columns[at]
+            left = here[before_larger[here]] - 1
+            key = bucket[left]
+            to = free[key]
+            order[to] = left
+            free[key] = to + 1
+        free = tails.copy()
+        for at in range(n - 1, -1, -1):  # smaller-type suffixes, right to left
+            here = columns[at]
+            left = here[before_small[here]] - 1
+            key = bucket[left]
+            to = free[key] - 1
+            order[to] = left
+            free[key] = to
         return order
 
     flat = np.flatnonzero(is_lms)
-    lms_row, lms = flat // n, flat % n
+    lms_row = flat // n
     many = np.bincount(lms_row, minlength=count)
-    rough = induce(lms_row, lms)
-    at = np.repeat(base, n) + rough
-    ranked = at[is_lms[at]]  # flat positions, row by row in rough order
+    rough = induce(flat)
+    ranked = rough[is_lms[rough]]  # row by row in rough order
     end_of = np.full(count * n, -1)
     last = np.append(lms_row[1:] != lms_row[:-1], True)
     end_of[flat[~last]] = flat[1:][~last[:-1]]
@@ -209,28 +213,27 @@ def induced_rows(rows: np.ndarray) -> np.ndarray:
         table = np.zeros((count, width), np.int64)
         table[lms_row, column] = flat
         sorted_flat = np.take_along_axis(table, np.where(kept, deeper, 0), 1)[kept]
-    return induce(sorted_flat // n, sorted_flat % n).reshape(count, n)
+    return induce(sorted_flat).reshape(count, n) - base[:, None]
 
 
 def permuted_lcp_rows(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     """``permuted_lcp`` in step for many rows, each closed by a symbol of its own."""
     count, n = rows.shape
-    s, base = rows.ravel(), np.arange(count) * n
-    before = np.full(count * n, -1)
-    before[(base[:, None] + order[:, 1:]).ravel()] = order[:, :-1].ravel()
+    base = np.arange(count) * n
+    s = np.append(rows.ravel(), np.full(n, -1))  # what the first suffix of an order is compared with
+    order = order + base[:, None]
+    before = np.full(count * n, count * n)
+    before[order[:, 1:]] = order[:, :-1]
     out = np.zeros(count * n, np.int64)
-    row, at, length = np.arange(count), np.zeros(count, np.int64), np.zeros(count, np.int64)
-    while len(row):
-        here = base[row] + at
-        prev = before[here]
-        equal = prev >= 0
-        equal[equal] = s[here[equal] + length[equal]] == s[base[row[equal]] + prev[equal] + length[equal]]
-        out[here] = np.where(prev >= 0, length, 0)
-        length = np.where(equal, length + 1, np.maximum(np.where(prev >= 0, length, 0) - 1, 0))
-        at = at + ~equal
-        if (at == n).any():
-            live = at < n
-            row, at, length = row[live], at[live], length[live]
+    here, end, length = base.copy(), base + n, np.zeros(count, np.int64)
+    while len(here):
+        equal = s[here + length] == s[before[here] + length]
+        out[here] = length
+        length = np.where(equal, length + 1, np.maximum(length - 1, 0))
+        here = here + ~equal
+        over = here == end
+        if over.any():
+            here, end, length = here[~over], end[~over], length[~over]
     return out.reshape(count, n)
 
 

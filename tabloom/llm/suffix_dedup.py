@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .anchors import CHUNK, hash_ladder, least_runs
+from .anchors import ROLL, least_runs, rolling_hashes
 from .suffix_array import repeated_starts, repeated_starts_rows
 
 SPAN = 400
@@ -48,11 +48,12 @@ GRAM = 64
 WIDTHS = (128, 16, 1)
 #: Different blocks of one core that may go to one suffix array.
 CROWD = 256
-#: Symbols of a core up to which it is sorted in step with others, and symbols sorted at a time.
-ROW_SYMBOLS = 2_048
-BATCH_SYMBOLS = 400_000
+#: Symbols of a core up to which it is sorted in step with others, symbols that wait for that, and symbols sorted at a time.
+ROW_SYMBOLS = 4_096
+BATCH_SYMBOLS = 8_000_000
+STEP_SYMBOLS = 600_000
 #: Texts of much the same length below which sorting in step does not pay.
-FEW_ROWS = 12
+FEW_ROWS = 32
 _CODES = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _CUT = "core long, id long, th long, first int, off int, n int"
@@ -89,8 +90,9 @@ def cuts(rows: DataFrame, span: int, gram: int, width: int) -> DataFrame:
 
     def of_text(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         raw = np.frombuffer(text, np.uint8)
-        for start in range(0, max(0, len(raw) - span + 1), CHUNK):
-            grams, cores = hash_ladder(_CODES[raw[start : start + CHUNK + span - 1]], gram, span - width + 1)
+        step = ROLL - span + 1
+        for start in range(0, max(0, len(raw) - span + 1), step):
+            grams, cores = rolling_hashes(_CODES[raw[start : start + ROLL]], gram, span - width + 1)
             begin, end, at = least_runs(grams, span - gram + 1)
             aligned = at + (begin - at) // width * width
             count = (end - aligned + width - 1) // width
@@ -137,7 +139,7 @@ def texts_with_cuts(rows: DataFrame, cut: DataFrame) -> DataFrame:
 
 def _packed(rows: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=1)
         texts = [t.as_py() for t in batch.column(2)]
         columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([z.compress(t) for t in texts], pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "th", "n_bytes", "sha", "z"])
@@ -207,7 +209,7 @@ def _core_text(group: list[tuple]) -> np.ndarray:
         for _ in range(1 + (weight > 1)):
             parts += [*body, [number]]
             number += 1
-    return np.concatenate(parts)
+    return np.concatenate(parts).astype(np.int32)
 
 
 def _group_repeats(group: list[tuple], repeated: np.ndarray) -> Iterator[tuple]:
@@ -232,7 +234,8 @@ def array_repeats(rows: DataFrame, width: int) -> DataFrame:
             out: list[tuple] = []
             short = sorted((w for w in waiting if len(w[1]) <= ROW_SYMBOLS), key=lambda w: len(w[1]))
             while short:  # texts of much the same length are sorted in step
-                take = [w for w in short if len(w[1]) <= 1.15 * len(short[0][1]) + 4]
+                most = 1.25 * len(short[0][1]) + 4
+                take = [w for w in short[: 1 + STEP_SYMBOLS // len(short[0][1])] if len(w[1]) <= most]
                 texts = [t for _, t in take]
                 sorted_ = repeated_starts_rows(texts, width) if len(take) >= FEW_ROWS else [repeated_starts(t, width) for t in texts]
                 for (blocks_, _), found in zip(take, sorted_, strict=True):
