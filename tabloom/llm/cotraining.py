@@ -106,13 +106,37 @@ class CoTrained:
     text_scale: Logistic
     meta_scale: Logistic
     both: Logistic
+    share: float  # of the text view in the combination
     exchanged: int  # pseudo-labels given in all rounds
 
     def scores(self, text_x: np.ndarray, meta_x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of good quality: by text, by metadata, combined."""
         t = self.text_scale.logit(self.text.logit(text_x)[:, None])
         m = self.meta_scale.logit(self.meta.logit(meta_x)[:, None])
-        return _sigmoid(t), _sigmoid(m), _sigmoid(self.both.logit(np.column_stack((t, m))))
+        return _sigmoid(t), _sigmoid(m), _sigmoid(self.both.logit(combined(t, m, self.share)[:, None]))
+
+    def packed(self) -> bytes:
+        """The model's numbers, one after the other."""
+        parts = [self.text, self.meta, self.text_scale, self.meta_scale, self.both]
+        return np.concatenate([v for p in parts for v in (p.mean, p.scale, p.weights)] + [[self.share, self.exchanged]]).tobytes()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> CoTrained:
+        values, parts, at = np.frombuffer(raw), [], 0
+        for width in (PAIRS + 3, 2 * HASHED + 7, 1, 1, 1):
+            cut = np.cumsum([at, width, width, width + 1])
+            parts.append(Logistic(*(values[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True))))
+            at = int(cut[-1])
+        return cls(*parts, float(values[at]), int(values[at + 1]))
+
+
+def combined(t: np.ndarray, m: np.ndarray, share: float) -> np.ndarray:
+    """Weighted calibrated logits; their ends say little about certainty and are cut, so that no view outvotes the other by them alone."""
+    return share * np.clip(t, -6, 6) + (1 - share) * np.clip(m, -6, 6)
+
+
+def _loss(logit: np.ndarray, y: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, logit) - y * logit))
 
 
 def cotrain(text_x: np.ndarray, meta_x: np.ndarray, label: np.ndarray, fold: np.ndarray, rounds: int = 5, grow: float = 0.05, sure: float = 0.95) -> CoTrained | None:
@@ -147,7 +171,13 @@ def cotrain(text_x: np.ndarray, meta_x: np.ndarray, label: np.ndarray, fold: np.
     y = label[held].astype(float)
     scale = [Logistic.fit(m.logit(x[held])[:, None], y, 0.1) for m, x in zip(models, views, strict=True)]
     logits = [s.logit(m.logit(x[held])[:, None]) for s, m, x in zip(scale, models, views, strict=True)]
-    return CoTrained(*models, *scale, Logistic.fit(np.column_stack(logits), y, 0.1), sum(map(len, given)))
+    fits = []
+    for share in np.linspace(0, 1, 21):  # the weights that explain the held-back labels best
+        mixed = combined(*logits, share)[:, None]
+        both = Logistic.fit(mixed, y, 0.1)
+        fits.append((_loss(both.logit(mixed), y), -share, both))
+    _, share, both = min(fits, key=lambda f: f[:2])
+    return CoTrained(*models, *scale, both, -share, sum(map(len, given)))
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -172,24 +202,32 @@ def train(
     chosen = agreed.orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(max_labelled)
     total = docs.count()
     share = min(1.0, pool_rows / max(1, total))
-    slim = docs.select(F.col(id_col).alias("__id"), *_inputs(text_col, lang_col, source_col))
+    slim = docs.select(F.col(id_col).alias("__id"), *_inputs(text_col, lang_col, source_col)).where("__id IS NOT NULL")
     drawn = F.pmod(F.xxhash64("__id", F.lit(seed + 1)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     rows = slim.join(F.broadcast(chosen), "__id", "left").where(F.col("__y").isNotNull() | drawn)  # max_labelled rows of 12 bytes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, meta = _views(batch)
-            rank = [zlib.crc32(str(i).encode()) % 4 == 0 for i in batch.column("__id").to_pylist()]
-            packed = [v.astype(np.float32).tobytes() for v in np.hstack((text, meta))]
-            yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.string()), batch.column("__y").cast(pa.int32()), pa.array(rank), pa.array(packed, pa.binary())], ["id", "y", "fold", "x"])
-
-    seen = rows.mapInArrow(run, "id string, y int, fold boolean, x binary").limit(max_labelled + 2 * pool_rows).toArrow()
-    if not seen.num_rows:
-        return None
-    x = np.array([np.frombuffer(v.as_py(), np.float32) for v in seen["x"]], np.float64)
-    order = np.argsort(np.array([f"{i} {y}" for i, y in zip(seen["id"].to_pylist(), seen["y"].to_pylist(), strict=True)]), kind="stable")
-    label, fold = np.array([-1 if v is None else v for v in seen["y"].to_pylist()])[order], np.array(seen["fold"].to_pylist(), bool)[order]
-    return cotrain(x[order, : PAIRS + 3], x[order, PAIRS + 3 :], label, fold, rounds)
+    def views(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        text, meta = _views(batch)
+        packed = [v.astype(np.float32).tobytes() for v in np.hstack((text, meta))]
+        yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.string()), batch.column("__y").cast(pa.int32()), pa.array(packed, pa.binary())], ["id", "y", "x"])
+
+    # one row for each id, whatever their number and order
+    seen = common.arrow_map(rows, views, "id string, y int, x binary").groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema([("id", pa.string()), ("y", pa.int32()), ("x", pa.binary())])).sort_by("id")
+        if not table.num_rows:
+            return
+        x = np.array([np.frombuffer(v.as_py(), np.float32) for v in table["x"]], np.float64)
+        label = np.array([-1 if v is None else v for v in table["y"].to_pylist()])
+        fold = np.array([zlib.crc32(i.encode()) % 4 == 0 for i in table["id"].to_pylist()], bool)
+        model = cotrain(x[:, : PAIRS + 3], x[:, PAIRS + 3 :], label, fold, rounds)
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], ["model"])
+
+    # the bounded sample is fitted in one task: max_labelled + about pool_rows rows
+    made = seen.repartition(1).mapInArrow(fit, "model binary").collect()
+    return CoTrained.unpacked(bytes(made[0]["model"])) if made else None
 
 
 def _scored(rows: DataFrame, model: CoTrained | None, threshold: float) -> DataFrame:

@@ -13,7 +13,7 @@ warned of, and only then ``weight`` differs from one: it carries the sample back
 Targets are shares by value for each dimension; without targets a dimension's own token shares are
 tempered (share ** ``temper``), which lifts small sources and languages.
 
-All steps are aggregations and joins over the cell table, staged once a round; texts are searched once,
+The raking is windows over the cell table, a few rounds to a job; texts are searched once,
 and the documents are staged with their cell when they themselves are asked for. The cells are broadcast to the documents only below ``broadcast_cells`` rows.
 
 Defined cases: a null source, language or topic is a value of its own ('(none)'); null and empty texts
@@ -25,9 +25,8 @@ columns are ignored by ``sample``; an empty table gives no rows.
 from __future__ import annotations
 
 import warnings
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -71,92 +70,114 @@ def _targets(cells: DataFrame, dimension: str, given: dict[str, float] | None, t
     else:
         wanted = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{dimension} string, s double")
         raw = own.join(wanted, dimension).select(dimension, "s")
-    total = raw.agg(F.sum("s")).first()[0] or 1.0
-    return common.staged(raw.select(dimension, (F.col("s") / total).alias("share")), "targets")
-
-
-def reachable(cells: DataFrame, dimension: str, target: DataFrame, budget: float, rounds: int = 50) -> tuple[DataFrame, list[tuple[str, float, float]]]:
-    """``target`` with no value above what its tokens give of ``budget``, the excess shared out among the others
-    in proportion; and the values cut most (value, share asked for, share left), ten at most."""
-    own = cells.groupBy(dimension).agg((F.sum("tokens") / F.lit(float(budget))).alias("most"))
-    held = common.staged(target.join(own, dimension), "reach")
-    scale = 1.0
-    for _ in range(rounds):
-        full = F.col("share") * scale >= F.col("most")
-        sums = held.agg(F.sum(F.when(full, F.col("most"))).alias("full"), F.sum(F.when(~full, F.col("share"))).alias("free")).first()
-        wider = (1.0 - (sums["full"] or 0.0)) / sums["free"] if sums["free"] else scale
-        if wider <= scale * (1 + 1e-12):
-            break
-        scale = wider
-    cut = held.where(F.col("share") > F.col("most") * (1 + 1e-9)).orderBy((F.col("most") - F.col("share")), dimension).limit(10)
-    return held.select(dimension, F.least("most", F.col("share") * scale).alias("share")), [tuple(r) for r in cut.select(dimension, "share", "most").collect()]
+    return raw.select(dimension, (F.col("s") / F.sum("s").over(Window.partitionBy(F.lit(0)))).alias("share"))
+
+
+def _with_targets(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """Cells that have tokens with a column ``want_<dimension>`` of target shares, in one partition: the table has a row for each
+    combination of values, not for documents, and one partition lets every window over it do without an exchange."""
+    for dimension, target in targets.items():
+        cells = cells.join(target.select(dimension, F.col("share").alias(f"want_{dimension}")), dimension, "left")
+    return cells.where("tokens > 0").fillna(0.0, [f"want_{d}" for d in targets]).coalesce(1)
+
+
+def _reachable(cells: DataFrame, dimension: str, budget: float) -> DataFrame:
+    """``cells`` with no value's target above what its tokens give of ``budget``, the excess shared out among the others in
+    proportion (``asked_<dimension>`` keeps the target). The values that come out full are those of the least tokens for their target."""
+    want, of_value = F.col(f"want_{dimension}"), Window.partitionBy(dimension)
+    rows = cells.withColumn("__most", F.sum("tokens").over(of_value) / F.lit(budget)).withColumn("__first", F.row_number().over(of_value.orderBy(*cells.columns)) == 1)
+    rows = rows.withColumn("__ratio", F.when(want > 0, F.col("__most") / want).otherwise(F.lit(float("inf"))))
+    fills = Window.orderBy("__ratio", dimension).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    one = lambda c: F.when(F.col("__first"), c).otherwise(0.0)
+    rows = rows.withColumn("__full", F.sum(one(F.col("__most"))).over(fills)).withColumn("__open", F.lit(1.0) - F.sum(one(want)).over(fills))
+    before_full, before_open = F.col("__full") - F.col("__most"), F.col("__open") + want
+    # a value is full if the scale of all that fill after the fuller ones before it would exceed its own
+    is_full = (want > 0) & (F.lit(1.0) - before_full >= F.col("__ratio") * before_open)
+    rows = rows.withColumn("__is_full", is_full)
+    everything = Window.partitionBy(F.lit(0))
+    rows = rows.withColumn("__sum_full", F.sum(one(F.when(F.col("__is_full"), F.col("__most")).otherwise(0.0))).over(everything))
+    rows = rows.withColumn("__sum_open", F.sum(one(F.when(F.col("__is_full"), 0.0).otherwise(want))).over(everything))
+    scale = F.when(F.col("__sum_open") > 0, (F.lit(1.0) - F.col("__sum_full")) / F.col("__sum_open")).otherwise(1.0)
+    held = F.when(F.col("__is_full"), F.col("__most")).otherwise(want * F.greatest(F.lit(1.0), scale))
+    return rows.withColumn(f"asked_{dimension}", want).withColumn(f"want_{dimension}", held).drop(*[c for c in rows.columns if c.startswith("__")])
+
+
+#: Rounds of the raking that one job makes.
+UNROLLED = 4
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tolerance: float = 1e-4, budget: float | None = None) -> tuple[DataFrame, int, float]:
-    """Cells with raked ``share`` (summing to one), the rounds taken and the largest marginal error left.
+def rake(cells: DataFrame, dimensions: tuple[str, ...], rounds: int = 30, tolerance: float = 1e-4, budget: float | None = None) -> tuple[DataFrame, int, float]:
+    """Cells (with ``want_<dimension>``, from ``_with_targets``) with raked ``share``, the rounds taken and the largest marginal error left.
 
     With a ``budget`` of tokens no cell's share exceeds its tokens: for every value the factor is the one
     that its cells below that bound need. The bound does not change ``__free``, the share before it, so a
-    cell can come down from its bound again."""
-    total = cells.agg(F.sum("tokens")).first()[0]
-    if not total:
-        return cells.withColumn("share", F.lit(0.0)), 0, 0.0
+    cell can come down from its bound again. A round is one window for each dimension over the one partition."""
+    spark = cells.sparkSession
     most = F.lit(float("inf")) if budget is None else F.col("tokens") / F.lit(float(budget))
-    share, free, full = F.least("__free", most), F.col("__free") < most, F.col("__free") >= most
-    raked, path = common.staged_at(cells.where("tokens > 0").withColumn("__free", F.col("tokens") / F.lit(float(total))), "cells")
-    error, done = 1.0, 0
-    for done in range(1, rounds + 1):  # noqa: B007
-        step = raked
-        for dimension, target in targets.items():
-            have = step.groupBy(dimension).agg(
-                F.sum("__free").alias("have"), F.coalesce(F.sum(F.when(free, F.col("__free"))), F.lit(0.0)).alias("open"), F.coalesce(F.sum(F.when(full, most)), F.lit(0.0)).alias("held")
-            )
-            want, left = F.coalesce("want", F.lit(0.0)), F.coalesce("want", F.lit(0.0)) - F.col("held")
-            factor = (
-                F.when((left > 0) & (F.col("open") > 0), left / F.col("open"))
-                .when((left < -1e-12) | (F.col("open") > 0), want / F.greatest("have", F.lit(1e-300)))  # bounded cells alone exceed the target
-                .otherwise(1.0)  # every cell is taken whole
-            )
-            step = step.join(have.join(target.withColumnRenamed("share", "want"), dimension, "left").select(dimension, factor.alias("factor")), dimension)
-            step = step.withColumn("__free", F.col("__free") * F.col("factor")).drop("factor")
-        step, new_path = common.staged_at(step.select(*cells.columns, "__free"), "cells")
-        common.remove(cells.sparkSession, path)
+    free, full = F.col("__free") < most, F.col("__free") >= most
+    start = cells.withColumn("__free", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(0)))).withColumn("__off", F.lit(1.0))
+    raked, path = common.staged_at(start, "cells")
+    error, done = 0.0, 0
+    while done < rounds:
+        step = raked.coalesce(1)
+        for _ in range(min(UNROLLED, rounds - done)):
+            for dimension in dimensions:
+                of_value, want = Window.partitionBy(dimension), F.col(f"want_{dimension}")
+                step = step.withColumns({
+                    "__have": F.sum("__free").over(of_value), "__open": F.sum(F.when(free, F.col("__free")).otherwise(0.0)).over(of_value),
+                    "__held": F.sum(F.when(full, most).otherwise(0.0)).over(of_value),
+                })
+                left = want - F.col("__held")
+                factor = (
+                    F.when((left > 0) & (F.col("__open") > 0), left / F.col("__open"))
+                    .when((left < -1e-12) | (F.col("__open") > 0), want / F.greatest("__have", F.lit(1e-300)))  # bounded cells alone exceed the target
+                    .otherwise(1.0)  # every cell is taken whole
+                )
+                step = step.withColumn("__free", F.col("__free") * factor).drop("__have", "__open", "__held")
+            done += 1
+        offs = [F.abs(F.sum(F.least("__free", most)).over(Window.partitionBy(d)) - F.col(f"want_{d}")) for d in dimensions]
+        step, new_path = common.staged_at(step.withColumn("__off", F.greatest(*offs) if len(offs) > 1 else offs[0]), "cells")
+        common.remove(spark, path)
         raked, path = step, new_path
-        offs = []
-        for dimension, target in targets.items():
-            off = raked.groupBy(dimension).agg(F.sum(share).alias("have")).join(target, dimension, "left")
-            offs.append(off.agg(F.max(F.abs(F.col("have") - F.coalesce("share", F.lit(0.0)))).alias("off")))
-        error = reduce(DataFrame.union, offs).agg(F.max("off")).first()[0] or 0.0
+        error = raked.agg(F.max("__off")).first()[0] or 0.0
         if error <= tolerance:
             break
-    return raked.select(*cells.columns, share.alias("share")), done, error
+    return raked.withColumn("share", F.least("__free", most)).drop("__free", "__off"), done, error
 
 
 def calibrated(cells: DataFrame, targets: dict[str, dict[str, float]] | None, temper: float, fraction: float, rounds: int, tolerance: float) -> DataFrame:
     """Cells with ``probability`` (so that a ``fraction`` of all tokens is expected) and ``weight``."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    asked = {d: _targets(cells, d, (targets or {}).get(d), temper) for d in DIMENSIONS}
-    if total and fraction > 0:
-        found = {d: reachable(cells, d, t, fraction * total) for d, t in asked.items()}
-    else:
-        found = {d: (t, []) for d, t in asked.items()}
-    raked, done, error = rake(cells, {d: t for d, (t, _) in found.items()}, rounds, tolerance, fraction * total or None)
-    short = [f"{d} {v!r}: {most:.4%} of {share:.4%}" for d, (_, cut) in found.items() for v, share, most in cut]
+    names = [*DIMENSIONS, "tokens", "share", "probability", "weight"]
+    if not total or fraction <= 0:
+        none = F.lit(0.0)
+        return cells.select(*DIMENSIONS, "tokens", none.alias("share"), none.alias("probability"), none.alias("weight"))
+    wanted = _with_targets(cells, {d: _targets(cells, d, (targets or {}).get(d), temper) for d in DIMENSIONS})
+    for dimension in DIMENSIONS:
+        wanted = _reachable(wanted, dimension, fraction * total)
+    raked, done, error = rake(wanted, DIMENSIONS, rounds, tolerance, fraction * total)
+    budget = F.lit(fraction * total)
+    # rounded: the last digits depend on the order of addition, and the same rows must be drawn on every run
+    probability = F.round(F.least(F.lit(1.0), budget * F.col("share") / F.greatest(F.col("tokens"), F.lit(1))), 12)
+    with_p = common.staged(raked.withColumn("probability", probability).withColumn("weight", F.when(F.col("probability") > 0, 1.0).otherwise(0.0)), "calibrated")
+    cut = [F.col(f"asked_{d}") > F.col(f"want_{d}") * (1 + 1e-9) for d in DIMENSIONS]
+    short: list[str] = []
+    for dimension, is_cut in zip(DIMENSIONS, cut, strict=True):  # the ten values cut most
+        rows = with_p.where(is_cut).groupBy(dimension).agg(F.first(f"asked_{dimension}").alias("asked"), F.first(f"want_{dimension}").alias("left"))
+        short += [f"{dimension} {v!r}: {left:.4%} of {asked:.4%}" for v, asked, left in rows.orderBy(F.col("left") - F.col("asked"), dimension).limit(10).collect()]
     if short:
         warnings.warn(f"mixing: too few tokens for the target; taken whole: {'; '.join(short)}", stacklevel=2)
     if error > tolerance:
         warnings.warn(f"mixing: marginals are off by up to {error:.2e} after {done} rounds (tolerance {tolerance:.0e})", stacklevel=2)
-    budget = F.lit(fraction * total)
-    # rounded: the last digits depend on the order of addition, and the same rows must be drawn on every run
-    probability = F.round(F.least(F.lit(1.0), budget * F.col("share") / F.greatest(F.col("tokens"), F.lit(1))), 12)
-    with_p = common.staged(raked.select(*DIMENSIONS, "tokens", "share", probability.alias("probability")), "calibrated")
     if not short and error <= tolerance:
-        return with_p.withColumn("weight", F.when(F.col("probability") > 0, 1.0).otherwise(0.0))
+        return with_p.select(*names)
     # what the sample lacks of the targets asked for, as weights
-    drawn = with_p.select(*DIMENSIONS, (F.col("probability") * F.col("tokens")).alias("tokens"))
-    back, _, _ = rake(drawn, asked, rounds, tolerance)
-    weights = back.select(*DIMENSIONS, F.round(budget * F.col("share") / F.col("tokens"), 9).alias("weight"))
-    return common.staged(with_p.join(weights, list(DIMENSIONS), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))), "calibrated")
+    drawn = with_p.withColumn("__expected", F.col("probability") * F.col("tokens")).where("__expected > 0")
+    drawn = drawn.select(*DIMENSIONS, F.col("__expected").alias("tokens"), *[F.col(f"asked_{d}").alias(f"want_{d}") for d in DIMENSIONS]).coalesce(1)
+    back, _, _ = rake(drawn, DIMENSIONS, rounds, tolerance)
+    weights = back.select(*DIMENSIONS, F.round(budget * F.col("share") / F.col("tokens"), 9).alias("__weight"))
+    weighed = with_p.join(F.broadcast(weights), list(DIMENSIONS), "left").withColumn("weight", F.coalesce("__weight", F.lit(0.0)))
+    return common.staged(weighed.select(*names), "calibrated")
 
 
 def sample(

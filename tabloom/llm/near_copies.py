@@ -5,9 +5,11 @@ fixed-size sample last, the others by hash. Two sets of similarity ``least`` or
 the first ``n - ceil(least * n) + 1`` of each, so every such pair meets at a shingle of these prefixes;
 candidates are verified on the whole sets. Which shingles the sample finds changes the work, not the result.
 
-Groups are connected components, so a pair that is connected already needs no comparison: first every
-shingle's members are compared with one pivot (the member whose prefix is shared most), then those of
-other components with a second one, and only pairs still in different components are listed in full.
+Groups are connected components, so a pair that is connected already needs no comparison: first texts with
+close SimHash fingerprints are compared (``simhash.close_pairs``), then every shingle's members with one pivot
+(the member whose prefix is shared most), then those of other components with a second one, and only pairs
+still in different components are listed in full. What is staged grows with the shared part of the prefixes;
+whole texts move once, compressed, and only those that share something.
 
 Defined cases: words are lower-cased (A-Z); a text shorter than a shingle is its whole word sequence;
 null and wordless texts are copies of each other; a null id takes part, and its component is the smallest
@@ -18,24 +20,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
+from .simhash import close_pairs, majority
 
 SEED = 42
 #: The sample that finds frequent shingles: texts at most, and texts of it that make a shingle frequent.
 SAMPLE = 20_000
 FREQUENT = 4
-#: Pairs verified at a time: bounds a task's memory for very long texts.
-SLICE = 256
 
 
 def shingles(text: bytes, words: int = 5) -> np.ndarray:
@@ -52,68 +53,96 @@ def prefix_size(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1 if n else 0
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``__id``, ``node`` (hash of the set), ``n`` and ``hashes`` (bytes) of every row."""
+def _node(have: np.ndarray) -> int:
+    value = xxhash.xxh3_64_intdigest(have.tobytes(), SEED)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = common.text_bytes(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``__id``, ``th`` (hash of the text), ``node`` (hash of the set), ``fp`` (SimHash fingerprint of the set) of every row."""
 
     def run(batch: pa.RecordBatch):
-        sets = [shingles(t.as_py(), words) for t in batch.column(1)]
-        raw = [s.tobytes() for s in sets]
-        nodes = np.array([xxhash.xxh3_64_intdigest(r, SEED) for r in raw], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(raw, pa.binary())], ["__id", "node", "n", "hashes"])
+        sets = [shingles(t.as_py(), words) for t in batch.column(2)]
+        nodes, prints = [_node(s) for s in sets], [majority(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64())], ["__id", "th", "node", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("__id"), common.text_bytes(text_col).alias("__text"))
-    return common.arrow_map(slim, run, "__id long, node long, n int, hashes binary")
+    return common.arrow_map(texts, run, "__id long, th long, node long, fp long")
 
 
-def frequent_shingles(sets: DataFrame, texts: int, sample: int = SAMPLE) -> np.ndarray:
+def frequent_shingles(texts: DataFrame, rows: int, words: int, sample: int = SAMPLE) -> np.ndarray:
     """Sorted shingles of ``FREQUENT`` texts or more of a sample of fixed size: at most a share of its shingles."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.as_py(), np.int64))], ["key"])
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for text in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), words))], ["key"])
 
-    kept = sets.where(F.pmod("node", F.lit(max(1, texts // sample))) == 0).select("hashes")
-    found = kept.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT).select("key")
+    kept = texts.where(F.pmod("th", F.lit(max(1, rows // sample))) == 0).select("text")
+    found = common.arrow_map(kept, run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT).select("key")
     return np.sort(found.toArrow().column(0).to_numpy())
 
 
-def postings(sets: DataFrame, frequent: np.ndarray, least: float) -> DataFrame:
+def postings(texts: DataFrame, frequent: np.ndarray, words: int, least: float) -> DataFrame:
     """``key``, ``node``, ``n``, ``size`` (of the prefix): one row for each shingle of a set's prefix."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes = [], []
-            for raw, n in zip(batch.column(2), batch.column(1).to_pylist(), strict=True):
-                have = np.frombuffer(raw.as_py(), np.int64)
-                if len(frequent) and n:
-                    often = frequent[np.minimum(np.searchsorted(frequent, have), len(frequent) - 1)] == have
-                    have = np.concatenate([have[~often], have[often]])
-                keys.append(have[: prefix_size(n, least)])
-                sizes.append(len(keys[-1]))
-            sizes = np.array(sizes, np.int32)
-            columns = [np.concatenate(keys) if keys else np.empty(0, np.int64), np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes), np.repeat(sizes, sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "size"])
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys, nodes, counts = [], [], []
+        for text in batch.column(0):
+            have = shingles(text.as_py(), words)
+            nodes.append(_node(have))
+            counts.append(len(have))
+            if len(frequent) and len(have):
+                often = frequent[np.minimum(np.searchsorted(frequent, have), len(frequent) - 1)] == have
+                have = np.concatenate([have[~often], have[often]])
+            keys.append(have[: prefix_size(len(have), least)])
+        sizes = np.array([len(k) for k in keys], np.int32)
+        repeated = [np.repeat(np.array(v, t), sizes) for v, t in ((nodes, np.int64), (counts, np.int32), (sizes, np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(keys) if keys else np.empty(0, np.int64), *repeated)], ["key", "node", "n", "size"])
+
+    return common.arrow_map(texts.select("text"), run, "key long, node long, n int, size int")
+
 
-    return sets.select("node", "n", "hashes").mapInArrow(run, "key long, node long, n int, size int")
+def shared_postings(posted: DataFrame) -> DataFrame:
+    """The postings, each once, of shingles that two sets or more have in their prefixes. Shingles with over a
+    thousandth of what is shared (a thousand at most) are broadcast, so their postings are not gathered."""
+    shared = common.staged(posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    step = max(64, (shared.agg(F.sum("c")).first()[0] or 0) // 1000)
+    hot = F.broadcast(shared.where(F.col("c") > step).select("key"))
+    rest = posted.join(hot, "key", "left_anti").join(shared.where(F.col("c") <= step).select("key"), "key", "left_semi")
+    several = common.staged(rest.union(posted.join(hot, "key", "left_semi")).distinct(), "several")
+    alone = several.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo = hi").select("key")  # copies of one set
+    return several.join(common.staged(alone, "alone"), "key", "left_anti")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def packed_sets(texts: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node`` and ``z``: one text of every set of ``nodes``, compressed."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(t.as_py()) for t in batch.column(1)], pa.binary())], ["node", "z"])
+
+    wanted = common.staged(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")), "wanted")
+    return common.arrow_map(texts.select("th", "text").join(wanted, "th").dropDuplicates(["th"]).select("node", "text"), run, "node long, z binary")
+
+
+def verified(pairs: DataFrame, packed: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets have Jaccard similarity ``least`` or more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch, keep = whole.slice(at, SLICE), []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        z, keep = zstandard.ZstdDecompressor(), []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (shingles(z.decompress(t.as_py()), words) for t in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = packed.select(F.col("node").alias("a"), F.col("z").alias("x"))
+    right = packed.select(F.col("node").alias("b"), F.col("z").alias("y"))
+    return common.arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _pairs(joined: DataFrame, least: float) -> DataFrame:
@@ -122,41 +151,67 @@ def _pairs(joined: DataFrame, least: float) -> DataFrame:
     return joined.where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def links(sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (``a``, ``b``) of ``sets.node`` that connect exactly the sets which similar pairs connect."""
-    frequent = frequent_shingles(sets, sets.count())
-    posted = common.staged(postings(sets, frequent, least), "postings")
-    shared = posted.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = common.staged(posted.join(shared, "key").distinct(), "members")
-    involved = common.staged(sets.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "involved")
+def _close_prints(sets: DataFrame) -> DataFrame:
+    """Pairs of sets with equal fingerprints (each with the least) or fingerprints at two or fewer differing bits (their least)."""
+    first = common.staged(sets.groupBy("fp").agg(F.min("node").alias("a")), "prints")
+    equal = sets.join(first, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    near = close_pairs(first.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+    near = near.join(first.select(F.col("fp").alias("x"), "a"), "x").join(first.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y")
+    return equal.union(near.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+
+
+def similar_roots(texts: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
+    """``node`` and ``root`` of the components that similar pairs of sets form; sets without a similar one are absent."""
+    spark = texts.sparkSession
+    frequent = frequent_shingles(texts, sets.count(), words)
+    posted, path = common.staged_at(postings(texts, frequent, words, least), "postings")
+    members = common.staged(shared_postings(posted), "members")
+    common.remove(spark, path)
+    common.release(spark)
+    prints = common.staged(_close_prints(sets.where("fp <> 0").select("node", "fp").distinct()), "close")
+    taking_part = members.select("node").union(prints.select("a")).union(prints.select("b")).distinct()
+    packed, packed_path = common.staged_at(packed_sets(texts, sets, taking_part), "packed")
+    common.release(spark)
     held = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     central = members.join(held, "key").groupBy("node").agg((F.sum(F.log("members")) / F.first("size")).alias("rank"))
-    open_ = common.staged(members.join(central, "node").select("key", "node", "n", F.struct(F.round("rank", 6).alias("rank"), "node", "n").alias("place"), F.col("node").alias("root")), "open")
-    found: list[DataFrame] = []
-    for last in (False, False, True):
-        if last:
-            other = open_.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-            joined = open_.join(other, "key").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")))
-        else:
-            pivot = open_.groupBy("key").agg(F.max("place").alias("p")) if not found else open_.where("away").groupBy("key").agg(F.max("place").alias("p"))
-            joined = open_.join(pivot.select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m")), "key")
-        found.append(common.staged(verified(_pairs(joined, least), involved, least), "links"))
-        if last:
-            break
-        roots = common.staged(connected_components(reduce(DataFrame.union, found)).withColumnRenamed("root", "__root"), "roots")
-        rooted = open_.drop("away", "root").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
-        rooted = common.staged(rooted.select("key", "node", "n", "place", F.coalesce("__root", "node").alias("root")), "rooted")
-        lead = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", "place").alias("lead")).where("lo <> hi")
-        open_ = common.staged(rooted.join(lead.select("key", "lead"), "key").withColumn("away", F.col("root") != F.col("lead")).drop("lead"), "open")
-    return reduce(DataFrame.union, found)
+    placed = common.staged(members.join(central, "node").select("key", "node", "n", F.struct(F.round("rank", 6).alias("rank"), "node", "n").alias("place")), "open")
 
+    def with_pivot(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+        leading = pivots.groupBy("key").agg(F.max_by(F.struct("node", "n"), "place").alias("p"))
+        return _pairs(rows.join(leading.select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m")), "key"), least)
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """One row per document: id and ``component_id`` (smallest id reachable over pairs of similarity ``least`` or more)."""
-    sets = common.staged(shingle_sets(docs, id_col, text_col, words), "sets")
+    first = with_pivot(placed, placed).union(prints).distinct()
+    roots = connected_components(common.staged(verified(first, packed, words, least), "links"))
+    for all_pairs in (False, True):
+        rooted = placed.join(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")), F.col("node") == F.col("__node"), "left")
+        rooted = common.staged(rooted.select("key", "node", "n", "place", F.coalesce("__root", "node").alias("root")), "rooted")
+        lead = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", "place").alias("lead")).where("lo <> hi")
+        open_ = common.staged(rooted.join(lead.select("key", "lead"), "key"), "open")
+        if all_pairs:
+            other = open_.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+            pairs = _pairs(open_.join(other, "key").where("node < other and root <> other_root"), least)
+        else:
+            pairs = with_pivot(open_.where("root = lead"), open_.where("root <> lead"))
+            pairs = pairs.union(with_pivot(open_.where("root <> lead"), open_.where("root = lead"))).distinct()
+        fresh = common.staged(verified(pairs, packed, words, least), "links")
+        if not fresh.isEmpty():
+            roots = connected_components(roots.select("node", "root").union(fresh))
+    common.remove(spark, packed_path)
+    return roots
+
+
+def marked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """Per row: ``__id``, ``th`` and ``component_id``."""
+    texts = _texts(docs, id_col, text_col)
+    sets = common.staged(shingle_sets(texts, words), "sets")
     nodes = common.staged(sets.groupBy("node").agg(F.min("__id").alias("least_id")), "nodes")
-    roots = common.staged(connected_components(links(sets, least)), "roots")
+    roots = similar_roots(texts, sets, words, least)
     rooted = nodes.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_node = rooted.select("node", "root").join(smallest, "root").select("node", "component_id")
-    return sets.select("__id", "node").join(of_node, "node").select(F.col("__id").alias(id_col), "component_id")
+    return sets.select("__id", "th", "node").join(of_node, "node").select("__id", "th", "component_id")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """One row per document: id and ``component_id`` (smallest id reachable over pairs of similarity ``least`` or more)."""
+    return marked_rows(docs, id_col, text_col, words, least).select(F.col("__id").alias(id_col), "component_id")

@@ -50,6 +50,15 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed fingerprint of a set of 64-bit hashes; zero for none."""
+    ones = np.zeros(BITS, np.int64)
+    for start in range(0, len(hashes), CHUNK):
+        part = hashes[start : start + CHUNK].astype(">i8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True) if len(hashes) else 0
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """``__id`` and ``fp`` of every row."""
 
@@ -68,7 +77,7 @@ def block_combinations(max_bits: int, blocks: int) -> list[int]:
     return [signed(sum(c)) for c in combinations(masks, blocks - max_bits)]
 
 
-def close_pairs(nodes: DataFrame, max_bits: int = 2, blocks: int = 4, crowd: int = 64) -> DataFrame:
+def close_pairs(nodes: DataFrame, max_bits: int = 2, blocks: int = 6, crowd: int = 64) -> DataFrame:
     """Links (``a``, ``b``) that connect all fingerprints of ``nodes.fp`` (distinct) within ``max_bits``.
 
     Outside crowds these are all close pairs; inside, each centre's members are linked to its least."""
@@ -100,7 +109,7 @@ def close_pairs(nodes: DataFrame, max_bits: int = 2, blocks: int = 4, crowd: int
     return pairs.union(linked)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2, blocks: int = 4, crowd: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2, blocks: int = 6, crowd: int = 64) -> DataFrame:
     """One row per document: id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable)."""
     fps = common.staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = common.staged(fps.groupBy("fp").agg(F.min("__id").alias("least_id")), "nodes")
@@ -113,7 +122,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group; repeated rows of that id are kept once
-    (the first by text), rows without an id are all kept."""
+    (the first by hash), rows without an id are all kept."""
     return representatives(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
 
 
@@ -122,6 +131,7 @@ def representatives(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id")
     kept = marked.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
     chosen = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
     rest = [c for c in docs.columns if c != id_col]
-    one = chosen.groupBy(id_col).agg(F.min(F.struct(*rest)).alias("__row")) if rest else chosen.distinct()
+    ordered = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = chosen.groupBy(id_col).agg(F.min_by(F.struct(*rest), F.xxhash64(*ordered)).alias("__row")) if rest else chosen.distinct()
     once = one.select(*[F.col(id_col) if c == id_col else F.col("__row")[c].alias(c) for c in docs.columns])
     return once.unionByName(docs.where(F.col(id_col).isNull()))

@@ -251,7 +251,8 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.sample(empty).count() == 0
     cells = spark.createDataFrame([("a", "x", "p", 60), ("a", "y", "p", 20), ("b", "x", "p", 10), ("b", "y", "q", 10)], "source string, lang string, topic string, tokens long")
     share = lambda d, t: spark.createDataFrame(list(t.items()), f"{d} string, share double")
-    raked, _, error = mixing.rake(cells, {"source": share("source", {"a": 0.5, "b": 0.5}), "lang": share("lang", {"x": 0.6, "y": 0.4})}, 60)
+    targets = {"source": share("source", {"a": 0.5, "b": 0.5}), "lang": share("lang", {"x": 0.6, "y": 0.4})}
+    raked, _, error = mixing.rake(mixing._with_targets(cells, targets), ("source", "lang"), 60)
     assert error < 1e-3
     by = {r.source: r.s for r in raked.groupBy("source").agg({"share": "sum"}).withColumnRenamed("sum(share)", "s").collect()}
     assert abs(by["a"] - 0.5) < 1e-3
