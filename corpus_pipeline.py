@@ -16,7 +16,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: texts linked by a Jaccard similarity of 0.8 or more of their 5-word shingles."""
+    """One document of each group of near-duplicates: texts linked by a Jaccard similarity of 0.8 or more of their
+    5-word shingles. Close SimHash fingerprints give the first links; the exact prefix filter the rest, as no
+    number of blocks finds all fingerprints that this similarity leaves about ten bits apart."""
     return simhash.representatives(docs, near_copies.near_copies(docs, words=5, least=0.8))
 
 
@@ -37,7 +39,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontaminated),
     ("mixing to target weights", mixed),
     ("sharding", sharded),
