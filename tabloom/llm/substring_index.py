@@ -8,7 +8,8 @@ fingerprint (the least hash among their ``gram``-word pieces), so the index is c
 at a fraction of their number. It is log-structured: documents arrive in batches; each batch becomes an
 immutable run, a table bucketed and sorted by fingerprint; it is merge-joined with the runs of history,
 bucket by bucket and without moving them, to find the fingerprints that more than one document has;
-and runs of one level are compacted into one of the next.
+and runs of one level are compacted into one of the next, without an exchange. A manifest names the runs
+of an index in a folder of its own: it can be opened again and given the next batch (``deduplicate_batch``).
 
 Candidates are then verified window by window: the texts behind shared fingerprints are cut into runs
 of windows, equal runs are counted once, and where runs with one fingerprint differ each window is
@@ -26,6 +27,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ from .anchors import anchor_runs, gram_hashes
 SPAN = 13
 GRAM = 5
 NO_ID = (1 << 63) - 1
+POSTING = "fp long, rank long, part tinyint"
 
 
 def _word_codes(words: list[bytes]) -> np.ndarray:
@@ -48,41 +51,71 @@ def _word_codes(words: list[bytes]) -> np.ndarray:
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ident = F.col(id_col).cast("long")
-    return docs.select(F.coalesce(ident, F.lit(NO_ID)).alias("rank"), ident.alias("id"), common.text_bytes(text_col).alias("text"))
+    text = common.text_bytes(text_col)
+    return docs.select(F.coalesce(ident, F.lit(NO_ID)).alias("rank"), ident.alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _part(th: str = "th"):
+    """Divides the texts of one id, so that an id that very many rows have is not one group."""
+    return F.pmod(th, F.lit(128)).cast("tinyint").alias("part")
 
 
 def postings(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """``fp``, ``rank``: the fingerprints of every document's windows, once each."""
+    """``fp``, ``rank``, ``part``: the fingerprints of every document's windows, once each."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fps, ranks = [], []
-        for rank, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        fps, ranks, parts = [], [], []
+        for rank, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             words = text.as_py().split()
             if len(words) < span:
                 continue
             keys = np.unique(np.concatenate([key for _, _, _, key in anchor_runs(_word_codes(words), span, gram)])).view(np.int64)
             fps.append(keys)
             ranks.append(np.full(len(keys), rank, np.int64))
+            parts.append(np.full(len(keys), part, np.int8))
         if fps:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), pa.array(np.concatenate(ranks))], ["fp", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (fps, ranks, parts)], ["fp", "rank", "part"])
 
-    return common.arrow_map(docs.select("rank", "text"), run, "fp long, rank long")
+    return common.arrow_map(docs.select("rank", _part(), "text"), run, POSTING)
 
 
 @dataclass
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, rank), newest last."""
+    """Sorted immutable runs of postings, newest last. With a ``root`` they are kept there, named by a manifest."""
 
     spark: SparkSession
     fan_in: int = 2
+    root: str | None = None
+    buckets: int = 0
     runs: list[tuple[int, str, str]] = field(default_factory=list)  # level, table, path
+    version: int = 0
+
+    def __post_init__(self) -> None:
+        self.buckets = self.buckets or common.partitions(self.spark)
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, fan_in: int = 2) -> FingerprintIndex:
+        """The index that ``save`` left in ``root``, by its newest manifest."""
+        rows = spark.read.schema("version int, buckets int, position int, level int, path string").json(f"{root}/manifest")
+        newest = rows.where(F.col("version") == rows.agg(F.max("version")).first()[0]).orderBy("position").collect()
+        index = cls(spark, fan_in, root, newest[0]["buckets"], version=newest[0]["version"])
+        for row in newest:
+            name = f"tabloom_run_{uuid.uuid4().hex[:12]}"
+            clustered = f"CLUSTERED BY (fp) SORTED BY (fp) INTO {index.buckets} BUCKETS"
+            spark.sql(f"CREATE TABLE {name} ({POSTING}) USING parquet {clustered} LOCATION '{row['path']}'")
+            index.runs.append((row["level"], name, row["path"]))
+        return index
+
+    def save(self) -> None:
+        """Write a manifest of the runs as they are now, beside the older ones."""
+        self.version += 1
+        rows = [(self.version, self.buckets, i, level, path) for i, (level, _, path) in enumerate(self.runs)]
+        self.spark.createDataFrame(rows, "version int, buckets int, position int, level int, path string").coalesce(1).write.mode("append").json(f"{self.root}/manifest")
 
     def _write(self, rows: DataFrame, level: int) -> tuple[int, str, str]:
-        path = common.scratch(self.spark, "run")
         name = f"tabloom_run_{uuid.uuid4().hex[:12]}"
-        buckets = common.partitions(self.spark)
-        dealt = rows.repartition(buckets, "fp").sortWithinPartitions("fp")
-        dealt.write.bucketBy(buckets, "fp").sortBy("fp").option("compression", "zstd").option("path", path).saveAsTable(name)
+        path = f"{self.root}/{name}" if self.root else common.scratch(self.spark, "run")
+        rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("compression", "zstd").option("path", path).saveAsTable(name)
         return level, name, path
 
     def _forget(self, run: tuple[int, str, str]) -> None:
@@ -92,31 +125,29 @@ class FingerprintIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """Append a batch of postings as a run; returns the postings of all fingerprints of the batch that
         more than one document has (in history or in the batch)."""
-        run = self._write(batch, 0)
+        run = self._write(batch.repartition(self.buckets, "fp"), 0)
         new = self.spark.table(run[1])
         shared = new.groupBy("fp").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi").select("fp")
-        history = [self.spark.table(name) for _, name, _ in self.runs]
         found = [new.join(shared, "fp", "left_semi")]
-        for old in history:
+        for _, name, _ in self.runs:
+            old = self.spark.table(name)
             found += [new.join(old, "fp", "left_semi"), old.join(new, "fp", "left_semi")]
-        rows = found[0]
-        for more in found[1:]:
-            rows = rows.union(more)
-        candidates = common.staged(rows, "candidates")
+        candidates = common.staged(reduce(DataFrame.union, found), "candidates")
         self.runs.append(run)
         self._compact()
         return candidates
 
     def _compact(self) -> None:
+        """Merge the newest runs while they are of one level. Their files are bucketed alike, so the merged run is written
+        where its buckets are read: no row is exchanged, only sorted with those of its bucket."""
         while len(self.runs) >= self.fan_in and len({level for level, _, _ in self.runs[-self.fan_in :]}) == 1:
             old = self.runs[-self.fan_in :]
-            rows = self.spark.table(old[0][1])
-            for _, name, _ in old[1:]:
-                rows = rows.union(self.spark.table(name))
-            merged = self._write(rows, old[0][0] + 1)
+            merged = self._write(reduce(DataFrame.union, [self.spark.table(name) for _, name, _ in old]), old[0][0] + 1)
+            self.runs[-self.fan_in :] = [merged]
+            if self.root:
+                self.save()  # before the old runs go
             for run in old:
                 self._forget(run)
-            self.runs[-self.fan_in :] = [merged]
 
     def drop(self) -> None:
         for run in self.runs:
@@ -124,19 +155,29 @@ class FingerprintIndex:
         self.runs = []
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """``rank``, ``id``, ``th`` (the text's hash) and ``z`` (the compressed text)."""
+def _with_candidates(rows: DataFrame, candidates: DataFrame, with_text: bool) -> DataFrame:
+    """Every row with its shared fingerprints; rows without have their counts, and rows with them their compressed text."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([z.compress(t.as_py()) for t in batch.column(3)], pa.binary())], ["rank", "id", "th", "z"])
-
-    return common.arrow_map(docs.select("rank", "id", F.xxhash64("text").alias("th"), "text"), run, "rank long, id long, th long, z binary")
-
-
-def _shared_runs(packed: DataFrame, candidates: DataFrame, span: int, gram: int) -> DataFrame:
+        counts, shas, packed = [], [], []
+        for t in batch.column(3):
+            text = t.as_py()
+            words = text.split()
+            counts.append(len(words))
+            shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            packed.append(z.compress(text))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(packed, pa.binary())], ["rank", "id", "th", "n_words", "sha", "z"])
+
+    packed = common.arrow_map(rows.select("rank", "id", "th", "text"), run, "rank long, id long, th long, n_words long, sha string, z binary")
+    lists = candidates.groupBy("rank", "part").agg(F.collect_set("fp").alias("fps"))
+    joined = packed.withColumn("part", _part()).join(lists, ["rank", "part"], "left")
+    held = F.col("fps").isNotNull() | F.lit(with_text)
+    return joined.select("rank", "id", "th", "n_words", "sha", F.when(held, F.col("z")).alias("z"), "fps")
+
+
+def _shared_runs(texts: DataFrame, span: int, gram: int) -> DataFrame:
     """Runs of windows behind shared fingerprints; ``wh`` has the window hashes, 8 bytes each."""
-    lists = candidates.groupBy("rank").agg(F.collect_set("fp").alias("fps"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in range(6)]
@@ -162,8 +203,7 @@ def _shared_runs(packed: DataFrame, candidates: DataFrame, span: int, gram: int)
         if cols[0]:
             yield _run_batch(cols)
 
-    with_text = packed.select("rank", "th", "z").join(lists, "rank")
-    return common.arrow_map(with_text, run, "fp long, rank long, th long, start long, n int, wh binary")
+    return common.arrow_map(texts.where("fps IS NOT NULL").select("rank", "th", "z", "fps"), run, "fp long, rank long, th long, start long, n int, wh binary")
 
 
 def _run_batch(cols: list[list]) -> pa.RecordBatch:
@@ -186,13 +226,14 @@ def _windows(runs: DataFrame) -> DataFrame:
     return common.arrow_map(runs.select("fp", "rk", "first", "wh"), run, "fp long, rk long, first long, h long, offset int")
 
 
-def verified(packed: DataFrame, candidates: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def verified(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """Runs of windows to remove: ``rank``, ``th``, first window ``lo``, end ``hi``."""
-    members = common.staged(_shared_runs(packed, candidates, span, gram).withColumn("rk", F.xxhash64("wh")), "members")
-    common.release(packed.sparkSession)
-    distinct = common.staged(members.groupBy("fp", "rk", "wh").agg(F.min("rank").alias("first")), "runs")
+    spark = texts.sparkSession
+    members, members_path = common.staged_at(_shared_runs(texts, span, gram).withColumn("rk", F.xxhash64("wh")), "members")
+    distinct, distinct_path = common.staged_at(members.groupBy("fp", "rk", "wh").agg(F.min("rank").alias("first")), "runs")
+    common.release(spark)
     several = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp")
-    windows = common.staged(_windows(distinct.join(several, "fp", "left_semi")), "windows")
+    windows, windows_path = common.staged_at(_windows(distinct.join(several, "fp", "left_semi")), "windows")
     least = windows.groupBy("fp", "h").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
     seen = windows.join(least, ["fp", "h"]).where("least < first").groupBy("fp", "rk", "first").agg(F.collect_set("offset").alias("offsets"))
     known = distinct.select("fp", "rk", "first").join(seen, ["fp", "rk", "first"], "left")
@@ -201,32 +242,16 @@ def verified(packed: DataFrame, candidates: DataFrame, span: int = SPAN, gram: i
     single = F.transform("offsets", lambda o: F.struct((F.col("start") + o).alias("lo"), (F.col("start") + o + 1).alias("hi")))
     flagged = joined.select("rank", "th", F.inline(F.when(F.col("rank") > F.col("first"), whole).otherwise(single)))
     out = common.staged(flagged, "flagged")
-    common.release(packed.sparkSession)
+    for path in (members_path, distinct_path, windows_path):
+        common.remove(spark, path)
+    common.release(spark)
     return out
 
 
-def deduplicate(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = 3, fan_in: int = 2, with_text: bool = False
-) -> DataFrame:
-    """Per row: id, ``n_words``, ``n_removed``, ``kept_sha256`` and, if asked for, the ``kept`` text.
-
-    The table is fed to the index in ``batches`` of rising ids."""
-    spark = docs.sparkSession
-    rows = _prepared(docs, id_col, text_col)
-    cuts = rows.agg(F.percentile_approx("rank", [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
-    bounds = [None, *sorted(set(cuts)), None]
-    index, candidates = FingerprintIndex(spark, fan_in), None
-    for lo, hi in zip(bounds, bounds[1:], strict=False):
-        part = rows if lo is None else rows.where(F.col("rank") > lo)
-        part = part if hi is None else part.where(F.col("rank") <= hi)
-        found = index.add(postings(part, span, gram))
-        candidates = found if candidates is None else candidates.union(found)
-    index.drop()
-    common.release(spark)
-    packed = _packed(rows)
-    flagged = verified(packed, candidates, span, gram)
+def _cleaned(texts: DataFrame, flagged: DataFrame, span: int, id_col: str, with_text: bool) -> DataFrame:
+    """The result rows of ``texts``: those without shared fingerprints as they are, the others without their repeated words."""
     lists = flagged.groupBy("rank", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("cover"))
-    joined = packed.join(lists, ["rank", "th"], "left").select("id", "z", "cover")
+    joined = texts.where("z IS NOT NULL").join(lists, ["rank", "th"], "left").select("id", "z", "cover")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         z, out = zstandard.ZstdDecompressor(), []
@@ -242,5 +267,43 @@ def deduplicate(
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = common.arrow_map(joined, run, "id long, n_words long, n_removed long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
+    out = common.arrow_map(joined, run, "id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    whole = texts.where("z IS NULL").select("id", "n_words", F.lit(0).cast("long"), "sha", F.lit(None).cast("binary"))
+    out = out.union(whole).withColumnRenamed("id", id_col)
     return out.withColumn("kept", F.col("kept").cast("string")) if with_text else out.drop("kept")
+
+
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = 3, fan_in: int = 2, with_text: bool = False
+) -> DataFrame:
+    """Per row: id, ``n_words``, ``n_removed``, ``kept_sha256`` and, if asked for, the ``kept`` text.
+
+    The table is fed to the index in ``batches`` of rising ids, rows without an id last."""
+    spark = docs.sparkSession
+    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
+    bounds = [None, *sorted(set(cuts)), None]
+    index, found = FingerprintIndex(spark, fan_in), []
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        part = docs if lo is None else docs.where((F.col(id_col) > lo) | F.col(id_col).isNull() if hi is None else F.col(id_col) > lo)
+        part = part if hi is None else part.where(F.col(id_col) <= hi)
+        found.append(index.add(postings(_prepared(part, id_col, text_col), span, gram)))
+    index.drop()
+    common.release(spark)
+    texts = common.staged(_with_candidates(_prepared(docs, id_col, text_col), reduce(DataFrame.union, found), with_text), "texts")
+    common.release(spark)
+    return _cleaned(texts, verified(texts, span, gram), span, id_col, with_text)
+
+
+def deduplicate_batch(
+    index: FingerprintIndex, batch: DataFrame, history: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, with_text: bool = False
+) -> DataFrame:
+    """``deduplicate`` for a new batch only, against the documents that ``index`` has already (``history``, of which only
+    the texts that share a fingerprint with the batch are kept and verified). The batch is added to the index."""
+    rows = _prepared(batch, id_col, text_col)
+    candidates = index.add(postings(rows, span, gram))
+    if index.root:
+        index.save()
+    new = _with_candidates(rows, candidates, with_text).withColumn("new", F.lit(True))
+    old = _with_candidates(_prepared(history, id_col, text_col), candidates, False).where("fps IS NOT NULL").withColumn("new", F.lit(False))
+    texts = common.staged(new.union(old), "texts")
+    return _cleaned(texts.where("new"), verified(texts, span, gram), span, id_col, with_text)

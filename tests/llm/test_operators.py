@@ -155,6 +155,18 @@ def test_substring_index(docs, rows, empty):
     assert substring_index.deduplicate(empty).count() == 0
 
 
+def test_substring_index_reopened(spark, docs, rows, tmp_path):
+    root = f"file://{tmp_path}/index"
+    known = docs.where("doc_id < 20")
+    substring_index.deduplicate_batch(substring_index.FingerprintIndex(spark, root=root), known, known.limit(0)).count()
+    index = substring_index.FingerprintIndex.open(spark, root)
+    fresh = docs.where("doc_id >= 20 or doc_id is null")
+    got = [tuple(r) for r in substring_index.deduplicate_batch(index, fresh, known).collect()]
+    assert sorted(got, key=key) == sorted([r for r in brute_windows(rows, 13) if r[0] is None or r[0] >= 20], key=key)
+    assert [level for level, _, _ in substring_index.FingerprintIndex.open(spark, root).runs] == [1]  # compacted
+    index.drop()
+
+
 def brute_bytes(rows, span):
     count = {}
     for r in rows:
