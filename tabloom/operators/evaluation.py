@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .profile import exact_quantiles
 from .ranking import running_total, with_ntile
 
 
@@ -61,7 +62,7 @@ def binary_metrics(df: DataFrame, score: str, positive: Column, threshold: float
     rows = df.select(F.col(score).cast("double").alias("s"), positive.cast("long").alias("y"))
     if threshold is None:
         base = rows.agg(F.avg("y")).first()[0] or 0.0
-        threshold = rows.agg(F.percentile("s", F.lit(1 - base))).first()[0]
+        threshold = exact_quantiles(rows, ["s"], [1 - base])["s"][0]
     t, y, s = F.lit(float(threshold or 0.5)), F.col("y"), F.col("s")
     clipped = F.least(F.greatest(s, F.lit(1e-15)), F.lit(1 - 1e-15))
     hit = s >= t
@@ -105,3 +106,36 @@ def regression_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
         F.avg(F.when(F.abs(y) > 1e-9, F.abs(e) / F.abs(F.nullif(y, F.lit(0.0))))).alias("mape"), (F.sum(F.abs(e)) / nz(F.sum(F.abs(y)))).alias("wmape"),
         F.avg(2 * F.abs(e) / nz(F.abs(y) + F.abs(p))).alias("smape"), (F.sum(e) / nz(F.sum(F.abs(y)))).alias("bias"),
     )
+
+
+#: The metrics by name: which direction is better, how they are shown, what they say.
+CATALOGUE: dict[str, tuple[str, str, str]] = {
+    "auc": ("higher", "0.000", "chance that a positive row is ranked above a negative one"),
+    "pr_auc": ("higher", "0.000", "average precision over all thresholds"),
+    "accuracy": ("higher", "0.0%", "share of right predictions"),
+    "balanced_accuracy": ("higher", "0.0%", "mean recall of the classes"),
+    "precision": ("higher", "0.0%", "share of predicted positives that are right"),
+    "recall": ("higher", "0.0%", "share of positives that are found"),
+    "f1": ("higher", "0.000", "harmonic mean of precision and recall"),
+    "f1_macro": ("higher", "0.000", "mean F1 of the classes"),
+    "brier": ("lower", "0.0000", "mean squared error of probabilities"),
+    "logloss": ("lower", "0.0000", "mean negative log likelihood"),
+    "ece": ("lower", "0.0%", "mean gap between predicted and observed shares"),
+    "r2": ("higher", "0.000", "share of variance explained"),
+    "rmse": ("lower", "0.00", "root of the mean squared error"),
+    "mae": ("lower", "0.00", "mean absolute error"),
+    "mape": ("lower", "0.0%", "mean relative error"),
+    "wmape": ("lower", "0.0%", "absolute error over absolute total"),
+    "smape": ("lower", "0.0%", "error relative to the mean of truth and prediction"),
+    "bias": ("zero", "0.0%", "signed error over absolute total"),
+}
+#: The metric that models of a task are compared by.
+PRIMARY = {"binary": "auc", "multiclass": "f1_macro", "regression": "wmape"}
+
+
+def better(metric: str, a: float | None, b: float | None) -> bool:
+    """Is ``a`` strictly better than ``b``? A missing value is worse than any."""
+    if a is None or b is None:
+        return a is not None
+    direction = CATALOGUE[metric][0]
+    return a > b if direction == "higher" else abs(a) < abs(b) if direction == "zero" else a < b

@@ -1,28 +1,36 @@
 """Model search under the three-window protocol, on MLlib.
 
 Encoders and models are fitted on the train window only, compared on the selection window, and measured
-once on the holdout. Families without an MLlib equivalent are registered as unavailable."""
+once on the holdout. Families without an MLlib equivalent are named in ``UNAVAILABLE``."""
 
 from __future__ import annotations
 
+import importlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import feature as X
 from pyspark.ml import regression as R
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.values import kind_of
+from ..functions import values as V
+from ..session import settled
 from . import evaluation as E
+from .ranking import row_numbers
 
 #: Tokens that mean the positive class.
 POSITIVE = ("1", "1.0", "true", "si", "sí", "y", "yes")
 #: Families that MLlib lacks.
 UNAVAILABLE = ("knn", "extra_trees", "adaboost", "mlp_regression", "multiclass_gbt", "hist_gradient_boosting", "lightgbm", "xgboost", "catboost")
+#: Levels of a category that get a column of their own; the others share none.
+LEVELS = 25
 
 
 @dataclass(frozen=True)
@@ -32,6 +40,7 @@ class Family:
     grid: tuple[dict, ...] = ({},)
     scaled: bool = False
     tasks: tuple[str, ...] = ("binary",)
+    max_rows: int | None = None  # beyond it the family is not tried
 
 
 FAMILIES = (
@@ -40,112 +49,379 @@ FAMILIES = (
     Family("decision_tree", C.DecisionTreeClassifier, ({"maxDepth": 5, "seed": 7},), False, ("binary", "multiclass")),
     Family("random_forest", C.RandomForestClassifier, ({"numTrees": 20, "seed": 7},), False, ("binary", "multiclass")),
     Family("gradient_boosting", C.GBTClassifier, ({"maxIter": 15, "seed": 7},), False, ("binary",)),
-    Family("linear", R.LinearRegression, ({"regParam": 0.01},), True, ("regression",)),
+    Family("linear_svm", C.LinearSVC, ({"maxIter": 30},), True, ("binary",)),
+    Family("naive_bayes", C.NaiveBayes, ({"modelType": "gaussian"},), False, ("binary", "multiclass")),
+    Family("mlp", C.MultilayerPerceptronClassifier, ({"maxIter": 60, "seed": 7},), True, ("binary", "multiclass"), 2_000_000),
+    Family("factorization", C.FMClassifier, ({"maxIter": 30, "seed": 7, "stepSize": 0.05},), True, ("binary",)),
+    Family("linear", R.LinearRegression, ({"regParam": 0.01}, {"regParam": 0.1, "elasticNetParam": 0.5}), True, ("regression",)),
+    Family("tree_regression", R.DecisionTreeRegressor, ({"maxDepth": 5, "seed": 7},), False, ("regression",)),
+    Family("generalized_linear", R.GeneralizedLinearRegression, ({"family": "gaussian", "regParam": 0.01},), True, ("regression",)),
     Family("forest_regression", R.RandomForestRegressor, ({"numTrees": 20, "seed": 7},), False, ("regression",)),
     Family("boosting_regression", R.GBTRegressor, ({"maxIter": 15, "seed": 7},), False, ("regression",)),
 )
 
 
-def encode_binary(df: DataFrame, target: str) -> DataFrame:
-    """``label`` 1 for the canonical positive token, else for the rarer of two values."""
-    text = F.lower(F.col(target).cast("string"))
-    rarest = df.where(F.col(target).isNotNull()).groupBy(text.alias("v")).count().orderBy("count", "v").collect()[:3]
-    known = [r["v"] for r in rarest if r["v"] in POSITIVE]
-    return df.where(F.col(target).isNotNull()).withColumn("label", (text == F.lit(known[0] if known else rarest[0]["v"])).cast("double"))
-
-
-def feature_stages(df: DataFrame, target: str, text: list[str] = (), levels: int = 25, vocabulary: int = 400, components: int = 24) -> list:
-    """Numbers imputed by median and scaled, categories one-hot, texts as TF-IDF projected on components."""
-    kinds = {f.name: kind_of(f.dataType) for f in df.schema if f.name not in (target, "label", "split", *text)}
-    numeric = [c for c, k in kinds.items() if k in ("numeric",)]
-    categories = [c for c, k in kinds.items() if k == "categorical"]
-    stages, inputs = [], []
-    if numeric:
-        stages += [X.Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__n" for c in numeric]), X.VectorAssembler(inputCols=[f"{c}__n" for c in numeric], outputCol="__numbers"), X.StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True)]
-        inputs.append("__scaled")
-    for c in categories:
-        stages += [X.StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep", stringOrderType="frequencyDesc"), X.OneHotEncoder(inputCol=f"{c}__i", outputCol=f"{c}__o", handleInvalid="keep")]
-        inputs.append(f"{c}__o")
+_REGISTERED: list[Family] = []
+
+
+def register(family: Family) -> None:
+    """Add a family of one's own; it takes part in every later search for its tasks."""
+    _REGISTERED.append(family)
+
+
+def families_for(task: str, rows: int, families: tuple[Family, ...] = FAMILIES) -> list[Family]:
+    return [f for f in (*families, *_REGISTERED) if task in f.tasks and (f.max_rows is None or rows <= f.max_rows)]
+
+
+def encode_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with ``label`` in place of the target, and the names of the classes (none for regression).
+
+    Binary: 1 for the canonical positive token, else for the rarer of two values; more values are an error.
+    Multiclass: the place among the values by frequency, the most frequent first."""
+    known = df.where(F.col(target).isNotNull())
+    if task == "regression":
+        return known.withColumn("label", F.col(target).cast("double")).where("label IS NOT NULL").drop(*([target] if target != "label" else [])), []
+    text = F.col(target).cast("string")
+    text = F.lower(text) if task == "binary" else text
+    most = 3 if task == "binary" else 201
+    values = [r["v"] for r in known.groupBy(text.alias("v")).count().orderBy("count" if task == "binary" else F.col("count").desc(), "v").limit(most).collect()]
+    if len(values) >= most:
+        raise ValueError(f"{target} has {len(values)} values or more: not a {task} target")
+    if task == "binary":
+        positive = next((v for v in values if v in POSITIVE), values[0] if values else "")
+        values = [*[v for v in values if v != positive], positive]
+        values = values if len(values) == 2 else [f"not {positive}", positive]
+        label = (text == F.lit(positive)).cast("double")
+    else:
+        label = F.array_position(F.lit(values), text).cast("double") - 1
+    return known.withColumn("label", label).drop(*([target] if target != "label" else [])), values
+
+
+def log_companions(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns for which log1p is a feature too: over 30 finite values, none negative, skewness over 2."""
+    if not columns:
+        return []
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    r = df.agg(*[x for c in columns for x in (F.count(value(c)).alias(f"{c}__c"), F.min(value(c)).alias(f"{c}__lo"), F.max(value(c)).alias(f"{c}__hi"), F.skewness(value(c)).alias(f"{c}__s"))]).first()
+    return [c for c in columns if r[f"{c}__c"] > 30 and r[f"{c}__lo"] >= 0 and r[f"{c}__hi"] > 0 and (r[f"{c}__s"] or 0) > 2]
+
+
+def frequent_levels(df: DataFrame, columns: list[str], levels: int = LEVELS) -> dict[str, list[str]]:
+    """By column its most frequent values, all columns in one exchange; a null is the level ``(nulo)``."""
+    if not columns:
+        return {}
+    from .profile import value_counts
+
+    filled = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("(nulo)")).alias(c) for c in columns])
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value"))
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for r in value_counts(filled, columns).withColumn("place", place).where(F.col("place") <= levels).orderBy("column", "place").collect():
+        found[r["column"]].append(r["value"])
+    return found
+
+
+@dataclass
+class Features:
+    """What the train window says about the columns: fixed expressions and one fitted pipeline give two vectors, ``features`` for trees and
+    ``scaled`` for linear models. ``names`` are those of the vectors' places; ``base_of`` gives the column behind a place."""
+
+    numeric: list[str]
+    logs: list[str]
+    levels: dict[str, list[str]]
+    text: list[str]
+    names: list[str] = field(default_factory=list)
+    pipeline: PipelineModel | None = None
+    keep: list[int] | None = None  # places that importance pruning kept
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        made = [F.log1p(F.greatest(F.col(f"`{c}`").cast("double"), F.lit(0.0))).alias(f"{c}__log") for c in self.logs]
+        made += [(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("(nulo)")) == F.lit(v)).cast("double").alias(f"{c}={i}") for c, vs in self.levels.items() for i, v in enumerate(vs)]
+        numbers = [F.when(V.is_finite(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")).alias(f"{c}__n") for c in self.numeric]
+        return df.select("*", *numbers, *made, *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(f"{c}__txt") for c in self.text])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.pipeline.transform(self.prepared(df))
+
+
+def base_of(name: str) -> str:
+    """The column behind a feature: ``x__log``, ``x=value`` and ``x__txt3`` are all ``x``."""
+    for mark in ("__log", "__txt", "__n"):
+        at = name.rfind(mark)
+        if at > 0 and (mark == "__txt" or name.endswith(mark)):
+            return name[:at]
+    return name.partition("=")[0]
+
+
+def fit_features(df: DataFrame, text: list[str] = (), levels: int = LEVELS, vocabulary: int = 400, components: int = 24, keep: list[int] | None = None) -> Features:
+    """Fit on the train window: medians and scales, at most ``levels`` values a category, log companions, texts as TF-IDF projected on components."""
+    kinds = {f.name: V.kind_of(f.dataType) for f in df.schema if f.name not in ("label", "split", *text)}
+    numeric = [c for c, k in kinds.items() if k in ("numeric", "boolean")]
+    out = Features(numeric, log_companions(df, [c for c in numeric if kinds[c] == "numeric"]), frequent_levels(df, [c for c, k in kinds.items() if k == "categorical"], levels), list(text))
+    numbers = [f"{c}__n" for c in numeric] + [f"{c}__log" for c in out.logs]
+    marks = [f"{c}={i}" for c, vs in out.levels.items() for i in range(len(vs))]
+    stages: list = []
+    if numbers:
+        stages += [X.Imputer(strategy="median", inputCols=numbers, outputCols=[f"{c}__i" for c in numbers])]
     for c in text:
         stages += [
-            X.RegexTokenizer(inputCol=c, outputCol=f"{c}__w", pattern=r"[^\p{L}\p{N}]+"), X.NGram(n=2, inputCol=f"{c}__w", outputCol=f"{c}__2"),
+            X.RegexTokenizer(inputCol=f"{c}__txt", outputCol=f"{c}__w", pattern=r"[^\p{L}\p{N}]+"), X.NGram(n=2, inputCol=f"{c}__w", outputCol=f"{c}__2"),
             X.SQLTransformer(statement=f"SELECT *, concat(`{c}__w`, `{c}__2`) AS `{c}__t` FROM __THIS__"),
             X.CountVectorizer(inputCol=f"{c}__t", outputCol=f"{c}__c", vocabSize=vocabulary, minDF=2), X.IDF(inputCol=f"{c}__c", outputCol=f"{c}__v"), X.PCA(k=components, inputCol=f"{c}__v", outputCol=f"{c}__p"),
         ]
-        inputs.append(f"{c}__p")
-    return [*stages, X.VectorAssembler(inputCols=inputs, outputCol="features")]
+    stages.append(X.VectorAssembler(inputCols=[*[f"{c}__i" for c in numbers], *marks, *[f"{c}__p" for c in text]], outputCol="__all" if keep else "features", handleInvalid="keep"))
+    if keep:
+        stages.append(X.VectorSlicer(inputCol="__all", outputCol="features", indices=keep))
+    stages.append(X.StandardScaler(inputCol="features", outputCol="scaled", withMean=True))
+    out.pipeline = Pipeline(stages=stages).fit(out.prepared(df))
+    out.names = [*[c.removesuffix("__n") for c in numbers], *[f"{c}={v}" for c, vs in out.levels.items() for v in vs], *[f"{c}__txt{i}" for c in text for i in range(components)]]
+    out.names = [out.names[i] for i in keep] if keep else out.names
+    out.keep = keep
+    return out
 
 
 @dataclass
 class Trained:
+    task: str
+    classes: list[str]
+    features: Features
+    models: dict[str, object]
     champion: str
-    models: dict[str, PipelineModel]
-    encoder: PipelineModel
+    members: list[str]
     leaderboard: list[dict] = field(default_factory=list)
     holdout: dict = field(default_factory=dict)
-    members: list[str] = field(default_factory=list)
     calibrator: object | None = None
+    smearing: float | None = None  # set where the model predicts log1p of the target
+    threshold: float = 0.5
+
+    def _raw(self, df: DataFrame) -> DataFrame:
+        out = self.features.transform(df)
+        for i, m in enumerate(self.members):
+            scored = self.models[m].transform(out)
+            given = vector_to_array("probability") if self.task != "regression" and "probability" in scored.columns else None
+            if self.task != "regression" and given is None:  # a margin: its logistic
+                margin = vector_to_array("rawPrediction")[1]
+                given = F.array(1 / (1 + F.exp(margin)), 1 / (1 + F.exp(-margin)))
+            out = scored.withColumn(f"__m{i}", F.col("prediction") if given is None else given).drop("probability", "rawPrediction", "prediction")
+        return out
 
     def score(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``prob`` (mean of the champion's members, calibrated if that helped)."""
-        out = self.encoder.transform(df)
-        names = []
+        """``df`` with ``prob`` (binary), ``prediccion`` and, for classes, ``confianza``: the mean of the champion's members."""
+        out, n = self._raw(df), len(self.members)
+        parts = [F.col(f"__m{i}") for i in range(n)]
+        if self.task == "regression":
+            mean = sum(parts[1:], parts[0]) / n
+            guess = mean
+            if self.smearing is not None:
+                guess = F.greatest(F.exp(F.least(mean, F.lit(700.0))) * F.lit(self.smearing) - 1, F.lit(0.0))
+            return out.withColumn("prediccion", guess).select(*df.columns, "prediccion")
+        mean = F.array(*[sum((p[k] for p in parts[1:]), parts[0][k]) / n for k in range(len(self.classes))])
+        out = out.withColumn("__mean", mean)
+        if self.task == "multiclass":
+            best = F.array_position("__mean", F.array_max("__mean")).cast("int")
+            return out.withColumns({"prediccion": F.element_at(F.lit(self.classes), best), "confianza": F.array_max("__mean")}).select(*df.columns, "prediccion", "confianza")
+        out = out.withColumn("prob", F.col("__mean")[1])
+        if self.calibrator is not None:
+            out = self.calibrator.transform(out.withColumn("__x", F.col("prob"))).withColumn("prob", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)))
+        return out.select(*df.columns, "prob", (F.col("prob") >= F.lit(self.threshold)).alias("prediccion"), F.abs(F.col("prob") - F.lit(self.threshold)).alias("confianza"))
+
+    def score_records(self, spark: SparkSession, records: list[dict]) -> list[dict]:
+        """Predictions for a few rows given as dictionaries; columns that are missing are null."""
+        names = [*self.features.numeric, *self.features.levels, *self.features.text]
+        schema = T.StructType([T.StructField(n, T.DoubleType() if n in self.features.numeric else T.StringType()) for n in names])
+        rows = [tuple(None if r.get(n) is None else float(r[n]) if n in self.features.numeric else str(r[n]) for n in names) for r in records]
+        return [r.asDict() for r in self.score(spark.createDataFrame(rows, schema).coalesce(1)).collect()]
+
+    def importance(self) -> dict[str, float]:
+        """Share of each column in the members' own importances (splits of trees, sizes of coefficients)."""
+        total: dict[str, float] = {}
+        for m in self.members:
+            model = self.models[m].stages[-1] if isinstance(self.models[m], PipelineModel) else self.models[m]
+            if hasattr(model, "featureImportances"):
+                sizes = model.featureImportances.toArray()
+            elif hasattr(model, "coefficientMatrix"):
+                sizes = np.abs(model.coefficientMatrix.toArray()).mean(axis=0)
+            elif hasattr(model, "coefficients"):
+                sizes = np.abs(model.coefficients.toArray())
+            else:
+                continue
+            for name, size in zip(self.features.names, sizes / (sizes.sum() or 1.0), strict=False):
+                total[base_of(name)] = total.get(base_of(name), 0.0) + float(size) / len(self.members)
+        return dict(sorted(total.items(), key=lambda kv: (-kv[1], kv[0])))
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        """A folder with the fitted pipeline, the champion's members and a card."""
+        self.features.pipeline.write().overwrite().save(f"{path}/features")
         for m in self.members:
-            out = self.models[m].transform(out).withColumn(f"__{m}", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
-            names.append(F.col(f"__{m}"))
-        scored = out.withColumn("prob", sum(names[1:], names[0]) / len(names))
+            self.models[m].write().overwrite().save(f"{path}/models/{m}")
         if self.calibrator is not None:
-            scored = self.calibrator.transform(scored.withColumn("__x", F.col("prob"))).withColumn("prob", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)))
-        return scored.select(*df.columns, "prob", (F.col("prob") >= 0.5).alias("prediccion"), F.abs(F.col("prob") - 0.5).alias("confianza"))
+            self.calibrator.write().overwrite().save(f"{path}/calibrator")
+        f = self.features
+        card = {
+            "task": self.task, "classes": self.classes, "champion": self.champion, "members": self.members, "leaderboard": self.leaderboard, "holdout": self.holdout, "smearing": self.smearing, "threshold": self.threshold,
+            "features": {"numeric": f.numeric, "logs": f.logs, "levels": f.levels, "text": f.text, "names": f.names, "keep": f.keep}, "kinds": {m: type(self.models[m]).__module__ + "." + type(self.models[m]).__name__ for m in self.members},
+            "calibrated": self.calibrator is not None,
+        }
+        spark.createDataFrame([(json.dumps(card),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/card")
 
 
-def train_binary(df: DataFrame, target: str, text: list[str] = (), families: tuple[Family, ...] = FAMILIES, ensemble: int = 3) -> Trained:
-    """``df`` has ``split``. Leaderboard by AUC on the selection window; mean of the best three competes too."""
-    rows = encode_binary(df, target).drop(target) if target != "label" else df
-    encoder = Pipeline(stages=feature_stages(rows, "label", text)).fit(rows.where("split = 'train'"))
-    ready = encoder.transform(rows).select("label", "split", "features").persist()
-    train, selection = ready.where("split = 'train'"), ready.where("split = 'selection'")
-    board, models = [], {}
-    for family in (f for f in families if "binary" in f.tasks):
+def read_card(path: str, spark: SparkSession) -> dict:
+    return json.loads(spark.read.text(f"{path}/card").first()[0])
+
+
+def load(path: str, spark: SparkSession) -> Trained:
+    """The model that ``save`` left at ``path``, ready to score."""
+    card = read_card(path, spark)
+    features = Features(pipeline=PipelineModel.load(f"{path}/features"), **card["features"])
+    models = {}
+    for m, kind in card["kinds"].items():
+        module, _, name = kind.rpartition(".")
+        models[m] = getattr(importlib.import_module(module), name).load(f"{path}/models/{m}")
+    calibrator = R.IsotonicRegressionModel.load(f"{path}/calibrator") if card["calibrated"] else None
+    return Trained(card["task"], card["classes"], features, models, card["champion"], card["members"], card["leaderboard"], card["holdout"], calibrator, card["smearing"], card["threshold"])
+
+
+def list_cards(root: str, spark: SparkSession) -> list[tuple[str, dict]]:
+    """The models below a folder, with their cards."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/card")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    paths = sorted(str(f.getPath().getParent().toString()) for f in found)
+    return [(p, read_card(p, spark)) for p in paths]
+
+
+def delete(path: str, spark: SparkSession) -> None:
+    """Remove a saved model; a folder without a card is refused."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/card")):
+        raise ValueError(f"{path} is not a saved model")
+    fs.delete(where, True)
+
+
+def measured(scored: DataFrame, task: str, classes: list[str], threshold: float | None = 0.5) -> dict:
+    """The task's metrics of scored rows that have ``label``."""
+    if task == "binary":
+        return E.binary_metrics(scored, "prob", F.col("label") == 1, threshold).first().asDict()
+    if task == "multiclass":
+        named = scored.withColumn("__truth", F.element_at(F.lit(classes), F.col("label").cast("int") + 1))
+        return E.multiclass_metrics(named, "__truth", "prediccion").first().asDict()
+    return E.regression_metrics(scored, "label", "prediccion").first().asDict()
+
+
+def wants_log(df: DataFrame) -> bool:
+    """Is a regression target better predicted by its logarithm: 50 rows or more, none negative, skewness over 1.5."""
+    r = df.agg(F.count("label").alias("n"), F.min("label").alias("lo"), F.skewness("label").alias("s")).first()
+    return r["n"] >= 50 and r["lo"] >= 0 and (r["s"] or 0) > 1.5
+
+
+def train(df: DataFrame, target: str, task: str, text: list[str] = (), families: tuple[Family, ...] = FAMILIES, ensemble: int = 3, log_target: bool | None = None, prune: bool = False) -> Trained:
+    """``df`` has ``split``. Every family is fitted on the train window and compared on the selection window by the task's primary
+    metric; the mean of the best ``ensemble`` competes too; the champion is measured once on the holdout."""
+    rows, classes = encode_target(df, target, task)
+    train_rows = rows.where("split = 'train'")
+    features = fit_features(train_rows, text)
+    in_log = task == "regression" and (wants_log(train_rows) if log_target is None else log_target)
+    metric = E.PRIMARY[task]
+    ready = settled(features.transform(rows).withColumn("__y", F.log1p("label") if in_log else F.col("label")).select("__y", "split", "features", "scaled"))
+    fit_rows = ready.where("split = 'train'")
+    size = fit_rows.count()
+    selection = rows.where("split = 'selection'")
+    models: dict[str, object] = {}
+    board: list[dict] = []
+
+    def candidate(name: str, members: list[str]) -> Trained:
+        out = Trained(task, classes, features, models, name, members)
+        if in_log:
+            guess = out._raw(train_rows).withColumn("__g", sum((F.col(f"__m{i}") for i in range(1, len(members))), F.col("__m0")) / len(members))
+            out.smearing = smearing_factor(guess, "label", "__g")
+        return out
+
+    for family in families_for(task, size, families):
         for i, params in enumerate(family.grid):
             name = family.name if not i else f"{family.name}_{i}"
-            models[name] = family.make(featuresCol="features", labelCol="label", **params).fit(train)
-            scored = models[name].transform(selection).withColumn("p", vector_to_array("probability")[1])
-            board.append({"model": name, "auc": E.binary_metrics(scored, "p", F.col("label") == 1, 0.5).first()["auc"]})
-    board.sort(key=lambda r: (-(r["auc"] or 0), r["model"]))
-    out = Trained(board[0]["model"], models, encoder, board, members=[board[0]["model"]])
+            more = {"layers": [len(features.names), 16, len(classes)]} if family.make is C.MultilayerPerceptronClassifier else {}
+            models[name] = family.make(featuresCol="scaled" if family.scaled else "features", labelCol="__y", **params, **more).fit(fit_rows)
+            board.append({"model": name, metric: measured(candidate(name, [name]).score(selection), task, classes)[metric]})
+    sign = -1 if E.CATALOGUE[metric][0] == "higher" else 1
+    board.sort(key=lambda r: (r[metric] is None, sign * (r[metric] or 0), r["model"]))
     best = [r["model"] for r in board[:ensemble]]
-    mean = Trained("ensemble", models, encoder, members=best)
-    auc = E.binary_metrics(mean.score(rows.where("split = 'selection'")), "prob", F.col("label") == 1, 0.5).first()["auc"]
-    board.append({"model": "ensemble", "auc": auc})
-    if auc and auc > (board[0]["auc"] or 0):
-        out.champion, out.members = "ensemble", best
-    out.calibrator = _calibrated(out, rows.where("split = 'selection'"))
-    out.holdout = E.binary_metrics(out.score(rows.where("split = 'holdout'")), "prob", F.col("label") == 1).first().asDict()
-    ready.unpersist()
-    return out
+    champion = candidate(board[0]["model"], best[:1])
+    if len(best) > 1:
+        mean = candidate("ensemble", best)
+        board.append({"model": "ensemble", metric: measured(mean.score(selection), task, classes)[metric]})
+        if E.better(metric, board[-1][metric], board[0][metric]):
+            champion = mean
+    champion.leaderboard = board
+    if task == "binary":
+        champion.calibrator = _calibrated(champion, selection)
+    champion.holdout = measured(champion.score(rows.where("split = 'holdout'")), task, classes, None)
+    if prune:
+        return _pruned(champion, df, target, text, families, ensemble, log_target)
+    return champion
+
+
+def _pruned(model: Trained, df: DataFrame, target: str, text: list[str], families: tuple[Family, ...], ensemble: int, log_target: bool | None, share: float = 0.995, least: int = 5, loss: float = 0.002) -> Trained:
+    """The model without the columns behind the last 0.5 % of importance, if it loses no more than ``loss`` on the selection window."""
+    ranked, kept, total = model.importance(), [], 0.0
+    for column, size in ranked.items():
+        if total < share or len(kept) < least:
+            kept.append(column)
+        total += size
+    dropped = [c for c in ranked if c not in kept]
+    if not dropped:
+        return model
+    smaller = train(df.drop(*dropped), target, model.task, [t for t in text if t in kept], families, ensemble, log_target)
+    metric = E.PRIMARY[model.task]
+    best = lambda m: next(r[metric] for r in m.leaderboard if r["model"] == m.champion)
+    worse = best(model) - best(smaller) if E.CATALOGUE[metric][0] == "higher" else best(smaller) - best(model)
+    return smaller if worse <= loss else model
+
+
+def train_binary(df: DataFrame, target: str, text: list[str] = (), families: tuple[Family, ...] = FAMILIES, ensemble: int = 3) -> Trained:
+    return train(df, target, "binary", text, families, ensemble)
 
 
 def _calibrated(model: Trained, selection: DataFrame):
-    """Isotonic calibration, kept only if it lowers the calibration error on the selection window."""
-    scored = model.score(selection).select("label", F.col("prob").alias("__x"))
-    iso = R.IsotonicRegression(featuresCol="__x", labelCol="label").fit(scored)
+    """Isotonic calibration, fitted on one half of the selection window and kept only if it lowers the error on the other."""
+    scored = settled(model.score(selection).select("label", F.col("prob").alias("__x"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in selection.columns if c != "label"]), F.lit(2)).alias("__half")))
+    iso = R.IsotonicRegression(featuresCol="__x", labelCol="label").fit(scored.where("__half = 0"))
+    other = scored.where("__half = 1")
     error = lambda d, c: E.expected_calibration_error(d, c, F.col("label") == 1).first()["ece"]
-    return iso if error(iso.transform(scored), "prediction") < error(scored, "__x") else None
+    after, before = error(iso.transform(other), "prediction"), error(other, "__x")
+    return iso if after is not None and before is not None and after < before else None
 
 
-def permutation_importance(model: Trained, df: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """AUC lost when one column's values are dealt to other rows (by hash order)."""
-    base = E.binary_metrics(model.score(df), "prob", F.col("label") == 1, 0.5).first()["auc"]
-    from .ranking import row_numbers
+def permutation_importance(model: Trained, df: DataFrame, columns: list[str], key: str, repeats: int = 1) -> DataFrame:
+    """How much worse the task's primary metric is when one column's values are dealt to other rows (by hash order of ``key``).
 
-    rows = []
-    for c in columns:
-        left = row_numbers(df.drop(c), [F.xxhash64(F.col(key), F.lit(1)), F.col(key)], "__row")
-        right = row_numbers(df.select(c, key), [F.xxhash64(F.col(key), F.lit(2)), F.col(key)], "__row").select("__row", c)
-        shuffled = left.join(right, "__row").drop("__row").select(*df.columns)
-        rows.append((c, float(base - E.binary_metrics(model.score(shuffled), "prob", F.col("label") == 1, 0.5).first()["auc"])))
-    return df.sparkSession.createDataFrame(rows, "column string, drop double")
+    The rows are numbered once in one order and once a repeat in another; a column is exchanged by joining the two numbers."""
+    metric = E.PRIMARY[model.task]
+    sign = 1 if E.CATALOGUE[metric][0] == "higher" else -1
+    base = measured(model.score(df), model.task, model.classes)[metric]
+    left = row_numbers(df, [F.xxhash64(F.col(key), F.lit(0)), F.col(key)], "__row")
+    drops = dict.fromkeys(columns, 0.0)
+    for repeat in range(1, repeats + 1):
+        right = row_numbers(df.select(key, *columns), [F.xxhash64(F.col(key), F.lit(repeat)), F.col(key)], "__row")
+        both = settled(left.join(right.select("__row", *[F.col(f"`{c}`").alias(f"__other_{c}") for c in columns]), "__row"))
+        for c in columns:
+            shuffled = both.select(*[F.col(f"`__other_{c}`").alias(c) if n == c else F.col(f"`{n}`") for n in df.columns])
+            drops[c] += sign * (base - measured(model.score(shuffled), model.task, model.classes)[metric]) / repeats
+    return df.sparkSession.createDataFrame([(c, float(d)) for c, d in drops.items()], "column string, drop double")
+
+
+def conditional_effects(model: Trained, df: DataFrame, column: str, levels: int = 10) -> DataFrame:
+    """Mean prediction by level of a category or tenth of a number: the direction in which a column moves the prediction."""
+    value = "prob" if model.task == "binary" else "prediccion"
+    scored = model.score(df)
+    if V.kind_of(df.schema[column].dataType) == "numeric":
+        from .profile import exact_quantiles
+
+        edges = sorted({q for q in exact_quantiles(df, [column], [i / levels for i in range(1, levels)])[column] if q is not None})
+        level = F.size(F.filter(F.lit(edges), lambda e: e <= F.col(f"`{column}`"))).cast("string") if edges else F.lit("0")
+    else:
+        named = frequent_levels(df, [column], levels)[column]
+        level = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("(nulo)"))
+        level = F.when(level.isin(named), level).otherwise("(otros)")
+    return scored.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
 
 
 def smearing_factor(df: DataFrame, truth: str, log_guess: str) -> float:
@@ -154,8 +430,31 @@ def smearing_factor(df: DataFrame, truth: str, log_guess: str) -> float:
     return min(5.0, max(0.2, f if f is not None else 1.0))
 
 
-def verdict(auc: float | None, ece: float | None = None, gap: float | None = None) -> list[str]:
-    """Remarks on a binary model, by fixed thresholds."""
-    said = ["suspiciously good: look for leakage" if (auc or 0) >= 0.99 else "strong" if (auc or 0) >= 0.85 else "useful" if (auc or 0) >= 0.70 else "weak"]
+def verdict(auc: float | None = None, ece: float | None = None, gap: float | None = None, bias: float | None = None) -> list[str]:
+    """Remarks on a model, by fixed thresholds."""
+    said = [] if auc is None else ["suspiciously good: look for leakage" if auc >= 0.99 else "strong" if auc >= 0.85 else "useful" if auc >= 0.70 else "weak"]
     said += ["poorly calibrated"] if (ece or 0) > 0.05 else []
+    said += ["biased: totals are off"] if abs(bias or 0) > 0.05 else []
     return said + (["overfitted: selection and holdout differ"] if abs(gap or 0) > 0.05 else [])
+
+
+def judged(model: Trained) -> list[str]:
+    """``verdict`` on a trained model: its holdout figures and the gap between selection and holdout."""
+    metric = E.PRIMARY[model.task]
+    chosen = next((r[metric] for r in model.leaderboard if r["model"] == model.champion), None)
+    held = model.holdout.get(metric)
+    return verdict(model.holdout.get("auc"), model.holdout.get("ece"), None if chosen is None or held is None else chosen - held, model.holdout.get("bias"))
+
+
+def explained(model: Trained, permuted: dict[str, float], effects: dict[str, str] | None = None, top: int = 5) -> list[str]:
+    """One sentence a column, by the mean of its places in the models' own importances and in the permuted ones."""
+    own = list(model.importance())
+    by_drop = sorted(permuted, key=lambda c: (-permuted[c], c))
+    place = lambda names, c: names.index(c) if c in names else len(names)
+    ranked = sorted(set(own) | set(permuted), key=lambda c: (place(own, c) + place(by_drop, c), c))
+    said = []
+    for c in ranked[:top]:
+        drop = permuted.get(c)
+        weight = "carries the prediction" if (drop or 0) > 0.05 else "contributes" if (drop or 0) > 0.005 else "matters little"
+        said.append(f"{c} {weight}" + (f"; {effects[c]}" if effects and c in effects else ""))
+    return said

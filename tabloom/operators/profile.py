@@ -26,13 +26,41 @@ def _melt(row: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*each)))
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float | None]]:
+    """Interpolated quantiles of finite values, by column. Values are counted once for all columns and dealt by range with
+    running totals, so no task holds a column; two rows a quantile reach the driver."""
+    from .ranking import running_total
+
+    finite = lambda c: F.when(is_finite(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), finite(c).alias("v")) for i, c in enumerate(columns)]))
+    counted = df.select(pairs.alias("p")).select("p.*").where("v IS NOT NULL").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    ordered = running_total(counted, [F.col("c"), F.col("v")], {"upto": F.col("n")})
+    sizes = {r["c"]: r["n"] for r in ordered.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    before, wanted = 0, []
+    for i in range(len(columns)):
+        for p in probabilities if i in sizes else ():
+            at = p * (sizes[i] - 1)
+            wanted += [(i, p, before + int(at), at - int(at)), (i, p, before + min(int(at) + 1, sizes[i] - 1), at - int(at))]
+        before += sizes.get(i, 0)
+    places = sorted({w[2] for w in wanted})
+    first = F.col("upto") - F.col("n")
+    inside = F.filter(F.lit(places) if places else F.array().cast("array<bigint>"), lambda x: (x >= first) & (x < F.col("upto")))
+    value_at = {r["at"]: r["v"] for r in ordered.select("v", F.explode(inside).alias("at")).collect()}
+    found: dict[str, list[float | None]] = {}
+    for i, c in enumerate(columns):
+        mine = [w for w in wanted if w[0] == i]
+        found[c] = [value_at[lo[2]] + (value_at[hi[2]] - value_at[lo[2]]) * lo[3] for lo, hi in zip(mine[::2], mine[1::2], strict=True)] or [None] * len(probabilities)
+    return found
+
+
 def numeric_profile(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """One row per column: counts, moments and quantiles (``exact`` ones hold a column's distinct values)."""
+    """One row per column: counts, moments and quantiles (exact by range-dealt counts, or approximate in the one aggregation)."""
+    exact_at = exact_quantiles(df, columns, list(QUANTILES.values())) if exact else {}
     aggs, fields = [], ["rows", "nulls", "null_pct", "zeros", "negatives", "min", "max", "mean", "std", "skew", "kurt", "cv", *QUANTILES]
     for name in columns:
         value = F.col(f"`{name}`").cast("double")
         c = F.when(is_finite(value), value)
-        q = F.percentile(c, F.array(*map(F.lit, QUANTILES.values()))) if exact else F.percentile_approx(c, list(QUANTILES.values()), 10_000)
+        q = [F.lit(v).cast("double") for v in exact_at[name]] if exact else F.percentile_approx(c, list(QUANTILES.values()), 10_000)
         made = {
             "rows": F.count(F.lit(1)), "nulls": F.count_if(value.isNull()), "null_pct": F.round(100 * F.count_if(value.isNull()) / F.count(F.lit(1)), 3),
             "zeros": F.count_if(c == 0), "negatives": F.count_if(c < 0), "min": F.min(c), "max": F.max(c), "mean": F.avg(c), "std": F.stddev_samp(c),
@@ -45,10 +73,10 @@ def numeric_profile(df: DataFrame, columns: list[str], exact: bool = True) -> Da
 
 def outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """Tukey fences of all columns in one pass, then the rows outside in a second."""
-    bounds = df.agg(*[F.percentile(f"`{c}`", F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns]).first()
+    bounds = exact_quantiles(df, columns, [0.25, 0.75])
     aggs, fields = [], ["low", "high", "outliers", "outlier_pct"]
     for c in columns:
-        q1, q3 = bounds[c] or (0.0, 0.0)
+        q1, q3 = (v if v is not None else 0.0 for v in bounds[c])
         low, high = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
         out = F.count_if((F.col(f"`{c}`") < low) | (F.col(f"`{c}`") > high))
         aggs += [F.lit(float(low)).alias(f"{c}__low"), F.lit(float(high)).alias(f"{c}__high"), out.alias(f"{c}__outliers")]
@@ -59,8 +87,9 @@ def outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFram
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Fixed-width bins over [p01, p99] (or [min, max]); values outside are left out, empty bins are 0."""
     c = F.col(f"`{column}`").cast("double")
-    r = df.agg(F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias("q"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-    low, high = r["q"] if r["q"] and r["q"][1] > r["q"][0] else (r["lo"], r["hi"])
+    low, high, least, most = (exact_quantiles(df, [column], [0.01, 0.99, 0.0, 1.0]))[column]
+    if low is None or high <= low:
+        low, high = least, most
     spark = df.sparkSession
     if low is None or high <= low:
         return spark.createDataFrame([], "bin long, low double, high double, n long")

@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import settled
 
 
 def running_total(df: DataFrame, order: list[Column], amounts: dict[str, Column], partitions: int | None = None) -> DataFrame:
@@ -14,7 +17,8 @@ def running_total(df: DataFrame, order: list[Column], amounts: dict[str, Column]
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = df.withColumns({f"__a_{k}": v for k, v in amounts.items()})
-    dealt = named.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).persist()
+    dealt = named.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    dealt = settled(dealt)  # both passes must see one dealing
     totals = dealt.groupBy("__part").agg(*[F.sum(f"__a_{k}").alias(k) for k in amounts]).collect()
     before: dict[int, dict] = {}
     seen = dict.fromkeys(amounts, 0)
@@ -55,10 +59,52 @@ def top_n(df: DataFrame, by: str, n: int, ties: list[str]) -> DataFrame:
     return df.orderBy(F.col(by).desc_nulls_last(), *ties).limit(n)
 
 
+def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 7) -> DataFrame:
+    """Exactly ``n`` rows (or all), chosen by a hash of their key: the same rows on every run and for every layout."""
+    return df.orderBy(_drawn(key, seed), *key).limit(n)
+
+
+def sample_fraction(df: DataFrame, fraction: float, key: list[str], seed: int = 7) -> DataFrame:
+    """Each row with the given probability, by a hash of its key; no exchange."""
+    return df.where(_drawn(key, seed) < F.lit(f"{int(fraction * (1 << 32)):08x}")) if fraction < 1 else df
+
+
+def _drawn(key: list[str], seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
+
+
+def text_samples(df: DataFrame, columns: list[str], k: int = 8, width: int = 45, most: int = 260) -> DataFrame:
+    """By text column its ``k`` most frequent values, cut to ``width`` and joined by a bar, ``most`` characters at most."""
+    from .profile import value_counts
+
+    counted = value_counts(df, columns)
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value"))
+    best = counted.withColumn("place", place).where(F.col("place") <= k)  # the limit is applied before rows move
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.substring("value", 1, width).alias("v")))), lambda s: s["v"]), "|")
+    return best.groupBy("column").agg(F.substring(joined, 1, most).alias("samples"))
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str, allow_equal: bool = True) -> DataFrame:
-    """``left`` with the latest ``value`` of ``right`` (same ``key``, time not after ``at``)."""
+    """``left`` with the latest ``value`` of ``right`` (same ``key``, time not after ``at``).
+
+    Rows are dealt by (key, time) range, so the rows of a hot key lie in many tasks; each part starts with the
+    last value of its first key from the parts before it (one value a part goes to the driver)."""
     rows = left.withColumn("__side", F.lit(1 if allow_equal else 0)).withColumn(value, F.lit(None).cast(right.schema[value].dataType))
     events = right.select(key, at, value).withColumn("__side", F.lit(0 if allow_equal else 1))
-    seen = Window.partitionBy(key).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(events, allowMissingColumns=True).withColumn(value, F.last(value, ignorenulls=True).over(seen))
-    return both.where(F.col("__side") == (1 if allow_equal else 0)).drop("__side")
+    both = rows.unionByName(events, allowMissingColumns=True)
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(both.repartitionByRange(n, F.col(key), F.col(at), F.col("__side")).withColumn("__part", F.spark_partition_id()))
+    order = F.struct(F.col(key), F.col(at), F.col("__side"))
+    known = F.when(F.col(value).isNotNull(), order)
+    ends = dealt.groupBy("__part").agg(F.max_by(F.col(key), order).alias("last_key"), F.max_by(F.struct(F.col(key).alias("k"), F.col(value).alias("v")), known).alias("last")).collect()
+    carried, before = None, {}
+    for row in sorted(ends, key=lambda r: r["__part"]):
+        before[row["__part"]] = carried
+        carried = row["last"] if row["last"] is not None and row["last"]["k"] == row["last_key"] else carried if carried is not None and carried["k"] == row["last_key"] else None
+    starts = [(p, c["k"], c["v"]) for p, c in before.items() if c is not None]
+    schema = T.StructType([T.StructField("__part", T.IntegerType()), T.StructField("__key", both.schema[key].dataType), T.StructField("__start", both.schema[value].dataType)])
+    start = F.broadcast(left.sparkSession.createDataFrame(starts, schema))  # a row a part at most
+    seen = Window.partitionBy("__part", key).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumn(value, F.last(value, ignorenulls=True).over(seen)).where(F.col("__side") == (1 if allow_equal else 0))
+    joined = out.join(start, (out["__part"] == start["__part"]) & (out[key] == start["__key"]), "left")
+    return joined.withColumn(value, F.coalesce(out[value], "__start")).select(*[c for c in out.columns if c not in ("__side", "__part")])

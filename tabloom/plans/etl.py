@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -102,6 +102,10 @@ def _condition(text: str) -> Column:
     lowered = text.lower()
     if ";" in text or "--" in text or "/*" in text or any(f"{w} " in lowered.replace("(", " ") for w in ("select", "insert", "drop", "delete")):
         raise ValueError("a condition may not hold statements, comments or subqueries")
+    from .ask import allowed_functions, called_functions
+
+    spark = SparkSession.active()
+    allowed_functions(spark, called_functions(spark._jsparkSession.sessionState().sqlParser().parseExpression(text)))
     return F.expr(text)
 
 
@@ -138,10 +142,15 @@ def detect(df: DataFrame, options: Options | None = None) -> list[Step]:
         share = lambda e, v=v: F.avg(F.when(v.isNotNull(), e.cast("double")))
         parts = {
             "num": F.greatest(share(V.cast_numeric(v).isNotNull()), share(V.cast_numeric(v, True).isNotNull())),
-            "date": share(V.parse_datetime(v).isNotNull()), "trim": share(v != F.trim(v)), "folded": F.count_distinct(F.lower(F.trim(v))), "plain": F.count_distinct(F.trim(v)),
+            "date": share(V.parse_datetime(v).isNotNull()), "trim": share(v != F.trim(v)),
         }
         aggs += [e.alias(f"{c}__{k}") for k, e in parts.items()]
     r = df.agg(*aggs).first()
+    # distinct values with and without case, all columns in one exchange
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.trim(F.col(f"`{c}`").cast("string")).alias("v")) for c in texts]))
+    values = df.select(each.alias("p")).select("p.*").where("v IS NOT NULL").distinct()
+    mixed = values.groupBy("c", F.lower("v").alias("f")).agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.max(F.col("n") > 1).alias("mixed"))
+    mixed_case = {row["c"] for row in mixed.collect() if row["mixed"]}
     steps = []
     for c in texts:
         is_id = bool(re.search(ID_NAMES, c))
@@ -149,8 +158,8 @@ def detect(df: DataFrame, options: Options | None = None) -> list[Step]:
             steps.append(Step("parse_datetime", c, {}, "text that reads as dates"))
         elif (r[f"{c}__num"] or 0) >= o.numeric_share:
             steps.append(Step("cast_numeric", c, {"decimal": "," if decimal_is_comma(df, c) else "."}, "text that reads as numbers"))
-        elif (r[f"{c}__trim"] or 0) > o.trim_share or r[f"{c}__folded"] < r[f"{c}__plain"]:
-            steps.append(Step("trim_text", c, {"lower": r[f"{c}__folded"] < r[f"{c}__plain"]}, "stray spaces or mixed case"))
+        elif (r[f"{c}__trim"] or 0) > o.trim_share or c in mixed_case:
+            steps.append(Step("trim_text", c, {"lower": c in mixed_case}, "stray spaces or mixed case"))
     return steps
 
 

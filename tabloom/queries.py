@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +16,7 @@ from .operators import ranking as R
 from .operators import splits
 from .plans import ask, board, etl
 from .plans.etl import Step
+from .session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,13 +51,11 @@ def rounded(df: DataFrame, places: int = 6, *columns: str) -> DataFrame:
 for _grain in ("month", "week", "quarter", "year", "day"):
 
     @query(
-        f"""SELECT date_trunc('{_grain}', l_shipdate)::TIMESTAMP AS period, round(sum(l_extendedprice), 2) AS value FROM lineitem
-        WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1""",
+        f"""SELECT date_trunc('{_grain}', l_shipdate)::TIMESTAMP AS period, round(sum(l_extendedprice), 2) AS value FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1""",
         f"series_{_grain}",
     )
     def _series(spark: SparkSession, sf_dir: str, grain: str = _grain) -> DataFrame:
-        year = board.apply_filters(table(spark, sf_dir, "lineitem"), {"l_shipdate": {"from": "1997-01-01", "to": "1997-12-31"}})
-        return rounded(board.series(year, "l_shipdate", "l_extendedprice", grain=grain), 2)
+        return rounded(board.series(table(spark, sf_dir, "lineitem"), "l_shipdate", "l_extendedprice", grain=grain), 2)
 
 
 @query("SELECT l_returnflag AS level, round(sum(l_quantity), 2) AS value FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY value DESC, level LIMIT 14")
@@ -561,8 +560,7 @@ def train_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import learning
 
     rows = splits.hashed(table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_quantity", "l_extendedprice", "l_discount", "l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("target")), "k").drop("k")
-    families = tuple(f for f in learning.FAMILIES if f.name in ("logistic", "decision_tree"))
-    model = learning.train_binary(rows, "target", families=families)
+    model = learning.train(rows, "target", "binary")
     return spark.createDataFrame([(r["model"], float(r["auc"]), r["model"] == model.champion) for r in model.leaderboard], "model string, auc double, champion boolean")
 
 
@@ -570,8 +568,7 @@ def train_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources import read, write
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabloom-sink-")
-    folder = f"{root.rstrip('/')}/orders-{spark.sparkContext.applicationId}"
+    folder = new_folder(spark, "sink")
     write.write_csv(table(spark, sf_dir, "orders"), folder, mode="overwrite")
     back = read.read_delimited(spark, folder, read.Form("utf-8", ";", ","))
     typed = etl.compile_plan(back, [Step("cast_numeric", "o_totalprice", {"decimal": ","}), Step("cast_numeric", "o_orderkey")])
@@ -582,8 +579,10 @@ def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_tumbling_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming import windows
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabloom-stream-")
-    name = f"stream_{abs(hash((sf_dir, id(spark), tempfile.mktemp()))):x}"
+    name = f"stream_{uuid.uuid4().hex[:12]}"
     result = windows.tumbling(windows.event_stream(spark, sf_dir, "events.parquet"), "ts", "1 day", ["event_type"], "value")
-    out = windows.run_to_end(result, name, f"{root.rstrip('/')}/{name}")
+    out = windows.run_to_end(result, name, new_folder(spark, name))
     return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
+
+
+from . import queries_models, queries_sources  # noqa: E402, F401  (they register theirs here)

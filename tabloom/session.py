@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,3 +21,27 @@ def get_session(name: str = "tabloom", **settings: str) -> SparkSession:
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (``spark.checkpoint.dir``); only local sessions get one of their own."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not set_before.isDefined():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tabloom-"))
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return set_before.get().rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/tabloom-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder: stays as it is when executors are lost, and goes with its last reader."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -11,6 +11,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,14 +59,29 @@ def choose_separator(text: str) -> str:
     return best[1]
 
 
+def file_head(spark: SparkSession, path: str, size: int = SAMPLE_BYTES) -> bytes:
+    """The first bytes of the first file (by name) at ``path``; only these are read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f for p in fs.globStatus(where) or [] for f in (fs.listStatus(p.getPath()) if p.isDirectory() else [p])), key=lambda f: f.getPath().getName())
+    files = [f for f in found if not f.isDirectory() and f.getLen() and f.getPath().getName()[0] not in "._"]
+    if not files:
+        return b""
+    stream = fs.open(files[0].getPath())
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
 def read_delimited(spark: SparkSession, path: str, form: Form | None = None) -> DataFrame:
     """All columns as text, missing tokens as null, malformed lines left out."""
     if form is None:
-        head = spark.read.format("binaryFile").load(path).select(F.substring(F.col("content"), 1, SAMPLE_BYTES).alias("c")).first()
-        form = sniff(bytes(head["c"]) if head else b"")
+        form = sniff(file_head(spark, path))
     reader = spark.read.options(sep=form.separator, encoding="UTF-8" if form.encoding.startswith("utf-8") else "ISO-8859-1", header=True, mode="DROPMALFORMED", ignoreLeadingWhiteSpace=True, quote='"', escape='"')
     raw = reader.csv(path)
-    return normalise_types(raw.toDF(*clean_columns([c.lstrip("﻿") for c in raw.columns])))
+    return normalise_types(raw.toDF(*clean_columns([c.lstrip("\ufeff") for c in raw.columns])))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -85,12 +101,44 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> Data
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
-def _cells(content: bytes, sheet: int) -> Iterator[list[str | None]]:
+#: Built-in number formats that are dates or times.
+_DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def _sheet_part(book: zipfile.ZipFile, sheet: int | str) -> str:
+    """Path of the sheet's part, by its number or name in the workbook."""
+    relation = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    listed = [(s.get("name"), s.get(relation)) for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet")]
+    wanted = [i for i, (name, _) in enumerate(listed, 1) if sheet in (i, name)]
+    if not wanted:
+        raise ValueError(f"no sheet {sheet!r}; there are {[n for n, _ in listed]}")
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    target = targets.get(listed[wanted[0] - 1][1], f"worksheets/sheet{wanted[0]}.xml")
+    return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")) for f in root.iter(f"{{{_NS['m']}}}numFmt") if re.search(r"[dy]|m{2,}|h", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "").lower()))}
+    styles = root.find("m:cellXfs", _NS)
+    return {i for i, x in enumerate(styles if styles is not None else []) if int(x.get("numFmtId", 0)) in _DATE_FORMATS | own}
+
+
+def _iso(serial: str) -> str:
+    days = float(serial)
+    moment = datetime(1899, 12, 30) + timedelta(days=days)
+    return moment.strftime("%Y-%m-%d") if days == int(days) else moment.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def _cells(content: bytes, sheet: int | str) -> Iterator[list[str | None]]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared = []
+        shared, dates = [], _date_styles(book)
         if "xl/sharedStrings.xml" in book.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{{{_NS['m']}}}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
-        for _, row in ElementTree.iterparse(book.open(f"xl/worksheets/sheet{sheet}.xml")):
+        for _, row in ElementTree.iterparse(book.open(_sheet_part(book, sheet))):
             if row.tag != f"{{{_NS['m']}}}row":
                 continue
             out: list[str | None] = []
@@ -103,14 +151,17 @@ def _cells(content: bytes, sheet: int) -> Iterator[list[str | None]]:
                     value = shared[int(value)]
                 elif cell.get("t") == "inlineStr":
                     value = "".join(t.text or "" for t in cell.iter(f"{{{_NS['m']}}}t"))
+                elif value is not None and cell.get("t") in (None, "n") and int(cell.get("s", 0)) in dates:
+                    value = _iso(value)
                 out.append(value)
             row.clear()
             if any(v not in (None, "") for v in out):
                 yield out
 
 
-def read_workbook(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
-    """Workbooks (xlsx) as text columns: the first row that is not blank has the names. Files are read in parallel, one a task."""
+def read_workbook(spark: SparkSession, path: str, sheet: int | str = 1) -> DataFrame:
+    """Workbooks (xlsx) as text columns: the first row that is not blank has the names. Files are read in parallel, one a task
+    (a sheet has 1 048 576 rows at most). ``sheet`` is a number or a name; cells styled as dates become ISO text."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def rows(batches):
@@ -132,17 +183,62 @@ def read_workbook(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
     return normalise_types(cells.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]))
 
 
-def read_jdbc(spark: SparkSession, url: str, sql: str, partition: tuple[str, int, int, int] | None = None, fetch: int = 10_000, **options: str) -> DataFrame:
-    """A read-only query as a subquery of the server; ``partition`` is (column, lower, upper, number)."""
-    if not re.match(r"(?is)\s*(select|with)\b", sql) or ";" in re.sub(r"'(?:[^']|'')*'", "", sql).rstrip().rstrip(";"):
-        raise ValueError("one SELECT or WITH query is allowed")
-    reader = spark.read.format("jdbc").options(url=url, dbtable=f"({sql.rstrip().rstrip(';')}) q", fetchsize=fetch, **options)
+#: Words by which a statement could change a server.
+_WRITING = r"(?i)\b(insert|update|delete|merge|upsert|replace\s+into|drop|alter|create|truncate|grant|revoke|call|exec|execute|into|copy|vacuum|attach|pragma|lock|set)\b"
+
+
+def read_only(sql: str) -> str:
+    """The statement, if it is one SELECT or WITH and holds no word that writes outside of quotes and comments."""
+    bare = re.sub(r"/\*.*?\*/", " ", re.sub(r"--[^\n]*", " ", re.sub(r"'(?:[^']|'')*'", "''", sql)), flags=re.S).strip().rstrip(";").strip()
+    unquoted = re.sub(r'"[^"]*"|`[^`]*`|\[[^\]]*\]', '""', bare)
+    if not re.match(r"(?i)(select|with)\b", bare) or ";" in unquoted or re.search(_WRITING, unquoted):
+        raise ValueError("one SELECT or WITH query that only reads is allowed")
+    return sql.strip().rstrip(";").strip()
+
+
+def _limited(url: str, sql: str, limit: int | None) -> str:
+    """The statement with its limit, for the server to apply."""
+    if limit is None:
+        return sql
+    if url.startswith(("jdbc:sqlserver", "jdbc:jtds")):
+        return f"SELECT TOP {int(limit)} * FROM ({sql}) q0"
+    if url.startswith(("jdbc:oracle", "jdbc:derby", "jdbc:db2")):
+        return f"SELECT * FROM ({sql}) q0 FETCH FIRST {int(limit)} ROWS ONLY"
+    return f"SELECT * FROM ({sql}) q0 LIMIT {int(limit)}"
+
+
+def read_jdbc(spark: SparkSession, url: str, sql: str, partition: tuple[str, int, int, int] | None = None, fetch: int = 10_000, limit: int | None = None, **options: str) -> DataFrame:
+    """A read-only query as a subquery of the server, which applies ``limit``; ``partition`` is (column, lower, upper, number)."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=f"({_limited(url, read_only(sql), limit)}) q", fetchsize=fetch, **options)
     if partition:
         column, lower, upper, number = partition
         reader = reader.options(partitionColumn=column, lowerBound=lower, upperBound=upper, numPartitions=number)
     return reader.load()
 
 
+def jdbc_tables(spark: SparkSession, url: str, **options: str) -> DataFrame:
+    """``schema`` and ``name`` of the server's tables and views, from its own catalogue."""
+    if url.startswith("jdbc:derby"):
+        sql = "SELECT s.SCHEMANAME AS \"schema\", t.TABLENAME AS \"name\" FROM SYS.SYSTABLES t JOIN SYS.SYSSCHEMAS s ON s.SCHEMAID = t.SCHEMAID WHERE t.TABLETYPE IN ('T', 'V')"
+    elif url.startswith("jdbc:sqlite"):
+        sql = "SELECT 'main' AS schema, name FROM sqlite_master WHERE type IN ('table', 'view')"
+    elif url.startswith("jdbc:oracle"):
+        sql = "SELECT owner AS \"schema\", table_name AS \"name\" FROM all_tables"
+    else:
+        sql = "SELECT table_schema AS \"schema\", table_name AS \"name\" FROM information_schema.tables WHERE table_schema NOT IN ('information_schema', 'pg_catalog')"
+    return read_jdbc(spark, url, sql, **options).toDF("schema", "name").orderBy("schema", "name")
+
+
+def jdbc_works(spark: SparkSession, url: str, **options: str) -> str | None:
+    """None if a trivial query succeeds, else what the server says."""
+    sql = "SELECT 1 AS one FROM SYSIBM.SYSDUMMY1" if url.startswith(("jdbc:derby", "jdbc:db2")) else "SELECT 1 AS one FROM dual" if url.startswith("jdbc:oracle") else "SELECT 1 AS one"
+    try:
+        read_jdbc(spark, url, sql, **options).first()
+    except Exception as e:
+        return str(e).strip().splitlines()[0][:300]
+    return None
+
+
 def union_blocks(blocks: list[DataFrame], by_name: bool = True) -> DataFrame:
     """Blocks of one dataset: by name (missing columns null), or renamed by position to the first block's names."""
     out = blocks[0]
@@ -151,6 +247,19 @@ def union_blocks(blocks: list[DataFrame], by_name: bool = True) -> DataFrame:
     return out
 
 
+def load_sample(df: DataFrame, columns: list[str] | None = None, limit: int | None = None, key: list[str] | None = None, seed: int = 7) -> DataFrame:
+    """The asked columns; with a ``limit``, a seeded sample of about so many rows (exactly so many if a ``key`` is given)."""
+    from ..operators.ranking import sample_rows
+
+    chosen = df if columns is None else df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*columns, *(key or [])])])
+    if limit is None:
+        return chosen
+    if key:
+        return sample_rows(chosen, limit, key, seed)
+    rows = chosen.count()
+    return chosen if rows <= limit else chosen.sample(False, limit / rows, seed)
+
+
 def page(df: DataFrame, order: list[str], limit: int = 100, offset: int = 0) -> DataFrame:
     """One page in a stated order: without one, pages would overlap."""
     return df.orderBy(*order).offset(offset).limit(limit)
@@ -160,4 +269,4 @@ def describe(df: DataFrame) -> DataFrame:
     from ..functions.values import kind_of
 
     rows = [(i, f.name, f.dataType.simpleString(), kind_of(f.dataType)) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, T.StructType().add("position", "int").add("name", "string").add("type", "string").add("kind", "string"))
+    return df.sparkSession.createDataFrame(rows, T.StructType().add("position", "integer").add("name", "string").add("type", "string").add("kind", "string"))

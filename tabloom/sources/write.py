@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import zipfile
+from collections.abc import Iterator
+from itertools import chain, islice
+from xml.sax.saxutils import escape, quoteattr
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import kind_of
 from ..operators import profile
+from ..plans import board
 
 
 def write_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -41,6 +49,83 @@ def report(df: DataFrame) -> dict[str, DataFrame]:
     return sheets
 
 
+#: Rows a sheet of a workbook can hold below its header.
+SHEET_ROWS = 1_048_575
+
+
+def _sheet_xml(df: DataFrame, rows: Iterator) -> Iterator[str]:
+    """One sheet's XML, piece by piece: numbers as numbers, all else as text."""
+    text = lambda v: f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_PRINTABLE.sub("", str(v)))}</t></is></c>'
+    number = lambda v: f"<c><v>{v!r}</v></c>" if v == v and abs(v) != float("inf") else "<c/>"
+    yield '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+    yield "<row>" + "".join(map(text, df.columns)) + "</row>"
+    for row in rows:
+        yield "<row>" + "".join("<c/>" if v is None else number(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else text(v) for v in row) + "</row>"
+    yield "</sheetData></worksheet>"
+
+
+_PRINTABLE = re.compile(r"[^\t\n\r\x20-\uD7FF\uE000-\uFFFD\U00010000-\U0010FFFF]")
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """One xlsx file. A workbook is one file of at most ``SHEET_ROWS`` rows a sheet, so rows are streamed through the driver a
+    partition at a time; a longer frame is split into several sheets of that size. For data without that bound use ``write_report``."""
+    spark = next(iter(sheets.values())).sparkSession
+    ns, doc = "http://schemas.openxmlformats.org", "officeDocument/2006/relationships"
+    names: list[str] = []
+    with tempfile.TemporaryFile() as whole:  # the driver's own scratch file, copied to where all can read it
+        with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as book:
+            for title, df in sheets.items():
+                rows = df.toLocalIterator()
+                more = next(rows, None)
+                part = 0
+                while part == 0 or more is not None:
+                    part += 1
+                    names.append(f"{title[:28]}{f'_{part}' if part > 1 else ''}")
+                    taken = chain([] if more is None else [more], islice(rows, SHEET_ROWS - 1))
+                    with book.open(f"xl/worksheets/sheet{len(names)}.xml", "w") as out:
+                        for piece in _sheet_xml(df, taken):
+                            out.write(piece.encode())
+                    more = next(rows, None)
+            listed = "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1))
+            book.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}/spreadsheetml/2006/main" xmlns:r="{ns}/{doc}"><sheets>{listed}</sheets></workbook>')
+            targets = "".join(f'<Relationship Id="rId{i}" Type="{ns}/{doc}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
+            book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{ns}/package/2006/relationships">{targets}</Relationships>')
+            book.writestr("_rels/.rels", f'<Relationships xmlns="{ns}/package/2006/relationships"><Relationship Id="rId1" Type="{ns}/{doc}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+            kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+            parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1))
+            book.writestr("[Content_Types].xml", f'<Types xmlns="{ns}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
+        whole.seek(0)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+        try:
+            while chunk := whole.read(1 << 20):
+                out.write(bytearray(chunk))
+        finally:
+            out.close()
+
+
+def write_board(df: DataFrame, spec: board.Spec | None, path: str, filters: dict | None = None, workbook: bool = False) -> None:
+    """A dashboard as a workbook (KPIs, a sheet per chart, the filtered table), or as a folder of CSV per part."""
+    parts = {str(k): v for k, v in board.run(df, filters, spec).items() if isinstance(v, DataFrame)}
+    parts["data"] = board.apply_filters(df, filters or {})
+    if workbook:
+        write_workbook(parts, path)
+        return
+    for name, part in parts.items():
+        write_csv(part, f"{path}/{re.sub(r'[^A-Za-z0-9_]+', '_', name)}")
+
+
+def delete_dataset(spark: SparkSession, path: str) -> None:
+    """Remove a written dataset; a folder that holds no Parquet written by Spark is refused."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop.Path(f"{path}/_SUCCESS")) or not fs.globStatus(hadoop.Path(f"{path}/*.parquet")):
+        raise ValueError(f"{path} is not a dataset")
+    fs.delete(where, True)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A folder per sheet: small ones in one file, the data in as many as they need."""
     for name, sheet in report(df).items():

@@ -135,3 +135,34 @@ def test_sniff_and_roundtrip(spark, tmp_path):
 def test_plans_stay_in_the_jvm_and_prune(spark):
     plan = QUERIES["series_month"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate)" in plan and "ReadSchema: struct<l_extendedprice:double,l_shipdate:timestamp_ntz>" in plan and "Python" not in plan
+
+
+def test_guard_refuses_calls_into_the_machine(spark):
+    t = spark.range(3).withColumn("s", F.lit("x"))
+    for sql in ("SELECT reflect('java.lang.System', 'exit') FROM {t}", "SELECT `java_method`('a', 'b') FROM {t}", "SELECT * FROM {t} WHERE id IN (SELECT try_reflect('a', 'b'))", "WITH c AS (SELECT reflect('a', 'b')) SELECT * FROM c", "SELECT input_file_name() FROM {t}"):
+        with pytest.raises(ask.NotReadOnly):
+            ask.run_sql(spark, sql, t=t)
+    assert ask.run_sql(spark, "SELECT upper(s) AS u, row_number() OVER (ORDER BY id) AS r FROM {t} WHERE id > 0", t=t).count() == 2
+    with pytest.raises(ValueError):
+        etl._condition("reflect('a', 'b') = 'x'")
+
+
+def test_asof_join_over_parts_and_keys(spark):
+    left = spark.createDataFrame([(k, t) for k in range(3) for t in range(0, 100, 7)], "k int, t int").repartition(3)
+    right = spark.createDataFrame([(0, 5, "a"), (0, 50, "b"), (2, 1, "c"), (2, 60, None)], "k int, t int, v string")
+    events = {0: [(5, "a"), (50, "b")], 1: [], 2: [(1, "c")]}
+    got = {(r.k, r.t): r.v for r in ranking.asof_join(left, right, "k", "t", "v").collect()}
+    assert got == {(k, t): next((v for at, v in reversed(events[k]) if at <= t), None) for k in range(3) for t in range(0, 100, 7)}
+
+
+def test_workbook_dates_and_names(spark, tmp_path):
+    path = f"file://{tmp_path}/book.xlsx"
+    write.write_workbook({"one": spark.createDataFrame([(1.5, "a<b", None)], "n double, t string, z string"), "two": spark.range(2)}, path)
+    assert [tuple(r) for r in read.read_workbook(spark, path, "one").collect()] == [("1.5", "a<b", None)]
+    assert read.read_workbook(spark, path, 2).count() == 2
+    assert read._iso("45292") == "2024-01-01" and read._iso("45292.5") == "2024-01-01 12:00:00"
+
+
+def test_exact_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([(None, 1.0)], "x double, y double")
+    assert profile.exact_quantiles(empty, ["x", "y"], [0.0, 0.5]) == {"x": [None, None], "y": [1.0, 1.0]}
