@@ -27,6 +27,8 @@ RAW = frozenset("script style noscript template textarea iframe svg math object
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never main text.
 FURNITURE = frozenset("head nav header footer aside form menu dialog button select datalist fieldset".split())
+#: Elements that can hold a page's main text as a whole.
+CONTAINERS = frozenset("html body main article section div center table tbody tr td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the key ends where one of the value's begins.
 _BLOCKISH = frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 pre blockquote section article aside header footer nav form figure hr address main fieldset details".split())
@@ -52,7 +54,7 @@ class Element:
 
 @dataclass
 class Page:
-    tokens: dict[int, list] = field(default_factory=dict)  # path hash: [parent hash, label, count]
+    tokens: dict[int, list] = field(default_factory=dict)  # path hash: [parent hash, label, count, characters of text in it if it is a container]
     blocks: list[tuple[str, tuple[int, ...], bool, bool]] = field(default_factory=list)  # text, paths outside in, furniture, main
 
 
@@ -92,6 +94,34 @@ def judge_names(name: str, attributes: str) -> tuple[bool, bool, str]:
     return furniture, (main or clean and not weak) and not furniture, ".".join([name, *names])
 
 
+#: Name words that mark an inline element as furniture (the strong ones do as well).
+INLINE_WORDS = frozenset("share sharing social".split())
+
+
+def inline_furniture(attributes: str) -> bool:
+    """Is an inline element hidden, or named as an advert, a sharing link or the like?"""
+    for m in _ATTRIBUTE.finditer(attributes):
+        kind, value = m[1].lower(), html.unescape((m[2] or "").strip("\"'"))
+        if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none", value):
+            return True
+        if kind in ("class", "id"):
+            for one in value.split():
+                words = [w.lower() for w in _SPLIT.split(one) if w]
+                if words and words[0] not in NEGATED and not (STRONG | INLINE_WORDS).isdisjoint(words) and MAIN.isdisjoint(words):
+                    return True
+    return False
+
+
+def _after_close(source: str, name: str, at: int) -> int:
+    """Behind the end tag that closes an element ``name`` opened before ``at``; ``at`` if there is none."""
+    depth = 1
+    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", source[at:], re.I):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return at + m.end()
+    return at
+
+
 def read_page(source: str) -> Page:
     page = Page()
     stack: list[Element] = [Element("", 0, False, False)]
@@ -104,6 +134,9 @@ def read_page(source: str) -> Page:
             top = stack[-1]
             if text and top.text:
                 page.blocks.append((text, tuple(e.path for e in stack[1:]), top.furniture, top.main))
+                for e in stack[1:] if not top.furniture else ():
+                    if e.name in CONTAINERS:
+                        page.tokens[e.path][3] += len(text)
 
     at, end = 0, len(source)
     while at < end:
@@ -127,6 +160,8 @@ def read_page(source: str) -> Page:
         if name in INLINE:
             if name in ("br", "img"):
                 pieces.append(" ")
+            elif not closing and attributes and inline_furniture(attributes):
+                at = _after_close(source, name, at)
             continue
         end_block()
         if closing:
@@ -142,7 +177,7 @@ def read_page(source: str) -> Page:
             furniture = False  # an article's own heading: only its headings are text
         inner = Element(name, _signed(xxhash.xxh3_64_intdigest(f"{above.path}\0{label}".encode("utf-8", "replace"))), above.furniture or furniture, above.main or main)
         inner.text = name in HEADINGS or name != "header" and above.text
-        token = page.tokens.setdefault(inner.path, [above.path, label, 0])
+        token = page.tokens.setdefault(inner.path, [above.path, label, 0, 0])
         token[2] += 1
         if name not in VOID and not attributes.endswith("/"):
             stack.append(inner)

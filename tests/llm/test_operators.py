@@ -307,6 +307,22 @@ def test_templates(spark):
     assert templates.extract(pages.limit(0)).count() == 0
 
 
+def test_templates_decide_without_names(spark):
+    """Furniture under names that say nothing: brute force over the host's pages finds what repeats at its place."""
+    def html(i):
+        return f"<html><body><div class=q7><ul><li>Alpha<li>Beta</ul></div><div class=k2><p>Own words {i} of page {i * i}.</p><p>Shared by {i % 4}.</p></div><div class=z9>Bottom line. <span class=ad-box>buy</span></div></body></html>"
+
+    pages = spark.createDataFrame([(i, f"http://x.example.com/{i}", html(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in templates.extract(pages).collect()}
+    blocks = {i: ["Alpha", "Beta", f"Own words {i} of page {i * i}.", f"Shared by {i % 4}.", "Bottom line."] for i in range(12)}
+    often = {b for b in {x for v in blocks.values() for x in v} if sum(b in v for v in blocks.values()) >= 6}
+    for i, own in blocks.items():
+        assert got[i].text == "\n".join(b for b in own if b not in often)
+        assert got[i].template_blocks == 3
+    alone = templates.extract(pages.limit(1)).first()
+    assert alone.text.startswith("Alpha") and alone.template_blocks == 0  # one page has no template
+
+
 def test_token_classes_match_vectors(spark):
     pages = spark.createDataFrame([(i, f"http://a.example.com/{i}", "<html><body><ul>" + "<li>x" * (i % 3 + 1) + "</ul><footer>f</footer></body></html>") for i in range(9)], "page_id long, url string, html string")
     rows = templates._prepared(pages, "page_id", "url", "html")
