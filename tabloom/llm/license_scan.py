@@ -1,21 +1,24 @@
 """License scans by conditional compression.
 
-Lines with a licensing cue, joined with cue lines close by, are candidate blocks. A block is compressed
-alone and once with each known wording as a zstandard raw dictionary: a wording that explains the block
-shrinks it. The wordings are ranked by that reduction, and the best ones are confirmed by the exact
-differences of their words: *exact* (all words there, in order, nothing between them), *modified* (few
-words differ; they are listed) or *unconfirmed*. One pass over whole texts, no exchange; texts
-without a cue never leave the JVM.
-
-Defined cases: a null or empty text has no block; a line of any length is searched, and cut to
-``reach`` bytes on either side of its cues; repeated rows give repeated results; ties in reduction go to
-the smaller difference, then the name; other columns are ignored; an empty table gives no rows.
+Licensing cues mark candidate blocks: the text round a cue, as wide as a wording can reach from it; blocks that
+touch are one. A block is compressed alone and once with each known wording as a zstandard raw dictionary. A
+wording that is in the block saves about as many bytes as it has itself, however much prose stands round it, so
+wordings are ranked by that share. Every wording that saves enough is confirmed at every cue by the exact
+differences of its words: *exact* (all words there, in order, nothing between them) or *modified* (few words
+differ; they are listed). Where spans overlap the closest wording stands; a block may name several licenses. A block
+that a wording explains by its bytes but none by its words is one *unconfirmed* row. One pass over whole texts, no
+exchange; texts without a cue never leave the JVM.
+
+Defined cases: a null or empty text has no block; lines and blocks of any length are searched whole; repeated rows
+give repeated results; ties go to fewer differences, then the larger reduction, then the name; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,40 +70,24 @@ _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 
 @dataclass(frozen=True)
 class ScanRules:
-    min_saving: float = 0.25
-    confirm: int = 3  # wordings compared word by word
+    min_saving: float = 0.3  # of the wording's own compressed size
     max_changed: float = 0.25  # of the wording's words
-    reach: int = 600
-    near_lines: int = 2
-
-
-def candidate_blocks(text: str, rules: ScanRules) -> Iterator[tuple[int, str]]:
-    """(character offset, block) of cue lines, joined when at most ``near_lines`` lines lie between them."""
-    spans: list[list[int]] = []
-    last_cue = -2
-    at = number = 0
-    for line in text.split("\n"):
-        cues = [m.span() for m in _CUE.finditer(line)]
-        if cues:
-            lo, hi = at, at + len(line)
-            if len(line) > 2 * rules.reach:  # keep the neighbourhood of the cues of a long line
-                windows: list[list[int]] = []
-                for a, b in cues:
-                    a, b = max(lo, at + a - rules.reach), min(hi, at + b + rules.reach)
-                    if windows and a <= windows[-1][1]:
-                        windows[-1][1] = b
-                    else:
-                        windows.append([a, b])
-                spans += windows
-            elif spans and number - last_cue <= rules.near_lines + 1 and hi - spans[-1][0] <= 8 * rules.reach:
-                spans[-1][1] = hi
-            else:
-                spans.append([lo, hi])
-            last_cue = number
-        at += len(line) + 1
-        number += 1
-    for lo, hi in spans:
-        yield lo, text[lo:hi]
+    slack: int = 3  # words beyond the wording's length that are compared
+
+
+def candidate_blocks(text: str, reach: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(first character, end, cues) of the stretches within ``reach`` characters of a cue."""
+    lo = hi = -1
+    cues: list[tuple[int, int]] = []
+    for m in _CUE.finditer(text):
+        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
+        if cues and a > hi:
+            yield lo, hi, cues
+            cues = []
+        lo, hi = (a if not cues else lo), b
+        cues.append(m.span())
+    if cues:
+        yield lo, hi, cues
 
 
 class Matcher:
@@ -109,36 +96,60 @@ class Matcher:
     def __init__(self, rules: ScanRules, wordings: tuple[tuple[str, str], ...] = WORDINGS):
         self.rules, self.wordings = rules, wordings
         self.words = [_WORD.findall(w.lower()) for _, w in wordings]
+        self.reach = max(len(w) for _, w in wordings)
         options = {"level": 19, "write_content_size": False}
         self.plain = zstandard.ZstdCompressor(**options)
+        empty = len(self.plain.compress(b""))
+        self.own = [max(1, len(self.plain.compress(w.encode())) - empty) for _, w in wordings]
         self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(w.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for _, w in wordings]
 
-    def best(self, block: str) -> tuple | None:
-        """(license, saving, missing, extra, differences, verdict) of the best confirmed wording, or of the best ranked."""
-        raw = block.encode("utf-8", "replace")
-        alone = len(self.plain.compress(raw))
-        savings = [1 - len(c.compress(raw)) / alone for c in self.given]
-        ranked = [i for i in sorted(range(len(savings)), key=lambda i: (-savings[i], i)) if savings[i] >= self.rules.min_saving]
-        found = [self._confirm(i, block, savings[i]) for i in ranked[: self.rules.confirm]]
-        order = {"exact": 0, "modified": 1, "unconfirmed": 2}
-        return min(found, key=lambda f: (order[f[5]], -f[1], f[2] + f[3], f[0]), default=None)
-
-    def _confirm(self, i: int, block: str, saving: float) -> tuple:
-        want, have = self.words[i], _WORD.findall(block.lower())
-        same = difflib.SequenceMatcher(None, want, have, autojunk=False)
-        matches = [m for m in same.get_matching_blocks() if m.size]
-        if not matches:
-            return self.wordings[i][0], saving, len(want), 0, "", "unconfirmed"
-        inside = have[matches[0].b : matches[-1].b + matches[-1].size]
-        missing = len(want) - sum(m.size for m in matches)
-        extra = len(inside) - sum(m.size for m in matches)
+    def found(self, text: str) -> Iterator[tuple]:
+        """(block, first character, license, saving, missing, extra, differences, verdict) of all confirmed wordings, block by block."""
+        for number, (lo, hi, cues) in enumerate(candidate_blocks(text, self.reach)):
+            raw = text[lo:hi].encode("utf-8", "replace")
+            alone = len(self.plain.compress(raw))
+            savings = [(alone - len(c.compress(raw))) / own for c, own in zip(self.given, self.own, strict=True)]
+            ranked = [i for i in sorted(range(len(savings)), key=lambda i: (-savings[i], i)) if savings[i] >= self.rules.min_saving]
+            if not ranked:
+                continue
+            words = [(m[0], m.start() + lo, m.end() + lo) for m in _WORD.finditer(text[lo:hi].lower())] if len(text[lo:hi].lower()) == hi - lo else [(m[0].lower(), m.start() + lo, m.end() + lo) for m in _WORD.finditer(text[lo:hi])]
+            starts = [w[1] for w in words]
+            hits = {h for i in ranked for a, b in cues for h in self._confirm(i, words, bisect_left(starts, a), bisect_left(starts, b), savings[i])}
+            taken: list[tuple[int, int]] = []
+            sure = []
+            for hit in sorted(hits, key=lambda h: (h[7] != "exact", -(h[8] - h[1]) if h[7] == "exact" else h[4] + h[5], -h[3], h[2], h[1])):
+                if all(hit[8] <= a or hit[1] >= b for a, b in taken):
+                    taken.append((hit[1], hit[8]))
+                    sure.append((number, *hit[1:8]))
+            yield from sorted(sure, key=lambda h: h[1])
+            if not sure:
+                best = ranked[0]
+                yield number, lo, self.wordings[best][0], savings[best], len(self.words[best]), 0, "", "unconfirmed"
+
+    def _confirm(self, i: int, words: list[tuple[str, int, int]], first: int, end: int, saving: float) -> Iterator[tuple]:
+        """The wording's closest place that touches the cue (words ``first`` to ``end``), if few words differ."""
+        want, slack = self.words[i], self.rules.slack
+        near = words[max(0, first - len(want) - slack) : end + len(want) + slack]
+        have = [w for w, _, _ in near]
+        core = difflib.SequenceMatcher(None, want, have, autojunk=False).find_longest_match()
+        if not core.size:
+            return
+        at = max(0, core.b - core.a - slack)
+        inner = have[at : core.b + len(want) - core.a + slack]
+        matches = [m for m in difflib.SequenceMatcher(None, want, inner, autojunk=False).get_matching_blocks() if m.size]
+        lo, hi = matches[0].b, matches[-1].b + matches[-1].size
+        same = sum(m.size for m in matches)
+        missing, extra = len(want) - same, hi - lo - same
+        if missing + extra > self.rules.max_changed * len(want):
+            return
+        inside = inner[lo:hi]
         edits = [f"{' '.join(want[a:b])} -> {' '.join(inside[c:d])}" for kind, a, b, c, d in difflib.SequenceMatcher(None, want, inside, autojunk=False).get_opcodes() if kind != "equal"]
-        verdict = "exact" if not missing and not extra else "modified" if missing + extra <= self.rules.max_changed * len(want) else "unconfirmed"
-        return self.wordings[i][0], saving, missing, extra, "; ".join(edits), verdict
+        verdict = "modified" if missing or extra else "exact"
+        yield 0, near[at + lo][1], self.wordings[i][0], saving, missing, extra, "; ".join(edits), verdict, near[at + hi - 1][2]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: ScanRules | None = None) -> DataFrame:
-    """One row per candidate block that a wording explains: id, ``block`` (its number), ``at`` (character offset),
+    """One row per confirmed wording and place, or per block that a wording explains by its bytes alone: id, ``block`` (its number), ``at`` (character offset),
     ``license``, ``saving``, ``n_missing``, ``n_extra``, ``differences``, ``verdict``."""
     rules = rules or ScanRules()
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -149,10 +160,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
         for batch in batches:
             ids, rows = [], []
             for ident, text in zip(batch.column(0), batch.column(1), strict=True):
-                for number, (at, block) in enumerate(candidate_blocks(text.as_py(), rules)):
-                    if found := matcher.best(block):
-                        ids.append(ident.as_py())
-                        rows.append((number, at, *found))
+                for found in matcher.found(text.as_py()):
+                    ids.append(ident.as_py())
+                    rows.append(found)
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["id", *names])
 

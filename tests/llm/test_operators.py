@@ -348,6 +348,25 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_in_prose(spark):
+    """Wordings within prose, side by side and far apart in long texts: every planted one is found at its place."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    wordings = [w for w in license_scan.WORDINGS if w[0] not in ("Proprietary",)]
+    rows, want = [], set()
+    for i, (name, wording) in enumerate(wordings):
+        before = prose(rng.choice((0, 9, 60, 900)))
+        text = f"{before} {wording} {prose(rng.choice((0, 9, 60, 900)))}"
+        rows.append((i, text))
+        want.add((i, name, "exact"))
+    rows.append((900, f"{prose(40)} Released under the MIT License. {prose(3)} Licensed under the Apache License, Version 2.0. {prose(5000)} Licensed under CC BY 4.0."))
+    want |= {(900, "MIT", "exact"), (900, "Apache-2.0", "exact"), (900, "CC-BY-4.0", "exact")}
+    rows += [(950 + k, prose(200) + " license " + prose(50)) for k in range(5)]
+    got = {(r.doc_id, r.license, r.verdict) for r in license_scan.scan(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).collect()}
+    assert {g for g in got if g[2] != "unconfirmed"} >= want
+    assert {g[0] for g in got if g[2] == "exact"} == {w[0] for w in want}
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
