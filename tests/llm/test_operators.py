@@ -231,7 +231,7 @@ def test_decontaminate(spark, docs, rows, empty):
     near[4] = near[11] = "swapped"
     planted = [(100, "start " + item + " end"), (101, " ".join(near)), (102, " ".join(rng.choice(item.split()) for _ in range(60))), (103, None), (104, "")]
     table = spark.createDataFrame([(i, t, "x") for i, t in planted], "doc_id long, text string, item_id string")
-    bench = spark.createDataFrame([(1, item), (2, None), (3, "short one"), (None, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "short absent"), (None, "")], "item_id long, text string")
     found = decontaminate.contaminated(table.drop("item_id"), bench)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(100, 1), (101, 1)}
     assert {r.doc_id for r in decontaminate.decontaminate(table, bench).collect()} == {102, 103, 104}
@@ -239,6 +239,37 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def brute_contaminated(docs, items):
+    out = set()
+    for i, text in docs:
+        d = [w for w in re.split(r"[^a-z0-9]+", (text or "").lower()) if w]
+        for k, item in items:
+            t = [w for w in re.split(r"[^a-z0-9]+", (item or "").lower()) if w]
+            need = min(len(t), 13)
+            for shift in range(-len(t), len(d)) if t else ():
+                same = [0 <= j + shift < len(d) and d[j + shift] == w for j, w in enumerate(t)]
+                if any(10 * sum(same[a : a + need]) >= 8 * need for a in range(len(t) - need + 1)):
+                    out.add((i, k))
+    return out
+
+
+def test_short_items_are_never_missed(spark):
+    """All substitutions that the rule accepts, at every length below a stretch, against brute force."""
+    from itertools import combinations
+
+    items = [(n, " ".join(f"w{n}x{j}" for j in range(n))) for n in range(1, 14)]
+    docs = []
+    for n, item in items:
+        words = item.split()
+        for k in range(3 if n < 13 else 2):
+            for gone in combinations(range(n), k):
+                docs.append((1000 * n + len(docs), " ".join(["other", *("zz" if j in gone else w for j, w in enumerate(words)), "words"])))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench).collect()}
+    assert got == brute_contaminated(docs, items)
+
+
 def test_cotraining(spark, empty):
     rng = random.Random(3)
     good = lambda: " ".join("".join(rng.choice("aeiourstn") for _ in range(5)) for _ in range(60))
