@@ -27,8 +27,12 @@ def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.extract(_table(spark, sf_dir, "pages"))
 
 
+#: The language shares that op4 asks for; sources and topics are tempered.
+LANGUAGES = {"en": 0.48, "de": 0.17, "fr": 0.17, "es": 0.16, mixing.NONE: 0.02}
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.sample(_table(spark, sf_dir, "documents"))
+    return mixing.sample(_table(spark, sf_dir, "documents"), targets={"lang": LANGUAGES})
 
 
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

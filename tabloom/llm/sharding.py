@@ -10,8 +10,8 @@ then do rows move, once: they are exchanged by key range and numbered inside the
 Law: ``bytes`` (shards have nearly equal bytes).
 
 Defined cases: a null text has no bytes (size 16) and the checksum of the empty text; a null id is an
-id like any other; repeated rows are kept and get slots of their own; rows that agree in both hashes
-stay in one shard; with fewer rows than shards some shards are empty; an empty table gives no rows;
+id like any other; repeated rows are kept and get slots of their own; ``assign`` can cut
+between rows that agree in id and text, ``shard`` keeps those in one shard; with fewer rows than shards some shards are empty; an empty table gives no rows;
 extra columns are ignored by ``assign`` and carried by ``shard``.
 """
 
@@ -35,9 +35,9 @@ def size_of(text: str) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long")
 
 
-def key_of(id_col: str, text: str) -> Column:
+def key_of(id_col: str, text: str, *ties: Column) -> Column:
     high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 25), 24)
-    return high.bitwiseOR(F.xxhash64(F.col(id_col)).bitwiseAND(F.lit((1 << 24) - 1)))
+    return high.bitwiseOR(F.xxhash64(F.col(id_col), *ties).bitwiseAND(F.lit((1 << 24) - 1)))
 
 
 @dataclass
@@ -189,7 +189,7 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
             F.col(id_col).alias("__id"),
             size_of(text_col).alias("__size"),
             F.crc32(common.text_bytes(text_col)).alias("__crc"),
-            key_of(id_col, text_col).alias("__key"),
+            key_of(id_col, text_col, F.monotonically_increasing_id()).alias("__key"),  # staged here, so it stays
         ),
         "shard",
     )
