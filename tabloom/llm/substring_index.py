@@ -89,6 +89,7 @@ class FingerprintIndex:
     buckets: int = 0
     runs: list[tuple[int, str, str]] = field(default_factory=list)  # level, table, path
     version: int = 0
+    given: list[str] = field(default_factory=list)  # staged candidates
 
     def __post_init__(self) -> None:
         self.buckets = self.buckets or common.partitions(self.spark)
@@ -132,11 +133,18 @@ class FingerprintIndex:
         for _, name, _ in self.runs:
             old = self.spark.table(name)
             found += [new.join(old, "fp", "left_semi"), old.join(new, "fp", "left_semi")]
-        candidates = common.staged(reduce(DataFrame.union, found), "candidates")
+        candidates, path = common.staged_at(reduce(DataFrame.union, found), "candidates")
+        self.given.append(path)
         self.runs.append(run)
         self._compact()
         return candidates
 
+    def forget_candidates(self) -> None:
+        """Remove the staged candidates that ``add`` gave, when they have been used."""
+        for path in self.given:
+            common.remove(self.spark, path)
+        self.given = []
+
     def _compact(self) -> None:
         """Merge the newest runs while they are of one level. Their files are bucketed alike, so the merged run is written
         where its buckets are read: no row is exchanged, only sorted with those of its bucket."""
@@ -230,10 +238,12 @@ def verified(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """Runs of windows to remove: ``rank``, ``th``, first window ``lo``, end ``hi``."""
     spark = texts.sparkSession
     members, members_path = common.staged_at(_shared_runs(texts, span, gram).withColumn("rk", F.xxhash64("wh")), "members")
-    distinct, distinct_path = common.staged_at(members.groupBy("fp", "rk", "wh").agg(F.min("rank").alias("first")), "runs")
-    common.release(spark)
+    distinct, distinct_path = common.staged_at(members.groupBy("fp", "rk").agg(F.min("rank").alias("first")), "runs")
     several = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp")
-    windows, windows_path = common.staged_at(_windows(distinct.join(several, "fp", "left_semi")), "windows")
+    # the window hashes move only where runs with one fingerprint differ, and once for equal runs
+    one = members.select("fp", "rk", "wh").join(several, "fp", "left_semi").dropDuplicates(["fp", "rk"])
+    windows, windows_path = common.staged_at(_windows(one.join(distinct, ["fp", "rk"])), "windows")
+    common.release(spark)
     least = windows.groupBy("fp", "h").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
     seen = windows.join(least, ["fp", "h"]).where("least < first").groupBy("fp", "rk", "first").agg(F.collect_set("offset").alias("offsets"))
     known = distinct.select("fp", "rk", "first").join(seen, ["fp", "rk", "first"], "left")
@@ -290,6 +300,7 @@ def deduplicate(
     index.drop()
     common.release(spark)
     texts = common.staged(_with_candidates(_prepared(docs, id_col, text_col), reduce(DataFrame.union, found), with_text), "texts")
+    index.forget_candidates()
     common.release(spark)
     return _cleaned(texts, verified(texts, span, gram), span, id_col, with_text)
 
@@ -306,4 +317,5 @@ def deduplicate_batch(
     new = _with_candidates(rows, candidates, with_text).withColumn("new", F.lit(True))
     old = _with_candidates(_prepared(history, id_col, text_col), candidates, False).where("fps IS NOT NULL").withColumn("new", F.lit(False))
     texts = common.staged(new.union(old), "texts")
+    index.forget_candidates()
     return _cleaned(texts.where("new"), verified(texts, span, gram), span, id_col, with_text)
