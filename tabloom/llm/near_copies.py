@@ -8,7 +8,8 @@ candidates are verified on the whole sets. Which shingles the sample finds chang
 Groups are connected components, so a pair that is connected already needs no comparison: first texts with
 close SimHash fingerprints are compared (``simhash.close_pairs``), then every shingle's members with one pivot
 (the member whose prefix is shared most), then those of other components with a second one, and only pairs
-still in different components are listed in full. What is staged grows with the shared part of the prefixes;
+still in different components are listed, at those shingles that can be the first they share: with too little of either set
+behind it for the similarity, a shingle is not the first. What is staged grows with the shared part of the prefixes;
 whole texts move once, compressed, and only those that share something.
 
 Defined cases: words are lower-cased (A-Z); a text shorter than a shingle is its whole word sequence;
@@ -37,6 +38,8 @@ SEED = 42
 #: The sample that finds frequent shingles: texts at most, and texts of it that make a shingle frequent.
 SAMPLE = 20_000
 FREQUENT = 4
+#: Shingles of sets just computed that verification keeps at hand: bounds a task's memory.
+KNOWN = 2_000_000
 
 
 def shingles(text: bytes, words: int = 5) -> np.ndarray:
@@ -87,7 +90,7 @@ def frequent_shingles(texts: DataFrame, rows: int, words: int, sample: int = SAM
 
 
 def postings(texts: DataFrame, frequent: np.ndarray, words: int, least: float) -> DataFrame:
-    """``key``, ``node``, ``n``, ``size`` (of the prefix): one row for each shingle of a set's prefix."""
+    """``key``, ``node``, ``n``, ``place`` (in the set's order, from 0): one row for each shingle of a set's prefix."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys, nodes, counts = [], [], []
@@ -99,11 +102,12 @@ def postings(texts: DataFrame, frequent: np.ndarray, words: int, least: float) -
                 often = frequent[np.minimum(np.searchsorted(frequent, have), len(frequent) - 1)] == have
                 have = np.concatenate([have[~often], have[often]])
             keys.append(have[: prefix_size(len(have), least)])
-        sizes = np.array([len(k) for k in keys], np.int32)
-        repeated = [np.repeat(np.array(v, t), sizes) for v, t in ((nodes, np.int64), (counts, np.int32), (sizes, np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(keys) if keys else np.empty(0, np.int64), *repeated)], ["key", "node", "n", "size"])
+        sizes = [len(k) for k in keys]
+        repeated = [np.repeat(np.array(v, t), sizes) for v, t in ((nodes, np.int64), (counts, np.int32))]
+        places = np.concatenate([np.empty(0, np.int32), *(np.arange(size, dtype=np.int32) for size in sizes)])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate([np.empty(0, np.int64), *keys]), *repeated, places)], ["key", "node", "n", "place"])
 
-    return common.arrow_map(texts.select("text"), run, "key long, node long, n int, size int")
+    return common.arrow_map(texts.select("text"), run, "key long, node long, n int, place int")
 
 
 def shared_postings(posted: DataFrame) -> DataFrame:
@@ -133,9 +137,22 @@ def verified(pairs: DataFrame, packed: DataFrame, words: int, least: float) -> D
     """The pairs (``a``, ``b``) whose sets have Jaccard similarity ``least`` or more."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        z, keep = zstandard.ZstdDecompressor(), []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (shingles(z.decompress(t.as_py()), words) for t in (x, y))
+        z, keep, known, held = zstandard.ZstdDecompressor(), [], {}, 0
+
+        def of(node: int, packed_text: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            have = known.get(node)
+            if have is None:
+                have = shingles(z.decompress(packed_text.as_py()), words)
+                if held + len(have) > KNOWN:
+                    known.clear()
+                    held = 0
+                known[node] = have
+                held += len(have)
+            return have
+
+        for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            x, y = of(a, x), of(b, y)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -173,26 +190,31 @@ def similar_roots(texts: DataFrame, sets: DataFrame, words: int, least: float) -
     packed, packed_path = common.staged_at(packed_sets(texts, sets, taking_part), "packed")
     common.release(spark)
     held = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    central = members.join(held, "key").groupBy("node").agg((F.sum(F.log("members")) / F.first("size")).alias("rank"))
-    placed = common.staged(members.join(central, "node").select("key", "node", "n", F.struct(F.round("rank", 6).alias("rank"), "node", "n").alias("place")), "open")
+    prefix = F.first("n") - F.ceil(least * F.first("n") - 1e-9) + 1
+    central = members.join(held, "key").groupBy("node").agg((F.sum(F.log("members")) / prefix).alias("rank"))
+    central = central.select("node", F.round("rank", 6).alias("rank"))
+    placed = common.staged(members.join(central, "node").select("key", "node", "n", "place", F.struct("rank", "node", "n").alias("lead")), "open")
 
     def with_pivot(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-        leading = pivots.groupBy("key").agg(F.max_by(F.struct("node", "n"), "place").alias("p"))
+        leading = pivots.groupBy("key").agg(F.max("lead").alias("p"))
         return _pairs(rows.join(leading.select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m")), "key"), least)
 
     first = with_pivot(placed, placed).union(prints).distinct()
     roots = connected_components(common.staged(verified(first, packed, words, least), "links"))
     for all_pairs in (False, True):
         rooted = placed.join(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")), F.col("node") == F.col("__node"), "left")
-        rooted = common.staged(rooted.select("key", "node", "n", "place", F.coalesce("__root", "node").alias("root")), "rooted")
-        lead = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", "place").alias("lead")).where("lo <> hi")
-        open_ = common.staged(rooted.join(lead.select("key", "lead"), "key"), "open")
+        rooted = common.staged(rooted.select("key", "node", "n", "place", "lead", F.coalesce("__root", "node").alias("root")), "rooted")
+        of_key = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", "lead").alias("first")).where("lo <> hi")
+        open_ = common.staged(rooted.join(of_key.select("key", "first"), "key"), "open")
         if all_pairs:
-            other = open_.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-            pairs = _pairs(open_.join(other, "key").where("node < other and root <> other_root"), least)
+            other = open_.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("root").alias("other_root"))
+            # at the first shingle that two similar sets share, enough of each is left to reach the similarity
+            needed = least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
+            left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place"))
+            pairs = _pairs(open_.join(other, "key").where("node < other and root <> other_root").where(left >= needed), least)
         else:
-            pairs = with_pivot(open_.where("root = lead"), open_.where("root <> lead"))
-            pairs = pairs.union(with_pivot(open_.where("root <> lead"), open_.where("root = lead"))).distinct()
+            pairs = with_pivot(open_.where("root = first"), open_.where("root <> first"))
+            pairs = pairs.union(with_pivot(open_.where("root <> first"), open_.where("root = first"))).distinct()
         fresh = common.staged(verified(pairs, packed, words, least), "links")
         if not fresh.isEmpty():
             roots = connected_components(roots.select("node", "root").union(fresh))

@@ -8,7 +8,7 @@ import zlib
 import pytest
 import xxhash
 
-from tabloom.llm import cotraining, decontaminate, license_scan, line_rules, mixing, near_copies, sharding, simhash, substring_index, suffix_dedup, templates
+from tabloom.llm import components, cotraining, decontaminate, license_scan, line_rules, mixing, near_copies, sharding, simhash, substring_index, suffix_dedup, templates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, score double"
 
@@ -108,6 +108,27 @@ def brute_jaccard_components(rows, least=0.8):
     return [(r[0], ids.get(g)) for r, g in zip(rows, group, strict=True)]
 
 
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_components(spark, small):
+    rng = random.Random(8)
+    edges = [(9000, n) for n in range(200)] + [(n, n + 1) for n in range(1000, 1040)] + [(rng.randint(2000, 2300), rng.randint(2000, 2300)) for _ in range(150)]
+    edges += [edges[0], (5, 5), (199, 1040), (-7, 8000)]
+    least = {}
+
+    def find(n):
+        while least.setdefault(n, n) != n:
+            n = least[n]
+        return n
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        least[max(a, b)] = min(a, b)
+    want = {(n, find(n)) for edge in edges if edge[0] != edge[1] for n in edge}
+    got = components.connected_components(spark.createDataFrame(edges, "x long, y long"), small=small).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert components.connected_components(spark.createDataFrame([], "x long, y long"), small=small).count() == 0
+
+
 def test_pipeline_removes_all_near_copies(spark, rows, empty):
     import corpus_pipeline
 
