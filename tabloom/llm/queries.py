@@ -66,5 +66,38 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+_OP7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS words FROM starts),
+firsts AS (SELECT words, min(doc_id) AS first_id FROM windows GROUP BY words),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN firsts USING (words), range(13) r(k) WHERE first_id < doc_id),
+marked AS (SELECT words.doc_id, words.p, word, gone.p IS NOT NULL AS is_gone FROM words LEFT JOIN gone USING (doc_id, p)),
+left_over AS (SELECT doc_id, count(*) FILTER (WHERE is_gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT is_gone) AS kept
+              FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
+#: Strings of 400 bytes as 800 hex digits, cut from pieces of 655 bytes that start every 256.
+_OP10 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bases AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 399, 256)) AS base, h FROM d WHERE len(h) >= 800),
+pieces AS MATERIALIZED (SELECT doc_id, base, substr(h, 2 * base + 1, 1310) AS piece FROM bases),
+starts AS (SELECT doc_id, base, unnest(range(0, len(piece) // 2 - 399)) AS k, piece FROM pieces),
+strings AS MATERIALIZED (SELECT doc_id, base + k AS i, md5_number(substr(piece, 2 * k + 1, 800)) AS s FROM starts),
+repeats AS (SELECT doc_id, i FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)),
+edges AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS is_new FROM repeats),
+numbered AS (SELECT doc_id, i, sum(is_new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges),
+runs AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS kept_from, hi FROM runs),
+left_over AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS tail,
+                     string_agg(substr(h, 2 * kept_from + 1, 2 * (lo - kept_from)), '' ORDER BY lo) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_substring_index": _OP7, "op10_suffix_array": _OP10}
