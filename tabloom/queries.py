@@ -219,7 +219,30 @@ def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.text_lengths(table(spark, sf_dir, "documents"), ["text", "lang"]), 6)
 
 
-@query()
+_ORDERS = {"o_orderkey": "numeric", "o_custkey": "numeric", "o_orderstatus": "text", "o_totalprice": "numeric", "o_orderdate": "datetime", "o_orderpriority": "text"}
+
+
+def _column_facts(c: str, kind: str) -> str:
+    length = f"avg(length({c}))" if kind == "text" else "0.0"
+    fences = f"(SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM orders)"
+    outside = f"(SELECT 100.0 * count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count({c}) FROM orders, {fences})" if kind == "numeric" else "0.0"
+    skew = f"abs(skewness({c}))" if kind == "numeric" else "0.0"
+    return f"SELECT '{c}' AS c, '{kind}' AS kind, count(*) AS n, 100.0 * count_if({c} IS NULL) / count(*) AS null_pct, count(DISTINCT {c}) AS vals, {length} AS len, {outside} AS outside, {skew} AS skew FROM orders"
+
+
+_ISSUES = f"""WITH f AS ({" UNION ALL ".join(_column_facts(c, k) for c, k in _ORDERS.items())}),
+    i AS (SELECT c, 'constant' AS code, 'high' AS severity FROM f WHERE vals <= 1
+    UNION ALL SELECT c, 'nulls_high', 'high' FROM f WHERE null_pct >= 60 UNION ALL SELECT c, 'nulls_medium', 'medium' FROM f WHERE null_pct >= 20 AND null_pct < 60
+    UNION ALL SELECT c, 'text', 'low' FROM f WHERE len >= 25 AND 100.0 * vals / n >= 50
+    UNION ALL SELECT c, 'high_cardinality', 'medium' FROM f WHERE kind = 'text' AND vals > 200 AND NOT (len >= 25 AND 100.0 * vals / n >= 50)
+    UNION ALL SELECT c, 'identifier', 'medium' FROM f WHERE n > 1 AND vals = n
+    UNION ALL SELECT c, 'outliers', 'medium' FROM f WHERE round(outside, 3) > 10 UNION ALL SELECT c, 'skewed', 'low' FROM f WHERE skew > 3
+    UNION ALL SELECT NULL, 'duplicates', 'medium' WHERE (SELECT count(*) FROM orders) > (SELECT count(*) FROM (SELECT DISTINCT * FROM orders))),
+    p AS (SELECT greatest(0, 100 - coalesce(sum(CASE severity WHEN 'high' THEN 8 WHEN 'medium' THEN 3 ELSE 1 END), 0))::INTEGER AS score FROM i)
+    SELECT c AS "column", code, severity, score, CASE WHEN score >= 80 THEN 'good' WHEN score >= 55 THEN 'fair' ELSE 'poor' END AS level FROM i, p"""
+
+
+@query(_ISSUES)
 def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, score, level = P.quality_issues(table(spark, sf_dir, "orders"))
     return spark.createDataFrame([(i["column"], i["code"], i["severity"], score, level) for i in found], "column string, code string, severity string, score int, level string")
@@ -397,13 +420,27 @@ def frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.frequent_levels(table(spark, sf_dir, "part"), "p_brand", 4.0)
 
 
-@query()
+@query("""WITH r AS (SELECT l_returnflag = 'R' AS y, l_quantity, l_discount, l_linestatus FROM lineitem),
+    v AS (SELECT 'l_quantity' AS c, l_quantity::DOUBLE AS v, y FROM r UNION ALL SELECT 'l_discount', l_discount::DOUBLE, y FROM r UNION ALL SELECT 'copia_del_objetivo', y::INT::DOUBLE, y FROM r),
+    k AS (SELECT c, y, rank() OVER (PARTITION BY c ORDER BY v) + (count(*) OVER (PARTITION BY c, v) - 1) / 2.0 AS k FROM v WHERE v IS NOT NULL),
+    u AS (SELECT c, sum(k) FILTER (y)::DOUBLE AS s, count(*) FILTER (y)::DOUBLE AS p, count(*) FILTER (NOT y)::DOUBLE AS q FROM k GROUP BY c),
+    a AS (SELECT c, (s - p * (p + 1) / 2) / (p * q) AS a FROM u),
+    g AS (SELECT count(*)::DOUBLE AS n, avg(y::INT) AS m FROM r GROUP BY l_linestatus), w AS (SELECT avg(y::INT) AS m, var_pop(y::INT) AS v, count(*) AS n FROM r),
+    f AS (SELECT c, 'auc' AS measure, 2 * greatest(a, 1 - a) - 1 AS strength FROM a UNION ALL SELECT 'l_linestatus', 'eta2', (SELECT sum(g.n * (g.m - w.m) * (g.m - w.m)) FROM g, w) / (SELECT n * v FROM w)),
+    e AS (SELECT *, contains(c, 'objetivo') OR contains('objetivo', c) AS echo FROM f),
+    l AS (SELECT *, CASE WHEN strength >= 0.98 AND (measure <> 'eta2' OR echo) OR echo AND strength >= 0.85 THEN 'block' WHEN strength >= 0.9 THEN 'warn' END AS level FROM e)
+    SELECT c AS "column", measure, strength, level FROM l WHERE level IS NOT NULL""")
 def leakage_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("objetivo"), (F.col("l_returnflag") == "R").cast("int").alias("copia_del_objetivo"))
     return spark.createDataFrame([(f["column"], f["measure"], f["strength"], f["level"]) for f in etl.audit_leakage(rows, "objetivo")], "column string, measure string, strength double, level string")
 
 
-@query()
+@query(r"""WITH t AS (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN translate('$ ' || format('{:,.2f}', o_totalprice), ',.', '.,') ELSE 's/d' END AS m FROM orders), c AS (SELECT regexp_replace(trim(m), '[$€£¥%\s]', '', 'g') AS c FROM t),
+    v AS (SELECT c, contains(c, '.') AS dots, contains(c, ',') AS commas, length(c) - instr(reverse(c), ',') > length(c) - instr(reverse(c), '.') AS comma_last FROM c)
+    SELECT sum(CASE WHEN dots AND commas AND comma_last THEN 2 WHEN commas AND NOT dots AND regexp_matches(c, '^-?\d+,\d+$') AND NOT regexp_matches(c, '^-?[1-9]\d{0,2},\d{3}$') THEN 1 ELSE 0 END)::BIGINT AS comma,
+        sum(CASE WHEN dots AND commas AND NOT comma_last THEN 2 WHEN dots AND NOT commas AND regexp_matches(c, '^-?\d+\.\d+$') AND NOT regexp_matches(c, '^-?[1-9]\d{0,2}\.\d{3}$') THEN 1 ELSE 0 END)::BIGINT AS dot,
+        count(*) FILTER (regexp_matches(c, '^-?[1-9]\d{0,2}(\.\d{3})+$')) AS dot_thousands, count(*) FILTER (regexp_matches(c, '^-?[1-9]\d{0,2}(,\d{3})+$')) AS comma_thousands,
+        avg((try_cast(replace(replace(c, '.', ''), ',', '.') AS DOUBLE) IS NOT NULL)::INT) AS comma_parses, avg((try_cast(replace(c, ',', '') AS DOUBLE) IS NOT NULL)::INT) AS dot_parses FROM v""")
 def decimal_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.decimal_votes(_money(spark, sf_dir, True), "monto")
 
