@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, decontaminate, license_scan, line_rules, mixing, sharding, simhash, substring_index, suffix_dedup, templates
+from . import cotraining, decontaminate, divergence, license_scan, line_rules, mixing, sharding, simhash, substring_index, suffix_dedup, templates, token_ids, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,10 +59,23 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_cotraining, op3_templates, op4_mixing, op5_line_rules, op6_simhash_near_dedup, op7_substring_index, op8_sharding, op9_license_scan, op10_suffix_array,
+        op11_whitening, op12_token_ids, op13_divergence,
     )
 }
 
@@ -99,5 +112,26 @@ SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed
 FROM d LEFT JOIN left_over USING (doc_id)
 """
 
+_OP13 = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+numbered AS (SELECT row_number() OVER () AS doc, * FROM d),
+found AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM numbered),
+kept AS (SELECT lang, term FROM found GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // CAST(coalesce(t.total, 0) + 5 * s.v AS HUGEINT) AS BIGINT) AS p
+           FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+           LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM counts GROUP BY lang, term),
+lang_shares AS (SELECT lang, term, CAST(1 + CAST(1000000000 AS HUGEINT) * CAST(n + 5 AS HUGEINT) // CAST(total + 5 * v AS HUGEINT) AS BIGINT) AS q FROM whole JOIN sizes USING (lang)),
+pair_sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+items AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM shares JOIN lang_shares USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM items QUALIFY part = 'pair' OR rank <= 50
+"""
+
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op7_substring_index": _OP7, "op10_suffix_array": _OP10}
+ORACLES: dict[str, str] = {"op7_substring_index": _OP7, "op10_suffix_array": _OP10, "op13_divergence": _OP13}
