@@ -123,7 +123,7 @@ def kept_terms(counted: DataFrame, least: int, shards: int) -> DataFrame:
                     con.register("batch", pa.Table.from_batches([batch]))
                     con.execute("INSERT INTO counted SELECT * FROM batch")
                     con.unregister("batch")
-            yield from con.execute(_KEPT.format(least=int(least))).to_arrow_reader(65_536)
+            yield from con.sql(_KEPT.format(least=int(least))).to_arrow_reader(65_536)
 
     return counted.repartition(shards, "lang", "term").mapInArrow(run, "lang string, source string, term string, occurrences long, whole boolean")
 
@@ -159,7 +159,7 @@ def shard_sums(kept: DataFrame, groups: DataFrame, shards: int, top: int) -> Dat
             con.register("kept", terms)
             con.register("groups", known)
             con.execute(_SHARES.format(share=SHARE, smooth=SMOOTH))
-            parts = [con.execute(sql).to_arrow_table().cast(schema) for sql in (_PAIRS, _TERMS.format(top=int(top)))]
+            parts = [con.sql(sql).to_arrow_table().cast(schema) for sql in (_PAIRS, _TERMS.format(top=int(top)))]
         return pa.concat_tables(parts)
 
     shard = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int")
