@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 
 _BITS = 20
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 @dataclass
@@ -58,7 +58,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int, pairs: int = 1
     """The grammar of ids, the symbols left, and how many symbols each document has; ``sizes`` are the documents' ids.
 
     Up to ``pairs`` nonterminals a round, for pairs that occur ``least`` times or more, in at most ``rounds`` rounds."""
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.uint32)
     first = np.zeros(len(symbols) + 1, bool)  # first symbols of documents
     first[np.cumsum(sizes)] = True
     first = first[: len(symbols)]
@@ -69,32 +69,31 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int, pairs: int = 1
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        keys = (symbols[:-1] << 32) | symbols[1:]
-        inner = ~first[1:]
-        slots = ((keys.view(np.uint64) * _MIX) >> np.uint64(64 - _BITS)).astype(np.int32)
-        counts = np.bincount(slots[inner], minlength=1 << _BITS)
-        floor = max(least, int(np.partition(counts, -pairs)[-pairs]))
-        likely = inner & (counts >= floor)[slots]
-        found, n = np.unique(keys[likely], return_counts=True)
+        slots = ((symbols[:-1] * _LEFT) ^ (symbols[1:] * _RIGHT)) >> np.uint32(32 - _BITS)
+        counts = np.bincount(slots, minlength=1 << _BITS)  # at least the occurrences of any pair in the slot
+        high = counts[counts >= least]
+        floor = int(np.partition(high, -pairs)[-pairs]) if len(high) > pairs else least
+        at = np.flatnonzero((counts >= floor)[slots] & ~first[1:])
+        keys = (symbols[at].astype(np.int64) << 32) | symbols[at + 1]
+        found, n = np.unique(keys, return_counts=True)
         order = np.lexsort((found, -n))[:pairs]
         order = order[n[order] >= least]
         if not len(order):
             break
         chosen = found[order]
-        where = ((chosen.view(np.uint64) * _MIX) >> np.uint64(64 - _BITS)).astype(np.int64)
+        where = ((chosen >> 32).astype(np.uint32) * _LEFT ^ chosen.astype(np.uint32) * _RIGHT) >> np.uint32(32 - _BITS)
         _, alone = np.unique(where, return_index=True)  # of two pairs in one slot the more frequent one
         none = np.int32(len(chosen))
         rank_of, key_of = np.full(1 << _BITS, none, np.int32), np.full(1 << _BITS, -1, np.int64)
         rank_of[where[alone]], key_of[where[alone]] = alone.astype(np.int32), chosen[alone]
-        at = np.flatnonzero(likely & (rank_of[slots] != none))
-        at = at[key_of[slots[at]] == keys[at]]
+        at = at[key_of[slots[at]] == keys]
         ranks = np.full(len(symbols) + 1, none, np.int32)
         ranks[at + 1] = rank_of[slots[at]]
         at = at[(ranks[at + 1] < ranks[at]) & (ranks[at + 1] <= ranks[at + 2])]
         uses = np.bincount(ranks[at + 1], minlength=len(chosen))
         used = uses >= 3
         at = at[used[ranks[at + 1]]]
-        number = np.cumsum(used) - 1 + top
+        number = (np.cumsum(used) - 1 + top).astype(np.uint32)
         symbols[at] = number[ranks[at + 1]]
         lefts.append(chosen[used] >> 32)
         rights.append(chosen[used] & 0xFFFFFFFF)
@@ -113,4 +112,4 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int, pairs: int = 1
     full = np.flatnonzero(sizes > 0)
     starts = np.flatnonzero(first)
     held[full] = np.diff(np.append(starts, len(symbols)))
-    return grammar, symbols, held
+    return grammar, symbols.astype(np.int64), held

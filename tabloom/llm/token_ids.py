@@ -11,18 +11,21 @@ file format is a Parquet folder (Spark commits it, so lost executors and repeate
 
 ``read`` decodes all; ``window`` decodes some ids of some documents: it prunes shards by id and expands no symbol outside.
 
-Words apart by white space are encoded apart (the tokenizer's own rules never join them), each distinct one
-once while a task's worker remembers it; the ids are those of the whole text.
+Where the tokenizer's own rules part texts at white space, words are encoded apart, each distinct one once while
+a task's worker remembers it: the ids are those of the whole text. Other tokenizers get whole texts.
 
 Cases: a null or empty text has only the end id. Equal document ids are put in order of their texts, null ids come first. A text of any
 length is one document of one shard. An empty table gives an empty folder and no rows."""
 
 from __future__ import annotations
 
+import json
+import os
 import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,9 @@ from .grammar import Grammar, compress
 #: Ids a shard holds before it is closed at a document's end.
 SHARD_IDS = 1_000_000
 #: Distinct words a worker remembers; when they are more, it starts anew.
-WORDS = 300_000
+WORDS = 800_000
+#: Bytes of text encoded at a time.
+PIECE = 8 << 20
 #: Marks that may end a word: letters before them are a token run of their own.
 ENDINGS = ".,;:!?"
 
@@ -53,48 +58,62 @@ def public_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def parts_at_spaces(tokenizer: dict) -> bool:
+    """Does a ``tokenizers`` JSON lower-case texts and drop white space between parts that are encoded apart: is a text's encoding that
+    of its words, and a word of a-z one part that the model gets as it is?"""
+    steps = tokenizer.get("normalizer") or {}
+    kinds = [s["type"] for s in steps.get("normalizers", [steps] if steps else [])]
+    first, *rest = (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[\p{L}]+" in first.get("pattern", {}).get("Regex", "").split("|")
+    plain = all(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in rest)
+    special = all(t["special"] and not t["normalized"] and "<" in t["content"] for t in tokenizer.get("added_tokens", []))
+    return bool(drops and plain and special and "Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"} and tokenizer["model"]["type"] == "BPE")
+
+
 class Encoder:
-    """Ids of texts by a ``tokenizers`` JSON; remembers the ids of words."""
+    """Ids of texts by a ``tokenizers`` JSON; where it parts texts at white space, each distinct word is encoded once and remembered."""
 
     def __init__(self, tokenizer: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work; a task is one thread
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.special = "<" if any(t.special for t in self.tokenizer.get_added_tokens_decoder().values()) else ""
+        self.by_words = parts_at_spaces(json.loads(tokenizer))
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _cores(self, words: list[str]) -> tuple[list[str], list[str]]:
+    @staticmethod
+    def _cores(words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Words without the marks at their ends, and these marks; in lower case where that changes no special token."""
-        cores, tails = [], []
-        for w in words:
-            core = w.rstrip(ENDINGS) if w.isascii() else w
-            if core and core[-1].isalnum() and "<" not in core:
-                cores.append(core.lower() if core.isascii() else core)
-                tails.append(w[len(core) :])
-            else:
-                cores.append(w)
-                tails.append("")
-        return cores, tails
+        cores = pc.ascii_rtrim(words, ENDINGS)
+        plain = pc.and_(pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<"))), pc.match_substring_regex(cores, "[0-9A-Za-z]$"))
+        tails = pc.replace_substring_regex(words, f"^.*?([{ENDINGS}]*)$", r"\1")
+        return pc.if_else(plain, pc.ascii_lower(cores), words), pc.if_else(plain, tails, "")
 
     def places(self, words: list[str]) -> np.ndarray:
-        """Where in ``starts`` each word's ids are."""
-        fresh = list(dict.fromkeys(w for w in words if w not in self.known))
+        """Where in ``starts`` each of some distinct words' ids are."""
+        found = list(map(self.known.get, words))
+        fresh = [w for w, at in zip(words, found, strict=True) if at is None]
         if fresh:
             if len(self.known) + len(fresh) > WORDS and self.known:
                 self._reset()
-                fresh = list(dict.fromkeys(words))
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+                fresh = words
+            model = self.tokenizer.model
+            encoded = [[t.id for t in model.tokenize(w)] if w.isascii() and w.isalpha() else None for w in fresh]
+            odd = [i for i, e in enumerate(encoded) if e is None]
+            for i, e in zip(odd, self.tokenizer.encode_batch_fast([fresh[i] for i in odd], add_special_tokens=False), strict=True):
+                encoded[i] = e.ids
             ends = np.cumsum([len(e) for e in encoded]) + self.starts[-1]
-            self.ids = np.concatenate([self.ids, np.fromiter((i for e in encoded for i in e), np.uint32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.uint32)])
             at = len(self.starts) - 1
             self.known.update(zip(fresh, range(at, at + len(fresh)), strict=True))
             self.starts = np.concatenate([self.starts, ends])
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+            found = list(map(self.known.__getitem__, words))
+        return np.array(found, np.int64)
 
     def _ragged(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.starts[places + 1] - self.starts[places]
@@ -102,20 +121,28 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(e) for e in found], np.int64)
+        lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
         per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        distinct = words.dictionary.to_pylist()
-        if not distinct:
+        if not len(words.dictionary):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        cores, tails = self._cores(distinct)
-        both = self.places(cores + tails)  # at once: starting anew must not part them
-        table, sizes = self._ragged(np.stack([both[: len(cores)], both[len(cores) :]], axis=1).ravel())
+        cores, tails = (x.dictionary_encode() for x in self._cores(words.dictionary))
+        of_cores, of_tails = cores.dictionary.to_pylist(), tails.dictionary.to_pylist()
+        both = self.places(list(dict.fromkeys([*of_cores, *of_tails])))  # at once: starting anew must not part them
+        at = dict(zip(of_tails, [self.known[t] for t in of_tails], strict=True))
+        of_core = both[: len(of_cores)][cores.indices.to_numpy()]
+        of_tail = np.array([at[t] for t in of_tails], np.int64)[tails.indices.to_numpy()]
+        table, sizes = self._ragged(np.stack([of_core, of_tail], axis=1).ravel())
         sizes = sizes.reshape(-1, 2).sum(axis=1)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         used = words.indices.to_numpy()
-        ids = gathered(table, starts[used], sizes[used])
-        ends = np.concatenate([[0], np.cumsum(sizes[used])])
+        n = sizes[used]
+        ids = gathered(table, starts[used], n)
+        ends = np.concatenate([[0], np.cumsum(n)])
         bounds = np.concatenate([[0], np.cumsum(per_text)])
         return ids, np.diff(ends[bounds])
 
@@ -124,7 +151,10 @@ def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     """The stretches of ``values`` that begin at ``starts``, one after the other."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+    kind = np.int32 if total < 2**31 and len(values) < 2**31 else np.int64
+    at = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return values[at]
 
 
 def _encoder(tokenizer: str) -> Encoder:
@@ -165,8 +195,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 1
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for piece in _pieces(batch):
                 found, n = encoder.encode(piece.column(1))
                 bounds = np.concatenate([[0], np.cumsum(n)])
                 found = np.insert(found, bounds[1:], np.uint32(end))  # each document's end
@@ -191,6 +220,16 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 1
     given.unpersist()
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``PIECE`` bytes of text, one row at least."""
+    upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PIECE)))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def _row(part: int, shard: int, first: int, names: list, ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> pa.RecordBatch:
     grammar, symbols, held = compress(ids, sizes, vocabulary)
     known = [n for n in names if n is not None]

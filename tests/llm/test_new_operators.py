@@ -123,6 +123,18 @@ def test_words_are_forgotten_when_they_are_many(monkeypatch):
     assert got == [ids[:-1] for ids in brute_ids(texts)]
 
 
+def test_other_tokenizers_get_whole_texts(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rows = spark.createDataFrame(list(enumerate(AWKWARD)), "doc_id long, text string")
+    token_ids.write(rows, str(tmp_path / "ids"), tokenizer=path, end=50256)
+    got = {r.doc_id: r.ids for r in token_ids.read(spark, str(tmp_path / "ids")).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 50256] for i, x in enumerate(AWKWARD)}
+
+
 def test_grammar_round_trips():
     rng = np.random.default_rng(2)
     for n, v in ((0, 5), (1, 5), (2, 1), (50, 1), (5000, 3), (20000, 300)):
