@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_BITS = 20
+_BITS = 17
 _LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 

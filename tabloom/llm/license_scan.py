@@ -1,15 +1,16 @@
 """License scans by conditional compression.
 
-Licensing cues mark candidate blocks: the text round a cue, as wide as a wording can reach from it; blocks that
-touch are one. A block is compressed alone and once with each known wording as a zstandard raw dictionary. A
-wording that is in the block saves about as many bytes as it has itself, however much prose stands round it, so
-wordings are ranked by that share. Every wording that saves enough is confirmed at every cue by the exact
+Licensing cues mark candidate stretches: the text round a cue, as wide as a wording can reach from it; those that
+touch are one. A stretch is cut into blocks of bounded width that overlap by the longest wording, so every wording lies
+whole in a block, however many cues follow each other. A block is compressed alone and once with each known wording as a
+zstandard raw dictionary, with the same parameters. A wording that is in the block saves about as many bytes as it has
+itself, so wordings are ranked by that share. Every wording that saves enough is confirmed at every cue by the exact
 differences of its words: *exact* (all words there, in order, nothing between them) or *modified* (few words
 differ; they are listed). Where spans overlap the closest wording stands; a block may name several licenses. A block
 that a wording explains by its bytes but none by its words is one *unconfirmed* row. One pass over whole texts, no
 exchange; texts without a cue never leave the JVM.
 
-Defined cases: a null or empty text has no block; lines and blocks of any length are searched whole; repeated rows
+Defined cases: a null or empty text has no block; texts, lines and stretches of cues of any length are searched whole; repeated rows
 give repeated results; ties go to fewer differences, then the larger reduction, then the name; other columns are
 ignored; an empty table gives no rows.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,7 +76,7 @@ class ScanRules:
     slack: int = 3  # words beyond the wording's length that are compared
 
 
-def candidate_blocks(text: str, reach: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+def candidate_stretches(text: str, reach: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """(first character, end, cues) of the stretches within ``reach`` characters of a cue."""
     lo = hi = -1
     cues: list[tuple[int, int]] = []
@@ -90,6 +91,24 @@ def candidate_blocks(text: str, reach: int) -> Iterator[tuple[int, int, list[tup
         yield lo, hi, cues
 
 
+def candidate_blocks(lo: int, hi: int, cues: list[tuple[int, int]], reach: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """A stretch in blocks of at most three times ``reach`` characters, each overlapping the next by ``reach``, with the cues they touch."""
+    ends = [b for _, b in cues]
+    while True:
+        end = min(lo + 3 * reach, hi)
+        first = bisect_left(ends, lo + 1)
+        inside = []
+        for a, b in cues[first:]:
+            if a >= end:
+                break
+            inside.append((a, b))
+        if inside:
+            yield lo, end, inside
+        if end == hi:
+            return
+        lo = end - reach
+
+
 class Matcher:
     """Compressors for all wordings, made once a task."""
 
@@ -97,34 +116,41 @@ class Matcher:
         self.rules, self.wordings = rules, wordings
         self.words = [_WORD.findall(w.lower()) for _, w in wordings]
         self.reach = max(len(w) for _, w in wordings)
-        options = {"level": 19, "write_content_size": False}
-        self.plain = zstandard.ZstdCompressor(**options)
+        params = zstandard.ZstdCompressionParameters.from_level(19, source_size=16 * self.reach, write_content_size=False)  # one set for all
+        self.plain = zstandard.ZstdCompressor(compression_params=params)
         empty = len(self.plain.compress(b""))
         self.own = [max(1, len(self.plain.compress(w.encode())) - empty) for _, w in wordings]
-        self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(w.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for _, w in wordings]
+        self.given = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(w.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, w in wordings]
 
     def found(self, text: str) -> Iterator[tuple]:
-        """(block, first character, license, saving, missing, extra, differences, verdict) of all confirmed wordings, block by block."""
-        for number, (lo, hi, cues) in enumerate(candidate_blocks(text, self.reach)):
-            raw = text[lo:hi].encode("utf-8", "replace")
-            alone = len(self.plain.compress(raw))
-            savings = [(alone - len(c.compress(raw))) / own for c, own in zip(self.given, self.own, strict=True)]
-            ranked = [i for i in sorted(range(len(savings)), key=lambda i: (-savings[i], i)) if savings[i] >= self.rules.min_saving]
-            if not ranked:
-                continue
-            words = [(m[0], m.start() + lo, m.end() + lo) for m in _WORD.finditer(text[lo:hi].lower())] if len(text[lo:hi].lower()) == hi - lo else [(m[0].lower(), m.start() + lo, m.end() + lo) for m in _WORD.finditer(text[lo:hi])]
-            starts = [w[1] for w in words]
-            hits = {h for i in ranked for a, b in cues for h in self._confirm(i, words, bisect_left(starts, a), bisect_left(starts, b), savings[i])}
-            taken: list[tuple[int, int]] = []
+        """(block, first character, license, saving, missing, extra, differences, verdict) of all confirmed wordings, stretch by stretch."""
+        number = 0
+        for stretch in candidate_stretches(text, self.reach):
+            hits: dict[tuple, tuple] = {}
+            explained: list[tuple[int, int, int, int, float]] = []
+            for lo, hi, cues in candidate_blocks(*stretch, self.reach):
+                raw = text[lo:hi].encode("utf-8", "replace")
+                alone = len(self.plain.compress(raw))
+                savings = [(alone - len(c.compress(raw))) / own for c, own in zip(self.given, self.own, strict=True)]
+                ranked = [i for i in sorted(range(len(savings)), key=lambda i: (-savings[i], i)) if savings[i] >= self.rules.min_saving]
+                if ranked:
+                    explained.append((number, lo, hi, ranked[0], savings[ranked[0]]))
+                    low = text[lo:hi].lower()
+                    words = [(m[0], m.start() + lo, m.end() + lo) for m in _WORD.finditer(low)] if len(low) == hi - lo else [(m[0].lower(), m.start() + lo, m.end() + lo) for m in _WORD.finditer(text[lo:hi])]
+                    starts = [w[1] for w in words]
+                    for i in ranked:
+                        for a, b in cues:
+                            for h in self._confirm(i, words, bisect_left(starts, a), bisect_left(starts, b), savings[i]):
+                                hits.setdefault((h[2], h[1], h[8], h[6]), (number, *h[1:]))  # overlapping blocks find it twice
+                number += 1
+            taken: list[tuple[int, int]] = []  # in order, none touching another
             sure = []
-            for hit in sorted(hits, key=lambda h: (h[7] != "exact", -(h[8] - h[1]) if h[7] == "exact" else h[4] + h[5], -h[3], h[2], h[1])):
-                if all(hit[8] <= a or hit[1] >= b for a, b in taken):
-                    taken.append((hit[1], hit[8]))
-                    sure.append((number, *hit[1:8]))
-            yield from sorted(sure, key=lambda h: h[1])
-            if not sure:
-                best = ranked[0]
-                yield number, lo, self.wordings[best][0], savings[best], len(self.words[best]), 0, "", "unconfirmed"
+            for hit in sorted(hits.values(), key=lambda h: (h[7] != "exact", -(h[8] - h[1]) if h[7] == "exact" else h[4] + h[5], -h[3], h[2], h[1])):
+                if not _touches(taken, hit[1], hit[8]):
+                    insort(taken, (hit[1], hit[8]))
+                    sure.append(hit[:8])
+            sure += [(n, lo, self.wordings[best][0], saving, len(self.words[best]), 0, "", "unconfirmed") for n, lo, hi, best, saving in explained if not _touches(taken, lo, hi)]
+            yield from sorted(sure, key=lambda h: (h[1], h[0]))
 
     def _confirm(self, i: int, words: list[tuple[str, int, int]], first: int, end: int, saving: float) -> Iterator[tuple]:
         """The wording's closest place that touches the cue (words ``first`` to ``end``), if few words differ."""
@@ -148,6 +174,12 @@ class Matcher:
         yield 0, near[at + lo][1], self.wordings[i][0], saving, missing, extra, "; ".join(edits), verdict, near[at + hi - 1][2]
 
 
+def _touches(spans: list[tuple[int, int]], lo: int, hi: int) -> bool:
+    """Does one of some ordered spans that lie apart reach into ``lo`` to ``hi``?"""
+    at = bisect_left(spans, (lo, lo))
+    return (at < len(spans) and spans[at][0] < hi) or (at > 0 and spans[at - 1][1] > lo)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: ScanRules | None = None) -> DataFrame:
     """One row per confirmed wording and place, or per block that a wording explains by its bytes alone: id, ``block`` (its number), ``at`` (character offset),
     ``license``, ``saving``, ``n_missing``, ``n_extra``, ``differences``, ``verdict``."""

@@ -83,37 +83,39 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     @staticmethod
     def _cores(words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Words without the marks at their ends, and these marks; in lower case where that changes no special token."""
         cores = pc.ascii_rtrim(words, ENDINGS)
-        plain = pc.and_(pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<"))), pc.match_substring_regex(cores, "[0-9A-Za-z]$"))
+        plain = pc.and_(pc.invert(pc.match_substring(words, "<")), pc.match_substring_regex(cores, r"[\pL\pN]$"))
         tails = pc.replace_substring_regex(words, f"^.*?([{ENDINGS}]*)$", r"\1")
         return pc.if_else(plain, pc.ascii_lower(cores), words), pc.if_else(plain, tails, "")
 
-    def places(self, words: list[str]) -> np.ndarray:
-        """Where in ``starts`` each of some distinct words' ids are."""
-        found = list(map(self.known.get, words))
-        fresh = [w for w, at in zip(words, found, strict=True) if at is None]
-        if fresh:
-            if len(self.known) + len(fresh) > WORDS and self.known:
-                self._reset()
-                fresh = words
-            model = self.tokenizer.model
-            encoded = [[t.id for t in model.tokenize(w)] if w.isascii() and w.isalpha() else None for w in fresh]
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where in ``starts`` each of some distinct words' ids are; those not known are encoded."""
+        found = pc.index_in(words, value_set=self.known)
+        fresh = words.filter(pc.is_null(found))
+        if len(fresh) and len(self.known) and len(self.known) + len(fresh) > WORDS:
+            self._reset()
+            fresh = words
+        at = len(self.known)
+        if len(fresh):
+            model, texts = self.tokenizer.model, fresh.to_pylist()
+            encoded = [[t.id for t in model.tokenize(w)] if w.isascii() and w.isalpha() else None for w in texts]
             odd = [i for i, e in enumerate(encoded) if e is None]
-            for i, e in zip(odd, self.tokenizer.encode_batch_fast([fresh[i] for i in odd], add_special_tokens=False), strict=True):
+            for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
                 encoded[i] = e.ids
-            ends = np.cumsum([len(e) for e in encoded]) + self.starts[-1]
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.uint32)])
-            at = len(self.starts) - 1
-            self.known.update(zip(fresh, range(at, at + len(fresh)), strict=True))
-            self.starts = np.concatenate([self.starts, ends])
-            found = list(map(self.known.__getitem__, words))
-        return np.array(found, np.int64)
+            self.starts = np.concatenate([self.starts, np.cumsum([len(e) for e in encoded]) + self.starts[-1]])
+            self.known = pa.concat_arrays([self.known, fresh])
+        if len(fresh) == len(words):
+            return np.arange(at, at + len(words))
+        out = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        out[out < 0] = np.arange(at, at + len(fresh))
+        return out
 
     def _ragged(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.starts[places + 1] - self.starts[places]
@@ -131,12 +133,9 @@ class Encoder:
         if not len(words.dictionary):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         cores, tails = (x.dictionary_encode() for x in self._cores(words.dictionary))
-        of_cores, of_tails = cores.dictionary.to_pylist(), tails.dictionary.to_pylist()
-        both = self.places(list(dict.fromkeys([*of_cores, *of_tails])))  # at once: starting anew must not part them
-        at = dict(zip(of_tails, [self.known[t] for t in of_tails], strict=True))
-        of_core = both[: len(of_cores)][cores.indices.to_numpy()]
-        of_tail = np.array([at[t] for t in of_tails], np.int64)[tails.indices.to_numpy()]
-        table, sizes = self._ragged(np.stack([of_core, of_tail], axis=1).ravel())
+        both = pa.concat_arrays([cores.dictionary, tails.dictionary]).dictionary_encode()
+        place = self.places(both.dictionary)[both.indices.to_numpy()]
+        table, sizes = self._ragged(np.stack([place[cores.indices.to_numpy()], place[len(cores.dictionary) + tails.indices.to_numpy().astype(np.int64)]], axis=1).ravel())
         sizes = sizes.reshape(-1, 2).sum(axis=1)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         used = words.indices.to_numpy()

@@ -419,6 +419,37 @@ def test_license_scan_in_prose(spark):
     assert {g[0] for g in got if g[2] == "exact"} == {w[0] for w in want}
 
 
+def test_license_scan_among_many_cues(spark):
+    """A cue every few words, texts of any length: cues that follow each other hide no wording."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(3, 9)))
+    rows, want = [], set()
+    for size in (500, 5_000, 20_000, 100_000):
+        for gap in (60, 400):
+            for i, (name, wording) in enumerate(license_scan.WORDINGS):
+                words, n, since = [], 0, 0
+                while n < size:
+                    words.append("license" if since >= gap else word())
+                    since = 0 if words[-1] == "license" else since + len(words[-1]) + 1
+                    n += len(words[-1]) + 1
+                at = rng.randrange(len(words))
+                if size == 100_000 and i % 4:
+                    continue
+                rows.append((len(rows), " ".join([*words[:at], wording, *words[at:]])))
+                want.add((rows[-1][0], name))
+    got = {(r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).where("verdict = 'exact'").collect()}
+    assert want <= got and len(got - want) == 0, (len(want - got), got - want)
+
+
+def test_license_blocks_cover_every_wording():
+    for text, reach in (("a license " * 900, 50), ("x" * 70 + "license" + "y" * 500 + "copyright" + "z" * 10, 40)):
+        for lo, hi, cues in license_scan.candidate_stretches(text, reach):
+            blocks = list(license_scan.candidate_blocks(lo, hi, cues, reach))
+            assert all(b - a <= 3 * reach for a, b, _ in blocks)
+            for a, b in cues:
+                assert all(any(x <= s and s + reach <= y and (a, b) in inside for x, y, inside in blocks) for s in range(max(lo, b - reach), min(a, hi - reach) + 1))
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
