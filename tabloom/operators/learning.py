@@ -1,7 +1,7 @@
 """Model search under the three-window protocol, on MLlib.
 
 Encoders and models are fitted on the train window only, compared on the selection window, and measured
-once on the holdout. Families without an MLlib equivalent are named in ``UNAVAILABLE``."""
+once on the holdout. Families without an equivalent here are named in ``UNAVAILABLE``."""
 
 from __future__ import annotations
 
@@ -15,22 +15,32 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import feature as X
 from pyspark.ml import regression as R
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values as V
-from ..session import settled
+from ..session import new_folder, removed, settled
 from . import evaluation as E
+from . import search as S
+from . import trees
+from .boosting import AdaBoost, SoftmaxBoosting, StagewiseModel
 from .ranking import row_numbers
+from .text_features import TextModel, fit_text
 
 #: Tokens that mean the positive class.
 POSITIVE = ("1", "1.0", "true", "si", "sí", "y", "yes")
-#: Families that MLlib lacks.
-UNAVAILABLE = ("knn", "extra_trees", "adaboost", "mlp_regression", "multiclass_gbt", "hist_gradient_boosting", "lightgbm", "xgboost", "catboost")
-#: Levels of a category that get a column of their own; the others share none.
+#: Families that have no equivalent here.
+UNAVAILABLE = ("knn", "extra_trees", "mlp_regression", "hist_gradient_boosting", "lightgbm", "xgboost", "catboost")
+#: Fixed value: the level of a null.
+NO_VALUE = "(nulo)"
+#: Levels of a category that get a column of their own for linear models; the others share none.
 LEVELS = 25
+#: Levels of a category that get a code of their own for trees; the others share the code after the last.
+CODES = 200
+#: Bins of trees: more than a category has codes.
+BINS = 256
 
 
 @dataclass(frozen=True)
@@ -41,23 +51,33 @@ class Family:
     scaled: bool = False
     tasks: tuple[str, ...] = ("binary",)
     max_rows: int | None = None  # beyond it the family is not tried
+    space: dict = field(default_factory=dict)  # what a search may vary, from the first of ``grid``
 
 
+_CLASSES = ("binary", "multiclass")
+_LINEAR = {"regParam": S.Real(1e-4, 1.0, True), "elasticNetParam": S.Real(0.0, 1.0)}
+_TREE = {"maxDepth": S.Whole(2, 10), "minInstancesPerNode": S.Whole(1, 100, True)}
+_FOREST = {"maxDepth": S.Whole(3, 10), "numTrees": S.Whole(10, 60), "featureSubsetStrategy": S.Choice(("auto", "all", "onethird", "sqrt"))}
+_BOOST = {"maxDepth": S.Whole(2, 6), "maxIter": S.Whole(8, 40), "stepSize": S.Real(0.03, 0.4, True)}
+_STAGES = {"maxDepth": S.Whole(1, 5), "rounds": S.Whole(4, 30), "rate": S.Real(0.1, 1.0, True)}
+
 FAMILIES = (
-    Family("logistic", C.LogisticRegression, ({"regParam": 0.01}, {"regParam": 0.1}), True, ("binary", "multiclass")),
-    Family("elastic_net", C.LogisticRegression, ({"regParam": 0.01, "elasticNetParam": 0.5},), True, ("binary", "multiclass")),
-    Family("decision_tree", C.DecisionTreeClassifier, ({"maxDepth": 5, "seed": 7},), False, ("binary", "multiclass")),
-    Family("random_forest", C.RandomForestClassifier, ({"numTrees": 20, "seed": 7},), False, ("binary", "multiclass")),
-    Family("gradient_boosting", C.GBTClassifier, ({"maxIter": 15, "seed": 7},), False, ("binary",)),
-    Family("linear_svm", C.LinearSVC, ({"maxIter": 30},), True, ("binary",)),
-    Family("naive_bayes", C.NaiveBayes, ({"modelType": "gaussian"},), False, ("binary", "multiclass")),
-    Family("mlp", C.MultilayerPerceptronClassifier, ({"maxIter": 60, "seed": 7},), True, ("binary", "multiclass"), 2_000_000),
-    Family("factorization", C.FMClassifier, ({"maxIter": 30, "seed": 7, "stepSize": 0.05},), True, ("binary",)),
-    Family("linear", R.LinearRegression, ({"regParam": 0.01}, {"regParam": 0.1, "elasticNetParam": 0.5}), True, ("regression",)),
-    Family("tree_regression", R.DecisionTreeRegressor, ({"maxDepth": 5, "seed": 7},), False, ("regression",)),
-    Family("generalized_linear", R.GeneralizedLinearRegression, ({"family": "gaussian", "regParam": 0.01},), True, ("regression",)),
-    Family("forest_regression", R.RandomForestRegressor, ({"numTrees": 20, "seed": 7},), False, ("regression",)),
-    Family("boosting_regression", R.GBTRegressor, ({"maxIter": 15, "seed": 7},), False, ("regression",)),
+    Family("logistic", C.LogisticRegression, ({"regParam": 0.01}, {"regParam": 0.1}), True, _CLASSES, space={"regParam": S.Real(1e-5, 1.0, True)}),
+    Family("elastic_net", C.LogisticRegression, ({"regParam": 0.01, "elasticNetParam": 0.5},), True, _CLASSES, space=_LINEAR),
+    Family("decision_tree", C.DecisionTreeClassifier, ({"maxDepth": 5, "seed": 7, "maxBins": BINS},), False, _CLASSES, space=_TREE),
+    Family("random_forest", C.RandomForestClassifier, ({"numTrees": 20, "seed": 7, "maxBins": BINS},), False, _CLASSES, space=_FOREST),
+    Family("gradient_boosting", C.GBTClassifier, ({"maxIter": 15, "seed": 7, "maxBins": BINS},), False, space=_BOOST),
+    Family("softmax_boosting", SoftmaxBoosting, ({"rounds": 8},), False, ("multiclass",), space=_STAGES),
+    Family("adaboost", AdaBoost, ({"rounds": 8, "maxDepth": 2},), False, _CLASSES, space=_STAGES),
+    Family("linear_svm", C.LinearSVC, ({"maxIter": 30},), True, space={"regParam": S.Real(1e-5, 1.0, True)}),
+    Family("naive_bayes", C.NaiveBayes, ({"modelType": "gaussian"},), True, _CLASSES),
+    Family("mlp", C.MultilayerPerceptronClassifier, ({"maxIter": 60, "seed": 7},), True, _CLASSES, 2_000_000),
+    Family("factorization", C.FMClassifier, ({"maxIter": 30, "seed": 7, "stepSize": 0.05},), True, space={"stepSize": S.Real(0.01, 0.3, True), "factorSize": S.Whole(2, 16)}),
+    Family("linear", R.LinearRegression, ({"regParam": 0.01}, {"regParam": 0.1, "elasticNetParam": 0.5}), True, ("regression",), space=_LINEAR),
+    Family("tree_regression", R.DecisionTreeRegressor, ({"maxDepth": 5, "seed": 7, "maxBins": BINS},), False, ("regression",), space=_TREE),
+    Family("generalized_linear", R.GeneralizedLinearRegression, ({"family": "gaussian", "regParam": 0.01},), True, ("regression",), space={"regParam": S.Real(1e-5, 1.0, True)}),
+    Family("forest_regression", R.RandomForestRegressor, ({"numTrees": 20, "seed": 7, "maxBins": BINS},), False, ("regression",), space=_FOREST),
+    Family("boosting_regression", R.GBTRegressor, ({"maxIter": 15, "seed": 7, "maxBins": BINS},), False, ("regression",), space=_BOOST),
 )
 
 
@@ -112,7 +132,7 @@ def frequent_levels(df: DataFrame, columns: list[str], levels: int = LEVELS) ->
         return {}
     from .profile import value_counts
 
-    filled = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("(nulo)")).alias(c) for c in columns])
+    filled = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NO_VALUE)).alias(c) for c in columns])
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value"))
     found: dict[str, list[str]] = {c: [] for c in columns}
     for r in value_counts(filled, columns).withColumn("place", place).where(F.col("place") <= levels).orderBy("column", "place").collect():
@@ -122,8 +142,11 @@ def frequent_levels(df: DataFrame, columns: list[str], levels: int = LEVELS) ->
 
 @dataclass
 class Features:
-    """What the train window says about the columns: fixed expressions and one fitted pipeline give two vectors, ``features`` for trees and
-    ``scaled`` for linear models. ``names`` are those of the vectors' places; ``base_of`` gives the column behind a place."""
+    """What the train window says about the columns: fixed expressions and one fitted pipeline give two vectors.
+
+    ``features`` is for trees: numbers, log companions, a nominal code a category (its ``CODES`` most frequent levels, one more for
+    levels not seen), text components. ``scaled`` is for linear models: the same numbers and components and a mark for each of the most frequent
+    levels, standardised. ``names`` and ``tree_names`` are those of the vectors' places; ``base_of`` gives the column behind a place."""
 
     numeric: list[str]
     logs: list[str]
@@ -131,17 +154,28 @@ class Features:
     text: list[str]
     names: list[str] = field(default_factory=list)
     pipeline: PipelineModel | None = None
-    keep: list[int] | None = None  # places that importance pruning kept
+    tree_names: list[str] = field(default_factory=list)
+    codes: dict[str, list[str]] = field(default_factory=dict)
+    texts: dict[str, TextModel] = field(default_factory=dict)
+    times: list[str] = field(default_factory=list)  # those of ``numeric`` that are seconds since 1970
 
     def prepared(self, df: DataFrame) -> DataFrame:
+        named = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NO_VALUE))
+        number = lambda c: F.unix_timestamp(F.col(f"`{c}`").cast("timestamp")).cast("double") if c in self.times else F.col(f"`{c}`").cast("double")
         made = [F.log1p(F.greatest(F.col(f"`{c}`").cast("double"), F.lit(0.0))).alias(f"{c}__log") for c in self.logs]
-        made += [(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("(nulo)")) == F.lit(v)).cast("double").alias(f"{c}={i}") for c, vs in self.levels.items() for i, v in enumerate(vs)]
-        numbers = [F.when(V.is_finite(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")).alias(f"{c}__n") for c in self.numeric]
-        return df.select("*", *numbers, *made, *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(f"{c}__txt") for c in self.text])
+        made += [(named(c) == F.lit(v)).cast("double").alias(f"{c}={i}") for c, vs in self.levels.items() for i, v in enumerate(vs)]
+        made += [named(c).alias(f"{c}__level") for c in self.codes]
+        made += [array_to_vector(m.projected(F.col(f"`{c}`").cast("string"))).alias(f"{c}__p") for c, m in self.texts.items()]
+        return df.select("*", *[F.when(V.is_finite(number(c)), number(c)).alias(f"{c}__n") for c in self.numeric], *made)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.pipeline.transform(self.prepared(df))
 
+    def code(self, column: str) -> Column:
+        """The column's code for trees; null where the level was not among the coded ones."""
+        place = F.array_position(F.lit(self.codes[column]), F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(NO_VALUE)))
+        return F.when(place > 0, place - 1)
+
 
 def base_of(name: str) -> str:
     """The column behind a feature: ``x__log``, ``x=value`` and ``x__txt3`` are all ``x``."""
@@ -152,30 +186,34 @@ def base_of(name: str) -> str:
     return name.partition("=")[0]
 
 
-def fit_features(df: DataFrame, text: list[str] = (), levels: int = LEVELS, vocabulary: int = 400, components: int = 24, keep: list[int] | None = None) -> Features:
-    """Fit on the train window: medians and scales, at most ``levels`` values a category, log companions, texts as TF-IDF projected on components."""
+def fit_features(df: DataFrame, text: list[str] = (), levels: int = LEVELS, vocabulary: int = 400, components: int = 24) -> Features:
+    """Fit on the train window: medians and scales, levels and codes of categories, log companions, texts as TF-IDF projected by a truncated SVD."""
     kinds = {f.name: V.kind_of(f.dataType) for f in df.schema if f.name not in ("label", "split", *text)}
-    numeric = [c for c, k in kinds.items() if k in ("numeric", "boolean")]
-    out = Features(numeric, log_companions(df, [c for c in numeric if kinds[c] == "numeric"]), frequent_levels(df, [c for c, k in kinds.items() if k == "categorical"], levels), list(text))
+    times = [c for c, k in kinds.items() if k == "datetime"]
+    numeric = [c for c, k in kinds.items() if k in ("numeric", "boolean", "datetime")]
+    categories = [c for c, k in kinds.items() if k == "categorical"]
+    codes = frequent_levels(df, categories, CODES)
+    texts = {c: m for c in text if (m := fit_text(df, c, vocabulary, components)) is not None}
+    out = Features(numeric, log_companions(df, [c for c in numeric if kinds[c] == "numeric"]), {c: vs[:levels] for c, vs in codes.items()}, list(text), codes=codes, texts=texts, times=times)
     numbers = [f"{c}__n" for c in numeric] + [f"{c}__log" for c in out.logs]
     marks = [f"{c}={i}" for c, vs in out.levels.items() for i in range(len(vs))]
+    projected = [f"{c}__p" for c in texts]
     stages: list = []
     if numbers:
         stages += [X.Imputer(strategy="median", inputCols=numbers, outputCols=[f"{c}__i" for c in numbers])]
-    for c in text:
-        stages += [
-            X.RegexTokenizer(inputCol=f"{c}__txt", outputCol=f"{c}__w", pattern=r"[^\p{L}\p{N}]+"), X.NGram(n=2, inputCol=f"{c}__w", outputCol=f"{c}__2"),
-            X.SQLTransformer(statement=f"SELECT *, concat(`{c}__w`, `{c}__2`) AS `{c}__t` FROM __THIS__"),
-            X.CountVectorizer(inputCol=f"{c}__t", outputCol=f"{c}__c", vocabSize=vocabulary, minDF=2), X.IDF(inputCol=f"{c}__c", outputCol=f"{c}__v"), X.PCA(k=components, inputCol=f"{c}__v", outputCol=f"{c}__p"),
-        ]
-    stages.append(X.VectorAssembler(inputCols=[*[f"{c}__i" for c in numbers], *marks, *[f"{c}__p" for c in text]], outputCol="__all" if keep else "features", handleInvalid="keep"))
-    if keep:
-        stages.append(X.VectorSlicer(inputCol="__all", outputCol="features", indices=keep))
-    stages.append(X.StandardScaler(inputCol="features", outputCol="scaled", withMean=True))
+    coded = [c for c in codes if codes[c]]
+    if coded:
+        stages += [X.StringIndexerModel.from_arrays_of_labels([codes[c] for c in coded], [f"{c}__level" for c in coded], [f"{c}__code" for c in coded], "keep")]
+    stages += [X.VectorSizeHint(inputCol=f"{c}__p", size=m.dimensions, handleInvalid="optimistic") for c, m in texts.items()]
+    filled = [f"{c}__i" for c in numbers]
+    stages += [
+        X.VectorAssembler(inputCols=[*filled, *[f"{c}__code" for c in coded], *projected], outputCol="features", handleInvalid="keep"),
+        X.VectorAssembler(inputCols=[*filled, *marks, *projected], outputCol="__linear", handleInvalid="keep"), X.StandardScaler(inputCol="__linear", outputCol="scaled", withMean=True),
+    ]
     out.pipeline = Pipeline(stages=stages).fit(out.prepared(df))
-    out.names = [*[c.removesuffix("__n") for c in numbers], *[f"{c}={v}" for c, vs in out.levels.items() for v in vs], *[f"{c}__txt{i}" for c in text for i in range(components)]]
-    out.names = [out.names[i] for i in keep] if keep else out.names
-    out.keep = keep
+    plain, parts = [c.removesuffix("__n") for c in numbers], [f"{c}__txt{i}" for c, m in texts.items() for i in range(m.dimensions)]
+    out.tree_names = [*plain, *coded, *parts]
+    out.names = [*plain, *[f"{c}={v}" for c, vs in out.levels.items() for v in vs], *parts]
     return out
 
 
@@ -227,16 +265,20 @@ class Trained:
     def score_records(self, spark: SparkSession, records: list[dict]) -> list[dict]:
         """Predictions for a few rows given as dictionaries; columns that are missing are null."""
         names = [*self.features.numeric, *self.features.levels, *self.features.text]
-        schema = T.StructType([T.StructField(n, T.DoubleType() if n in self.features.numeric else T.StringType()) for n in names])
-        rows = [tuple(None if r.get(n) is None else float(r[n]) if n in self.features.numeric else str(r[n]) for n in names) for r in records]
+        numbers = [n for n in self.features.numeric if n not in self.features.times]
+        schema = T.StructType([T.StructField(n, T.DoubleType() if n in numbers else T.StringType()) for n in names])
+        rows = [tuple(None if r.get(n) is None else float(r[n]) if n in numbers else str(r[n]) for n in names) for r in records]
         return [r.asDict() for r in self.score(spark.createDataFrame(rows, schema).coalesce(1)).collect()]
 
     def importance(self) -> dict[str, float]:
         """Share of each column in the members' own importances (splits of trees, sizes of coefficients)."""
         total: dict[str, float] = {}
         for m in self.members:
-            model = self.models[m].stages[-1] if isinstance(self.models[m], PipelineModel) else self.models[m]
-            if hasattr(model, "featureImportances"):
+            model = self.models[m]
+            names = self.features.names if model.getFeaturesCol() == "scaled" else self.features.tree_names
+            if isinstance(model, StagewiseModel):
+                sizes = model.sizes
+            elif hasattr(model, "featureImportances"):
                 sizes = model.featureImportances.toArray()
             elif hasattr(model, "coefficientMatrix"):
                 sizes = np.abs(model.coefficientMatrix.toArray()).mean(axis=0)
@@ -244,21 +286,36 @@ class Trained:
                 sizes = np.abs(model.coefficients.toArray())
             else:
                 continue
-            for name, size in zip(self.features.names, sizes / (sizes.sum() or 1.0), strict=False):
+            for name, size in zip(names, sizes / (sizes.sum() or 1.0), strict=False):
                 total[base_of(name)] = total.get(base_of(name), 0.0) + float(size) / len(self.members)
         return dict(sorted(total.items(), key=lambda kv: (-kv[1], kv[0])))
 
+    def shap(self, df: DataFrame) -> DataFrame | None:
+        """``column, mean_abs, direction`` by exact path-dependent Shapley values of the champion's first tree model over all rows of
+        ``df``; None if no member is made of trees. Binary and multiclass values are of the last class (boosting: of the margin)."""
+        for m in self.members:
+            model = self.models[m]
+            forest = model.forest if isinstance(model, StagewiseModel) else trees.exported(model, df.sparkSession)
+            if forest is not None:
+                output = forest.trees[0].value.shape[1] - 1
+                return trees.shap_summary(self.features.transform(df), forest, self.features.tree_names, base_of, self.features.codes, output=output)
+        return None
+
     def save(self, path: str, spark: SparkSession) -> None:
         """A folder with the fitted pipeline, the champion's members and a card."""
         self.features.pipeline.write().overwrite().save(f"{path}/features")
         for m in self.members:
-            self.models[m].write().overwrite().save(f"{path}/models/{m}")
+            if isinstance(self.models[m], StagewiseModel):
+                self.models[m].save_to(f"{path}/models/{m}", spark)
+            else:
+                self.models[m].write().overwrite().save(f"{path}/models/{m}")
         if self.calibrator is not None:
             self.calibrator.write().overwrite().save(f"{path}/calibrator")
         f = self.features
         card = {
             "task": self.task, "classes": self.classes, "champion": self.champion, "members": self.members, "leaderboard": self.leaderboard, "holdout": self.holdout, "smearing": self.smearing, "threshold": self.threshold,
-            "features": {"numeric": f.numeric, "logs": f.logs, "levels": f.levels, "text": f.text, "names": f.names, "keep": f.keep}, "kinds": {m: type(self.models[m]).__module__ + "." + type(self.models[m]).__name__ for m in self.members},
+            "features": {"numeric": f.numeric, "logs": f.logs, "levels": f.levels, "text": f.text, "names": f.names, "tree_names": f.tree_names, "codes": f.codes, "times": f.times},
+            "texts": {c: m.__dict__ for c, m in f.texts.items()}, "kinds": {m: type(self.models[m]).__module__ + "." + type(self.models[m]).__name__ for m in self.members},
             "calibrated": self.calibrator is not None,
         }
         spark.createDataFrame([(json.dumps(card),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/card")
@@ -271,10 +328,14 @@ def read_card(path: str, spark: SparkSession) -> dict:
 def load(path: str, spark: SparkSession) -> Trained:
     """The model that ``save`` left at ``path``, ready to score."""
     card = read_card(path, spark)
-    features = Features(pipeline=PipelineModel.load(f"{path}/features"), **card["features"])
+    texts = {c: TextModel(**m) for c, m in card["texts"].items()}
+    features = Features(pipeline=PipelineModel.load(f"{path}/features"), texts=texts, **card["features"])
     models = {}
     for m, kind in card["kinds"].items():
         module, _, name = kind.rpartition(".")
+        if name == StagewiseModel.__name__:
+            models[m] = StagewiseModel.load_from(f"{path}/models/{m}", spark)
+            continue
         models[m] = getattr(importlib.import_module(module), name).load(f"{path}/models/{m}")
     calibrator = R.IsotonicRegressionModel.load(f"{path}/calibrator") if card["calibrated"] else None
     return Trained(card["task"], card["classes"], features, models, card["champion"], card["members"], card["leaderboard"], card["holdout"], calibrator, card["smearing"], card["threshold"])
@@ -313,9 +374,27 @@ def wants_log(df: DataFrame) -> bool:
     return r["n"] >= 50 and r["lo"] >= 0 and (r["s"] or 0) > 1.5
 
 
-def train(df: DataFrame, target: str, task: str, text: list[str] = (), families: tuple[Family, ...] = FAMILIES, ensemble: int = 3, log_target: bool | None = None, prune: bool = False) -> Trained:
+def detached(model, spark: SparkSession):
+    """A fitted model without its training summary. The summary of a two-class fit holds the session, and a session that has run jobs
+    with tags cannot be serialised with the model's functions."""
+    if isinstance(model, StagewiseModel) or not getattr(model, "hasSummary", False):
+        return model
+    path = new_folder(spark, "fitted")
+    model.write().save(path)
+    again = type(model).load(path)
+    removed(spark, path)
+    return again
+
+
+def train(
+    df: DataFrame, target: str, task: str, text: list[str] = (), families: tuple[Family, ...] = FAMILIES, ensemble: int = 3, log_target: bool | None = None, prune: bool = False,
+    trials: int = 0, seed: int = 7, shares: tuple[float, ...] = (1.0,),
+) -> Trained:
     """``df`` has ``split``. Every family is fitted on the train window and compared on the selection window by the task's primary
-    metric; the mean of the best ``ensemble`` competes too; the champion is measured once on the holdout."""
+    metric; the mean of the best ``ensemble`` competes too; the champion is measured once on the holdout.
+
+    With ``trials``, a family with a ``space`` is searched (``search``): its first parameters, then as many suggestions as make
+    ``trials``, halved over growing ``shares`` of the train window."""
     rows, classes = encode_target(df, target, task)
     train_rows = rows.where("split = 'train'")
     features = fit_features(train_rows, text)
@@ -335,13 +414,24 @@ def train(df: DataFrame, target: str, task: str, text: list[str] = (), families:
             out.smearing = smearing_factor(guess, "label", "__g")
         return out
 
+    higher = E.CATALOGUE[metric][0] == "higher"
+
+    def tried(family: Family, name: str, params: dict, share: float = 1.0) -> float | None:
+        more = {"layers": [len(features.names), 16, len(classes)]} if family.make is C.MultilayerPerceptronClassifier else {}
+        given = fit_rows if share >= 1 else fit_rows.sample(False, share, seed)
+        made = family.make(featuresCol="scaled" if family.scaled else "features", labelCol="__y", **params, **more)
+        models[name] = detached(made.fit(given), df.sparkSession)
+        return measured(candidate(name, [name]).score(selection), task, classes)[metric]
+
     for family in families_for(task, size, families):
+        if trials and family.space:
+            params, table = S.search(lambda p, share, f=family: tried(f, f.name, p, share), family.space, family.grid[0], higher, trials, seed, shares)
+            board.append({"model": family.name, metric: tried(family, family.name, params), "params": params, "trials": len(table)})
+            continue
         for i, params in enumerate(family.grid):
             name = family.name if not i else f"{family.name}_{i}"
-            more = {"layers": [len(features.names), 16, len(classes)]} if family.make is C.MultilayerPerceptronClassifier else {}
-            models[name] = family.make(featuresCol="scaled" if family.scaled else "features", labelCol="__y", **params, **more).fit(fit_rows)
-            board.append({"model": name, metric: measured(candidate(name, [name]).score(selection), task, classes)[metric]})
-    sign = -1 if E.CATALOGUE[metric][0] == "higher" else 1
+            board.append({"model": name, metric: tried(family, name, params)})
+    sign = -1 if higher else 1
     board.sort(key=lambda r: (r[metric] is None, sign * (r[metric] or 0), r["model"]))
     best = [r["model"] for r in board[:ensemble]]
     champion = candidate(board[0]["model"], best[:1])
@@ -355,11 +445,11 @@ def train(df: DataFrame, target: str, task: str, text: list[str] = (), families:
         champion.calibrator = _calibrated(champion, selection)
     champion.holdout = measured(champion.score(rows.where("split = 'holdout'")), task, classes, None)
     if prune:
-        return _pruned(champion, df, target, text, families, ensemble, log_target)
+        return _pruned(champion, df, target, text, families, ensemble, log_target, trials=trials, seed=seed, shares=shares)
     return champion
 
 
-def _pruned(model: Trained, df: DataFrame, target: str, text: list[str], families: tuple[Family, ...], ensemble: int, log_target: bool | None, share: float = 0.995, least: int = 5, loss: float = 0.002) -> Trained:
+def _pruned(model: Trained, df: DataFrame, target: str, text: list[str], families: tuple[Family, ...], ensemble: int, log_target: bool | None, share: float = 0.995, least: int = 5, loss: float = 0.002, **searched) -> Trained:
     """The model without the columns behind the last 0.5 % of importance, if it loses no more than ``loss`` on the selection window."""
     ranked, kept, total = model.importance(), [], 0.0
     for column, size in ranked.items():
@@ -369,7 +459,7 @@ def _pruned(model: Trained, df: DataFrame, target: str, text: list[str], familie
     dropped = [c for c in ranked if c not in kept]
     if not dropped:
         return model
-    smaller = train(df.drop(*dropped), target, model.task, [t for t in text if t in kept], families, ensemble, log_target)
+    smaller = train(df.drop(*dropped), target, model.task, [t for t in text if t in kept], families, ensemble, log_target, **searched)
     metric = E.PRIMARY[model.task]
     best = lambda m: next(r[metric] for r in m.leaderboard if r["model"] == m.champion)
     worse = best(model) - best(smaller) if E.CATALOGUE[metric][0] == "higher" else best(smaller) - best(model)
@@ -419,7 +509,7 @@ def conditional_effects(model: Trained, df: DataFrame, column: str, levels: int
         level = F.size(F.filter(F.lit(edges), lambda e: e <= F.col(f"`{column}`"))).cast("string") if edges else F.lit("0")
     else:
         named = frequent_levels(df, [column], levels)[column]
-        level = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("(nulo)"))
+        level = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(NO_VALUE))
         level = F.when(level.isin(named), level).otherwise("(otros)")
     return scored.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
 

@@ -243,13 +243,13 @@ def metric_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m, E.CATALOGUE[m][0], t) for t, m in E.PRIMARY.items()], "metric string, direction string, task string")
 
 
-@query("SELECT count(*) AS data_rows, sum(o_totalprice)::BIGINT AS total FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT count(*) AS data_rows, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F'")
 def board_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "board")
     spec = board.Spec("o_orderdate", {"o_totalprice": "sum"}, ["o_orderpriority"], ["o_orderkey"])
     write.write_board(table(spark, sf_dir, "orders"), spec, folder, {"o_orderstatus": ["F"]})
     data = read.read_delimited(spark, f"{folder}/data", read.Form("utf-8", ";", ","))
-    return data.agg(F.count(F.lit(1)).alias("data_rows"), F.floor(F.sum(V.cast_numeric(F.col("o_totalprice"), True))).cast("long").alias("total"))
+    return data.agg(F.count(F.lit(1)).alias("data_rows"), F.round(F.sum(V.cast_numeric(F.col("o_totalprice"), True)), 2).alias("total"))
 
 
 @query("SELECT count(*) AS columns_listed, 0 AS left_over FROM (DESCRIBE orders)")
