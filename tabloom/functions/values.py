@@ -27,15 +27,16 @@ def kind_of(kind: T.DataType) -> str:
 
 def clean_columns(names: Iterable[str]) -> list[str]:
     """Trimmed names with single spaces; blanks become col_i, repeats get a number."""
-    out: list[str] = []
+    taken: dict[str, int] = {}  # names given so far, and the last number tried behind each
     for i, name in enumerate(names):
         base = re.sub(r"\s+", " ", str(name or "")).strip() or f"col_{i}"
-        fresh, n = base, 0
-        while fresh in out:
+        fresh, n = base, taken.get(base, 0)
+        while fresh in taken:
             n += 1
             fresh = f"{base}_{n}"
-        out.append(fresh)
-    return out
+        taken[fresh] = 0
+        taken[base] = n
+    return [name for name in taken]
 
 
 def null_tokens_to_null(c: Column) -> Column:

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import grouped_ranks
+from .ranking import grouped_ranks, ranks
 
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -18,19 +18,16 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*each)))
 
 
-def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson over average ranks; every column is ranked over its own values."""
-    ranked = df.select(*columns)
-    for c in columns:
-        ranks = grouped_ranks(df, c).select(F.col(c), F.col("rank").alias(f"__rank_{c}"))
-        ranked = ranked.join(ranks, c, "left")
-    return pearson(ranked.select(*[F.col(f"__rank_{c}").alias(c) for c in columns]), columns)
+def spearman(df: DataFrame, columns: list[str], top: int | None = None) -> DataFrame:
+    """Pearson over average ranks; every column is ranked over its own values. ``top`` keeps the strongest pairs only."""
+    found = pearson(ranks(df, columns), columns)
+    return found if top is None else found.where(~F.isnan("corr")).orderBy(F.abs("corr").desc(), "a", "b").limit(top)
 
 
 def univariate_auc(df: DataFrame, column: str, positive) -> DataFrame:
     """Area under the ROC curve of one column, whichever way it points (Mann-Whitney over average ranks)."""
-    ranks = grouped_ranks(df.where(positive.isNotNull()), column, {"pos": positive.cast("long")})
-    sums = ranks.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("p"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("q"))
+    by_value = grouped_ranks(df.where(positive.isNotNull()), column, {"__pos": positive.cast("long")})
+    sums = by_value.agg(F.sum(F.col("__rank") * F.col("__pos")).alias("r"), F.sum("__pos").cast("double").alias("p"), F.sum(F.col("__n") - F.col("__pos")).cast("double").alias("q"))
     auc = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("q"), F.lit(0.0))
     return sums.select(F.greatest(auc, 1 - auc).alias("auc"))
 

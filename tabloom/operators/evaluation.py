@@ -45,8 +45,8 @@ def lift_at(df: DataFrame, score: str, positive: Column, key: str, share: float
 
 def calibration_bins(df: DataFrame, score: str, positive: Column, bins: int = 10) -> DataFrame:
     """Bins between the distinct quantiles of the score: rows, mean score, observed rate."""
-    edges = df.agg(F.percentile(score, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first()["e"] or []
-    inner = sorted(set(edges))[1:-1]
+    edges = exact_quantiles(df.select(F.col(score).cast("double").alias("s")), ["s"], [i / bins for i in range(bins + 1)])["s"]
+    inner = sorted({e for e in edges if e is not None})[1:-1]
     at = sum((F.when(F.col(score) > e, 1).otherwise(0) for e in inner), F.lit(0))
     return df.groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(positive.cast("double")).alias("rate"))
 
@@ -97,6 +97,27 @@ def multiclass_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return per.agg((F.sum("hit") / F.sum("t")).alias("accuracy"), F.avg(recall).alias("balanced_accuracy"), F.avg(f1).alias("f1_macro"), F.avg(precision).alias("precision_macro"), F.avg(recall).alias("recall_macro"))
 
 
+def multiclass_probability_metrics(df: DataFrame, truth: str, classes: list[str], probabilities: str) -> DataFrame:
+    """``logloss`` and macro one-vs-rest ``auc`` of ``probabilities``, an array in the order of ``classes``.
+
+    Shares are normalised by row and kept 1e-15 from 0 and 1; rows whose truth is null or no class are left out. A class without rows or
+    without others has no area and takes no part in the mean. All classes go through one table of distinct (class, score)."""
+    place = F.array_position(F.lit(list(classes)), F.col(truth).cast("string"))
+    rows = df.select(place.cast("int").alias("t"), F.col(probabilities).alias("p")).where("t > 0 AND p IS NOT NULL")
+    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
+    shares = rows.withColumn("p", F.transform("p", lambda x: x / F.nullif(total, F.lit(0.0))))
+    own = F.least(F.greatest(F.element_at("p", F.col("t")), F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = shares.agg(F.avg(-F.ln(own)).alias("logloss"))
+    cells = shares.select("t", F.posexplode("p").alias("c", "s")).select((F.col("c") + 1).alias("c"), "s", (F.col("t") == F.col("c") + 1).cast("long").alias("y"))
+    counted = cells.groupBy("c", "s").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    table = running_total(counted, [F.col("c"), F.col("s").desc()], {"pos_upto": F.col("pos")})
+    sizes = {r["c"]: r["p"] for r in counted.groupBy("c").agg(F.sum("pos").alias("p")).collect()}  # a row a class
+    before = F.element_at(F.lit([sum(sizes.get(j, 0) for j in range(1, i)) for i in range(1, len(classes) + 1)] or [0]), F.col("c"))
+    above = F.col("pos_upto") - before - F.col("pos")
+    area = F.sum((F.col("n") - F.col("pos")) * (above + F.col("pos") / 2)) / F.nullif(F.sum("pos") * (F.sum("n") - F.sum("pos")), F.lit(0))
+    return loss.crossJoin(table.groupBy("c").agg(area.alias("area")).agg(F.avg("area").alias("auc")))  # one row each
+
+
 def regression_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
     y, p = F.col(truth).cast("double"), F.col(guess).cast("double")
     e = p - y

@@ -89,6 +89,10 @@ def register(family: Family) -> None:
     _REGISTERED.append(family)
 
 
+def unregister(name: str) -> None:
+    _REGISTERED[:] = [f for f in _REGISTERED if f.name != name]
+
+
 def families_for(task: str, rows: int, families: tuple[Family, ...] = FAMILIES) -> list[Family]:
     return [f for f in (*families, *_REGISTERED) if task in f.tasks and (f.max_rows is None or rows <= f.max_rows)]
 
@@ -202,8 +206,7 @@ def fit_features(df: DataFrame, text: list[str] = (), levels: int = LEVELS, voca
     if numbers:
         stages += [X.Imputer(strategy="median", inputCols=numbers, outputCols=[f"{c}__i" for c in numbers])]
     coded = [c for c in codes if codes[c]]
-    if coded:
-        stages += [X.StringIndexerModel.from_arrays_of_labels([codes[c] for c in coded], [f"{c}__level" for c in coded], [f"{c}__code" for c in coded], "keep")]
+    stages += [X.StringIndexerModel.from_labels(codes[c], f"{c}__level", f"{c}__code", "keep") for c in coded]
     stages += [X.VectorSizeHint(inputCol=f"{c}__p", size=m.dimensions, handleInvalid="optimistic") for c, m in texts.items()]
     filled = [f"{c}__i" for c in numbers]
     stages += [
@@ -242,8 +245,9 @@ class Trained:
             out = scored.withColumn(f"__m{i}", F.col("prediction") if given is None else given).drop("probability", "rawPrediction", "prediction")
         return out
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``prob`` (binary), ``prediccion`` and, for classes, ``confianza``: the mean of the champion's members."""
+    def score(self, df: DataFrame, shares: bool = False) -> DataFrame:
+        """``df`` with ``prob`` (binary), ``prediccion`` and, for classes, ``confianza``: the mean of the champion's members. With ``shares``
+        several classes also get ``probs``, an array in the order of ``classes``."""
         out, n = self._raw(df), len(self.members)
         parts = [F.col(f"__m{i}") for i in range(n)]
         if self.task == "regression":
@@ -256,7 +260,7 @@ class Trained:
         out = out.withColumn("__mean", mean)
         if self.task == "multiclass":
             best = F.array_position("__mean", F.array_max("__mean")).cast("int")
-            return out.withColumns({"prediccion": F.element_at(F.lit(self.classes), best), "confianza": F.array_max("__mean")}).select(*df.columns, "prediccion", "confianza")
+            return out.withColumns({"prediccion": F.element_at(F.lit(self.classes), best), "confianza": F.array_max("__mean")}).select(*df.columns, "prediccion", "confianza", *[F.col("__mean").alias("probs")] * shares)
         out = out.withColumn("prob", F.col("__mean")[1])
         if self.calibrator is not None:
             out = self.calibrator.transform(out.withColumn("__x", F.col("prob"))).withColumn("prob", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)))
@@ -364,7 +368,8 @@ def measured(scored: DataFrame, task: str, classes: list[str], threshold: float
         return E.binary_metrics(scored, "prob", F.col("label") == 1, threshold).first().asDict()
     if task == "multiclass":
         named = scored.withColumn("__truth", F.element_at(F.lit(classes), F.col("label").cast("int") + 1))
-        return E.multiclass_metrics(named, "__truth", "prediccion").first().asDict()
+        found = E.multiclass_metrics(named, "__truth", "prediccion").first().asDict()
+        return found | E.multiclass_probability_metrics(named, "__truth", classes, "probs").first().asDict() if "probs" in scored.columns else found
     return E.regression_metrics(scored, "label", "prediccion").first().asDict()
 
 
@@ -443,7 +448,7 @@ def train(
     champion.leaderboard = board
     if task == "binary":
         champion.calibrator = _calibrated(champion, selection)
-    champion.holdout = measured(champion.score(rows.where("split = 'holdout'")), task, classes, None)
+    champion.holdout = measured(champion.score(rows.where("split = 'holdout'"), shares=True), task, classes, None)
     if prune:
         return _pruned(champion, df, target, text, families, ensemble, log_target, trials=trials, seed=seed, shares=shares)
     return champion

@@ -38,10 +38,25 @@ def row_numbers(df: DataFrame, order: list[Column], name: str = "row") -> DataFr
 
 
 def grouped_ranks(df: DataFrame, col: str, extra: dict[str, Column] | None = None) -> DataFrame:
-    """One row per non-null value: ``n`` rows, average ``rank``, and the ``extra`` sums."""
-    sums = {k: F.sum(v).alias(k) for k, v in (extra or {}).items()}
-    counted = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"), *sums.values())
-    return running_total(counted, [F.col(col)], {"upto": F.col("n")}).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
+    """One row per non-null value: ``__value``, ``__n`` rows, average ``__rank``, and the ``extra`` sums."""
+    sums = [F.sum(v).alias(k) for k, v in (extra or {}).items()]
+    counted = df.where(F.col(f"`{col}`").isNotNull()).groupBy(F.col(f"`{col}`").alias("__value")).agg(F.count(F.lit(1)).alias("__n"), *sums)
+    return running_total(counted, [F.col("__value")], {"__upto": F.col("__n")}).withColumn("__rank", F.col("__upto") - (F.col("__n") - 1) / 2).drop("__upto")
+
+
+def ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df``'s columns as doubles replaced by their average ranks (null for null), one row a row, whatever their number in two exchanges of
+    (row, column, value) and one of the distinct values."""
+    numbered = settled(df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).withColumn("__row", F.monotonically_increasing_id()))
+    cells = numbered.select("__row", F.posexplode(F.array(*[F.col(f"c{i}") for i in range(len(columns))])).alias("__column", "__value")).where("__value IS NOT NULL")
+    counted = cells.groupBy("__column", "__value").agg(F.count(F.lit(1)).alias("__n"))
+    upto = settled(running_total(counted, [F.col("__column"), F.col("__value")], {"__upto": F.col("__n")}))
+    sizes = {r["__column"]: r["n"] for r in upto.groupBy("__column").agg(F.sum("__n").alias("n")).collect()}  # a row a column
+    before = [sum(sizes.get(j, 0) for j in range(i)) for i in range(len(columns))]
+    start = F.element_at(F.lit(before), F.col("__column") + 1)
+    table = upto.select("__column", "__value", (F.col("__upto") - start - (F.col("__n") - 1) / 2).alias("__rank"))
+    wide = cells.join(table, ["__column", "__value"]).groupBy("__row").agg(*[F.max(F.when(F.col("__column") == i, F.col("__rank"))).alias(f"r{i}") for i in range(len(columns))])
+    return wide.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def with_ntile(df: DataFrame, order: list[Column], tiles: int = 10, name: str = "decil") -> DataFrame:
@@ -84,14 +99,21 @@ def text_samples(df: DataFrame, columns: list[str], k: int = 8, width: int = 45,
     return best.groupBy("column").agg(F.substring(joined, 1, most).alias("samples"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str, allow_equal: bool = True) -> DataFrame:
-    """``left`` with the latest ``value`` of ``right`` (same ``key``, time not after ``at``).
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str, allow_equal: bool = True, task_rows: int = 2_000_000) -> DataFrame:
+    """``left`` with the latest ``value`` of ``right`` (same ``key``, time not after ``at``). Null keys and times match nothing.
 
-    Rows are dealt by (key, time) range, so the rows of a hot key lie in many tasks; each part starts with the
-    last value of its first key from the parts before it (one value a part goes to the driver)."""
+    Where no key has more than ``task_rows`` rows, a key is one window. Otherwise rows are dealt by (key, time) range, so
+    the rows of a hot key lie in many tasks; each part starts with the last value of its first key from the parts before it (one value a
+    part goes to the driver). The result is the same."""
     rows = left.withColumn("__side", F.lit(1 if allow_equal else 0)).withColumn(value, F.lit(None).cast(right.schema[value].dataType))
-    events = right.select(key, at, value).withColumn("__side", F.lit(0 if allow_equal else 1))
+    events = right.select(key, at, value).where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("__side", F.lit(0 if allow_equal else 1))
     both = rows.unionByName(events, allowMissingColumns=True)
+    mine = F.col("__side") == (1 if allow_equal else 0)
+    largest = both.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= task_rows:
+        inside = both.withColumn("__spread", F.when(F.col(key).isNull(), F.xxhash64(at)))  # rows without a key need not meet
+        seen = Window.partitionBy(key, "__spread").orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
+        return inside.withColumn(value, F.last(value, ignorenulls=True).over(seen)).where(mine).drop("__side", "__spread")
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = settled(both.repartitionByRange(n, F.col(key), F.col(at), F.col("__side")).withColumn("__part", F.spark_partition_id()))
     order = F.struct(F.col(key), F.col(at), F.col("__side"))
@@ -105,6 +127,6 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str,
     schema = T.StructType([T.StructField("__part", T.IntegerType()), T.StructField("__key", both.schema[key].dataType), T.StructField("__start", both.schema[value].dataType)])
     start = F.broadcast(left.sparkSession.createDataFrame(starts, schema))  # a row a part at most
     seen = Window.partitionBy("__part", key).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.withColumn(value, F.last(value, ignorenulls=True).over(seen)).where(F.col("__side") == (1 if allow_equal else 0))
+    out = dealt.withColumn(value, F.last(value, ignorenulls=True).over(seen)).where(mine)
     joined = out.join(start, (out["__part"] == start["__part"]) & (out[key] == start["__key"]), "left")
     return joined.withColumn(value, F.coalesce(out[value], "__start")).select(*[c for c in out.columns if c not in ("__side", "__part")])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import values as V
 from .operators import association as A
 from .operators import evaluation as E
+from .operators import intervals
 from .operators import profile as P
 from .operators import ranking as R
 from .operators import splits
@@ -472,7 +473,23 @@ _passthrough("join_right", "SELECT o_orderkey, c_name FROM {customer} RIGHT JOIN
 _passthrough("join_full", "SELECT n_nationkey, s_suppkey FROM {nation} FULL JOIN {supplier} ON n_nationkey = s_nationkey AND s_acctbal > 5000", "nation", "supplier")
 _passthrough("join_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 150000)", "customer", "orders")
 _passthrough("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 100000)", "customer", "orders")
-_passthrough("join_range", "SELECT r_regionkey, count(*) AS n FROM {region} JOIN {supplier} ON s_acctbal BETWEEN r_regionkey * 1000 AND r_regionkey * 1000 + 1500 GROUP BY r_regionkey", "region", "supplier")
+
+
+@query("SELECT r_regionkey, count(*) AS n FROM region JOIN supplier ON s_acctbal BETWEEN r_regionkey * 1000 AND r_regionkey * 1000 + 1500 GROUP BY r_regionkey")
+def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = table(spark, sf_dir, "region").select("r_regionkey", (F.col("r_regionkey") * 1000).alias("low"), (F.col("r_regionkey") * 1000 + 1500).alias("high"))
+    met = intervals.range_join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), steps, "s_acctbal", "low", "high")
+    return met.groupBy("r_regionkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_brand, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM part JOIN lineitem ON l_extendedprice BETWEEN p_retailprice * 10 AND p_retailprice * 10 + p_size * 4 GROUP BY 1""")
+def join_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with the parts whose price interval holds its price: an equality join on bins."""
+    parts = table(spark, sf_dir, "part").select("p_brand", (F.col("p_retailprice") * 10).alias("low"), (F.col("p_retailprice") * 10 + F.col("p_size") * 4).alias("high"))
+    met = intervals.range_join(table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity"), parts, "l_extendedprice", "low", "high")
+    return rounded(met.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")), 2)
+
+
 _passthrough("join_cross_small", "SELECT a.r_name AS a, b.r_name AS b FROM {region} a CROSS JOIN {region} b", "region")
 _passthrough("win_rank", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS d FROM {part}", "part", duck="SELECT p_partkey, (rank() OVER (PARTITION BY p_brand ORDER BY p_size))::INTEGER AS r, (dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size))::INTEGER AS d FROM part")
 _passthrough("win_lag", "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prior, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS following FROM {orders}", "orders")
@@ -592,15 +609,6 @@ def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- models, sinks, streams
 
 
-@query()
-def train_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators import learning
-
-    rows = splits.hashed(table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_quantity", "l_extendedprice", "l_discount", "l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("target")), "k").drop("k")
-    model = learning.train(rows, "target", "binary")
-    return spark.createDataFrame([(r["model"], float(r["auc"]), r["model"] == model.champion) for r in model.leaderboard], "model string, auc double, champion boolean")
-
-
 @query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, round(sum(o_totalprice), 2) AS total FROM orders")
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources import read, write

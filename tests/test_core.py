@@ -167,3 +167,66 @@ def test_workbook_dates_and_names(spark, tmp_path):
 def test_exact_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([(None, 1.0)], "x double, y double")
     assert profile.exact_quantiles(empty, ["x", "y"], [0.0, 0.5]) == {"x": [None, None], "y": [1.0, 1.0]}
+
+
+# --- joins on intervals, ranks, as-of joins with null keys
+
+
+def test_range_join_against_all_pairs(spark):
+    import random
+
+    from tabloom.operators.intervals import range_join
+
+    rng = random.Random(3)
+    points = [(i, rng.choice([5.0, 5.0, 5.0, rng.uniform(-10, 40), None, float("nan")])) for i in range(400)]
+    ranges = [(i, a := rng.choice([5.0, rng.uniform(-12, 40), None]), None if a is None else a + rng.choice([0.0, 0.5, 3.0, 60.0, -1.0])) for i in range(60)]
+    p = spark.createDataFrame(points, "pid long, v double").repartition(3)
+    r = spark.createDataFrame(ranges, "rid long, lo double, hi double")
+    for closed in (True, False):
+        want = {(i, j) for i, v in points for j, a, b in ranges if None not in (v, a, b) and v == v and a <= v and (v <= b if closed else v < b)}
+        joined = range_join(p, r, "v", "lo", "hi", closed=closed, bins=16)
+        got = [(x.pid, x.rid) for x in joined.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert "NestedLoop" not in joined._jdf.queryExecution().toString() and "Cartesian" not in joined._jdf.queryExecution().toString()
+        assert {x.pid for x in range_join(p, r, "v", "lo", "hi", "left_semi", closed, 16).collect()} == {i for i, _ in want}
+        assert {x.pid for x in range_join(p, r, "v", "lo", "hi", "left_anti", closed, 16).collect()} == {i for i, _ in points} - {i for i, _ in want}
+        left = [(x.pid, x.rid) for x in range_join(p, r, "v", "lo", "hi", "left", closed, 16).collect()]
+        assert sorted(left, key=str) == sorted([*want, *[(i, None) for i, _ in points if i not in {k for k, _ in want}]], key=str)
+    assert range_join(p.limit(0), r, "v", "lo", "hi").count() == 0 and range_join(p, r.limit(0), "v", "lo", "hi").count() == 0
+
+
+def test_spearman_of_many_columns_and_awkward_names(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tabloom.operators import association as A
+
+    rng = np.random.default_rng(2)
+    data = pd.DataFrame({c: rng.integers(0, 9, 200).astype(float) for c in ("n", "rank", "upto", "pos", "a b")})
+    data.loc[::7, "rank"] = np.nan
+    df = spark.createDataFrame(data).select(*[F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")).alias(c) for c in data.columns]).repartition(3)
+    ranked = data.rank()
+    found = A.spearman(df, list(data.columns))
+    for r in found.collect():
+        assert abs(r["corr"] - ranked[[r["a"], r["b"]]].dropna().corr().iloc[0, 1]) < 1e-9
+    assert A.spearman(df, list(data.columns), top=3).count() == 3
+    assert 0.4 < A.univariate_auc(df, "n", F.col("pos") > 4).first()["auc"] < 0.7
+
+
+def test_asof_join_with_null_keys_and_hot_keys(spark):
+    from tabloom.operators.ranking import asof_join
+
+    left = [(i, None if i % 5 == 0 else "hot" if i % 3 else "b", None if i % 11 == 0 else i) for i in range(120)]
+    right = [(None if j % 4 == 0 else "hot" if j % 3 else "b", None if j % 13 == 0 else j, float(j)) for j in range(0, 120, 3)]
+    want = {i: None if k is None or t is None else max((v for rk, rt, v in right if rk == k and rt is not None and rt <= t), default=None) for i, k, t in left}
+    lf, rf = spark.createDataFrame(left, "id long, k string, t long").repartition(4), spark.createDataFrame(right, "k string, t long, v double").repartition(4)
+    for rows in (10, 10**6):
+        assert {r.id: r.v for r in asof_join(lf, rf, "k", "t", "v", task_rows=rows).collect()} == want
+    strict = {i: None if k is None or t is None else max((v for rk, rt, v in right if rk == k and rt is not None and rt < t), default=None) for i, k, t in left}
+    for rows in (10, 10**6):
+        assert {r.id: r.v for r in asof_join(lf, rf, "k", "t", "v", allow_equal=False, task_rows=rows).collect()} == strict
+
+
+def test_column_names_stay_apart():
+    assert V.clean_columns(["a", "a", "a_1", "a", "", ""]) == ["a", "a_1", "a_1_1", "a_2", "col_4", "col_5"]
+    assert len(set(V.clean_columns(["x"] * 20_000))) == 20_000
