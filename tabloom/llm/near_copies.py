@@ -8,8 +8,8 @@ candidates are verified on the whole sets. Which shingles the sample finds chang
 Groups are connected components, so a pair that is connected already needs no comparison: first texts with
 close SimHash fingerprints are compared (``simhash.close_pairs``), then every shingle's members with one pivot
 (the member whose prefix is shared most), then those of other components with a second one, and only pairs
-still in different components are listed, at those shingles that can be the first they share: with too little of either set
-behind it for the similarity, a shingle is not the first. What is staged grows with the shared part of the prefixes;
+still in different components are listed, by components of like size at a shingle, and at those shingles that can be the first they
+share: with too little of either set behind it for the similarity, a shingle is not the first. What is staged grows with the shared part of the prefixes;
 whole texts move once, compressed, and only those that share something.
 
 Defined cases: words are lower-cased (A-Z); a text shorter than a shingle is its whole word sequence;
@@ -168,6 +168,24 @@ def _pairs(joined: DataFrame, least: float) -> DataFrame:
     return joined.where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _across(open_: DataFrame, least: float) -> DataFrame:
+    """Pairs of different components that can have their first shared shingle at a key: never two of one component, however large it
+    is there, and only of sizes that allow the similarity.
+
+    Components meet at a key by bands of size (a similar set is in the same band or the next), then their members do."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / least) + 1e-9).cast("int")
+    rows = common.staged(open_.where("n > 0").select("key", "node", "n", "place", "root", band.alias("band")), "bands")
+    blocks = rows.select("key", "root", "band").distinct()
+    upper = blocks.select("key", F.col("root").alias("other_root"), F.col("band").alias("other_band"))
+    reach = blocks.withColumn("other_band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    met = reach.join(upper, ["key", "other_band"]).where("root <> other_root").where((F.col("band") < F.col("other_band")) | (F.col("root") < F.col("other_root")))
+    other = rows.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("root").alias("other_root"), F.col("band").alias("other_band"))
+    # at the first shingle that two similar sets share, enough of each is left to reach the similarity
+    needed = least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
+    left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place"))
+    return _pairs(met.join(rows, ["key", "root", "band"]).join(other, ["key", "other_root", "other_band"]).where(left >= needed), least)
+
+
 def _close_prints(sets: DataFrame) -> DataFrame:
     """Pairs of sets with equal fingerprints (each with the least) or fingerprints at two or fewer differing bits (their least)."""
     first = common.staged(sets.groupBy("fp").agg(F.min("node").alias("a")), "prints")
@@ -207,11 +225,7 @@ def similar_roots(texts: DataFrame, sets: DataFrame, words: int, least: float) -
         of_key = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", "lead").alias("first")).where("lo <> hi")
         open_ = common.staged(rooted.join(of_key.select("key", "first"), "key"), "open")
         if all_pairs:
-            other = open_.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("root").alias("other_root"))
-            # at the first shingle that two similar sets share, enough of each is left to reach the similarity
-            needed = least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
-            left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place"))
-            pairs = _pairs(open_.join(other, "key").where("node < other and root <> other_root").where(left >= needed), least)
+            pairs = _across(open_, least)
         else:
             pairs = with_pivot(open_.where("root = first"), open_.where("root <> first"))
             pairs = pairs.union(with_pivot(open_.where("root <> first"), open_.where("root = first"))).distinct()
