@@ -6,9 +6,10 @@ document with a smaller id.
 The index maps window fingerprints to documents. Windows that follow each other mostly share a
 fingerprint (the least hash among their ``gram``-word pieces), so the index is complete for all windows
 at a fraction of their number. It is log-structured: documents arrive in batches; each batch becomes an
-immutable run, a table bucketed and sorted by fingerprint; it is merge-joined with the runs of history,
-bucket by bucket and without moving them, to find the fingerprints that more than one document has;
-and runs of one level are compacted into one of the next, without an exchange. A manifest names the runs
+immutable run, a table bucketed by fingerprint with one sorted file a bucket; it is merge-joined with the runs of history,
+bucket by bucket and without moving or sorting them, to find the fingerprints that more than one document has;
+and runs of one level are compacted into one of the next by merging their sorted files bucket by bucket (a full merge
+join on all columns, without an exchange), so a run always has one file a bucket. A manifest names the runs
 of an index in a folder of its own: it can be opened again and given the next batch (``deduplicate_batch``).
 
 Candidates are then verified window by window: the texts behind shared fingerprints are cut into runs
@@ -23,6 +24,7 @@ than all others; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -79,6 +81,26 @@ def postings(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     return common.arrow_map(docs.select("rank", _part(), "text"), run, POSTING)
 
 
+#: One sorted file a bucket is read as sorted, and equal keys may be a bucket's key and more.
+_MERGE = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+@contextlib.contextmanager
+def merge_plans(spark: SparkSession) -> Iterator[None]:
+    """Plans made and run inside read runs in their order."""
+    before = {k: spark.conf.get(k, None) for k in _MERGE}
+    for k, v in _MERGE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 @dataclass
 class FingerprintIndex:
     """Sorted immutable runs of postings, newest last. With a ``root`` they are kept there, named by a manifest."""
@@ -102,7 +124,7 @@ class FingerprintIndex:
         index = cls(spark, fan_in, root, newest[0]["buckets"], version=newest[0]["version"])
         for row in newest:
             name = f"tabloom_run_{uuid.uuid4().hex[:12]}"
-            clustered = f"CLUSTERED BY (fp) SORTED BY (fp) INTO {index.buckets} BUCKETS"
+            clustered = f"CLUSTERED BY (fp) SORTED BY (fp, rank, part) INTO {index.buckets} BUCKETS"
             spark.sql(f"CREATE TABLE {name} ({POSTING}) USING parquet {clustered} LOCATION '{row['path']}'")
             index.runs.append((row["level"], name, row["path"]))
         return index
@@ -116,7 +138,7 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame, level: int) -> tuple[int, str, str]:
         name = f"tabloom_run_{uuid.uuid4().hex[:12]}"
         path = f"{self.root}/{name}" if self.root else common.scratch(self.spark, "run")
-        rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("compression", "zstd").option("path", path).saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "fp").sortBy("fp", "rank", "part").option("compression", "zstd").option("path", path).saveAsTable(name)
         return level, name, path
 
     def _forget(self, run: tuple[int, str, str]) -> None:
@@ -126,19 +148,28 @@ class FingerprintIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """Append a batch of postings as a run; returns the postings of all fingerprints of the batch that
         more than one document has (in history or in the batch)."""
-        run = self._write(batch.repartition(self.buckets, "fp"), 0)
-        new = self.spark.table(run[1])
-        shared = new.groupBy("fp").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi").select("fp")
-        found = [new.join(shared, "fp", "left_semi")]
-        for _, name, _ in self.runs:
-            old = self.spark.table(name)
-            found += [new.join(old, "fp", "left_semi"), old.join(new, "fp", "left_semi")]
-        candidates, path = common.staged_at(reduce(DataFrame.union, found), "candidates")
+        run = self._write(batch.repartition(self.buckets, "fp").dropDuplicates(), 0)
+        with merge_plans(self.spark):
+            candidates, path = common.staged_at(self.shared(run), "candidates")
         self.given.append(path)
         self.runs.append(run)
         self._compact()
         return candidates
 
+    def shared(self, run: tuple[int, str, str]) -> DataFrame:
+        """The postings of a new run, and of the runs before, whose fingerprint another document has too."""
+        new = self.spark.table(run[1])
+        several = new.groupBy("fp").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi").select("fp")
+        found = [new.join(several.hint("merge"), "fp", "left_semi")]
+        for _, name, _ in self.runs:
+            old = self.spark.table(name)
+            found += [new.join(old.hint("merge"), "fp", "left_semi"), old.join(new.hint("merge"), "fp", "left_semi")]
+        return reduce(DataFrame.union, found)
+
+    def merged(self, runs: list[tuple[int, str, str]]) -> DataFrame:
+        """The postings of some runs, each once: their sorted buckets, merged."""
+        return reduce(lambda a, b: a.join(b.hint("merge"), ["fp", "rank", "part"], "full"), [self.spark.table(name) for _, name, _ in runs])
+
     def forget_candidates(self) -> None:
         """Remove the staged candidates that ``add`` gave, when they have been used."""
         for path in self.given:
@@ -146,11 +177,12 @@ class FingerprintIndex:
         self.given = []
 
     def _compact(self) -> None:
-        """Merge the newest runs while they are of one level. Their files are bucketed alike, so the merged run is written
-        where its buckets are read: no row is exchanged, only sorted with those of its bucket."""
+        """Merge the newest runs while they are of one level. Their files are bucketed and sorted alike, so a bucket of the merged
+        run is written by the task that merges its files: no row is exchanged."""
         while len(self.runs) >= self.fan_in and len({level for level, _, _ in self.runs[-self.fan_in :]}) == 1:
             old = self.runs[-self.fan_in :]
-            merged = self._write(reduce(DataFrame.union, [self.spark.table(name) for _, name, _ in old]), old[0][0] + 1)
+            with merge_plans(self.spark):
+                merged = self._write(self.merged(old), old[0][0] + 1)
             self.runs[-self.fan_in :] = [merged]
             if self.root:
                 self.save()  # before the old runs go
@@ -293,11 +325,13 @@ def deduplicate(
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
     bounds = [None, *sorted(set(cuts)), None]
     index, found = FingerprintIndex(spark, fan_in), []
-    for lo, hi in zip(bounds, bounds[1:], strict=False):
-        part = docs if lo is None else docs.where((F.col(id_col) > lo) | F.col(id_col).isNull() if hi is None else F.col(id_col) > lo)
-        part = part if hi is None else part.where(F.col(id_col) <= hi)
-        found.append(index.add(postings(_prepared(part, id_col, text_col), span, gram)))
-    index.drop()
+    try:
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            part = docs if lo is None else docs.where((F.col(id_col) > lo) | F.col(id_col).isNull() if hi is None else F.col(id_col) > lo)
+            part = part if hi is None else part.where(F.col(id_col) <= hi)
+            found.append(index.add(postings(_prepared(part, id_col, text_col), span, gram)))
+    finally:
+        index.drop()
     common.release(spark)
     texts = common.staged(_with_candidates(_prepared(docs, id_col, text_col), reduce(DataFrame.union, found), with_text), "texts")
     index.forget_candidates()

@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tabloom.llm import components, cotraining, decontaminate, license_scan, line_rules, mixing, near_copies, sharding, simhash, substring_index, suffix_dedup, templates
 
@@ -188,6 +189,37 @@ def test_substring_index_reopened(spark, docs, rows, tmp_path):
     index.drop()
 
 
+def test_runs_are_merged_files(spark, docs):
+    """After compaction a run has one sorted file a bucket; merging and joining runs exchanges nothing and sorts no run."""
+    import glob
+
+    index = substring_index.FingerprintIndex(spark, fan_in=2, buckets=3)
+    made = substring_index.postings(substring_index._prepared(docs, "doc_id", "text"), 13, 5)
+    halves = [made.where(F.col("rank") % 4 == k) for k in range(4)]
+    try:
+        for half in halves[:2]:
+            index.add(half)
+        ((level, name, path),) = index.runs
+        assert level == 1
+        files = glob.glob(path.removeprefix("file://") + "/*.parquet")
+        assert 1 <= len(files) <= 3 and len({f.rpartition("_")[2] for f in files}) == len(files)
+        for f in files:
+            rows = spark.read.parquet("file://" + f).collect()
+            assert rows == sorted(rows)
+        index.add(halves[2])
+        index.add(halves[3].union(halves[3]))  # repeated rows are one posting
+        assert [r[0] for r in index.runs] == [2]
+        assert spark.table(index.runs[0][1]).count() == made.distinct().count()
+        new = index._write(halves[0].repartition(3, "fp").dropDuplicates(), 0)
+        with substring_index.merge_plans(spark):
+            for df, sorts in ((index.shared(new), 1), (index.merged([index.runs[0], new]), 0)):  # one sorts the few shared fingerprints of the new run
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Sort [") == sorts, plan
+        index._forget(new)
+    finally:
+        index.drop()
+
+
 def brute_bytes(rows, span):
     count = {}
     for r in rows:
