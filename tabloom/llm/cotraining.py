@@ -2,13 +2,13 @@
 
 Two classifiers look at different views of a document: its text content (byte pairs, repeated words)
 and its page metadata (language, source, length and layout figures). Both start from the labelled
-rows. In every round each names the unlabelled rows it is surest of, and those pseudo-labels train the
-*other* one. Labelled rows held back from training then calibrate each view (Platt scaling) and the
+rows. In every round each scores all unlabelled documents and names those it is surest of, and these pseudo-labels
+train the *other* one. Labelled rows held back from training then calibrate each view (Platt scaling) and the
 weights with which the two calibrated views are combined; every document is scored by the result.
 
-Fitting uses bounded samples, chosen by hash: at most ``max_labelled`` labelled and ``pool_rows``
-unlabelled rows (both parameters), so it is the same work at any size; scoring is one pass over all
-documents with no exchange.
+Fitting uses a bounded sample of labelled rows, chosen by hash (at most ``max_labelled``), and ``surest`` new
+pseudo-labels a view and round; these are the surest of the whole corpus, whose views are staged once and scored every
+round without an exchange. Models are fitted in one task of that bounded size; scoring is one more pass over all documents.
 
 Defined cases: a null text is empty; a null language or source is a value of its own; labels other
 than 0 and 1 and ids with both labels are left out; repeated rows get equal scores; with no labels, or
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from . import common
 PAIRS = 256
 HASHED = 32
 MAX_LABELLED = 8_000
-POOL_ROWS = 8_000
+SUREST = 400
 #: Bytes whose pairs are counted at a time: bounds a task's memory for very long texts.
 CHUNK = 1 << 20
 _UPPER, _DIGIT, _MARK, _BREAK = (np.zeros(256, bool) for _ in range(4))
@@ -139,38 +140,26 @@ def _loss(logit: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, logit) - y * logit))
 
 
-def cotrain(text_x: np.ndarray, meta_x: np.ndarray, label: np.ndarray, fold: np.ndarray, rounds: int = 5, grow: float = 0.05, sure: float = 0.95) -> CoTrained | None:
-    """``label``: 0, 1, or -1 for the pool; ``fold`` true: held back for calibration.
+Given = tuple[dict[str, int], dict[str, int]]  # pseudo-labels by id, for the text view and for the metadata view
 
-    A round lets each view pass at most ``grow`` of the pool to the other, split by the labels' ratio,
-    and only rows it gives ``sure`` or more. None if the training or the calibration rows are of one class."""
-    train, held, pool = np.flatnonzero((label >= 0) & ~fold), np.flatnonzero((label >= 0) & fold), np.flatnonzero(label < 0)
+
+def fit_views(ids: list[str], x: np.ndarray, label: np.ndarray, given: Given) -> CoTrained | None:
+    """Both views' models from the labelled rows (``label`` 0 or 1) and what each was given, calibrated and combined on labelled rows held
+    back by hash. None if the training or the calibration rows are of one class."""
+    fold = np.array([zlib.crc32(i.encode()) % 4 == 0 for i in ids], bool)
+    train, held = np.flatnonzero((label >= 0) & ~fold), np.flatnonzero((label >= 0) & fold)
     if len(set(label[train])) < 2 or len(set(label[held])) < 2:
         return None
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels for the text view and for the metadata view
-    views, good = (text_x, meta_x), label[train].mean()
-    models: list[Logistic] = []
-    for turn in range(rounds + 1):
-        models = []
-        for x, extra in zip(views, given, strict=True):
-            rows = np.concatenate((train, np.fromiter(extra, np.int64, len(extra))))
-            models.append(Logistic.fit(x[rows], np.concatenate((label[train], np.fromiter(extra.values(), np.int64, len(extra)))).astype(float)))
-        if turn == rounds or not len(pool):
-            break
-        added = 0
-        for mine in (0, 1):
-            fresh = pool[[i not in given[1 - mine] for i in pool.tolist()]]
-            p = _sigmoid(models[mine].logit(views[mine][fresh]))
-            for value, share, order in ((1, good, np.argsort(-p, kind="stable")), (0, 1 - good, np.argsort(p, kind="stable"))):
-                best = order[: max(1, round(grow * share * len(pool)))]
-                best = best[(p[best] if value else 1 - p[best]) >= sure]
-                given[1 - mine].update(dict.fromkeys(fresh[best].tolist(), value))
-                added += len(best)
-        if not added:
-            break
+    place = {i: k for k, i in enumerate(ids)}
+    views = x[:, : PAIRS + 3], x[:, PAIRS + 3 :]
+    models = []
+    for view, extra in zip(views, given, strict=True):
+        more = sorted((place[i], v) for i, v in extra.items() if i in place)
+        rows = np.concatenate((train, np.array([k for k, _ in more], np.int64)))
+        models.append(Logistic.fit(view[rows], np.concatenate((label[train], np.array([v for _, v in more], np.int64))).astype(float)))
     y = label[held].astype(float)
-    scale = [Logistic.fit(m.logit(x[held])[:, None], y, 0.1) for m, x in zip(models, views, strict=True)]
-    logits = [s.logit(m.logit(x[held])[:, None]) for s, m, x in zip(scale, models, views, strict=True)]
+    scale = [Logistic.fit(m.logit(v[held])[:, None], y, 0.1) for m, v in zip(models, views, strict=True)]
+    logits = [s.logit(m.logit(v[held])[:, None]) for s, m, v in zip(scale, models, views, strict=True)]
     fits = []
     for share in np.linspace(0, 1, 21):  # the weights that explain the held-back labels best
         mixed = combined(*logits, share)[:, None]
@@ -180,6 +169,32 @@ def cotrain(text_x: np.ndarray, meta_x: np.ndarray, label: np.ndarray, fold: np.
     return CoTrained(*models, *scale, both, -share, sum(map(len, given)))
 
 
+def surest_rows(views: DataFrame, model: CoTrained, given: Given, quota: dict[int, int], sure: float) -> list[tuple[int, int, str]]:
+    """(view that names it, label, id) of the unlabelled rows that a view is surest of: at most ``quota`` of a label, of those it
+    gives ``sure`` or more and has not named before. A task passes on its best rows only, and the best of all are taken."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(np.float64)
+            for mine, (fitted, part) in enumerate(((model.text, x[:, : PAIRS + 3]), (model.meta, x[:, PAIRS + 3 :]))):
+                p = _sigmoid(fitted.logit(part))
+                fresh = ~pc.is_in(batch.column("id"), value_set=pa.array(list(given[1 - mine]), pa.string())).to_numpy(zero_copy_only=False)
+                for value, certain in ((1, p), (0, 1 - p)):
+                    at = np.flatnonzero(fresh & (certain >= sure))
+                    at = at[np.argsort(-certain[at], kind="stable")[: 2 * quota[value]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), mine, np.int32)), pa.array(np.full(len(at), value, np.int32)), batch.column("id").take(pa.array(at)), pa.array(certain[at])], ["view", "value", "id", "certain"])
+
+    named = common.staged(views.where("y IS NULL").select("id", "x").mapInArrow(best, "view int, value int, id string, certain double"), "named")
+    out = []
+    for mine in (0, 1):
+        for value, most in quota.items():
+            rows = named.where((F.col("view") == mine) & (F.col("value") == value)).groupBy("id").agg(F.max("certain").alias("certain"))
+            out += [(mine, value, r["id"]) for r in rows.orderBy(F.col("certain").desc(), "id").limit(most).collect()]  # a quota
+    return out
+
+
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Both views of a batch with ``text``, ``lang`` and ``source``."""
     rows = list(zip(batch.column("__text"), batch.column("__lang").to_pylist(), batch.column("__source").to_pylist(), strict=True))
@@ -194,25 +209,22 @@ def _inputs(text_col: str, lang_col: str, source_col: str) -> list:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality",
-    max_labelled: int = MAX_LABELLED, pool_rows: int = POOL_ROWS, rounds: int = 5, seed: int = 11,
+    max_labelled: int = MAX_LABELLED, surest: int = SUREST, rounds: int = 5, sure: float = 0.95, seed: int = 11,
 ) -> CoTrained | None:
-    """Fit on bounded samples of labelled and unlabelled rows; None if there is nothing to learn from."""
+    """Co-train over all of ``docs``; None if there is nothing to learn from."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
     agreed = known.agg(F.min(label_col).alias("__y"), F.max(label_col).alias("__top")).where("__y = __top").select("__id", "__y")
     chosen = agreed.orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(max_labelled)
-    total = docs.count()
-    share = min(1.0, pool_rows / max(1, total))
     slim = docs.select(F.col(id_col).alias("__id"), *_inputs(text_col, lang_col, source_col)).where("__id IS NOT NULL")
-    drawn = F.pmod(F.xxhash64("__id", F.lit(seed + 1)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    rows = slim.join(F.broadcast(chosen), "__id", "left").where(F.col("__y").isNotNull() | drawn)  # max_labelled rows of 12 bytes
+    rows = slim.join(F.broadcast(chosen), "__id", "left")  # max_labelled rows of 12 bytes
 
     def views(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text, meta = _views(batch)
         packed = [v.astype(np.float32).tobytes() for v in np.hstack((text, meta))]
         yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.string()), batch.column("__y").cast(pa.int32()), pa.array(packed, pa.binary())], ["id", "y", "x"])
 
-    # one row for each id, whatever their number and order
-    seen = common.arrow_map(rows, views, "id string, y int, x binary").groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x"))
+    staged, path = common.staged_at(common.arrow_map(rows, views, "id string, y int, x binary"), "views")
+    given: Given = ({}, {})
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), pa.schema([("id", pa.string()), ("y", pa.int32()), ("x", pa.binary())])).sort_by("id")
@@ -220,14 +232,30 @@ def train(
             return
         x = np.array([np.frombuffer(v.as_py(), np.float32) for v in table["x"]], np.float64)
         label = np.array([-1 if v is None else v for v in table["y"].to_pylist()])
-        fold = np.array([zlib.crc32(i.encode()) % 4 == 0 for i in table["id"].to_pylist()], bool)
-        model = cotrain(x[:, : PAIRS + 3], x[:, PAIRS + 3 :], label, fold, rounds)
+        model = fit_views(table["id"].to_pylist(), x, label, given)
         if model is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], ["model"])
+            yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary()), pa.array([float(label[label >= 0].mean())])], ["model", "good"])
 
-    # the bounded sample is fitted in one task: max_labelled + about pool_rows rows
-    made = seen.repartition(1).mapInArrow(fit, "model binary").collect()
-    return CoTrained.unpacked(bytes(made[0]["model"])) if made else None
+    model = None
+    for turn in range(rounds + 1):
+        used = docs.sparkSession.createDataFrame([(i,) for i in sorted({*given[0], *given[1]})], "id string")
+        taking_part = staged.where("y IS NOT NULL").union(staged.where("y IS NULL").join(F.broadcast(used), "id", "left_semi"))
+        one = taking_part.groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x"))  # one row for each id, whatever their number
+        # max_labelled rows and 2 * surest a round: fitted in one task
+        made = one.repartition(1).mapInArrow(fit, "model binary, good double").collect()
+        if not made:
+            break
+        model = CoTrained.unpacked(bytes(made[0]["model"]))
+        if turn == rounds:
+            break
+        quota = {1: max(1, round(surest * made[0]["good"])), 0: max(1, round(surest * (1 - made[0]["good"])))}
+        named = surest_rows(staged, model, given, quota, sure)
+        for mine, value, ident in named:
+            given[1 - mine][ident] = value
+        if not named:
+            break
+    common.remove(docs.sparkSession, path)
+    return model
 
 
 def _scored(rows: DataFrame, model: CoTrained | None, threshold: float) -> DataFrame:
