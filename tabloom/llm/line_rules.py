@@ -40,12 +40,18 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 CLOSING = tuple(x.encode() for x in (".", "!", "?", "…", '"', "'", "”", "’", "»", ")", ":", ";", "。", "！", "？"))
 #: Separators of menus and breadcrumbs.
 SEPARATORS = frozenset(x.encode() for x in ("|", "||", "»", "«", "›", "‹", "·", "•", "/", ">", "<", "→", "::", "~"))
-#: Phrases of site furniture, lower case.
+#: Phrases of site furniture, lower case: English, German, French, Spanish.
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "back to top", "by using this site", "click here", "cookie policy", "cookies to improve",
     "copyright ©", "enable javascript", "follow us on", "forgot your password", "javascript is disabled", "leave a comment", "log in to",
     "lorem ipsum", "page not found", "powered by wordpress", "privacy policy", "read more", "share this", "sign up for", "skip to content",
     "subscribe to our", "terms of service", "terms of use", "use cookies",
+    "alle rechte vorbehalten", "cookies akzeptieren", "cookie-richtlinie", "datenschutzerklärung", "folgen sie uns", "javascript aktivieren", "kommentar hinterlassen",
+    "nach oben", "newsletter abonnieren", "nutzungsbedingungen", "passwort vergessen", "seite nicht gefunden", "verwendet cookies", "weiterlesen", "zum inhalt springen",
+    "abonnez-vous à", "accepter les cookies", "aller au contenu", "conditions d'utilisation", "haut de page", "laisser un commentaire", "lire la suite", "mentions légales",
+    "mot de passe oublié", "page introuvable", "politique de confidentialité", "suivez-nous sur", "tous droits réservés", "utilise des cookies",
+    "aceptar cookies", "aviso legal", "condiciones de uso", "dejar un comentario", "habilite javascript", "leer más", "olvidó su contraseña", "política de privacidad",
+    "página no encontrada", "saltar al contenido", "suscríbase a", "síguenos en", "todos los derechos reservados", "términos de uso", "utiliza cookies", "volver arriba",
 )
 _NOTICE = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
 

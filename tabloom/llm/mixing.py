@@ -18,7 +18,7 @@ and the documents are staged with their cell when they themselves are asked for.
 
 Defined cases: a null source, language or topic is a value of its own ('(none)'); null and empty texts
 have no tokens and go with the probability of their cell (zero when the cell has no tokens); repeated
-rows are drawn alike; a target for a value without tokens is left out and the others rescaled; extra
+rows are drawn alike, as are all rows without an id; a target for a value without tokens is left out and the others rescaled; extra
 columns are ignored by ``sample``; an empty table gives no rows.
 """
 

@@ -277,6 +277,54 @@ def test_line_rules(docs, rows, empty):
     assert line_rules.clean(empty).count() == 0
 
 
+def brute_verdict(text, rules):
+    """The rules of the docstring, line by line on strings."""
+    failed, lost, total, kept = [], 0, 0, []
+    for line in (text or "").split("\n"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", line)
+        size = sum(len(w.encode()) for w in words)
+        total += size
+        menu = [w for w in words if w in {x.decode() for x in line_rules.SEPARATORS}]
+        symbols = len(re.findall(r"[#*$%&|<>]", line))
+        rule = None
+        if words and len(words) < rules.min_line_words and not any(words[-1].endswith(c.decode()) for c in line_rules.CLOSING):
+            rule = "punctuation"
+        elif len(menu) >= 3 and len(menu) * 5 >= len(words):
+            rule = "navigation"
+        elif words and symbols > 3 and symbols > rules.max_symbol_share * size:
+            rule = "punctuation"
+        elif words and len(words) <= rules.max_notice_words and any(p in "".join(c.lower() if c.isascii() else c for c in line) for p in line_rules.BOILERPLATE):
+            rule = "boilerplate"
+        if rule:
+            failed.append(rule)
+            lost += size
+        else:
+            kept.append(line)
+    return [failed.count(r) for r in ("punctuation", "navigation", "boilerplate")], lost <= rules.max_loss * total, "\n".join(kept)
+
+
+def test_line_rules_verdict(spark, rows):
+    """Every table text and planted notices of four languages against the rules stated plainly."""
+    body = "This line of prose has quite a few words and it ends as a sentence does.\n"
+    notices = ["Alle Rechte vorbehalten, Verlag und Autor.", "Tous droits réservés par la maison du livre.", "Todos los derechos reservados por la casa.", "Subscribe to our letters and never miss a thing.", "home | news | about | contact | more |", "Short end", "a # b # c # d # e #"]
+    planted = [(2000 + i, body * 2 + n) for i, n in enumerate(notices)] + [(2100 + i, n + "\n" + n + "\n" + n + " and then some more words here.") for i, n in enumerate(notices)]
+    tables = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    everything = [(r[0], r[1]) for r in rows] + planted + tables
+    rules = line_rules.LineRules()
+    out = line_rules.clean(spark.createDataFrame(everything, "doc_id long, text string"), with_text=True).collect()
+    got = sorted(str((r.doc_id, [r.lines_punctuation, r.lines_navigation, r.lines_boilerplate], r.kept, r.clean_text)) for r in out)
+    base = {(r.doc_id, r.n_words, r.n_repeat_words): r.base_failed for r in out}
+    want = []
+    for r in everything:
+        counts, fine, text = brute_verdict(r[1], rules)
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+        failed = {v for (d, k, _), v in base.items() if d == r[0] and k == n}
+        assert len(failed) == 1
+        want.append(str((r[0], counts, fine and not failed.pop(), text)))
+    assert got == sorted(want)
+    assert {r.doc_id for r in out if r.doc_id and 2000 <= r.doc_id < 2004 and r.lines_boilerplate == 1} == {2000, 2001, 2002, 2003}
+
+
 def test_decontaminate(spark, docs, rows, empty):
     rng = random.Random(9)
     item = "the quick brown fox jumps over the lazy dog while seven wizards boil green tea at midnight in old towers"
