@@ -630,4 +630,4 @@ def stream_tumbling_available_now(spark: SparkSession, sf_dir: str) -> DataFrame
     return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
 
 
-from . import queries_models, queries_sources  # noqa: E402, F401  (they register theirs here)
+from . import queries_checks, queries_models, queries_sources  # noqa: E402, F401  (they register theirs here)

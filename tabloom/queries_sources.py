@@ -126,19 +126,6 @@ def board_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("time", spec.time), ("dimension", spec.dimensions[0]), ("metric", f"{metric} {how}")], "item string, chosen string")
 
 
-@query("SELECT 'a b' AS name UNION ALL SELECT 'col_1' UNION ALL SELECT 'a b_1' UNION ALL SELECT 'Monto Total'")
-def column_names_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = table(spark, sf_dir, "region").select(*[F.lit(1).alias(c) for c in ("x0", "x1", "x2", "x3")]).toDF(*V.clean_columns([" a  b ", "", "a b", "Monto\nTotal"]))
-    return spark.createDataFrame([(c,) for c in named.columns], "name string")
-
-
-@query("SELECT 'paid_flag' AS chosen, 'pagamento' AS language UNION ALL SELECT 'o_orderstatus', 'estado' UNION ALL SELECT 'paid_flag', 'pago' UNION ALL SELECT 'o_totalprice', 'price'")
-def suggested_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").withColumn("paid_flag", F.col("o_orderstatus") == "F")
-    goals = {"pagamento": "quero prever o pagamento", "estado": "predecir el estado", "pago": "saber si habra pago", "price": "how to predict the total price"}
-    return spark.createDataFrame([((ask.suggest_target(orders, goal) or ("none",))[0], k) for k, goal in goals.items()], "chosen string, language string")
-
-
 @query("SELECT replace(replace(replace(format('{:,.2f}', sum(o_totalprice)), ',', '#'), '.', ','), '#', '.') AS said FROM orders")
 def narrated_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = ask.answer(table(spark, sf_dir, "orders"), "suma de o_totalprice").first()
@@ -175,27 +162,6 @@ def sql_bound_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask.run_sql(spark, sql, {"least": 50000, "priority": "1-URGENT"}, None, t=table(spark, sf_dir, "orders"))
 
 
-_REFUSED = (
-    "DELETE FROM {t}", "SELECT 1; DROP TABLE x", "SELECT reflect('java.lang.System', 'exit') FROM {t}", "SELECT * FROM other", "WITH a AS (SELECT java_method('a', 'b') AS x FROM {t}) SELECT * FROM a",
-    "SELECT * FROM parquet.`/etc`", "SET spark.x = 1", "SELECT * FROM read_files('/etc')", "SELECT input_file_name() FROM {t}",
-)
-_READ_ONLY_REFUSED = ("WITH d AS (DELETE FROM t RETURNING *) SELECT * FROM d", "SELECT * INTO x FROM t", "UPDATE t SET a = 1", "SELECT 1; SELECT 2", "SELECT 1 /* a */ ; drop table t", "EXEC p")
-
-
-@query(f"SELECT {len(_REFUSED)} AS refused, {len(_READ_ONLY_REFUSED)} AS refused_by_connector, 3 AS accepted")
-def sql_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def refuses(f, *args) -> bool:
-        try:
-            f(*args)
-        except ValueError:
-            return True
-        return False
-
-    accepted = ("SELECT 'a;b' AS x", "select \"update\" from t", "WITH a AS (SELECT 1 AS deleted_at) SELECT * FROM a")
-    counts = (sum(refuses(ask.guard, spark, q, ("t",)) for q in _REFUSED), sum(refuses(read.read_only, q) for q in _READ_ONLY_REFUSED), sum(not refuses(read.read_only, q) for q in accepted))
-    return spark.createDataFrame([counts], "refused int, refused_by_connector int, accepted int")
-
-
 # --- the rest of the SQL surface
 
 
@@ -238,11 +204,6 @@ def join_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(R.row_numbers(nations, [F.col("n_nationkey")], "rn").select("rn", F.col("n_name").alias("right_name")), "rn").drop("rn")
 
 
-@query("SELECT 'auc' AS metric, 'higher' AS direction, 'binary' AS task UNION ALL SELECT 'f1_macro', 'higher', 'multiclass' UNION ALL SELECT 'wmape', 'lower', 'regression'")
-def metric_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(m, E.CATALOGUE[m][0], t) for t, m in E.PRIMARY.items()], "metric string, direction string, task string")
-
-
 @query("SELECT count(*) AS data_rows, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F'")
 def board_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "board")

@@ -230,3 +230,32 @@ def test_asof_join_with_null_keys_and_hot_keys(spark):
 def test_column_names_stay_apart():
     assert V.clean_columns(["a", "a", "a_1", "a", "", ""]) == ["a", "a_1", "a_1_1", "a_2", "col_4", "col_5"]
     assert len(set(V.clean_columns(["x"] * 20_000))) == 20_000
+
+
+# --- guards and names
+
+
+_REFUSED = (
+    "DELETE FROM {t}", "SELECT 1; DROP TABLE x", "SELECT reflect('java.lang.System', 'exit') FROM {t}", "SELECT * FROM other", "WITH a AS (SELECT java_method('a', 'b') AS x FROM {t}) SELECT * FROM a",
+    "SELECT * FROM parquet.`/etc`", "SET spark.x = 1", "SELECT * FROM read_files('/etc')", "SELECT input_file_name() FROM {t}",
+)
+_READ_ONLY_REFUSED = ("WITH d AS (DELETE FROM t RETURNING *) SELECT * FROM d", "SELECT * INTO x FROM t", "UPDATE t SET a = 1", "SELECT 1; SELECT 2", "SELECT 1 /* a */ ; drop table t", "EXEC p")
+
+
+def test_guards_refuse_what_writes_or_reaches_out(spark):
+    for sql in _REFUSED:
+        with pytest.raises(ValueError):
+            ask.guard(spark, sql, ("t",))
+    for sql in _READ_ONLY_REFUSED:
+        with pytest.raises(ValueError):
+            read.read_only(sql)
+    for sql in ("SELECT 'a;b' AS x", 'select "update" from t', "WITH a AS (SELECT 1 AS deleted_at) SELECT * FROM a"):
+        assert read.read_only(sql) == sql
+
+
+def test_names_and_goals(spark):
+    assert V.clean_columns([" a  b ", "", "a b", "Monto\nTotal"]) == ["a b", "col_1", "a b_1", "Monto Total"]
+    orders = spark.createDataFrame([], "o_orderkey long, o_orderstatus string, o_totalprice double, paid_flag boolean")
+    goals = {"quero prever o pagamento": "paid_flag", "predecir el estado": "o_orderstatus", "saber si habra pago": "paid_flag", "how to predict the total price": "o_totalprice"}
+    assert {g: ask.suggest_target(orders, g)[0] for g in goals} == goals
+    assert {m: evaluation.CATALOGUE[m][0] for m in evaluation.PRIMARY.values()} == {"auc": "higher", "f1_macro": "higher", "wmape": "lower"}
