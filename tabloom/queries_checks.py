@@ -162,3 +162,18 @@ def explained_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     permuted = {r["column"]: r["drop"] for r in L.permutation_importance(model, held, ["quantity", "o_orderpriority"], "o_orderkey").collect()}
     effects = {r["column"]: r["direction"] for r in model.shap(rows).collect() if r["direction"]}
     return rows.agg(F.lit(L.explained(model, permuted, effects)[0]).alias("said"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT count(*) AS data_rows, round(sum(o_totalprice), 2) AS total, 8 AS sheets, 2 AS models, true AS measured, 7 AS plan_rows, max(length(o_orderpriority)) AS longest FROM orders WHERE o_orderkey % 2 = 0""")
+def report_of_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a table, its cleaning plan and a trained model as one workbook, read back."""
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    rows = splits.hashed(orders.select("o_orderkey", "o_orderpriority", F.pmod("o_custkey", F.lit(10)).cast("double").alias("x"), (F.pmod("o_custkey", F.lit(10)) * 3 + F.pmod("o_orderkey", F.lit(3))).cast("double").alias("y")), "o_orderkey")
+    model = L.train(rows.drop("o_orderkey"), "y", "regression", families=tuple(f for f in L.FAMILIES if f.name in ("tree_regression", "generalized_linear")), ensemble=1, log_target=False)
+    steps = [etl.Step("trim_text", c) for c in orders.columns][:7] * (7 // min(7, len(orders.columns)))
+    path = f"{new_folder(spark, 'report')}.xlsx"
+    sheets = write.report_workbook(orders.select("o_orderkey", "o_totalprice", "o_orderpriority"), path, model, (steps * 7)[:7])
+    sheet = lambda name: read.read_workbook(spark, path, name)
+    held = {r["metric"]: float(r["value"]) for r in sheet("holdout").collect()}
+    found = sheet("data").agg(F.count(F.lit(1)).alias("data_rows"), F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total"), F.max(F.length("o_orderpriority")).cast("long").alias("longest"))
+    return found.withColumns({"sheets": F.lit(len(sheets)), "models": F.lit(sheet("models").count()), "measured": F.lit(abs(held["r2"] - model.holdout["r2"]) < 1e-9 and held["r2"] > 0.5), "plan_rows": F.lit(sheet("plan").count())})

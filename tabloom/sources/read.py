@@ -169,13 +169,13 @@ def read_workbook(spark: SparkSession, path: str, sheet: int | str = 1) -> DataF
 
         for pdf in batches:
             for content in pdf["content"]:
-                yield pd.DataFrame({"cells": [r for i, r in enumerate(_cells(content, sheet)) if i]})
+                yield pd.DataFrame({"cells": pd.Series([r for i, r in enumerate(_cells(content, sheet)) if i], dtype=object)})
 
     def head(batches):
         import pandas as pd
 
         for pdf in batches:
-            yield pd.DataFrame({"cells": [next(_cells(c, sheet), []) for c in pdf["content"]]})
+            yield pd.DataFrame({"cells": pd.Series([next(_cells(c, sheet), []) for c in pdf["content"]], dtype=object)})
 
     first = files.orderBy("path").limit(1).mapInPandas(head, "cells array<string>").first()
     names = clean_columns(first["cells"]) if first else []

@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import zipfile
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import kind_of
-from ..operators import profile
+from ..operators import evaluation, profile
 from ..plans import board
+from ..session import new_folder, removed
 
 
 def write_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -53,48 +53,81 @@ def report(df: DataFrame) -> dict[str, DataFrame]:
 SHEET_ROWS = 1_048_575
 
 
-def _sheet_xml(df: DataFrame, rows: Iterator) -> Iterator[str]:
-    """One sheet's XML, piece by piece: numbers as numbers, all else as text."""
-    text = lambda v: f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_PRINTABLE.sub("", str(v)))}</t></is></c>'
-    number = lambda v: f"<c><v>{v!r}</v></c>" if v == v and abs(v) != float("inf") else "<c/>"
-    yield '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
-    yield "<row>" + "".join(map(text, df.columns)) + "</row>"
-    for row in rows:
-        yield "<row>" + "".join("<c/>" if v is None else number(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else text(v) for v in row) + "</row>"
-    yield "</sheetData></worksheet>"
+#: Rows in a file of a sheet's part: what passes the driver at a time, as bytes.
+PART_ROWS = 50_000
+_PRINTABLE = re.compile(r"[^\t\n\r\x20-\uD7FF\uE000-\uFFFD\U00010000-\U0010FFFF]")
+_HEAD = b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+_TAIL = b"</sheetData></worksheet>"
 
 
-_PRINTABLE = re.compile(r"[^\t\n\r\x20-\uD7FF\uE000-\uFFFD\U00010000-\U0010FFFF]")
+def _cell(v: object) -> str:
+    """A number as a number, all else as text; a missing or non-finite one is empty."""
+    if v is None:
+        return "<c/>"
+    if isinstance(v, int | float) and not isinstance(v, bool):
+        return f"<c><v>{v!r}</v></c>" if v == v and abs(v) != float("inf") else "<c/>"
+    text = escape(_PRINTABLE.sub("", str(v)), {"\n": "&#10;", "\r": "&#13;"})
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
+
+
+def _row_xml(values: Iterable) -> str:
+    return f"<row>{''.join(map(_cell, values))}</row>"
+
+
+def _row_parts(df: DataFrame) -> Iterator[bytes]:
+    """The rows of a frame as XML, one a line, in pieces of ``PART_ROWS`` lines. The executors write them; the driver
+    passes on their files."""
+    spark = df.sparkSession
+
+    def lines(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            yield pa.RecordBatch.from_pydict({"value": pa.array([_row_xml(v) for v in zip(*columns, strict=True)], pa.string())})
+
+    plain = df.select(*[F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f"c{i}") if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(df.schema)])
+    folder = new_folder(spark, "sheet")
+    plain.mapInArrow(lines, "value string").write.option("maxRecordsPerFile", PART_ROWS).text(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    for (path,) in sorted(files.select("path").collect()):
+        yield bytes(spark.read.format("binaryFile").load(path).first()["content"])
+    removed(spark, folder)
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
-    """One xlsx file. A workbook is one file of at most ``SHEET_ROWS`` rows a sheet, so rows are streamed through the driver a
-    partition at a time; a longer frame is split into several sheets of that size. For data without that bound use ``write_report``."""
+    """One xlsx file. The executors write the rows of every sheet as XML; the driver zips their files. A workbook is one file of
+    at most ``SHEET_ROWS`` rows a sheet: a longer frame is split into several. For data without that bound use ``write_report``."""
     spark = next(iter(sheets.values())).sparkSession
     ns, doc = "http://schemas.openxmlformats.org", "officeDocument/2006/relationships"
     names: list[str] = []
     with tempfile.TemporaryFile() as whole:  # the driver's own scratch file, copied to where all can read it
         with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as book:
             for title, df in sheets.items():
-                rows = df.toLocalIterator()
-                more = next(rows, None)
-                part = 0
-                while part == 0 or more is not None:
-                    part += 1
-                    names.append(f"{title[:28]}{f'_{part}' if part > 1 else ''}")
-                    taken = chain([] if more is None else [more], islice(rows, SHEET_ROWS - 1))
-                    with book.open(f"xl/worksheets/sheet{len(names)}.xml", "w") as out:
-                        for piece in _sheet_xml(df, taken):
-                            out.write(piece.encode())
-                    more = next(rows, None)
+                parts, rest, number = _row_parts(df), b"", 0
+                while number == 0 or rest:
+                    number += 1
+                    names.append(f"{title[:28]}{f'_{number}' if number > 1 else ''}")
+                    room = SHEET_ROWS
+                    with book.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as out:
+                        out.write(_HEAD + _row_xml(df.columns).encode())
+                        while room and (piece := rest or next(parts, b"")):
+                            rest = b""
+                            if (n := piece.count(b"\n")) > room:
+                                lines = piece.split(b"\n")
+                                piece, rest, n = b"\n".join(lines[:room]) + b"\n", b"\n".join(lines[room:]), room
+                            out.write(piece)
+                            room -= n
+                        out.write(_TAIL)
+                    rest = rest or next(parts, b"")
             listed = "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1))
             book.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}/spreadsheetml/2006/main" xmlns:r="{ns}/{doc}"><sheets>{listed}</sheets></workbook>')
             targets = "".join(f'<Relationship Id="rId{i}" Type="{ns}/{doc}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
             book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{ns}/package/2006/relationships">{targets}</Relationships>')
             book.writestr("_rels/.rels", f'<Relationships xmlns="{ns}/package/2006/relationships"><Relationship Id="rId1" Type="{ns}/{doc}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
             kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-            parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1))
-            book.writestr("[Content_Types].xml", f'<Types xmlns="{ns}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
+            parts_listed = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1))
+            book.writestr("[Content_Types].xml", f'<Types xmlns="{ns}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts_listed}</Types>')
         whole.seek(0)
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
@@ -105,6 +138,28 @@ def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
             out.close()
 
 
+def report_workbook(df: DataFrame, path: str, model=None, steps: list | None = None) -> list[str]:
+    """The report as one workbook, with the sheets its parts allow: summary, models, variables, holdout (with a trained ``model``), quality,
+    statistics, plan (with cleaning ``steps``) and data. Returns their names."""
+    spark = df.sparkSession
+    base = report(df)
+    text = lambda rows, schema: spark.createDataFrame(rows, schema)
+    sheets = {"summary": base["summary"]}
+    if model is not None:
+        metric = evaluation.PRIMARY[model.task]
+        sheets["models"] = text([(i, r["model"], metric, None if r[metric] is None else float(r[metric]), r["model"] == model.champion) for i, r in enumerate(model.leaderboard, 1)], "place int, model string, metric string, value double, champion boolean")
+        sheets["variables"] = text([(i, c, float(v)) for i, (c, v) in enumerate(model.importance().items(), 1)], "place int, column string, share double")
+        sheets["holdout"] = text([(m, None if v is None else float(v), *evaluation.CATALOGUE[m][::2]) for m, v in model.holdout.items() if m in evaluation.CATALOGUE], "metric string, value double, better string, meaning string")
+    sheets["quality"] = base["quality"]
+    if "statistics" in base:
+        sheets["statistics"] = base["statistics"]
+    if steps:
+        sheets["plan"] = text([(i, s.op, s.column, str(s.params), s.reason, s.enabled) for i, s in enumerate(steps, 1)], "place int, op string, column string, parameters string, reason string, enabled boolean")
+    sheets["data"] = df
+    write_workbook(sheets, path)
+    return list(sheets)
+
+
 def write_board(df: DataFrame, spec: board.Spec | None, path: str, filters: dict | None = None, workbook: bool = False) -> None:
     """A dashboard as a workbook (KPIs, a sheet per chart, the filtered table), or as a folder of CSV per part."""
     parts = {str(k): v for k, v in board.run(df, filters, spec).items() if isinstance(v, DataFrame)}

@@ -259,3 +259,19 @@ def test_names_and_goals(spark):
     goals = {"quero prever o pagamento": "paid_flag", "predecir el estado": "o_orderstatus", "saber si habra pago": "paid_flag", "how to predict the total price": "o_totalprice"}
     assert {g: ask.suggest_target(orders, g)[0] for g in goals} == goals
     assert {m: evaluation.CATALOGUE[m][0] for m in evaluation.PRIMARY.values()} == {"auc": "higher", "f1_macro": "higher", "wmape": "lower"}
+
+
+def test_workbook_of_awkward_cells_over_several_sheets(spark, tmp_path, monkeypatch):
+    import datetime
+
+    monkeypatch.setattr(write, "SHEET_ROWS", 7)
+    monkeypatch.setattr(write, "PART_ROWS", 3)
+    rows = [(i, None if i % 3 else "a\nb <&> \x01 é", float("nan") if i == 2 else i / 4, datetime.datetime(2024, 1, 2, 3, 4, i), i % 2 == 0) for i in range(16)]
+    df = spark.createDataFrame(rows, "i long, s string, d double, t timestamp_ntz, b boolean").repartition(2).sortWithinPartitions("i")
+    df = df.orderBy("i")
+    write.write_workbook({"data": df, "none": df.limit(0)}, str(tmp_path / "w.xlsx"))
+    got = [read.read_workbook(spark, str(tmp_path / "w.xlsx"), name) for name in ("data", "data_2", "data_3")]
+    assert [g.count() for g in got] == [7, 7, 2] and read.read_workbook(spark, str(tmp_path / "w.xlsx"), "none").count() == 0
+    cells = [tuple(r) for g in got for r in g.orderBy(F.col("i").cast("int")).collect()]
+    assert [c[0] for c in cells] == [str(i) for i in range(16)]
+    assert {c[1] for c in cells} == {None, "a\nb <&>  é"} and cells[2][2] is None and cells[3][2] == "0.75" and cells[5][3] == "2024-01-02 03:04:05" and cells[4][4] == "True"
