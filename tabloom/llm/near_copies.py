@@ -175,12 +175,14 @@ def _across(open_: DataFrame, least: float) -> DataFrame:
     Components meet at a key by bands of size (a similar set is in the same band or the next), then their members do."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / least) + 1e-9).cast("int")
     rows = common.staged(open_.where("n > 0").select("key", "node", "n", "place", "root", band.alias("band")), "bands")
-    blocks = rows.select("key", "root", "band").distinct()
-    upper = blocks.select("key", F.col("root").alias("other_root"), F.col("band").alias("other_band"))
+    # at the first shingle that two similar sets share, enough of each is left to reach the similarity
+    blocks = rows.groupBy("key", "root", "band").agg(F.max(F.col("n") - F.col("place")).alias("most"), F.min("n").alias("fewest"))
+    upper = blocks.select("key", F.col("root").alias("other_root"), F.col("band").alias("other_band"), F.col("most").alias("other_most"), F.col("fewest").alias("other_fewest"))
     reach = blocks.withColumn("other_band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    met = reach.join(upper, ["key", "other_band"]).where("root <> other_root").where((F.col("band") < F.col("other_band")) | (F.col("root") < F.col("other_root")))
+    enough = F.least("most", "other_most") >= least / (1 + least) * (F.col("fewest") + F.col("other_fewest")) - 1e-9
+    met = reach.join(upper, ["key", "other_band"]).where("root <> other_root").where((F.col("band") < F.col("other_band")) | (F.col("root") < F.col("other_root"))).where(enough)
+    met = met.select("key", "root", "band", "other_root", "other_band")
     other = rows.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("root").alias("other_root"), F.col("band").alias("other_band"))
-    # at the first shingle that two similar sets share, enough of each is left to reach the similarity
     needed = least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
     left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place"))
     return _pairs(met.join(rows, ["key", "root", "band"]).join(other, ["key", "other_root", "other_band"]).where(left >= needed), least)
