@@ -10,6 +10,7 @@ from .functions import values as V
 from .operators import evaluation as E
 from .operators import learning as L
 from .operators import splits
+from .operators import states as S
 from .plans import ask, board, etl
 from .queries import _HOLES, _holes, _money, query, rounded, table
 from .session import new_folder
@@ -177,3 +178,20 @@ def report_of_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = {r["metric"]: float(r["value"]) for r in sheet("holdout").collect()}
     found = sheet("data").agg(F.count(F.lit(1)).alias("data_rows"), F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total"), F.max(F.length("o_orderpriority")).cast("long").alias("longest"))
     return found.withColumns({"sheets": F.lit(len(sheets)), "models": F.lit(sheet("models").count()), "measured": F.lit(abs(held["r2"] - model.holdout["r2"]) < 1e-9 and held["r2"] > 0.5), "plan_rows": F.lit(sheet("plan").count())})
+
+
+@query("""WITH t AS (SELECT count(*) AS n, count(DISTINCT l_extendedprice) AS d, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, round(avg(l_extendedprice), 4) AS m FROM lineitem), f AS (SELECT l_returnflag AS flag, count(*) AS c FROM lineitem GROUP BY 1 ORDER BY c DESC, flag LIMIT 1)
+    SELECT n AS rows, lo AS least, hi AS greatest, m AS mean, flag AS top_flag, c AS top_count, true AS distinct_close, true AS ranks_close, 3 AS parts FROM t, f""")
+def profile_by_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved states of three parts, the last one added later and one replaced, merged: exact figures, and sketches within their error."""
+    lines, path = table(spark, sf_dir, "lineitem"), new_folder(spark, "states")
+    columns = ["l_extendedprice", "l_returnflag"]
+    S.add_part(lines.where("l_orderkey % 3 = 1"), path, "0", columns)
+    for i in range(3):
+        S.add_part(lines.where(f"l_orderkey % 3 = {i}"), path, str(i), columns)
+    found = {r["column"]: r for r in S.figures(S.merged(S.parts(spark, path))).collect()}
+    price, flag = found["l_extendedprice"], found["l_returnflag"]["top"][0]
+    exact = lines.agg(F.count_distinct("l_extendedprice").alias("d"), *[F.avg((F.col("l_extendedprice") <= q).cast("double")).alias(f"r{i}") for i, q in enumerate(price["quantiles"])]).first()
+    close = all(abs(exact[f"r{i}"] - p) < 0.0165 for i, p in enumerate((0.01, 0.25, 0.5, 0.75, 0.99)))
+    row = (price["rows"], price["least"], price["greatest"], round(price["mean"], 4), flag["item"], flag["count"], abs(price["n_distinct"] / exact["d"] - 1) < 0.06, close, S.parts(spark, path).select("part").distinct().count())
+    return spark.createDataFrame([row], "rows long, least double, greatest double, mean double, top_flag string, top_count long, distinct_close boolean, ranks_close boolean, parts long")
