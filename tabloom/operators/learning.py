@@ -26,13 +26,14 @@ from . import evaluation as E
 from . import search as S
 from . import trees
 from .boosting import AdaBoost, SoftmaxBoosting, StagewiseModel
+from .neighbours import Neighbours, NeighboursModel
 from .ranking import row_numbers
 from .text_features import TextModel, fit_text
 
 #: Tokens that mean the positive class.
 POSITIVE = ("1", "1.0", "true", "si", "sí", "y", "yes")
 #: Families that have no equivalent here.
-UNAVAILABLE = ("knn", "extra_trees", "mlp_regression", "hist_gradient_boosting", "lightgbm", "xgboost", "catboost")
+UNAVAILABLE = ("extra_trees", "mlp_regression", "hist_gradient_boosting", "lightgbm", "xgboost", "catboost")
 #: Fixed value: the level of a null.
 NO_VALUE = "(nulo)"
 #: Levels of a category that get a column of their own for linear models; the others share none.
@@ -73,6 +74,8 @@ FAMILIES = (
     Family("naive_bayes", C.NaiveBayes, ({"modelType": "gaussian"},), True, _CLASSES),
     Family("mlp", C.MultilayerPerceptronClassifier, ({"maxIter": 60, "seed": 7},), True, _CLASSES, 2_000_000),
     Family("factorization", C.FMClassifier, ({"maxIter": 30, "seed": 7, "stepSize": 0.05},), True, space={"stepSize": S.Real(0.01, 0.3, True), "factorSize": S.Whole(2, 16)}),
+    Family("neighbours", Neighbours, ({"k": 15},), True, _CLASSES, 5_000_000, {"k": S.Whole(3, 60, True)}),
+    Family("neighbours_regression", Neighbours, ({"k": 15, "task": "regression"},), True, ("regression",), 5_000_000, {"k": S.Whole(3, 60, True)}),
     Family("linear", R.LinearRegression, ({"regParam": 0.01}, {"regParam": 0.1, "elasticNetParam": 0.5}), True, ("regression",), space=_LINEAR),
     Family("tree_regression", R.DecisionTreeRegressor, ({"maxDepth": 5, "seed": 7, "maxBins": BINS},), False, ("regression",), space=_TREE),
     Family("generalized_linear", R.GeneralizedLinearRegression, ({"family": "gaussian", "regParam": 0.01},), True, ("regression",), space={"regParam": S.Real(1e-5, 1.0, True)}),
@@ -81,6 +84,8 @@ FAMILIES = (
 )
 
 
+#: Models of the library's own families.
+OWN = (StagewiseModel, NeighboursModel)
 _REGISTERED: list[Family] = []
 
 
@@ -299,7 +304,7 @@ class Trained:
         ``df``; None if no member is made of trees. Binary and multiclass values are of the last class (boosting: of the margin)."""
         for m in self.members:
             model = self.models[m]
-            forest = model.forest if isinstance(model, StagewiseModel) else trees.exported(model, df.sparkSession)
+            forest = model.forest if isinstance(model, StagewiseModel) else None if isinstance(model, OWN) else trees.exported(model, df.sparkSession)
             if forest is not None:
                 output = forest.trees[0].value.shape[1] - 1
                 return trees.shap_summary(self.features.transform(df), forest, self.features.tree_names, base_of, self.features.codes, output=output)
@@ -309,7 +314,7 @@ class Trained:
         """A folder with the fitted pipeline, the champion's members and a card."""
         self.features.pipeline.write().overwrite().save(f"{path}/features")
         for m in self.members:
-            if isinstance(self.models[m], StagewiseModel):
+            if isinstance(self.models[m], OWN):
                 self.models[m].save_to(f"{path}/models/{m}", spark)
             else:
                 self.models[m].write().overwrite().save(f"{path}/models/{m}")
@@ -337,8 +342,8 @@ def load(path: str, spark: SparkSession) -> Trained:
     models = {}
     for m, kind in card["kinds"].items():
         module, _, name = kind.rpartition(".")
-        if name == StagewiseModel.__name__:
-            models[m] = StagewiseModel.load_from(f"{path}/models/{m}", spark)
+        if own := next((k for k in OWN if k.__name__ == name), None):
+            models[m] = own.load_from(f"{path}/models/{m}", spark)
             continue
         models[m] = getattr(importlib.import_module(module), name).load(f"{path}/models/{m}")
     calibrator = R.IsotonicRegressionModel.load(f"{path}/calibrator") if card["calibrated"] else None
@@ -382,7 +387,7 @@ def wants_log(df: DataFrame) -> bool:
 def detached(model, spark: SparkSession):
     """A fitted model without its training summary. The summary of a two-class fit holds the session, and a session that has run jobs
     with tags cannot be serialised with the model's functions."""
-    if isinstance(model, StagewiseModel) or not getattr(model, "hasSummary", False):
+    if isinstance(model, OWN) or not getattr(model, "hasSummary", False):
         return model
     path = new_folder(spark, "fitted")
     model.write().save(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from .operators import evaluation as E
 from .operators import learning as L
 from .operators import splits
 from .operators import states as S
+from .operators.neighbours import Neighbours
 from .plans import ask, board, etl
 from .queries import _HOLES, _holes, _money, query, rounded, table
 from .session import new_folder
@@ -195,3 +197,14 @@ def profile_by_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     close = all(abs(exact[f"r{i}"] - p) < 0.0165 for i, p in enumerate((0.01, 0.25, 0.5, 0.75, 0.99)))
     row = (price["rows"], price["least"], price["greatest"], round(price["mean"], 4), flag["item"], flag["count"], abs(price["n_distinct"] / exact["d"] - 1) < 0.06, close, S.parts(spark, path).select("part").distinct().count())
     return spark.createDataFrame([row], "rows long, least double, greatest double, mean double, top_flag string, top_count long, distinct_close boolean, ranks_close boolean, parts long")
+
+
+@query("""WITH d AS (SELECT s_suppkey, abs(s_acctbal - c_acctbal) AS away, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - c_acctbal)) AS place FROM supplier, customer)
+    SELECT s_suppkey, round(sum(away), 4) AS away, count(*) AS n FROM d WHERE place <= 3 GROUP BY 1""")
+def nearest_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every supplier the three customers with the nearest balance, by the neighbour index with all cells probed."""
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("double").alias("label"), array_to_vector(F.array("c_acctbal")).alias("scaled"))
+    model = Neighbours(k=3, cells=16, probes=16, task="regression").fit(known)
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("row"), F.array("s_acctbal").alias("x"))
+    found = model.nearest(asked).groupBy(F.col("row").alias("s_suppkey")).agg(F.sum("away").alias("away"), F.count(F.lit(1)).alias("n"))
+    return rounded(found, 4)
