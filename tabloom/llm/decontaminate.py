@@ -6,8 +6,8 @@ those of all document windows; each hit names a document, an item and a diagonal
 tokens of both are compared along the diagonal: a document is contaminated by an item when some
 stretch of ``stretch`` tokens (the whole item, if it is shorter) agrees in all but a fifth of them.
 
-The benchmark's hashes are broadcast in blocks of at most ``block_rows`` rows, so no broadcast grows
-with the benchmark; documents are never shuffled to be searched, and only those with hits are verified.
+Up to ``block_rows`` hashes of the benchmark are broadcast, and documents are not shuffled to be searched; beyond that
+both sides' hashes are merge-joined, so documents are read once whatever the benchmark's size. Only those with hits are verified.
 
 Items shorter than a stretch are compared whole, so each gets masks of its own length (``short_masks``): its
 positions are cut into parts, and the masks leave out every choice of as many parts as tokens may differ. Whatever
@@ -87,13 +87,11 @@ def overlaps(
     if not found:
         found, used = [items.where("false").select("__item", "__item_hash", F.lit(0).alias("at"), F.lit(0).cast("long").alias("seed"), F.size("toks").alias("n"))], ["1"]
     probes = common.staged(reduce(DataFrame.unionByName, found), "probes")
-    blocks = max(1, math.ceil(probes.count() / block_rows))
+    few = probes.count() <= block_rows
     windows = _windows(rows.select("__id", "__th", tokens("__text").alias("toks")), ["__id", "__th"], used)
-    hits = None
-    for block in range(blocks):
-        part = probes.where(F.pmod("seed", F.lit(blocks)) == block).withColumnRenamed("at", "item_at")
-        met = windows.join(F.broadcast(part), "seed").select("__id", "__th", *keys, (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-        hits = met if hits is None else hits.union(met)
+    part = probes.withColumnRenamed("at", "item_at")
+    met = windows.join(F.broadcast(part) if few else part.hint("shuffle_merge"), "seed")  # one pass over the documents, whatever the benchmark's size
+    hits = met.select("__id", "__th", *keys, (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = common.staged(hits.groupBy("__id", "__th").agg(F.collect_set(F.struct(*keys, "shift")).alias("hits")), "hits")
     same_row = rows["__id"].eqNullSafe(hits["__id"]) & (rows["__th"] == hits["__th"])
     held = rows.join(hits, same_row).select(rows["__id"], rows["__th"], "__text", "hits").dropDuplicates(["__id", "__th"])

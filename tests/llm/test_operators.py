@@ -335,6 +335,8 @@ def test_decontaminate(spark, docs, rows, empty):
     bench = spark.createDataFrame([(1, item), (2, None), (3, "short absent"), (None, "")], "item_id long, text string")
     found = decontaminate.contaminated(table.drop("item_id"), bench)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(100, 1), (101, 1)}
+    merged = decontaminate.contaminated(table.drop("item_id"), bench, block_rows=3)
+    assert sorted(map(str, merged.collect())) == sorted(map(str, found.collect()))
     assert {r.doc_id for r in decontaminate.decontaminate(table, bench).collect()} == {102, 103, 104}
     assert decontaminate.contaminated(empty, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows)
