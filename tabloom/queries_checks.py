@@ -208,3 +208,14 @@ def nearest_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("row"), F.array("s_acctbal").alias("x"))
     found = model.nearest(asked).groupBy(F.col("row").alias("s_suppkey")).agg(F.sum("away").alias("away"), F.count(F.lit(1)).alias("n"))
     return rounded(found, 4)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT n_name) AS names, sum(n_regionkey)::BIGINT AS regions FROM nation")
+def source_json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole JSON documents, an array over several lines a region, each in a file of its own."""
+    folder = new_folder(spark, "json")
+    nations = table(spark, sf_dir, "nation")
+    for (region,) in table(spark, sf_dir, "region").select("r_regionkey").collect():  # five regions
+        rows = nations.where(F.col("n_regionkey") == region).select(F.to_json(F.struct("*")).alias("j"))
+        rows.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value")).coalesce(1).write.mode("append").text(folder)
+    return read.read_json(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("n_name").alias("names"), F.sum("n_regionkey").alias("regions"))
