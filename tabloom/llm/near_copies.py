@@ -35,9 +35,11 @@ from .components import connected_components
 from .simhash import close_pairs, majority
 
 SEED = 42
-#: The sample that finds frequent shingles: texts at most, and texts of it that make a shingle frequent.
+#: The sample that finds frequent shingles: texts at most, texts of it that make a shingle frequent, and shingles put last at most. They
+#: change the order in which shingles are looked at, so the work, not the result.
 SAMPLE = 20_000
 FREQUENT = 4
+LAST = 1_000_000
 #: Shingles of sets just computed that verification keeps at hand: bounds a task's memory.
 KNOWN = 2_000_000
 
@@ -85,7 +87,7 @@ def frequent_shingles(texts: DataFrame, rows: int, words: int, sample: int = SAM
             yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), words))], ["key"])
 
     kept = texts.where(F.pmod("th", F.lit(max(1, rows // sample))) == 0).select("text")
-    found = common.arrow_map(kept, run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT).select("key")
+    found = common.arrow_map(kept, run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.col("c").desc(), "key").limit(LAST).select("key")
     return np.sort(found.toArrow().column(0).to_numpy())
 
 
@@ -110,16 +112,23 @@ def postings(texts: DataFrame, frequent: np.ndarray, words: int, least: float) -
     return common.arrow_map(texts.select("text"), run, "key long, node long, n int, place int")
 
 
-def shared_postings(posted: DataFrame) -> DataFrame:
-    """The postings, each once, of shingles that two sets or more have in their prefixes. Shingles with over a
+def shared_postings(posted: DataFrame) -> tuple[DataFrame, str]:
+    """The postings, each once, of shingles that two sets or more have in their prefixes; staged, with their path. Shingles with over a
     thousandth of what is shared (a thousand at most) are broadcast, so their postings are not gathered."""
-    shared = common.staged(posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    spark = posted.sparkSession
+    shared, shared_path = common.staged_at(posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
     step = max(64, (shared.agg(F.sum("c")).first()[0] or 0) // 1000)
     hot = F.broadcast(shared.where(F.col("c") > step).select("key"))
     rest = posted.join(hot, "key", "left_anti").join(shared.where(F.col("c") <= step).select("key"), "key", "left_semi")
-    several = common.staged(rest.union(posted.join(hot, "key", "left_semi")).distinct(), "several")
+    several, several_path = common.staged_at(rest.union(posted.join(hot, "key", "left_semi")).distinct(), "several")
+    common.remove(spark, shared_path)
+    common.release(spark)
     alone = several.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo = hi").select("key")  # copies of one set
-    return several.join(common.staged(alone, "alone"), "key", "left_anti")
+    alone, alone_path = common.staged_at(alone, "alone")
+    members = common.staged_at(several.join(alone, "key", "left_anti"), "members")
+    for path in (several_path, alone_path):
+        common.remove(spark, path)
+    return members
 
 
 def packed_sets(texts: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -202,7 +211,7 @@ def similar_roots(texts: DataFrame, sets: DataFrame, words: int, least: float) -
     spark = texts.sparkSession
     frequent = frequent_shingles(texts, sets.count(), words)
     posted, path = common.staged_at(postings(texts, frequent, words, least), "postings")
-    members = common.staged(shared_postings(posted), "members")
+    members, members_path = shared_postings(posted)
     common.remove(spark, path)
     common.release(spark)
     prints = common.staged(_close_prints(sets.where("fp <> 0").select("node", "fp").distinct()), "close")
@@ -213,28 +222,43 @@ def similar_roots(texts: DataFrame, sets: DataFrame, words: int, least: float) -
     prefix = F.first("n") - F.ceil(least * F.first("n") - 1e-9) + 1
     central = members.join(held, "key").groupBy("node").agg((F.sum(F.log("members")) / prefix).alias("rank"))
     central = central.select("node", F.round("rank", 6).alias("rank"))
-    placed = common.staged(members.join(central, "node").select("key", "node", "n", "place", F.struct("rank", "node", "n").alias("lead")), "open")
+    placed, placed_path = common.staged_at(members.join(central, "node").select("key", "node", "n", "place", F.struct("rank", "node", "n").alias("lead")), "placed")
+    common.remove(spark, members_path)
+    common.release(spark)
 
     def with_pivot(rows: DataFrame, pivots: DataFrame) -> DataFrame:
         leading = pivots.groupBy("key").agg(F.max("lead").alias("p"))
         return _pairs(rows.join(leading.select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m")), "key"), least)
 
     first = with_pivot(placed, placed).union(prints).distinct()
-    roots = connected_components(common.staged(verified(first, packed, words, least), "links"))
+    first, first_path = common.staged_at(first, "pairs")
+    common.release(spark)  # what made the pairs is not needed while the texts move
+    links = common.staged(verified(first, packed, words, least), "links")
+    common.remove(spark, first_path)
+    common.release(spark)
+    roots = connected_components(links)
     for all_pairs in (False, True):
         rooted = placed.join(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")), F.col("node") == F.col("__node"), "left")
-        rooted = common.staged(rooted.select("key", "node", "n", "place", "lead", F.coalesce("__root", "node").alias("root")), "rooted")
+        rooted, rooted_path = common.staged_at(rooted.select("key", "node", "n", "place", "lead", F.coalesce("__root", "node").alias("root")), "rooted")
         of_key = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", "lead").alias("first")).where("lo <> hi")
-        open_ = common.staged(rooted.join(of_key.select("key", "first"), "key"), "open")
+        open_, open_path = common.staged_at(rooted.join(of_key.select("key", "first"), "key"), "open")
+        common.remove(spark, rooted_path)
+        common.release(spark)
         if all_pairs:
             pairs = _across(open_, least)
         else:
             pairs = with_pivot(open_.where("root = first"), open_.where("root <> first"))
             pairs = pairs.union(with_pivot(open_.where("root <> first"), open_.where("root = first"))).distinct()
+        pairs, pairs_path = common.staged_at(pairs, "pairs")
+        common.remove(spark, open_path)
+        common.release(spark)
         fresh = common.staged(verified(pairs, packed, words, least), "links")
+        common.remove(spark, pairs_path)
+        common.release(spark)
         if not fresh.isEmpty():
             roots = connected_components(roots.select("node", "root").union(fresh))
-    common.remove(spark, packed_path)
+    for path in (packed_path, placed_path):
+        common.remove(spark, path)
     return roots
 
 
