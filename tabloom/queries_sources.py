@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .functions import values as V
 from .operators import association as A
-from .operators import evaluation as E
 from .operators import profile as P
 from .operators import ranking as R
 from .plans import ask, board, etl
