@@ -28,7 +28,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
 
 #: Cue words of licensing text (a regular expression for both engines).
 CUES = r"(?i)licen[sc]e|copyright|©|spdx|public domain|permission is hereby|redistribution and use|warranty|all rights reserved|creative commons"
