@@ -3,9 +3,11 @@
 import glob
 import math
 import os
+import subprocess
 
 import duckdb
 import pandas as pd
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +277,23 @@ def test_workbook_of_awkward_cells_over_several_sheets(spark, tmp_path, monkeypa
     cells = [tuple(r) for g in got for r in g.orderBy(F.col("i").cast("int")).collect()]
     assert [c[0] for c in cells] == [str(i) for i in range(16)]
     assert {c[1] for c in cells} == {None, "a\nb <&>  é"} and cells[2][2] is None and cells[3][2] == "0.75" and cells[5][3] == "2024-01-02 03:04:05" and cells[4][4] == "True"
+
+
+def test_correlation_with_a_constant_column(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i, 7.0, None if i % 2 else 1.0 * i) for i in range(10)], "a double, b double, c double, d double")
+    got = {(r["a"], r["b"]): r["corr"] for r in association.pearson(df, df.columns).collect()}
+    assert abs(got["a", "b"] - 1) < 1e-12 and abs(got["a", "d"] - 1) < 1e-12 and got["a", "c"] is None and got["c", "d"] is None
+    assert abs(association.spearman(df, ["a", "b", "c"], top=1).first()["corr"] - 1) < 1e-12
+
+
+def test_derby_archive_is_read_by_other_processes(spark, tmp_path):
+    odd = [(1, 'a "quoted", cell', 1.5, True), (2, "two\nlines", None, False), (3, "", -2e10, None), (4, None, 0.1, True), (5, " ñ ", 3.0, True)]
+    df = spark.createDataFrame(odd, "k long, t string, x double, b boolean")
+    url = write.write_derby({"ODD": df.repartition(3)}, str(tmp_path / "db"))
+    got = read.read_jdbc(spark, url, 'SELECT * FROM "ODD"', driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert sorted(tuple(r) for r in got.collect()) == odd and got.dtypes == df.dtypes
+    script = tmp_path / "q.sql"
+    script.write_text(f"CONNECT '{url}';\nSELECT count(*) + 900 FROM ODD;\nEXIT;\n")
+    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "*")
+    said = subprocess.run(["java", "-cp", jars, f"-Dderby.stream.error.file={tmp_path}/log", "org.apache.derby.tools.ij", str(script)], capture_output=True, text=True, timeout=120).stdout
+    assert "905" in said
