@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tabloom.functions import values as V
-from tabloom.operators import association, evaluation, profile, ranking, splits
+from tabloom.operators import association, evaluation, intervals, profile, ranking, splits
 from tabloom.plans import ask, board, etl
 from tabloom.plans.etl import Step
 from tabloom.queries import ORACLES, QUERIES
