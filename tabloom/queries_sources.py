@@ -58,9 +58,9 @@ def source_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer WHERE c_nationkey < 10 GROUP BY 1")
 def source_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = f"jdbc:derby:memory:{new_folder(spark, 'db').rpartition('/')[2].replace('-', '_')};create=true"
-    table(spark, sf_dir, "customer").coalesce(2).write.jdbc(url, "CUSTOMER", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
-    got = read.read_jdbc(spark, url, 'SELECT "c_mktsegment" AS "segment", "c_acctbal" AS "bal" FROM CUSTOMER WHERE "c_nationkey" < 10', driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    url = write.write_derby({"CUSTOMER": table(spark, sf_dir, "customer")}, new_folder(spark, "db"))
+    sql = 'SELECT "c_mktsegment" AS "segment", "c_acctbal" AS "bal", "c_nationkey" AS "nation" FROM CUSTOMER WHERE "c_nationkey" < 10'
+    got = read.read_jdbc(spark, url, sql, ("nation", 0, 10, 4), driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     return rounded(got.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("bal").alias("balance")), 2)
 
 
