@@ -297,3 +297,17 @@ def test_derby_archive_is_read_by_other_processes(spark, tmp_path):
     jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "*")
     said = subprocess.run(["java", "-cp", jars, f"-Dderby.stream.error.file={tmp_path}/log", "org.apache.derby.tools.ij", str(script)], capture_output=True, text=True, timeout=120).stdout
     assert "905" in said
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_sums_over_intervals_are_those_of_the_join(spark, closed):
+    points = spark.range(300).select(F.when(F.col("id") % 50 > 0, F.col("id") % 37).cast("double").alias("v"), F.when(F.col("id") == 5, float("inf")).when(F.col("id") == 60, float("nan")).when(F.col("id") % 11 > 0, F.col("id") / 4).alias("a"))
+    ranges = spark.createDataFrame([("x", 1.0, 4.0), ("x", 3.0, 9.0), ("x", 9.0, 1.0), (None, 20.0, 22.0), (None, 20.0, 22.0), ("y", 5.0, 5.0), ("z", 90.0, 99.0), ("y", None, 3.0), ("w", 30.0, float("inf"))], "g string, lo double, hi double")
+    want = intervals.range_join(points, ranges, "v", "lo", "hi", closed=closed).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"))
+    got = intervals.range_sums(points, ranges, "v", "lo", "hi", ["g"], ["a"], closed)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_interval_sums_make_no_pairs(spark):
+    plan = QUERIES["join_intervals"](spark, __spark_entry__.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
