@@ -299,6 +299,14 @@ def test_derby_archive_is_read_by_other_processes(spark, tmp_path):
     assert "905" in said
 
 
+def test_workbook_read_back_over_several_sheets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(write, "SHEET_ROWS", 7)
+    monkeypatch.setattr(read, "BATCH_ROWS", 3)
+    write.write_workbook({"data": spark.range(16).repartition(3), "data 2": spark.range(3), "one": spark.range(5)}, str(tmp_path / "w.xlsx"))
+    whole = lambda name: sorted(int(r[0]) for r in read.read_workbook(spark, str(tmp_path / "w.xlsx"), name, continued=True).collect())
+    assert whole("data") == list(range(16)) and whole("one") == list(range(5))
+
+
 @pytest.mark.parametrize("closed", [True, False])
 def test_sums_over_intervals_are_those_of_the_join(spark, closed):
     points = spark.range(300).select(F.when(F.col("id") % 50 > 0, F.col("id") % 37).cast("double").alias("v"), F.when(F.col("id") == 5, float("inf")).when(F.col("id") == 60, float("nan")).when(F.col("id") % 11 > 0, F.col("id") / 4).alias("a"))
