@@ -319,3 +319,21 @@ def test_sums_over_intervals_are_those_of_the_join(spark, closed):
 def test_interval_sums_make_no_pairs(spark):
     plan = QUERIES["join_intervals"](spark, __spark_entry__.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_ranks_with_frequent_values(spark):
+    rows = pd.DataFrame({"a": [1.0] * 900 + [None] * 50 + [float(i) for i in range(1050)], "b": [float(i % 3) for i in range(2000)], "c": [float(i) for i in range(2000)]})
+    df = spark.createDataFrame(rows.astype(object).where(rows.notna(), None), "a double, b double, c double").repartition(3)
+    got = ranking.ranks(df, ["a", "b", "c"])
+    want = rows.rank()
+    key = lambda r: tuple(-1.0 if pd.isna(x) else x for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.itertuples(index=False)))
+    joins = [n for n in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in n]
+    assert any("broadcast" in n.lower() for n in joins)
+
+
+def test_proposals_profile_numbers_once(spark, monkeypatch):
+    calls, made = [], profile.numeric_profile
+    monkeypatch.setattr(profile, "numeric_profile", lambda *a: calls.append(1) or made(*a))
+    df = spark.range(200).select(F.when(F.col("id") % 4 > 0, F.col("id") * 1.5).alias("x"), (F.col("id") % 7).alias("y"))
+    assert {"impute_numeric", "missing_indicator"} <= {s.op for s in etl.propose(df)} and len(calls) == 1
