@@ -1,9 +1,13 @@
 """Near copies by the true Jaccard similarity of word shingles, without loss.
 
 Texts are sets of hashed word shingles. Shingles have one order for all texts: those found often in a
-fixed-size sample last, the others by hash. Two sets of similarity ``least`` or more share a shingle among
+sample last, the others by hash. Two sets of similarity ``least`` or more share a shingle among
 the first ``n - ceil(least * n) + 1`` of each, so every such pair meets at a shingle of these prefixes;
 candidates are verified on the whole sets. Which shingles the sample finds changes the work, not the result.
+The sample grows with the texts, so that a shingle's postings, and with them the candidates of a text, do not.
+
+A candidate's texts move only if its prefixes share enough. Of what two sets have in common, all up to the earlier
+end of the two prefixes is in both of them, so it is at most what the prefixes share and the larger rest (``_enough_shared``).
 
 Groups are connected components, so a pair that is connected already needs no comparison: first texts with
 close SimHash fingerprints are compared (``simhash.close_pairs``), then every shingle's members with one pivot
@@ -35,11 +39,12 @@ from .components import connected_components
 from .simhash import close_pairs, majority
 
 SEED = 42
-#: The sample that finds frequent shingles: texts at most, texts of it that make a shingle frequent, and shingles put last at most. They
-#: change the order in which shingles are looked at, so the work, not the result.
+#: The sample that finds frequent shingles: one text in so many, texts at least, texts of it that make a shingle frequent, and shingles put
+#: last at most. They change the order in which shingles are looked at, so the work, not the result.
+ONE_IN = 10
 SAMPLE = 20_000
 FREQUENT = 4
-LAST = 1_000_000
+LAST = 4_000_000
 #: Shingles of sets just computed that verification keeps at hand: bounds a task's memory.
 KNOWN = 2_000_000
 
@@ -80,13 +85,13 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def frequent_shingles(texts: DataFrame, rows: int, words: int, sample: int = SAMPLE) -> np.ndarray:
-    """Sorted shingles of ``FREQUENT`` texts or more of a sample of fixed size: at most a share of its shingles."""
+    """Sorted shingles of ``FREQUENT`` texts or more of a sample: one text in ``ONE_IN``, or ``sample`` texts where that is more."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0):
             yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), words))], ["key"])
 
-    kept = texts.where(F.pmod("th", F.lit(max(1, rows // sample))) == 0).select("text")
+    kept = texts.where(F.pmod("th", F.lit(max(1, min(ONE_IN, rows // sample)))) == 0).select("text")
     found = common.arrow_map(kept, run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.col("c").desc(), "key").limit(LAST).select("key")
     return np.sort(found.toArrow().column(0).to_numpy())
 
@@ -142,6 +147,20 @@ def packed_sets(texts: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFram
     return common.arrow_map(texts.select("th", "text").join(wanted, "th").dropDuplicates(["th"]).select("node", "text"), run, "node long, z binary")
 
 
+def shared_prefixes(members: DataFrame) -> DataFrame:
+    """``node``, ``n`` and ``shared``: the shingles of a set's prefix that other prefixes have."""
+    return members.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("key").alias("shared"))
+
+
+def _enough_shared(pairs: DataFrame, prefixes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose prefixes share so much that the sets can have similarity ``least``; loses none that have it."""
+    left = prefixes.select(F.col("node").alias("a"), "n", F.col("shared").alias("x"))
+    right = prefixes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("shared").alias("y"))
+    rest = F.ceil(least * F.greatest("n", "m") - 1e-9) - 1  # what follows the larger set's prefix
+    enough = F.size(F.array_intersect("x", "y")) + rest >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
+    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+
+
 def verified(pairs: DataFrame, packed: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets have Jaccard similarity ``least`` or more."""
 
@@ -225,13 +244,14 @@ def similar_roots(texts: DataFrame, sets: DataFrame, words: int, least: float) -
     placed, placed_path = common.staged_at(members.join(central, "node").select("key", "node", "n", "place", F.struct("rank", "node", "n").alias("lead")), "placed")
     common.remove(spark, members_path)
     common.release(spark)
+    prefixes, prefixes_path = common.staged_at(shared_prefixes(placed), "prefixes")
 
     def with_pivot(rows: DataFrame, pivots: DataFrame) -> DataFrame:
         leading = pivots.groupBy("key").agg(F.max("lead").alias("p"))
         return _pairs(rows.join(leading.select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m")), "key"), least)
 
     first = with_pivot(placed, placed).union(prints).distinct()
-    first, first_path = common.staged_at(first, "pairs")
+    first, first_path = common.staged_at(_enough_shared(first, prefixes, least), "pairs")
     common.release(spark)  # what made the pairs is not needed while the texts move
     links = common.staged(verified(first, packed, words, least), "links")
     common.remove(spark, first_path)
@@ -249,7 +269,7 @@ def similar_roots(texts: DataFrame, sets: DataFrame, words: int, least: float) -
         else:
             pairs = with_pivot(open_.where("root = first"), open_.where("root <> first"))
             pairs = pairs.union(with_pivot(open_.where("root <> first"), open_.where("root = first"))).distinct()
-        pairs, pairs_path = common.staged_at(pairs, "pairs")
+        pairs, pairs_path = common.staged_at(_enough_shared(pairs, prefixes, least), "pairs")
         common.remove(spark, open_path)
         common.release(spark)
         fresh = common.staged(verified(pairs, packed, words, least), "links")
@@ -257,7 +277,7 @@ def similar_roots(texts: DataFrame, sets: DataFrame, words: int, least: float) -
         common.release(spark)
         if not fresh.isEmpty():
             roots = connected_components(roots.select("node", "root").union(fresh))
-    for path in (packed_path, placed_path):
+    for path in (packed_path, placed_path, prefixes_path):
         common.remove(spark, path)
     return roots
 

@@ -130,6 +130,21 @@ def test_components(spark, small):
     assert components.connected_components(spark.createDataFrame([], "x long, y long"), small=small).count() == 0
 
 
+def test_near_copies_compares_only_texts_whose_prefixes_share_enough(spark, monkeypatch):
+    texts = [[f"w{i}x{j}" for j in range(200)] for i in range(60)]
+    for i in range(60):
+        for j in range(10):  # a passage of five words with each of ten others
+            for k, slot in ((i, j), ((i + j + 1) % 60, 10 + j)):
+                texts[k][10 * slot : 10 * slot + 5] = [f"p{i}q{j}r{x}" for x in range(5)]
+    texts.append([*texts[0][:-3], "other", "last", "words"])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    compared, verified = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    found = dict(map(tuple, near_copies.near_copies(docs).collect()))
+    assert found == {i: i for i in range(60)} | {60: 0}
+    assert sum(compared) <= 3  # not the pairs that share a passage only
+
+
 def test_pipeline_removes_all_near_copies(spark, rows, empty):
     import corpus_pipeline
 
