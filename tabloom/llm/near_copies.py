@@ -92,8 +92,23 @@ def frequent_shingles(texts: DataFrame, rows: int, words: int, sample: int = SAM
             yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), words))], ["key"])
 
     kept = texts.where(F.pmod("th", F.lit(max(1, min(ONE_IN, rows // sample)))) == 0).select("text")
-    found = common.arrow_map(kept, run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.col("c").desc(), "key").limit(LAST).select("key")
-    return np.sort(found.toArrow().column(0).to_numpy())
+    found = common.arrow_map(kept, run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
+    found, path = common.staged_at(found, "frequent")
+    keys = np.sort((_most_frequent(found) if found.count() > LAST else found).select("key").toArrow().column(0).to_numpy())
+    common.remove(texts.sparkSession, path)
+    return keys
+
+
+def _most_frequent(found: DataFrame) -> DataFrame:
+    """About ``LAST`` rows of ``key`` and ``c`` (distinct hashes and how often each was found) with the highest counts; of the last count
+    that fits in part, the lowest keys. A sorted limit would set memory for ``2 * LAST`` rows aside in every task, however few it has."""
+    held = 0
+    for c, keys in sorted(map(tuple, found.groupBy("c").count().collect()), reverse=True):
+        if held + keys > LAST:
+            below = -(1 << 63) + (LAST - held) * (1 << 64) // keys
+            return found.where((F.col("c") > c) | (F.col("c") == c) & (F.col("key") < below))
+        held += keys
+    return found
 
 
 def postings(texts: DataFrame, frequent: np.ndarray, words: int, least: float) -> DataFrame:

@@ -145,6 +145,21 @@ def test_near_copies_compares_only_texts_whose_prefixes_share_enough(spark, monk
     assert sum(compared) <= 3  # not the pairs that share a passage only
 
 
+def test_frequent_shingles_hold_no_sorted_limit_in_their_tasks(spark, monkeypatch):
+    data = [(i, " ".join("abcdefg"[k] for k in range(7) if i < (6, 5, 4, 4, 4, 4, 3)[k])) for i in range(6)]
+    texts = near_copies._texts(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text")
+    of = lambda words: {int(near_copies.shingles(w.encode(), 1)[0]) for w in words}
+    plans, frame = [], type(texts)
+    seen = lambda df: plans.append(df._jdf.queryExecution().toString()) or df
+    monkeypatch.setattr(frame, "toArrow", lambda self, f=frame.toArrow: f(seen(self)))
+    monkeypatch.setattr(near_copies.common, "staged_at", lambda df, label, f=near_copies.common.staged_at: f(seen(df), label))
+    for last, least, most in ((4_000_000, "abcdef", "abcdef"), (2, "ab", "ab"), (4, "ab", "abcdef")):
+        monkeypatch.setattr(near_copies, "LAST", last)
+        found = near_copies.frequent_shingles(texts, len(data), 1).tolist()
+        assert of(least) <= set(found) <= of(most) and sorted(found) == found
+    assert plans and not any("TakeOrdered" in p or "Limit" in p for p in plans)  # each task would set memory aside for twice LAST rows
+
+
 def test_pipeline_removes_all_near_copies(spark, rows, empty):
     import corpus_pipeline
 
