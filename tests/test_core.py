@@ -337,3 +337,45 @@ def test_proposals_profile_numbers_once(spark, monkeypatch):
     monkeypatch.setattr(profile, "numeric_profile", lambda *a: calls.append(1) or made(*a))
     df = spark.range(200).select(F.when(F.col("id") % 4 > 0, F.col("id") * 1.5).alias("x"), (F.col("id") % 7).alias("y"))
     assert {"impute_numeric", "missing_indicator"} <= {s.op for s in etl.propose(df)} and len(calls) == 1
+
+
+def test_tasks_do_not_hold_a_mounted_workbook(spark, tmp_path, monkeypatch):
+    """Only the paths of mounted workbooks go to the tasks, and no tree of a sheet is kept; the content of other files goes to them whole."""
+    from xml.etree import ElementTree
+
+    monkeypatch.setattr(write, "SHEET_ROWS", 900)
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    write.write_workbook({"data": spark.range(2000).select("id", F.lit("<x> & é").alias("t")), "one": spark.range(5)}, str(folder / "w.xlsx"))
+    rows = read.read_workbook(spark, str(folder / "w.xlsx"), "data", continued=True)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "path#" in plan and "content#" not in plan
+    assert sorted((int(r["id"]), r["t"]) for r in rows.collect()) == [(i, "<x> & é") for i in range(2000)]
+    by_glob = read.read_workbook(spark, f"file://{folder}/*.xlsx", 1)
+    assert by_glob.count() == 900
+    content = (folder / "w.xlsx").read_bytes()
+    import io
+    import zipfile
+
+    monkeypatch.setattr(ElementTree, "iterparse", None)
+    cells = read._cells(zipfile.ZipFile(io.BytesIO(content)), "data_3")
+    assert len(list(cells)) == 201
+
+
+def test_cells_of_foreign_sheets():
+    """Cells with places, shared, rich and inline texts, dates, repeated values, prefixes and blank rows."""
+    import io
+    import zipfile
+
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="/xl/worksheets/x.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}"><si><t>plain</t></si><si><r><t>ri</t></r><r><t>ch</t></r></si></sst>')
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{ns}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        book.writestr("xl/worksheets/x.xml", f'''<x:worksheet xmlns:x="{ns}"><x:sheetData><x:row r="1"><x:c r="A1" t="s"><x:v>0</x:v></x:c><x:c r="C1" t="s"><x:v>1</x:v></x:c></x:row>
+            <x:row r="2"/><x:row r="3"><x:c r="A3"/><x:c r="B3"><x:v></x:v></x:c></x:row><x:row r="4"><x:c r="B4" s="1"><x:v>45293</x:v></x:c><x:c r="AB4" t="inlineStr"><x:is><x:r><x:t>a &amp;</x:t></x:r><x:r><x:t> b</x:t></x:r></x:is></x:c></x:row>
+            <x:row r="5"><x:c><x:f>1+1</x:f><x:v>2</x:v></x:c><x:c s="1"><x:v>45293.5</x:v></x:c><x:c t="b"><x:v>1</x:v></x:c></x:row></x:sheetData></x:worksheet>''')
+    got = list(read._cells(zipfile.ZipFile(held), 1))
+    assert got == [["plain", None, "rich"], [None, "2024-01-02", *[None] * 25, "a & b"], ["2", "2024-01-02 12:00:00", "1"]]
